@@ -1,0 +1 @@
+"""Dialogue-text extraction, restructuring and re-import as Spark dataflows."""
