@@ -17,7 +17,7 @@ def files(spark: SparkSession, path: str, postfix: str = "", recursive: bool = F
     reader = spark.read.option("pathGlobFilter", f"*{postfix}").option("recursiveFileLookup", str(recursive).lower())
     if binary:
         return reader.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content").alias("data"))
-    return reader.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
 def decoded_files(spark: SparkSession, path: str, encoding: str, postfix: str = "") -> DataFrame:

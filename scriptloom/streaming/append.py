@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def line_stream(spark: SparkSession, path: str, postfix: str = "") -> DataFrame:
     """``file, modified, line_no, line`` of files as they arrive."""
-    files = spark.readStream.option("pathGlobFilter", f"*{postfix}").option("wholetext", "true").text(path)
+    files = spark.readStream.option("pathGlobFilter", f"*{postfix}").text(path, wholetext=True)
     named = files.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), "value")
     return named.select("file", "modified", F.posexplode(F.split("value", "\r\n|\n", -1)).alias("line_no", "line"))
 
