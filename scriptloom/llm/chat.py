@@ -92,7 +92,8 @@ def _settle(calls: DataFrame) -> DataFrame:
     """``conv_id, call_id, place, level, cyclic``: each call's place in topological order.
 
     A call's (place, level) is its own (turn, 0), or just behind the last of its dependencies if that comes later. A level
-    above the number of calls of the conversation proves a cycle; such calls keep their turn, and are marked.
+    above the number of calls of the conversation proves that a call is in a cycle or behind one; it keeps its turn, and is
+    marked. Levels rise to twice that number, so that every call of a cycle gets there.
     """
     edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("needs")).where("needs is not null").distinct()
     known = calls.select("conv_id", F.col("call_id").alias("needs"))
@@ -104,8 +105,8 @@ def _settle(calls: DataFrame) -> DataFrame:
     moving = materialise(late.where("needs_turn >= turn").select("conv_id").distinct(), "moving")
     own = calls.join(moving, "conv_id", "left_semi").join(sizes, "conv_id")
     now = materialise(own.select("conv_id", "call_id", "turn", "size", F.struct(F.col("turn").alias("place"), F.lit(0).alias("level")).alias("at")), "places")
-    while now.where("at.level <= size").limit(1).count():
-        last = edges.join(now.select("conv_id", F.col("call_id").alias("needs"), "at", "size"), ["conv_id", "needs"]).where("at.level <= size")
+    while now.where("at.level <= 2 * size").limit(1).count():
+        last = edges.join(now.select("conv_id", F.col("call_id").alias("needs"), "at", "size"), ["conv_id", "needs"]).where("at.level <= 2 * size")
         last = last.groupBy("conv_id", "call_id").agg(F.max(F.struct(F.col("at.place").alias("place"), (F.col("at.level") + 1).alias("level"))).alias("behind"))
         joined = now.join(last, ["conv_id", "call_id"], "left")
         after = joined.select("conv_id", "call_id", "turn", "size", F.greatest("at", F.coalesce("behind", "at")).alias("at"), (F.coalesce("behind", "at") > F.col("at")).alias("moved"))
@@ -128,7 +129,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     ``results``: ``conv_id long, call_id string, turn long, content string``. Out come ``conv_id, call_id, turn, position
     long, status string, valid boolean, errors array<string>, repeats long, json string``.
 
-    ``status`` is ``linked``, ``pending`` (no result), ``orphan`` (no call) or ``cyclic``. ``position`` counts from 0 in
+    ``status`` is ``linked``, ``pending`` (no result), ``orphan`` (no call) or ``cyclic`` (in a cycle of dependencies or behind one). ``position`` counts from 0 in
     the conversation; ties of place and level go by turn, then id. Of calls, or results, that repeat an id the first by
     (turn, content) counts and ``repeats`` says how many more there were. Dependencies on unknown calls are ignored. Rows whose
     conversation or id is null can't be linked and are left out; a null turn counts as 0, a null result is written as null. Only valid calls
