@@ -199,3 +199,22 @@ def test_append_stream(spark, tmp_path):
             (source / "2.txt").write_text(extra)
         append.append_dictionary(append.line_stream(spark, str(source)), str(out), str(state)).awaitTermination()
     assert sorted(r.line for r in spark.read.parquet(str(out)).collect()) == ["a", "b", "c"]
+
+
+def test_names_and_reports(spark):
+    from scriptloom.functions import paths, reports
+
+    assert paths.interpolate("%A%/%B%", {"A": "x"}) == "x/%B%"
+    assert paths.reencode_name("日本".encode("cp932").decode("cp437")) == "日本" and paths.reencode_name("日") == "日"
+    names = spark.createDataFrame([("a10",), ("A9",), ("b1",)], "n string")
+    assert [r.n for r in names.orderBy(paths.natural_key(F.col("n"))).collect()] == ["A9", "a10", "b1"]
+    assert reports.charset_pairs({"gbk": {"a": "b"}, "cp932,utf-8": {"c": "d"}}, "CP932") == {"c": "d"}
+    conf = spark.createDataFrame([('{"trans_replace": {"gbk": {"x": ""}}, "comment": 1}',)], "text string")
+    assert reports.text_config(conf).first().trans_replace == {"gbk": {"x": ""}}
+    rows = spark.createDataFrame([(0, "ab", -1), (1, "ab", -3), (2, "b", 0)], "n int, t string, d int")
+    assert [tuple(r) for r in reports.cut_report(rows, F.col("d"), "t").collect()] == [("ab", "ab", -3)]
+    chars = reports.used_characters(rows, "t", ["n"])
+    assert {r.ch: (r.first.n, r.first["at"], r.n) for r in chars.collect()} == {"a": (0, 0, 2), "b": (0, 1, 3)}
+    table = spark.createDataFrame([("a", "X"), ("b", "X")], "ch string, substitute string")
+    assert {r.state for r in reports.substitution_report(chars, table).collect()} == {"repeat"}
+    assert reports.reason_counts(rows, {"long": F.length("t") > 1}).first().long == 2
