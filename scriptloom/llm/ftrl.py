@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -66,7 +67,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: list[str], feat
     """Features and targets of at most ``most`` labelled rows, the first in the order of MD5(id), and their targets.
 
     Labels with a null id or target are left out; of labels that repeat an id the smallest stays. The sample of ids is
-    bounded by ``most``, so it is broadcast; the texts are read by the executors, and only sparse features come back.
+    bounded by ``most``, so it is broadcast; the texts are read by the executors, and only sparse features come back, as
+    compressed differences.
     """
     bounded_batches(docs.sparkSession)
     known = labels.where(" and ".join(f"{c} is not null" for c in ["doc_id", *targets]))
@@ -79,11 +81,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: list[str], feat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [featurise(t.as_py()) for t in batch.column(1)]
-            i = pa.array([f[0].astype("<u4").tobytes() for f in found], pa.binary())
-            x = pa.array([f[1].astype("<f4").tobytes() for f in found], pa.binary())
+            i = pa.array([zlib.compress(np.diff(f[0], prepend=0).astype("<u4").tobytes()) for f in found], pa.binary())
+            x = pa.array([zlib.compress(f[1].astype("<f4").tobytes()) for f in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), i, x, *batch.columns[2:]], ["doc_id", "i", "x", *targets])
 
     got = rows.mapInArrow(run, f"doc_id long, i binary, x binary, {names}").collect()
     got.sort(key=lambda r: (r["doc_id"], bytes(r["i"]), bytes(r["x"])))
-    sparse = [(np.frombuffer(bytes(r["i"]), "<u4").astype(np.int64), np.frombuffer(bytes(r["x"]), "<f4").astype(np.float64)) for r in got]
+    unpack = lambda raw, kind: np.frombuffer(zlib.decompress(bytes(raw)), kind)
+    sparse = [(np.cumsum(unpack(r["i"], "<u4"), dtype=np.int32), unpack(r["x"], "<f4")) for r in got]
     return sparse, np.array([[r[t] for t in targets] for r in got], np.float64).reshape(len(got), len(targets))

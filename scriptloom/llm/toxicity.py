@@ -23,12 +23,12 @@ from ._spark import bounded_batches, fresh
 from .ftrl import Ftrl, labelled_sample, out_of_fold, sigmoid, train
 
 #: Labelled rows that a chain is fitted on, at most.
-TRAIN_ROWS = 12288
+TRAIN_ROWS = 8192
 FOLDS = 4
 SIZE = 1 << 20
 SETTINGS = Ftrl(alpha=0.3, l1=3.0, l2=0.1, epochs=4)
 #: A document is rejected if any category is as likely as this.
-REJECT = 0.4
+REJECT = 0.3
 _CACHE_ROWS = 200_000
 
 _TOKEN = re.compile(r"\w+")
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
             table.setdefault(int(i), [0.0] * count)[k] = float(w[i])
         if k + 1 < count:
             p = out_of_fold(rows, y[:, k], folds, size, SETTINGS)
-            rows = [(np.append(i, size), np.append(x, p[r])) for r, (i, x) in enumerate(rows)]
+            rows = [(np.append(i, np.int32(size)), np.append(x, np.float32(p[r]))) for r, (i, x) in enumerate(rows)]
     return Chain(tuple(names), {i: tuple(v) for i, v in table.items()}, links, intercepts)
 
 
