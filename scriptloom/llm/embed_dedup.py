@@ -9,7 +9,9 @@ as well. Where neither exceeds the radius, x is copied to the cell of q, for q a
 join independently, by blocks of a matrix product in single precision, and whatever comes near the threshold is decided in
 double precision.
 
-A cell returns its link counts and links to the roots of its sets, never pairs. Equal vectors are collapsed beforehand, so
+A cell is joined in blocks: its own vectors, and those copied to it, are dealt into blocks of bounded size, and each pair of
+blocks is a task of its own, so neither a dense cell nor the many copies of an unselective one fill a worker's memory. A
+task returns its link counts and links to the roots of its sets, never pairs. Equal vectors are collapsed beforehand, so
 a group of exact copies is one row with a multiplicity.
 """
 
@@ -30,6 +32,9 @@ from .simhash import _Links
 SAMPLE_ROWS = 8192
 MAX_PIVOTS = 1024
 CELL_ROWS = 4096
+#: Vectors of a cell's own, and copied to it, that a task gets, about.
+OWN_ROWS = 8192
+COPIED_ROWS = 32768
 #: Single precision is off by less than this for a cosine; nearer values are computed again in double precision.
 SLACK = 1e-4
 #: Rounding of distances, allowed for in bounds.
@@ -86,28 +91,30 @@ def distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * rows @ pivots.T))
 
 
-def join_cell(units: np.ndarray, copies: np.ndarray, home: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Link counts of the rows of a cell (each link weighted with the partner's copies), and links to set roots."""
+def join_blocks(units: np.ndarray, copies: np.ndarray, first: np.ndarray, alone: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Link counts of the rows of a task (each link weighted with the partner's copies), and links to set roots.
+
+    The rows of the ``first`` block are compared with the others or, where the block is ``alone``, with each other.
+    """
     small = units.astype(np.float32)
-    links, counts, h = _Links(len(units), False), np.zeros(len(units), np.int64), np.flatnonzero(home)
-    for rows in (h, np.flatnonzero(~home)):
-        own = rows is h
-        step = max(1, (1 << 22) // max(1, len(h)))
-        for at in range(0, len(rows), step):
-            part = rows[at : at + step]
-            others = h[at:] if own else h  # a pair of two home rows once
-            i, j = np.nonzero(small[part] @ small[others].T >= threshold - SLACK)
-            i, j = part[i], others[j]
-            if own:
-                once = i < j
-                i, j = i[once], j[once]
-            sure = np.empty(len(i), bool)
-            for k in range(0, len(i), 1 << 16):
-                sure[k : k + (1 << 16)] = (units[i[k : k + (1 << 16)]] * units[j[k : k + (1 << 16)]]).sum(axis=1) >= threshold
-            i, j = i[sure], j[sure]
-            np.add.at(counts, i, copies[j])
-            np.add.at(counts, j, copies[i])
-            links.add(i, j, np.zeros(len(i)))
+    links, counts, h = _Links(len(units), False), np.zeros(len(units), np.int64), np.flatnonzero(first)
+    rows = h if alone else np.flatnonzero(~first)
+    step = max(1, (1 << 22) // max(1, len(h)))
+    for at in range(0, len(rows), step):
+        part = rows[at : at + step]
+        others = h[at:] if alone else h
+        i, j = np.nonzero(small[part] @ small[others].T >= threshold - SLACK)
+        i, j = part[i], others[j]
+        if alone:
+            once = i < j
+            i, j = i[once], j[once]
+        sure = np.empty(len(i), bool)
+        for k in range(0, len(i), 1 << 16):
+            sure[k : k + (1 << 16)] = (units[i[k : k + (1 << 16)]] * units[j[k : k + (1 << 16)]]).sum(axis=1) >= threshold
+        i, j = i[sure], j[sure]
+        np.add.at(counts, i, copies[j])
+        np.add.at(counts, j, copies[i])
+        links.add(i, j, np.zeros(len(i)))
     return (counts, *links.pairs())
 
 
@@ -154,39 +161,64 @@ def _cells(reps: DataFrame, n: int, threshold: float) -> DataFrame:
     apart = distances(pivots, pivots)
     np.fill_diagonal(apart, np.inf)
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        far = np.zeros(len(pivots))
+    def targets(d: np.ndarray, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's own cell, and which cells after it may hold a partner."""
+        own = d.argmin(axis=1)
+        a = d[np.arange(len(d)), own]
+        near = ((d * d - (a * a)[:, None]) / (2 * apart[own]) <= radius) & (np.arange(len(pivots))[None, :] > own[:, None])
+        return own, near if reach is None else near & (d - reach[None, :] <= radius)
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far, mine, copied = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64)
         for batch in batches:
             if batch.num_rows:
                 d = distances(_matrix(batch.column(0)), pivots)
-                np.maximum.at(far, d.argmin(axis=1), d.min(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(far), dtype=np.int32)), pa.array(far)], ["cell", "far"])
-
-    reach = np.zeros(len(pivots))
-    for r in reps.select("unit").mapInArrow(nearest, "cell int, far double").groupBy("cell").agg(F.max("far").alias("far")).collect():
+                own, near = targets(d)
+                np.maximum.at(far, own, d.min(axis=1))
+                mine += np.bincount(own, minlength=len(pivots))
+                copied += near.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(far), dtype=np.int32)), pa.array(far), pa.array(mine), pa.array(copied)], ["cell", "far", "mine", "copied"])
+
+    reach, own_blocks, copied_blocks = np.zeros(len(pivots)), np.ones(len(pivots), np.int64), np.zeros(len(pivots), np.int64)
+    sizes = reps.select("unit").mapInArrow(survey, "cell int, far double, mine long, copied long")
+    for r in sizes.groupBy("cell").agg(F.max("far").alias("far"), F.sum("mine").alias("mine"), F.sum("copied").alias("copied")).collect():
         reach[r["cell"]] = r["far"]
+        own_blocks[r["cell"]], copied_blocks[r["cell"]] = max(1, -(-r["mine"] // OWN_ROWS)), -(-r["copied"] // COPIED_ROWS)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d = distances(_matrix(batch.column(2)), pivots)
-            own = d.argmin(axis=1)
-            a = d[np.arange(len(d)), own]
-            gap = (d * d - (a * a)[:, None]) / (2 * apart[own])
-            near = (gap <= radius) & (d - reach[None, :] <= radius) & (np.arange(len(pivots))[None, :] > own[:, None])
+            own, near = targets(distances(_matrix(batch.column(2)), pivots), reach)
+            rep = batch.column(0).to_numpy()
+            mixed = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            out: list[tuple[np.ndarray, ...]] = []  # rows, cells, blocks of either side, whether of the first
+            block = (mixed % own_blocks[own].astype(np.uint64)).astype(np.int64)
+            every = np.arange(len(rep))
+            for k in range(int(own_blocks[own].max())):
+                there = every[own_blocks[own] > k]
+                b = block[there]
+                out.append((there, own[there], np.minimum(b, k), np.maximum(b, k), b <= k))
+            for k in range(int(copied_blocks[own].max())):
+                there = every[copied_blocks[own] > k]
+                out.append((there, own[there], block[there], own_blocks[own[there]] + k, np.ones(len(there), bool)))
             row, cell = np.nonzero(near)
-            row, cell = np.concatenate([np.arange(len(d)), row]), np.concatenate([own, cell])
-            home = np.arange(len(row)) < len(d)
+            v = own_blocks[cell] + (mixed[row] % np.maximum(copied_blocks[cell], 1).astype(np.uint64)).astype(np.int64)
+            for k in range(int(own_blocks[cell].max()) if len(cell) else 0):
+                there = own_blocks[cell] > k
+                out.append((row[there], cell[there], np.full(there.sum(), k), v[there], np.zeros(there.sum(), bool)))
+            row, cell, i, j, first = (np.concatenate(x) for x in zip(*out, strict=True))
             at = pa.array(row)
             for s in range(0, len(row), 4096):
-                part = at[s : s + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(cell[s : s + 4096].astype(np.int32)), pa.array(home[s : s + 4096]), *[batch.column(c).take(part) for c in range(3)]], ["cell", "home", "rep", "copies", "unit"])
+                e = s + 4096
+                keys = [pa.array(x[s:e].astype(np.int32)) for x in (cell, i, j)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(first[s:e]), *[batch.column(c).take(at[s:e]) for c in range(3)]], ["cell", "i", "j", "first", "rep", "copies", "unit"])
 
     def join(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
-        rep, home = table["rep"].to_numpy(), table["home"].to_numpy(zero_copy_only=False)
-        counts, a, b = join_cell(_matrix(table["unit"]), table["copies"].to_numpy(), home, threshold)
+        rep, first = table["rep"].to_numpy(), table["first"].to_numpy(zero_copy_only=False)
+        alone = table["i"][0].as_py() == table["j"][0].as_py()
+        counts, a, b = join_blocks(_matrix(table["unit"]), table["copies"].to_numpy(), first, alone, threshold)
         some = np.flatnonzero(counts)
         return pa.table({
             "rep": pa.array(np.concatenate([rep[some], rep[a]]), pa.int64()),
@@ -194,5 +226,5 @@ def _cells(reps: DataFrame, n: int, threshold: float) -> DataFrame:
             "root": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(rep[b], pa.int64())]),
         })
 
-    routed = reps.select("rep", "copies", "unit").mapInArrow(route, "cell int, home boolean, rep long, copies long, unit binary")
-    return materialise(routed.groupBy("cell").applyInArrow(join, "rep long, links long, root long"), "cells")
+    routed = reps.select("rep", "copies", "unit").mapInArrow(route, "cell int, i int, j int, first boolean, rep long, copies long, unit binary")
+    return materialise(routed.groupBy("cell", "i", "j").applyInArrow(join, "rep long, links long, root long"), "cells")

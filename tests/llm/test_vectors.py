@@ -34,6 +34,9 @@ def vectors(seed=0, dim=16):
 @pytest.mark.parametrize("threshold", [0.9, 0.6])
 def test_range_join(spark, monkeypatch, cell, threshold):
     monkeypatch.setattr(d, "CELL_ROWS", cell)
+    if cell < 100:
+        monkeypatch.setattr(d, "OWN_ROWS", 10)
+        monkeypatch.setattr(d, "COPIED_ROWS", 16)
     rows = vectors()
     df = spark.createDataFrame([(i, v, 3, True) for i, v in rows], "vec_id long, embedding array<float>, label int, kept boolean").repartition(5)
     got = d.near_vectors(df, threshold).collect()
