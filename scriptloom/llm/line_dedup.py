@@ -61,7 +61,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     source = docs.withColumn(doc, F.col(id_col).cast("long")).withColumn(text_hash, F.xxhash64(F.coalesce(text, F.lit(""))))
     lines = F.split(text, "\n", -1)
     cleaned = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
-    joined = source.join(removed, [doc, text_hash], "left")
+    # a merge join at every size: what is removed grows with the corpus, so no plan may count on broadcasting it
+    joined = source.join(removed.hint("merge"), [doc, text_hash], "left")
     return joined.select(
         *[F.when(F.col(gone).isNull(), F.col(c)).otherwise(cleaned).alias(c) if c == text_col else F.col(c) for c in docs.columns],
         F.when(text.isNull(), 0).otherwise(F.size(lines)).alias(fresh(docs, "n_lines")),
