@@ -30,12 +30,11 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._spark import bounded_batches, materialise
 
-#: Rows of the sample that the top of a tree is built from, and the deepest that it gets (4096 shards a block).
-SAMPLE_ROWS = 16384
-MAX_DEPTH = 12
-#: Shards are made about this large, and split in memory down to this many rows.
-SHARD_ROWS = 16384
-LEAF_ROWS = 256
+#: Rows of the sample that the top of a tree is built from, at most, and the deepest that it gets (16384 shards a block).
+SAMPLE_ROWS = 1 << 16
+MAX_DEPTH = 14
+#: Shards are split in memory down to this many rows.
+LEAF_ROWS = 512
 #: Shingles whose bits are counted at once; below 2**24, float32 counts are exact.
 COUNT_ROWS = 1 << 15
 
@@ -94,6 +93,10 @@ class Search:
     max_bits: int = 3
     blocks: int = 2
     radius: int = 1
+    #: Own rows of a shard, about. Copies across boundaries grow with the depth, so long fingerprints get large shards.
+    shard_rows: int = 1 << 16
+    #: Where only the nearest partner is asked for, one within so many bits is near enough.
+    close_bits: int = 0
 
     @property
     def block_bits(self) -> int:
@@ -106,10 +109,10 @@ class Search:
 
 #: The production search: three-word shingles, 64 bits, at most 3 differing bits.
 EXACT_64 = Search()
-#: For a similarity of 0.8 or more on five-word shingles: texts at 0.8 differ in 15 % of the bits (39 of 256), so a
-#: 16-bit block differs in at most one bit with chance 0.28, and one of 16 blocks does with chance 0.995. Pairs within
-#: ``max_bits`` (0.8 plus three standard deviations) are candidates; their shingle sets are then compared exactly.
-SIMILAR_256 = Search(width=5, n64=4, distinct=True, max_bits=58, blocks=16, radius=1)
+#: For a similarity of 0.8 or more on five-word shingles: texts at 0.8 differ in 15 % of the bits (48 of 320), so a
+#: 16-bit block differs in at most one bit with chance 0.28, and one of 20 blocks does with chance 0.9986. Pairs within
+#: ``max_bits`` (0.8 plus more than five standard deviations) are candidates; their shingle sets are then compared exactly.
+SIMILAR_320 = Search(width=5, n64=5, distinct=True, max_bits=84, blocks=20, radius=1, shard_rows=1 << 19, close_bits=16)
 
 
 def _pack(rows: np.ndarray) -> list[bytes]:
@@ -119,7 +122,11 @@ def _pack(rows: np.ndarray) -> list[bytes]:
 
 
 def _unpack(column: pa.ChunkedArray | pa.Array, n64: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, n64)
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(array):
+        return np.empty((0, n64), np.uint64)
+    start = np.frombuffer(array.buffers()[1], np.int32, 1, 4 * array.offset)[0]  # all values have one length
+    return np.frombuffer(array.buffers()[2], ">u8", len(array) * n64, int(start)).astype(np.uint64).reshape(-1, n64)
 
 
 def _block(fps: np.ndarray, block: int, bits: int) -> np.ndarray:
@@ -195,10 +202,20 @@ def choose(part: np.ndarray, bits: int, radius: int, rng: np.random.Generator, t
 class _Links:
     """Links found in one shard, folded into sets as they come; or the nearest lower partner of each row."""
 
-    def __init__(self, n: int, nearest: bool) -> None:
-        self.root, self.nearest = np.arange(n), nearest
+    def __init__(self, n: int, nearest: bool, close: int = -1) -> None:
+        self.root, self.nearest, self.close = np.arange(n), nearest, close
         self.best = np.full(n, np.iinfo(np.int64).max)
 
+    def undecided(self, q: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The rows of ``q`` about which a comparison with ``h`` can still say something new.
+
+        If ``h`` is one set already, its members needn't meet again; that keeps a dense group from costing its square.
+        """
+        if self.nearest:
+            return q[self.best[q] >= (self.close + 1) << 40]
+        roots = self.root[h]
+        return q[self.root[q] != roots[0]] if (roots == roots[0]).all() else q
+
     def add(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
         high, low = np.maximum(a, b), np.minimum(a, b)
         if self.nearest:
@@ -225,22 +242,25 @@ class _Links:
 
 def link_shard(fps: np.ndarray, values: np.ndarray, home: np.ndarray, search: Search, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links among the home rows of a shard and from its visitors to them; rows stand in order of their ids."""
-    links, rng = _Links(len(fps), nearest), np.random.default_rng(42)
+    links, rng = _Links(len(fps), nearest, search.close_bits), np.random.default_rng(42)
+    short = values.astype(f"u{max(1, search.block_bits // 8)}")  # pairs are compared by block first
 
     def compare(q: np.ndarray, h: np.ndarray) -> None:
-        step = max(1, (1 << 20) // max(1, len(h)))
-        for at in range(0, len(q), step):
-            part = q[at : at + step]
-            d = np.bitwise_count(fps[part, 0][:, None] ^ fps[h, 0][None, :])
-            i, j = np.nonzero(d <= search.max_bits)
-            d = d[i, j].astype(np.int64)
-            i, j = part[i], h[j]
-            for k in range(1, search.n64):
-                d = d + np.bitwise_count(fps[i, k] ^ fps[j, k])
-                ok = d <= search.max_bits
-                i, j, d = i[ok], j[ok], d[ok]
-            ok = i != j
-            links.add(i[ok], j[ok], d[ok])
+        for at in range(0, len(h), 4 * LEAF_ROWS):
+            others = h[at : at + 4 * LEAF_ROWS]
+            for start in range(0, len(q), 1024):
+                part = links.undecided(q[start : start + 1024], others)
+                if not len(part):
+                    continue
+                i, j = np.nonzero(np.bitwise_count(short[part][:, None] ^ short[others][None, :]) <= search.radius)
+                i, j = part[i], others[j]
+                d = np.zeros(len(i), np.int64)
+                for k in range(search.n64):
+                    d = d + np.bitwise_count(fps[i, k] ^ fps[j, k])
+                    ok = d <= search.max_bits
+                    i, j, d = i[ok], j[ok], d[ok]
+                ok = i != j
+                links.add(i[ok], j[ok], d[ok])
 
     stack = [(np.arange(len(fps)), np.flatnonzero(home))]
     while stack:
@@ -265,8 +285,8 @@ def candidate_links(reps: DataFrame, search: Search, nearest: bool = False) -> D
     components as they are. ``nearest`` true: for each row and shard, the nearest of the partners with a smaller id.
     """
     n = reps.count()
-    depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(1, n) / SHARD_ROWS)))))
-    sample = reps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).collect() if depth else []
+    depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(1, n) / search.shard_rows)))))
+    sample = reps.select("fp").orderBy(F.xxhash64("fp")).limit(min(SAMPLE_ROWS, 256 << depth)).collect() if depth else []
     sample = np.frombuffer(b"".join(bytes(r.fp) for r in sample), ">u8").astype(np.uint64).reshape(-1, search.n64)
     trees = [Tree(depth, search.block_bits, _block(sample, k, search.block_bits), search.radius) for k in range(search.blocks)]
 
@@ -321,7 +341,7 @@ def jaccard(a: str | None, b: str | None, width: int) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, search: Search = SIMILAR_256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, search: Search = SIMILAR_320, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id long, component_id long`` for each document with a near duplicate.
 
     Candidates come from the fingerprints; a link holds only if the Jaccard similarity of the two sets of
@@ -337,7 +357,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, search: Search =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     wanted = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # candidates only: the texts of documents without one aren't moved any further
-    texts = materialise(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    # (merge joins at every size: both sides grow with the corpus, so no plan may count on broadcasting one)
+    texts = materialise(texts.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     left = links.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -351,11 +372,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, search: Search =
     return merged.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, search: Search = SIMILAR_256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, search: Search = SIMILAR_320, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that have a near duplicate of smaller id: one of each group stays, unchanged.
 
     Rows with a null id stay.
     """
     found = similar_documents(docs, similarity, search, id_col, text_col)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
