@@ -8,10 +8,11 @@ The relations, and where they are cut:
 
 1. One pass over the texts counts words (a row for each distinct word of a run of about a million) and, in the same
    rows, pairs so frequent in a run that they may be frequent everywhere. One aggregate by hash gives the word table.
-2. Frequent words and pairs have a proven bound in number (a word seen ``N / 2**18`` times is one of ``2**18`` at most), so
-   they are broadcast. Everything else is joined by hash; no hash left there holds more than ``2**-17`` of the rows.
+2. Frequent words and pairs have a proven bound in number (a word seen ``N / 2**20`` times is one of ``2**20`` at most), so
+   they are broadcast. Everything else is joined by hash; no hash left there holds more than ``2**-18`` of the rows.
 3. A second pass explodes the texts to pairs. Frequent pairs stay in a short list with their document. All others go to the
-   bucket of their hash, packed: a run's pairs are sorted, and differences and planes of bytes compress well. In its
+   bucket of their hash, packed: frequent words as ranks by frequency, the rest as hashes, sorted, in planes of bytes, of
+   which the high ones are nearly all zero. In its
    bucket a pair meets all its occurrences: the bucket's count table is built and joined there, and summed per document.
 4. What still lacks the count of an infrequent word is joined to the word table, one row for each such word and document.
 5. All parts are summed per document.
@@ -38,9 +39,9 @@ MIN_COUNT = 2
 RUN_WORDS = 1 << 20
 BUCKET_PAIRS = 1 << 21
 MAX_BUCKETS = 1 << 15
-#: A word is frequent from N / 2**18 on, a pair from N / 2**17 on; a run of n words proposes pairs seen n / 2**17 times.
-WORD_BITS = 18
-PAIR_BITS = 17
+#: A word is frequent from N / 2**20 on, a pair from N / 2**18 on; a run of n words proposes pairs seen n / 2**18 times.
+WORD_BITS = 20
+PAIR_BITS = 18
 _CACHE_ROWS = 200_000
 
 
@@ -100,6 +101,27 @@ def _from_planes(raw: bytes, size: int) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.uint64)
 
 
+class _Words:
+    """Words as three-byte codes: the rank by frequency of a frequent word, or ``OTHER`` with the hash in a list beside."""
+
+    OTHER = (1 << 24) - 1
+
+    def __init__(self, word: np.ndarray, n: np.ndarray) -> None:
+        self.word, order = word, np.argsort(-n, kind="stable")
+        self.by_rank, self.rank = word[order], np.empty(len(word), np.int64)
+        self.rank[order] = np.arange(len(word))
+
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        hit, where = _find(self.word, h)
+        return np.where(hit, self.rank[where], self.OTHER) if len(self.word) else np.full(len(h), self.OTHER)
+
+    def hashes(self, codes: np.ndarray, others: np.ndarray) -> np.ndarray:
+        out = np.empty(len(codes), np.uint64)
+        known = codes != self.OTHER
+        out[known], out[~known] = self.by_rank[codes[known]], others
+        return out
+
+
 def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each x is in the ascending table, and where."""
     if not len(table):
@@ -142,8 +164,9 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, id_col: str = "doc_id", t
     frequent = known.where(F.col("n") * 2**WORD_BITS >= total).collect()
     frequent.sort()
     word = np.array([r["word"] for r in frequent], np.uint64)
-    word_log = np.log(np.array([r["n"] for r in frequent], np.float64))
-    # what runs propose is half of a frequent pair's count or more, and at most 2**18 pairs can have that much
+    word_n = np.array([r["n"] for r in frequent], np.float64)
+    word_log, ranked = np.log(word_n), _Words(word, word_n)
+    # what runs propose is half of a frequent pair's count or more, and at most 2**19 pairs can have that much
     proposed = table.where(F.col("w").isNotNull() & (F.col("n") * 2 ** (PAIR_BITS + 1) >= total) & (F.col("n") >= min_count)).collect()
     pv, pw = (np.array([r[c] for r in proposed], np.uint64) for c in ("v", "w"))
     key = pair_key(pv, pw)
@@ -162,29 +185,30 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, id_col: str = "doc_id", t
             hit, where = _find(key, k)
             # documents with their frequent pairs, and the first word of each
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            lists, ends = where[hit].astype("<u4"), np.cumsum(np.bincount(doc[hit], minlength=len(rows)))
-            raw, begins = lists.tobytes(), np.concatenate([[0], ends[:-1]])
+            ends = np.cumsum(np.bincount(doc[hit], minlength=len(rows)))
+            lists, begins = where[hit], np.concatenate([[0], ends[:-1]])
             first = [int(h[s]) if n else None for s, n in zip(starts, sizes, strict=True)]
             columns = {
                 "bucket": pa.array((rows % buckets).astype(np.int32)), "row": pa.array(rows), "doc_id": pa.array([d for _, d in named], pa.int64()), "n": pa.array(sizes), "first": pa.array(first, pa.int64()),
-                "often": pa.array([raw[4 * b : 4 * e] for b, e in zip(begins, ends, strict=True)], pa.binary()),
+                "often": pa.array([_planes(np.diff(np.sort(lists[b:e]), prepend=0), 4) for b, e in zip(begins, ends, strict=True)], pa.binary()),
             }
             yield _batch(columns, len(rows))
             found, n = np.unique(lists, return_counts=True)
             yield _batch({"bucket": pa.array((rows[:1] % buckets).astype(np.int32)), "often": pa.array([found.astype("<u4").tobytes()]), "v": pa.array([n.astype("<i8").tobytes()])}, 1)
             # all other pairs, by bucket and first word
-            v, w, doc, k = v[~hit], w[~hit], doc[~hit], k[~hit]
-            b = (k % np.uint64(buckets)).astype(np.uint64)
-            order = np.argsort(b << np.uint64(48) | v)
-            v, w, doc, b = v[order], w[order], doc[order], b[order]
+            codes, at = ranked.codes(h), at[~hit]
+            v, w, doc, b = codes[at - 1], codes[at], doc[~hit], (k[~hit] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(b << 24 | v)
+            v, w, doc, b, at = v[order], w[order], doc[order], b[order], at[order]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(b)) + 1, [len(b)]]) if len(b) else np.zeros(1, np.int64)
             out = []
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 local, index = np.unique(doc[s:e], return_inverse=True)
-                out.append((int(b[s]), _planes(np.diff(v[s:e], prepend=np.uint64(0)), 6), _planes(w[s:e], 6), _planes(index, 4), _planes(rows[local], 8)))
+                others = [_planes(h[place[s:e][code[s:e] == ranked.OTHER]], 6) for code, place in ((v, at - 1), (w, at))]
+                out.append((int(b[s]), _planes(np.diff(v[s:e], prepend=0), 3), _planes(w[s:e], 3), *others, _planes(index, 4), _planes(rows[local], 8)))
             if out:
-                b, v, w, index, ids = zip(*out, strict=True)
-                yield _batch({"bucket": pa.array(b, pa.int32()), "v": pa.array(v, pa.binary()), "w": pa.array(w, pa.binary()), "doc": pa.array(index, pa.binary()), "ids": pa.array(ids, pa.binary())}, len(b))
+                b, *packed = zip(*out, strict=True)
+                yield _batch({"bucket": pa.array(b, pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip(("v", "w", "v_others", "w_others", "doc", "ids"), packed, strict=True)}}, len(b))
 
     def count_and_join(group: pa.Table) -> pa.Table:
         rows = group.filter(pc.is_valid(group["row"]))
@@ -197,8 +221,9 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, id_col: str = "doc_id", t
             i, back = np.unique(i, return_inverse=True)
             out.append(pa.table({"word": pa.array(i.astype(np.int64)), "times": pa.array(np.bincount(back, n, len(i)).astype(np.int64))}))
         if len(runs):
-            v = np.concatenate([np.cumsum(_from_planes(x, 6), dtype=np.uint64) for x in runs["v"].to_pylist()])
-            w = np.concatenate([_from_planes(x, 6) for x in runs["w"].to_pylist()])
+            read = lambda c, size: [_from_planes(x, size) for x in runs[c].to_pylist()]
+            v = np.concatenate([ranked.hashes(np.cumsum(x).astype(np.int64), o) for x, o in zip(read("v", 3), read("v_others", 6), strict=True)])
+            w = np.concatenate([ranked.hashes(x.astype(np.int64), o) for x, o in zip(read("w", 3), read("w_others", 6), strict=True)])
             ids = [_from_planes(x, 8).astype(np.int64) for x in runs["ids"].to_pylist()]
             doc = np.concatenate([i[_from_planes(x, 4).astype(np.int64)] for i, x in zip(ids, runs["doc"].to_pylist(), strict=True)])
             _, back, n = np.unique(pair_key(v, w), return_inverse=True, return_counts=True)
@@ -229,7 +254,7 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, id_col: str = "doc_id", t
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = np.array([pair_log[np.frombuffer(x, "<u4")].sum() if x else 0.0 for x in batch.column(2).to_pylist()])
+            part = np.array([pair_log[np.cumsum(_from_planes(x, 4).astype(np.int64))].sum() if x else 0.0 for x in batch.column(2).to_pylist()])
             known_first = batch.column(1).to_pylist()
             part -= np.array([0.0 if f is None else log_total for f in known_first])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part)], ["row", "part"])
@@ -246,7 +271,7 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, id_col: str = "doc_id", t
     )
 
 
-_EXPLODED = [("bucket", "int"), ("row", "long"), ("doc_id", "long"), ("n", "long"), ("first", "long"), ("often", "binary"), ("v", "binary"), ("w", "binary"), ("doc", "binary"), ("ids", "binary")]
+_EXPLODED = [("bucket", "int"), ("row", "long"), ("doc_id", "long"), ("n", "long"), ("first", "long"), ("often", "binary"), ("v", "binary"), ("w", "binary"), ("v_others", "binary"), ("w_others", "binary"), ("doc", "binary"), ("ids", "binary")]
 
 
 def _batch(columns: dict, n: int) -> pa.RecordBatch:
