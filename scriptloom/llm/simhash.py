@@ -14,6 +14,10 @@ Plan, all of it over whole texts and all rows:
 5. Each shard continues the tree in memory down to small leaves and compares inside them. It returns links of each
    fingerprint to the root of its set, not pairs: at most one row for each row it got.
 6. Connected components over those links.
+
+Where a candidate only becomes a link by a comparison of texts (``similar_documents``), no set may be formed from unproven
+pairs. There step 5 runs twice: first for the nearest partner of each row, whose proven links join most of each group, then
+for every pair whose two rows are still in different components. A pair is left out only if its rows are joined already.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ SAMPLE_ROWS = 1 << 16
 MAX_DEPTH = 14
 #: Shards are split in memory down to this many rows.
 LEAF_ROWS = 512
+#: Candidate pairs are compared in this number of tiles, squared.
+TILES = 64
 #: Shingles whose bits are counted at once; below 2**24, float32 counts are exact.
 COUNT_ROWS = 1 << 15
 
@@ -136,17 +142,25 @@ def _block(fps: np.ndarray, block: int, bits: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, search: Search = EXACT_64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id long, fp binary`` for each row: the words of the fingerprint, big-endian. Null text counts as empty."""
+    """``doc_id long, fp binary, digest binary`` for each row: the words of the fingerprint, big-endian, and 128 bits that
+    stand for the shingles it was made from. Null text counts as empty."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         for batch in batches:
-            rows = [fingerprint(shingle_hashes(t.as_py(), search.width, search.distinct), search.n64) for t in batch.column(1)]
+            rows, digests = [], []
+            for t in batch.column(1):
+                hashes = shingle_hashes(t.as_py(), search.width, search.distinct)
+                rows.append(fingerprint(hashes, search.n64))
+                digests.append(xxh3_128_digest(hashes.tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_pack(np.array(rows)), pa.binary())], ["doc_id", "fp"])
+                columns = [batch.column(0), pa.array(_pack(np.array(rows)), pa.binary()), pa.array(digests, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "digest"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp binary")
+    return source.mapInArrow(run, "doc_id long, fp binary, digest binary")
 
 
 class Tree:
@@ -202,8 +216,9 @@ def choose(part: np.ndarray, bits: int, radius: int, rng: np.random.Generator, t
 class _Links:
     """Links found in one shard, folded into sets as they come; or the nearest lower partner of each row."""
 
-    def __init__(self, n: int, nearest: bool, close: int = -1) -> None:
-        self.root, self.nearest, self.close = np.arange(n), nearest, close
+    def __init__(self, home: np.ndarray, nearest: bool, close: int = -1) -> None:
+        n = len(home)
+        self.root, self.nearest, self.close, self.visitor = np.arange(n), nearest, close, ~home
         self.best = np.full(n, np.iinfo(np.int64).max)
 
     def undecided(self, q: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -240,29 +255,9 @@ class _Links:
         return row, self.root[row]
 
 
-def link_shard(fps: np.ndarray, values: np.ndarray, home: np.ndarray, search: Search, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the home rows of a shard and from its visitors to them; rows stand in order of their ids."""
-    links, rng = _Links(len(fps), nearest, search.close_bits), np.random.default_rng(42)
-    short = values.astype(f"u{max(1, search.block_bits // 8)}")  # pairs are compared by block first
-
-    def compare(q: np.ndarray, h: np.ndarray) -> None:
-        for at in range(0, len(h), 4 * LEAF_ROWS):
-            others = h[at : at + 4 * LEAF_ROWS]
-            for start in range(0, len(q), 1024):
-                part = links.undecided(q[start : start + 1024], others)
-                if not len(part):
-                    continue
-                i, j = np.nonzero(np.bitwise_count(short[part][:, None] ^ short[others][None, :]) <= search.radius)
-                i, j = part[i], others[j]
-                d = np.zeros(len(i), np.int64)
-                for k in range(search.n64):
-                    d = d + np.bitwise_count(fps[i, k] ^ fps[j, k])
-                    ok = d <= search.max_bits
-                    i, j, d = i[ok], j[ok], d[ok]
-                ok = i != j
-                links.add(i[ok], j[ok], d[ok])
-
-    stack = [(np.arange(len(fps)), np.flatnonzero(home))]
+def _leaves(values: np.ndarray, home: np.ndarray, search: Search) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The leaves of a shard's tree: rows that ask and the home rows that they are compared with."""
+    rng, stack = np.random.default_rng(42), [(np.arange(len(values)), np.flatnonzero(home))]
     while stack:
         q, h = stack.pop()
         if not len(q) or not len(h):
@@ -274,16 +269,63 @@ def link_shard(fps: np.ndarray, values: np.ndarray, home: np.ndarray, search: Se
                 stack.append((q[dq - search.radius <= cut], h[near]))
                 stack.append((q[dq + search.radius > cut], h[~near]))
                 continue
-        compare(q, h)
-    return links.pairs()
+        yield q, h
 
 
-def candidate_links(reps: DataFrame, search: Search, nearest: bool = False) -> DataFrame:
-    """``a long, b long`` with a > b: links between the rows of ``rep long, fp binary``, whose fingerprints differ.
+def _compare(fps: np.ndarray, values: np.ndarray, q: np.ndarray, h: np.ndarray, search: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of ``q`` and ``h`` within the radius in the block and ``max_bits`` in all, and their distances."""
+    i, j = np.nonzero(np.bitwise_count(values[q][:, None] ^ values[h][None, :]) <= search.radius)
+    i, j = q[i], h[j]
+    d = np.zeros(len(i), np.int64)
+    for k in range(search.n64):
+        d = d + np.bitwise_count(fps[i, k] ^ fps[j, k])
+        ok = d <= search.max_bits
+        i, j, d = i[ok], j[ok], d[ok]
+    ok = i != j
+    return i[ok], j[ok], d[ok]
 
-    ``nearest`` false: a spanning forest of all pairs within ``max_bits`` that share a shard, which leaves connected
-    components as they are. ``nearest`` true: for each row and shard, the nearest of the partners with a smaller id.
-    """
+
+def link_shard(fps: np.ndarray, values: np.ndarray, home: np.ndarray, search: Search, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the home rows of a shard and from its visitors to them; rows stand in order of their ids."""
+    links = _Links(home, nearest, search.close_bits)
+    short = values.astype(f"u{max(1, search.block_bits // 8)}")  # pairs are compared by block first
+    for q, h in _leaves(values, home, search):
+        for at in range(0, len(h), 4 * LEAF_ROWS):
+            others = h[at : at + 4 * LEAF_ROWS]
+            for start in range(0, len(q), 1024):
+                part = links.undecided(q[start : start + 1024], others)
+                if len(part):
+                    links.add(*_compare(fps, short, part, others, search))
+    return links.pairs()
+
+
+def separate_shard(fps: np.ndarray, block: int, home: np.ndarray, label: np.ndarray, search: Search) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a shard whose labels differ, as they are found. A pair that meets in several blocks is given in the first."""
+    values = _block(fps, block, search.block_bits)
+    short = values.astype(f"u{max(1, search.block_bits // 8)}")
+    for q, h in _leaves(values, home, search):
+        h = h[np.argsort(label[h], kind="stable")]  # then most of a large component fills chunks that its rows can skip
+        for at in range(0, len(h), 4 * LEAF_ROWS):
+            others = h[at : at + 4 * LEAF_ROWS]
+            one = label[others[0]] == label[others[-1]]
+            for start in range(0, len(q), 1024):
+                part = q[start : start + 1024]
+                if one:
+                    part = part[label[part] != label[others[0]]]
+                if not len(part):
+                    continue
+                i, j, _ = _compare(fps, short, part, others, search)
+                ok = (label[i] != label[j]) & ((i > j) | ~home[i])  # two home rows meet twice
+                i, j = i[ok], j[ok]
+                for k in range(block):
+                    ok = np.bitwise_count(_block(fps[i], k, search.block_bits) ^ _block(fps[j], k, search.block_bits)) > search.radius
+                    i, j = i[ok], j[ok]
+                if len(i):
+                    yield np.maximum(i, j), np.minimum(i, j)
+
+
+def _routed(reps: DataFrame, search: Search) -> DataFrame:
+    """Copies of ``rep long, fp binary, label long`` for each block and shard that the row belongs to or visits."""
     n = reps.count()
     depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(1, n) / search.shard_rows)))))
     sample = reps.select("fp").orderBy(F.xxhash64("fp")).limit(min(SAMPLE_ROWS, 256 << depth)).collect() if depth else []
@@ -299,10 +341,21 @@ def candidate_links(reps: DataFrame, search: Search, nearest: bool = False) -> D
                 row, leaf, home = tree.shards(_block(fps, k, search.block_bits))
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(row), k, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(home), batch.column(0).take(at), batch.column(1).take(at)],
-                    ["block", "shard", "home", "rep", "fp"],
+                    [pa.array(np.full(len(row), k, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(home), *(c.take(at) for c in batch.columns)],
+                    ["block", "shard", "home", *batch.schema.names],
                 )
 
+    return reps.mapInArrow(route, "block int, shard int, home boolean, " + ", ".join(f"{c} {t}" for c, t in reps.dtypes))
+
+
+def candidate_links(reps: DataFrame, search: Search, nearest: bool = False) -> DataFrame:
+    """``a long, b long`` with a > b: links between the rows of ``rep long, fp binary``.
+
+    ``nearest`` false: a spanning forest of all pairs within ``max_bits`` that share a shard, which leaves connected
+    components as they are. ``nearest`` true: for each row and shard, the nearest of the partners with a smaller id, or
+    one within ``close_bits``.
+    """
+
     def link(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
         fps, block = _unpack(table["fp"], search.n64), table["block"][0].as_py()
@@ -310,8 +363,21 @@ def candidate_links(reps: DataFrame, search: Search, nearest: bool = False) -> D
         a, b = link_shard(fps, _block(fps, block, search.block_bits), home, search, nearest)
         return pa.table({"a": pa.array(rep[a], pa.int64()), "b": pa.array(rep[b], pa.int64())})
 
-    routed = reps.select("rep", "fp").mapInArrow(route, "block int, shard int, home boolean, rep long, fp binary")
-    return routed.groupBy("block", "shard").applyInArrow(link, "a long, b long").distinct()
+    return _routed(reps.select("rep", "fp"), search).groupBy("block", "shard").applyInArrow(link, "a long, b long").distinct()
+
+
+def separate_pairs(reps: DataFrame, search: Search) -> DataFrame:
+    """``a long, b long`` with a > b: every pair of ``rep long, fp binary, label long`` that the search finds and whose labels
+    differ, once. A shard's pairs are returned as they are found and never held together."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).sort_by("rep")
+        fps, block = _unpack(table["fp"], search.n64), table["block"][0].as_py()
+        rep, home, label = table["rep"].to_numpy(), table["home"].to_numpy(zero_copy_only=False), table["label"].to_numpy()
+        for a, b in separate_shard(fps, block, home, label, search):
+            yield pa.RecordBatch.from_arrays([pa.array(rep[a], pa.int64()), pa.array(rep[b], pa.int64())], ["a", "b"])
+
+    return _routed(reps.select("rep", "fp", "label"), search).groupBy("block", "shard").applyInArrow(pairs, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, search: Search = EXACT_64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,7 +390,7 @@ def near_duplicates(docs: DataFrame, search: Search = EXACT_64, id_col: str = "d
     """
     if not search.exact:
         raise ValueError("this search can miss pairs: use similar_documents")
-    fps = materialise(fingerprints(docs, search, id_col, text_col), "fingerprints")
+    fps = materialise(fingerprints(docs, search, id_col, text_col).drop("digest"), "fingerprints")
     reps = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     reps = materialise(reps, "representatives")
     merged = components(candidate_links(reps, search), "a", "b")
@@ -334,9 +400,8 @@ def near_duplicates(docs: DataFrame, search: Search = EXACT_64, id_col: str = "d
     )
 
 
-def jaccard(a: str | None, b: str | None, width: int) -> float:
-    """Jaccard similarity of the shingle sets of two texts; 1 if neither has a word."""
-    x, y = shingle_hashes(a, width, True), shingle_hashes(b, width, True)
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sets of shingles; 1 if neither has one."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
@@ -345,31 +410,57 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, search: Search =
     """``doc_id long, component_id long`` for each document with a near duplicate.
 
     Candidates come from the fingerprints; a link holds only if the Jaccard similarity of the two sets of
-    ``search.width``-word shingles, computed over the whole texts, is at least ``similarity``. Of a document's
-    candidates in a shard the nearest with a smaller id is compared, so the comparisons grow with the documents, not
-    with the square of a group. Documents with a null id have no duplicates; rows sharing an id are one document.
+    ``search.width``-word shingles, computed over the whole texts, is at least ``similarity``. Every candidate pair is
+    compared unless its documents are in one component already: first each row's nearest, then all that are still
+    apart. So the comparisons grow with the documents and with the pairs of near misses. Documents with a null id have no
+    duplicates; rows sharing an id are one document.
     """
     bounded_batches(docs.sparkSession)
     fps = materialise(fingerprints(docs, search, id_col, text_col), "fingerprints").where("doc_id is not null")
-    reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
-    equal = fps.join(reps, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = materialise(equal.unionByName(candidate_links(reps, search, nearest=True)).distinct(), "candidates")
+    # one row for equal sets of shingles only: equal fingerprints of different sets are candidates like any others
+    reps = materialise(fps.groupBy("fp", "digest").agg(F.min("doc_id").alias("rep")), "representatives")
+    equal = fps.join(reps, ["fp", "digest"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    wanted = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    links = materialise(equal.unionByName(candidate_links(reps, search, nearest=True)).distinct(), "candidates")
+    joined = components(proven_pairs(links, texts, similarity, search.width), "a", "b")
+    joined = materialise(joined, "joined")
+    named = reps.join(joined.hint("merge"), reps.rep == joined.node, "left")
+    named = materialise(named.select("rep", "fp", F.coalesce("component", "rep").alias("label")), "labelled")
+    apart = separate_pairs(named, search).where("a <> b")
+    apart = materialise(apart.join(links.hint("merge"), ["a", "b"], "left_anti"), "apart")
+    more = proven_pairs(apart, texts, similarity, search.width)
+    merged = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
+    return merged.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def proven_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Those of ``a long, b long`` whose texts in ``doc_id long, text string`` have shingle sets at least so similar.
+
+    Pairs are dealt to ``TILES`` squared tiles by the hashes of both ids. A text goes once to each tile that has a pair of
+    it, at most ``2 * TILES`` times however many pairs it has, and is cut into shingles once there.
+    """
+    tile = lambda c: F.pmod(F.xxhash64(c), F.lit(TILES)).cast("int")
+    tiled = materialise(pairs.select("a", "b", tile("a").alias("i"), tile("b").alias("j")), "tiled")
+    wanted = tiled.select("i", "j", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # candidates only: the texts of documents without one aren't moved any further
     # (merge joins at every size: both sides grow with the corpus, so no plan may count on broadcasting one)
-    texts = materialise(texts.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    left = links.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    some = texts.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    there = wanted.join(some.hint("merge"), "doc_id")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [jaccard(x.as_py(), y.as_py(), search.width) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+    def verify(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        at = {d: k for k, d in enumerate(texts["doc_id"].to_pylist())}
+        column, sets = texts["text"], {}
 
-    proven = both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
-    merged = components(proven, "a", "b")
-    return merged.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+        def shingles(doc: int) -> np.ndarray:
+            if doc not in sets:
+                sets[doc] = shingle_hashes(column[at[doc]].as_py(), width, True)
+            return sets[doc]
+
+        ok = [a in at and b in at and jaccard(shingles(a), shingles(b)) >= similarity for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)]
+        return pairs.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    there = there.select(F.col("i").alias("k"), F.col("j").alias("l"), "doc_id", "text")
+    return tiled.groupBy("i", "j").cogroup(there.groupBy("k", "l")).applyInArrow(verify, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, search: Search = SIMILAR_320, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -132,3 +132,58 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert got == {**{i: 0 for i in range(121)}, 500: 500, 501: 500}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").select(F.count("*")).first()[0] == 0
+
+
+def near_pairs(fps, search):
+    """All pairs that the search should find, higher row first, and all distances, by brute force."""
+    d = sum(np.bitwise_count(fps[:, None, k] ^ fps[None, :, k]).astype(int) for k in range(search.n64))
+    blocks = [s._block(fps, k, search.block_bits) for k in range(search.blocks)]
+    met = np.any([np.bitwise_count(b[:, None] ^ b[None, :]) <= search.radius for b in blocks], axis=0)
+    return np.argwhere(np.tril(met & (d <= search.max_bits), -1)).tolist(), d
+
+
+def test_nearest_and_separate_pairs_over_shards(spark, monkeypatch):
+    """Every row finds its nearest smaller partner, or a close one, in whichever shard they meet; all pairs come once."""
+    search = replace(s.SIMILAR_320, shard_rows=64)
+    monkeypatch.setattr(s, "LEAF_ROWS", 16)
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2**63, (80, 5)).astype(np.uint64)
+    rows = [centres]
+    for _ in range(8):
+        flips = centres.copy()
+        for _ in range(rng.integers(4, 45)):
+            flips[np.arange(80), rng.integers(0, 5, 80)] ^= np.uint64(1) << rng.integers(0, 64, 80).astype(np.uint64)
+        rows.append(flips)
+    fps = rng.permutation(np.unique(np.concatenate(rows), axis=0))
+    df = spark.createDataFrame([(i, bytearray(p), i % 3) for i, p in enumerate(s._pack(fps))], "rep long, fp binary, label long")
+    pairs, d = near_pairs(fps, search)
+    nearest = {}
+    for a, b in pairs:
+        nearest[a] = min(nearest.get(a, 999), d[a, b])
+    found = {}
+    for r in s.candidate_links(df, search, nearest=True).collect():
+        found[r.a] = min(found.get(r.a, 999), d[r.a, r.b])
+    assert found.keys() == nearest.keys()
+    assert all(found[a] == x or found[a] <= search.close_bits for a, x in nearest.items())
+    got = [[r.a, r.b] for r in s.separate_pairs(df, search).collect()]
+    assert sorted(got) == [p for p in pairs if p[0] % 3 != p[1] % 3]
+
+
+def test_bridges_and_a_family_of_near_misses(spark):
+    """No candidate is dropped for a nearer one that fails or is another link: components are those of all candidates."""
+    rng = np.random.default_rng(5)
+    docs = []
+    for size, edits in [(3, 3)] * 60 + [(120, 3)]:
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 140)]
+        for _ in range(size):
+            text = list(base)
+            for at in rng.integers(0, len(text), edits):
+                text[at] = f"v{rng.integers(0, 10**6)}"
+            docs.append(" ".join(text))
+    docs = [docs[i] for i in rng.permutation(len(docs))]
+    sets = [s.shingle_hashes(t, 5, True) for t in docs]
+    pairs, _ = near_pairs(np.array([s.fingerprint(x, 5) for x in sets]), s.SIMILAR_320)
+    expected = closure(range(len(docs)), [(a, b) for a, b in pairs if s.jaccard(sets[a], sets[b]) >= 0.8])
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in s.similar_documents(df).collect()}
+    assert {i: got.get(i, i) for i in expected} == expected
