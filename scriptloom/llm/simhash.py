@@ -225,9 +225,12 @@ class _Links:
         """The rows of ``q`` about which a comparison with ``h`` can still say something new.
 
         If ``h`` is one set already, its members needn't meet again; that keeps a dense group from costing its square.
+        A row that is near enough to a partner asks for none, but a visitor must still be found by the rows of ``h`` above
+        it: it is never in ``h`` itself.
         """
         if self.nearest:
-            return q[self.best[q] >= (self.close + 1) << 40]
+            asks = self.best >= (self.close + 1) << 40
+            return q[asks[q] | self.visitor[q] & (q < h[asks[h]].max(initial=-1))]
         roots = self.root[h]
         return q[self.root[q] != roots[0]] if (roots == roots[0]).all() else q
 

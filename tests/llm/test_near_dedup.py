@@ -169,6 +169,28 @@ def test_nearest_and_separate_pairs_over_shards(spark, monkeypatch):
     assert sorted(got) == [p for p in pairs if p[0] % 3 != p[1] % 3]
 
 
+def test_a_visitor_near_enough_to_a_partner_is_still_found(monkeypatch):
+    """Visitors meet the home rows above them as questions only: each home row gets its nearest, or a close one."""
+    monkeypatch.setattr(s, "LEAF_ROWS", 16)
+    rng = np.random.default_rng(4)
+    fps = np.repeat(rng.integers(0, 2**63, (20, 5)).astype(np.uint64), 40, axis=0)
+    for row in fps:
+        for _ in range(rng.integers(0, 25)):
+            row[rng.integers(1, 5)] ^= np.uint64(1) << np.uint64(rng.integers(0, 64))
+        for _ in range(rng.integers(0, 3)):
+            row[0] ^= np.uint64(1) << np.uint64(rng.integers(0, 16))
+    fps = rng.permutation(fps)
+    home, values = rng.random(len(fps)) < 0.5, s._block(fps, 0, 16)
+    d = sum(np.bitwise_count(fps[:, None, k] ^ fps[None, :, k]).astype(int) for k in range(5))
+    met = (np.bitwise_count(values[:, None] ^ values[None, :]) <= 1) & (d <= 84) & (home[:, None] | home[None, :])
+    nearest = np.where(np.tril(met, -1), d, 999).min(1)
+    found = np.full(len(fps), 999)
+    a, b = s.link_shard(fps, values, home, s.SIMILAR_320, True)
+    found[a] = d[a, b]
+    assert met[a, b].all() and (b < a).all()
+    assert ((found == nearest) | (found <= s.SIMILAR_320.close_bits)).all()
+
+
 def test_bridges_and_a_family_of_near_misses(spark):
     """No candidate is dropped for a nearer one that fails or is another link: components are those of all candidates."""
     rng = np.random.default_rng(5)
