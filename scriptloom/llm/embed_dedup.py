@@ -32,11 +32,11 @@ from .simhash import _Links
 SAMPLE_ROWS = 8192
 MAX_PIVOTS = 1024
 CELL_ROWS = 4096
-#: Vectors of a cell's own, and copied to it, that a task gets, about.
-OWN_ROWS = 8192
-COPIED_ROWS = 32768
-#: Single precision is off by less than this for a cosine; nearer values are computed again in double precision.
-SLACK = 1e-4
+#: Bytes of a cell's own vectors, and of those copied to it, that a task gets, about.
+OWN_BYTES = 4 << 20
+COPIED_BYTES = 16 << 20
+#: Vectors of a block at least, however long they are.
+LEAST_ROWS = 64
 #: Rounding of distances, allowed for in bounds.
 EPS = 1e-6
 
@@ -47,6 +47,12 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
+def slack(dim: int) -> float:
+    """By how much a cosine of unit vectors in single precision can be off: the rounding of both vectors and of ``dim``
+    products and sums, each at most 2**-24. Values so near to the threshold are computed again in double precision."""
+    return (2 * dim + 16) * 2.0**-24
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, dtype: str = "<f8") -> np.ndarray:
     raw = column.to_pylist()
     return np.frombuffer(b"".join(raw), dtype).reshape(len(raw), -1) if raw else np.empty((0, 1))
@@ -97,13 +103,13 @@ def join_blocks(units: np.ndarray, copies: np.ndarray, first: np.ndarray, alone:
     The rows of the ``first`` block are compared with the others or, where the block is ``alone``, with each other.
     """
     small = units.astype(np.float32)
-    links, counts, h = _Links(len(units), False), np.zeros(len(units), np.int64), np.flatnonzero(first)
+    links, counts, h = _Links(np.ones(len(units), bool), False), np.zeros(len(units), np.int64), np.flatnonzero(first)
     rows = h if alone else np.flatnonzero(~first)
     step = max(1, (1 << 22) // max(1, len(h)))
     for at in range(0, len(rows), step):
         part = rows[at : at + step]
         others = h[at:] if alone else h
-        i, j = np.nonzero(small[part] @ small[others].T >= threshold - SLACK)
+        i, j = np.nonzero(small[part] @ small[others].T >= threshold - slack(units.shape[1]))
         i, j = part[i], others[j]
         if alone:
             once = i < j
@@ -122,34 +128,41 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     """One row for each vector: ``vec_id long, n_links long, component_id long, kept boolean``.
 
     Vectors of the same dimension link at a cosine of ``threshold`` or more in double precision. ``n_links`` counts the other
-    vectors linked directly, exact copies included; ``component_id`` is the smallest id reachable. Vectors that are null,
-    empty or zero, or hold null or non-finite components, link with nothing. Rows that repeat an id are one vector, the
-    one whose bytes sort first. Rows with a null id are left out of the links and returned each, with no links, a null
-    component, and kept. An empty table gives an empty result. Other columns are ignored.
+    rows whose vectors are linked directly, exact copies included; ``component_id`` is the smallest id reachable. Vectors that
+    are null, empty or zero, or hold null or non-finite components, link with nothing and are their own component. Rows that
+    repeat an id are vectors of their own and one node of the graph: what is linked to one of them is reachable from all, and
+    they count as linked only where their vectors are. Rows with a null id are left out of the links and returned each, with
+    no links and, as nothing can name them, null for component and ``kept``. An empty table gives an empty result. Other
+    columns are ignored. Ids are numbers or numeric texts.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
     units = materialise(unit_vectors(vectors, id_col, vector_col), "units")
-    named = units.where("vec_id is not null").groupBy("vec_id").agg(F.min("unit").alias("unit"))
-    named = materialise(named, "named")
-    usable = named.where("unit is not null")
-    reps = materialise(usable.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "representatives")
+    usable = units.where("vec_id is not null and unit is not null")
+    reps = usable.groupBy("unit").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    reps = materialise(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
     reps = reps.withColumn("dim", (F.length("unit") / 8).cast("int"))
     counted, links = None, None
     for (dim, n) in [(r["dim"], r["n"]) for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()]:
         cells = _cells(reps.where(F.col("dim") == dim), n, threshold)
         c, e = cells.where("root is null").select("rep", "links"), cells.where("root is not null").select("rep", "root")
         counted, links = (c, e) if counted is None else (counted.unionByName(c), links.unionByName(e))
-    alone = units.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    unusable = named.where("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    nothing = F.lit(0).cast("long").alias("n_links")
+    single = units.where("vec_id is null or unit is null").select("vec_id", nothing, F.col("vec_id").alias("component_id"))
     if counted is None:
-        return unusable.unionByName(alone)
-    merged = components(links, "rep", "root")
+        return single.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    rows = materialise(usable.join(reps.select("unit", "rep"), "unit").select("vec_id", "rep"), "rows")
+    # ids that stand at more than one vector join them
+    shared = rows.groupBy("vec_id").agg(F.min("rep").alias("root"), F.max("rep").alias("last")).where("root < last")
+    shared = rows.join(shared, "vec_id").where("rep > root").select("rep", "root")
+    merged = components(links.unionByName(shared), "rep", "root")
     sums = counted.groupBy("rep").agg(F.sum("links").alias("links"))
-    found = reps.join(sums, "rep", "left").join(merged, reps.rep == merged.node, "left")
-    found = found.select("unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = usable.join(found, "unit").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return linked.unionByName(unusable).unionByName(alone)
+    found = reps.select("rep", "low", "copies").join(sums, "rep", "left").join(merged, F.col("rep") == F.col("node"), "left").drop("node")
+    found = found.withColumn("component", F.coalesce("component", "rep"))
+    lows = found.groupBy("component").agg(F.min("low").alias("component_id"))
+    found = found.join(lows, "component").select("rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    linked = rows.join(found, "rep").select("vec_id", "n_links", "component_id")
+    return linked.unionByName(single).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 def _cells(reps: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -158,6 +171,8 @@ def _cells(reps: DataFrame, n: int, threshold: float) -> DataFrame:
     k = int(min(MAX_PIVOTS, max(1, -(-n // CELL_ROWS))))
     sample = reps.select("unit").orderBy(F.xxhash64("unit")).limit(SAMPLE_ROWS).collect()
     pivots = choose_pivots(np.frombuffer(b"".join(bytes(r["unit"]) for r in sample), "<f8").reshape(len(sample), -1), k)
+    row_bytes = 8 * pivots.shape[1]
+    own_rows, copied_rows = max(LEAST_ROWS, OWN_BYTES // row_bytes), max(LEAST_ROWS, COPIED_BYTES // row_bytes)
     apart = distances(pivots, pivots)
     np.fill_diagonal(apart, np.inf)
 
@@ -183,7 +198,7 @@ def _cells(reps: DataFrame, n: int, threshold: float) -> DataFrame:
     sizes = reps.select("unit").mapInArrow(survey, "cell int, far double, mine long, copied long")
     for r in sizes.groupBy("cell").agg(F.max("far").alias("far"), F.sum("mine").alias("mine"), F.sum("copied").alias("copied")).collect():
         reach[r["cell"]] = r["far"]
-        own_blocks[r["cell"]], copied_blocks[r["cell"]] = max(1, -(-r["mine"] // OWN_ROWS)), -(-r["copied"] // COPIED_ROWS)
+        own_blocks[r["cell"]], copied_blocks[r["cell"]] = max(1, -(-r["mine"] // own_rows)), -(-r["copied"] // copied_rows)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
