@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _DIR_CONF = "spark.checkpoint.dir"
 
@@ -59,3 +60,25 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: Positions of a bitmap of keys: 2**26 bits are 8 MB.
+BITMAP_BITS = 1 << 26
+
+
+def maybe_in(df: DataFrame, keys: list[Column], table: DataFrame, table_keys: list[Column], name: str) -> DataFrame:
+    """``df`` and a boolean ``name``: false only where no row of ``table`` has the row's keys.
+
+    ``table``'s keys are hashed into a bitmap of fixed size, at most ``BITMAP_BITS / 32768`` rows of 4096 bytes, which is
+    broadcast: so rows that can't find a partner are told apart before anything moves. A bit set for another key's sake is
+    a false alarm; with far more than ``BITMAP_BITS`` keys nearly all rows get one.
+    """
+    at, bucket, bits = fresh(df, "_bitmap_at"), fresh(df, "_bitmap_bucket"), fresh(df, "_bitmap")
+    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(BITMAP_BITS)) + 1
+    there = place(table_keys)
+    bitmaps = table.groupBy(F.bitmap_bucket_number(there).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(there)).alias(bits))
+    marked = df.withColumn(at, place(keys)).withColumn(bucket, F.bitmap_bucket_number(F.col(at)))
+    bit = F.bitmap_bit_position(F.col(at))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0
+    return marked.join(F.broadcast(bitmaps), bucket, "left").withColumn(name, F.coalesce(found, F.lit(False))).drop(at, bucket, bits)

@@ -6,10 +6,8 @@ windows overlap, so a longer passage is covered by several of them: the lines to
 positions. Counting is a partial aggregate over window hashes; the join back to the occurrences moves only hashes and
 positions, and adaptive execution splits a hot hash there.
 
-Only texts that lose lines have to meet their removed positions. Which ones do is told by a bitmap of fixed size (``_filter``,
-8 MB at most), broadcast to the scan: a text whose bit isn't set has nothing to lose and doesn't move. A bit that is set for
-another text's sake costs a move and changes nothing; with far more than 2**26 such texts the bitmap fills up and all texts
-move once.
+Only texts that lose lines have to meet their removed positions. A bitmap of fixed size tells the scan which may
+(:func:`maybe_in`); all others are written as they are. With far more than 2**26 texts that lose lines, all move once.
 """
 
 from __future__ import annotations
@@ -17,11 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import fresh, materialise
+from ._spark import fresh, materialise, maybe_in
 
 WINDOW_LINES = 3
-#: Positions of the bitmap of texts that lose lines: 2**26 bits are 8 MB.
-FILTER_BITS = 1 << 26
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -52,24 +48,6 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return covered.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("removed"))
 
 
-def _position(doc: Column, text_hash: Column) -> Column:
-    """The place of a text in the bitmap, from 1."""
-    return F.pmod(F.xxhash64(doc, text_hash), F.lit(FILTER_BITS)) + 1
-
-
-def _filter(removed: DataFrame, bucket: str, bitmap: str) -> DataFrame:
-    """``bucket, bitmap``: the bits of all texts in ``removed``, at most ``FILTER_BITS / 32768`` rows of 4096 bytes."""
-    at = _position(F.col("doc_id"), F.col("text_hash"))
-    return removed.groupBy(F.bitmap_bucket_number(at).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bitmap))
-
-
-def _bit(bitmap: Column, at: Column) -> Column:
-    """Whether the bit of a position is set; false without a bitmap."""
-    bit = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0, F.lit(False))
-
-
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text cleaned, and ``n_lines int, n_removed int`` (suffixed with ``_`` where the names are taken).
 
@@ -80,13 +58,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     still stands earlier in the corpus.
     """
     removed = materialise(repeated_lines(docs, id_col, text_col), "removed")
-    doc, text_hash, gone, bucket, bitmap, loses, parts = (fresh(docs, n) for n in ("_doc", "_text_hash", "_removed", "_bucket", "_bitmap", "_loses", "_lines"))
+    doc, text_hash, gone, loses, parts = (fresh(docs, n) for n in ("_doc", "_text_hash", "_removed", "_loses", "_lines"))
     text = F.col(text_col).cast("string")
     source = docs.withColumn(doc, F.col(id_col).cast("long")).withColumn(text_hash, F.xxhash64(F.coalesce(text, F.lit(""))))
-    at = _position(F.col(doc), F.col(text_hash))
-    # bounded whatever the input: see _filter
-    bits = F.broadcast(_filter(removed, bucket, bitmap))
-    source = source.withColumn(bucket, F.bitmap_bucket_number(at)).join(bits, bucket, "left").withColumn(loses, _bit(F.col(bitmap), at))
+    source = maybe_in(source, [F.col(doc), F.col(text_hash)], removed, [F.col("doc_id"), F.col("text_hash")], loses)
     removed = removed.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), F.col("removed").alias(gone))
     # the lines are cut before the join, once a text: inside a lambda they would be cut again for each position
     lines, others = F.split(text, "\n", -1), source.where(~F.col(loses))
