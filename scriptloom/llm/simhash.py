@@ -11,6 +11,8 @@ Plan, all of it over whole texts and all rows:
 4. The top of each tree is built on the driver from a bounded sample; its leaves are shards. Every fingerprint goes to
    its home shard and, where the triangle inequality can't rule out a partner behind a boundary, to the overlapping
    shards with a higher number, so each pair meets exactly once.
+   A shard that is larger than a task may hold (fingerprints that share a block value can't be split by any tree of that
+   block) is dealt into tiles by hash, and each pair of tiles is a task.
 5. Each shard continues the tree in memory down to small leaves and compares inside them. It returns links of each
    fingerprint to the root of its set, not pairs: at most one row for each row it got.
 6. Connected components over those links.
@@ -32,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._spark import bounded_batches, materialise
+from ._spark import bounded_batches, discard, fresh, materialise, maybe_in
 
 #: Rows of the sample that the top of a tree is built from, at most, and the deepest that it gets (16384 shards a block).
 SAMPLE_ROWS = 1 << 16
 MAX_DEPTH = 14
+#: Fingerprints that a task gets of one shard, at most about; a larger shard is compared in pairs of tiles.
+TASK_ROWS = 1 << 20
 #: Shards are split in memory down to this many rows.
 LEAF_ROWS = 512
 #: Candidate pairs are compared in this number of tiles, squared.
@@ -101,6 +105,7 @@ class Search:
     radius: int = 1
     #: Own rows of a shard, about. Copies across boundaries grow with the depth, so long fingerprints get large shards.
     shard_rows: int = 1 << 16
+    task_rows: int = TASK_ROWS
     #: Where only the nearest partner is asked for, one within so many bits is near enough.
     close_bits: int = 0
 
@@ -142,8 +147,8 @@ def _block(fps: np.ndarray, block: int, bits: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, search: Search = EXACT_64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id long, fp binary, digest binary`` for each row: the words of the fingerprint, big-endian, and 128 bits that
-    stand for the shingles it was made from. Null text counts as empty."""
+    """``doc_id long, text_hash long, fp binary, digest binary`` for each row: the hash of the text as it is, the words of the
+    fingerprint, big-endian, and 128 bits that stand for the shingles it was made from. Null text counts as empty."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,16 +156,21 @@ def fingerprints(docs: DataFrame, search: Search = EXACT_64, id_col: str = "doc_
 
         for batch in batches:
             rows, digests = [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 hashes = shingle_hashes(t.as_py(), search.width, search.distinct)
                 rows.append(fingerprint(hashes, search.n64))
                 digests.append(xxh3_128_digest(hashes.tobytes()))
             if rows:
-                columns = [batch.column(0), pa.array(_pack(np.array(rows)), pa.binary()), pa.array(digests, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "digest"])
+                columns = [batch.column(0), batch.column(1), pa.array(_pack(np.array(rows)), pa.binary()), pa.array(digests, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "digest"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp binary, digest binary")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, fp binary, digest binary")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text_hash, text``: id and hash name a document, also where an id repeats with another text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 class Tree:
@@ -328,27 +338,54 @@ def separate_shard(fps: np.ndarray, block: int, home: np.ndarray, label: np.ndar
 
 
 def _routed(reps: DataFrame, search: Search) -> DataFrame:
-    """Copies of ``rep long, fp binary, label long`` for each block and shard that the row belongs to or visits."""
+    """Copies of ``rep long, fp binary, label long`` for each block and shard that the row belongs to or visits.
+
+    ``i`` and ``j`` name the pair of tiles of the shard that a copy is for, ``tile`` its own; both are 0 in a shard that one
+    task can hold.
+    """
     n = reps.count()
     depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(1, n) / search.shard_rows)))))
     sample = reps.select("fp").orderBy(F.xxhash64("fp")).limit(min(SAMPLE_ROWS, 256 << depth)).collect() if depth else []
     sample = np.frombuffer(b"".join(bytes(r.fp) for r in sample), ">u8").astype(np.uint64).reshape(-1, search.n64)
     trees = [Tree(depth, search.block_bits, _block(sample, k, search.block_bits), search.radius) for k in range(search.blocks)]
 
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((search.blocks, 1 << depth), np.int64)
+        for batch in batches:
+            fps = _unpack(batch.column(0), search.n64)
+            for k, tree in enumerate(trees):
+                counts[k] += np.bincount(tree.shards(_block(fps, k, search.block_bits))[1], minlength=1 << depth)
+        k, shard = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(shard), pa.array(counts[k, shard])], ["block", "shard", "n"])
+
+    # one row for each block and shard at most: blocks * 2**MAX_DEPTH
+    counted = reps.select("fp").mapInArrow(sizes, "block long, shard long, n long").groupBy("block", "shard").agg(F.sum("n").alias("n"))
+    tiles = np.ones((search.blocks, 1 << depth), np.int64)
+    for r in counted.where(F.col("n") > search.task_rows).collect() if n > search.task_rows else []:
+        tiles[r["block"], r["shard"]] = -(-2 * r["n"] // search.task_rows)
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             fps = _unpack(batch.column(1), search.n64)
+            mixed = _remix(np.bitwise_xor.reduce(fps, axis=1), 7) >> np.uint64(33)
             for k, tree in enumerate(trees):
                 row, leaf, home = tree.shards(_block(fps, k, search.block_bits))
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(row), k, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(home), *(c.take(at) for c in batch.columns)],
-                    ["block", "shard", "home", *batch.schema.names],
-                )
+                of = tiles[k, leaf]
+                tile = (mixed[row] % of.astype(np.uint64)).astype(np.int64)
+                for other in range(int(of.max(initial=1))):
+                    here = of > other
+                    low, high = np.minimum(tile[here], other), np.maximum(tile[here], other)
+                    at = pa.array(row[here])
+                    keys = [pa.array(x.astype(np.int32)) for x in (np.full(len(low), k), leaf[here], low, high, tile[here])]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(home[here]), *(c.take(at) for c in batch.columns)], [*_ROUTE, "home", *batch.schema.names])
+
+    return reps.mapInArrow(route, ", ".join([*(f"{c} int" for c in _ROUTE), "home boolean", *(f"{c} {t}" for c, t in reps.dtypes)]))
+
 
-    return reps.mapInArrow(route, "block int, shard int, home boolean, " + ", ".join(f"{c} {t}" for c, t in reps.dtypes))
+_ROUTE = ["block", "shard", "i", "j", "tile"]
+_TASK = ["block", "shard", "i", "j"]
 
 
 def candidate_links(reps: DataFrame, search: Search, nearest: bool = False) -> DataFrame:
@@ -366,7 +403,7 @@ def candidate_links(reps: DataFrame, search: Search, nearest: bool = False) -> D
         a, b = link_shard(fps, _block(fps, block, search.block_bits), home, search, nearest)
         return pa.table({"a": pa.array(rep[a], pa.int64()), "b": pa.array(rep[b], pa.int64())})
 
-    return _routed(reps.select("rep", "fp"), search).groupBy("block", "shard").applyInArrow(link, "a long, b long").distinct()
+    return _routed(reps.select("rep", "fp"), search).groupBy(*_TASK).applyInArrow(link, "a long, b long").distinct()
 
 
 def separate_pairs(reps: DataFrame, search: Search) -> DataFrame:
@@ -377,10 +414,15 @@ def separate_pairs(reps: DataFrame, search: Search) -> DataFrame:
         table = pa.Table.from_batches(list(batches)).sort_by("rep")
         fps, block = _unpack(table["fp"], search.n64), table["block"][0].as_py()
         rep, home, label = table["rep"].to_numpy(), table["home"].to_numpy(zero_copy_only=False), table["label"].to_numpy()
+        tile = table["tile"].to_numpy() if table["i"][0].as_py() != table["j"][0].as_py() else None
         for a, b in separate_shard(fps, block, home, label, search):
-            yield pa.RecordBatch.from_arrays([pa.array(rep[a], pa.int64()), pa.array(rep[b], pa.int64())], ["a", "b"])
+            if tile is not None:  # pairs inside a tile belong to the task of that tile alone
+                across = tile[a] != tile[b]
+                a, b = a[across], b[across]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[a], pa.int64()), pa.array(rep[b], pa.int64())], ["a", "b"])
 
-    return _routed(reps.select("rep", "fp", "label"), search).groupBy("block", "shard").applyInArrow(pairs, "a long, b long")
+    return _routed(reps.select("rep", "fp", "label"), search).groupBy(*_TASK).applyInArrow(pairs, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, search: Search = EXACT_64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -389,14 +431,18 @@ def near_duplicates(docs: DataFrame, search: Search = EXACT_64, id_col: str = "d
     Fingerprints within ``search.max_bits`` are linked; ``component_id`` is the smallest id reachable by links, the
     row's own included. Null or empty text: fingerprint zero, linked like any other. A null id can't be named by a
     component: such rows get their fingerprint, a null component, and link nothing. Rows that repeat an id are returned
-    each. An empty table gives an empty result. Other columns are ignored.
+    each and are one node: whatever is linked to one of their texts is reachable from all, so they share a component. An
+    empty table gives an empty result. Other columns are ignored. Ids are numbers or numeric texts.
     """
     if not search.exact:
         raise ValueError("this search can miss pairs: use similar_documents")
-    fps = materialise(fingerprints(docs, search, id_col, text_col).drop("digest"), "fingerprints")
+    fps = materialise(fingerprints(docs, search, id_col, text_col).select("doc_id", "fp"), "fingerprints")
     reps = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     reps = materialise(reps, "representatives")
-    merged = components(candidate_links(reps, search), "a", "b")
+    # an id that stands at several fingerprints joins them
+    several = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("_low"), F.max("fp").alias("_high")).where("_low <> _high")
+    shared = fps.join(several.select("doc_id"), "doc_id").join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    merged = components(candidate_links(reps, search).unionByName(shared), "a", "b")
     named = reps.join(merged, reps.rep == merged.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp", "left").select(
         "doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
@@ -410,48 +456,63 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, search: Search = SIMILAR_320, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id long, component_id long`` for each document with a near duplicate.
+    """``doc_id long, text_hash long, component_id long, kept boolean`` for each document with a near duplicate.
 
+    A document is an id and a text; ``text_hash`` (XXH64 of the text, null as empty) tells apart texts that share an id.
     Candidates come from the fingerprints; a link holds only if the Jaccard similarity of the two sets of
     ``search.width``-word shingles, computed over the whole texts, is at least ``similarity``. Every candidate pair is
     compared unless its documents are in one component already: first each row's nearest, then all that are still
-    apart. So the comparisons grow with the documents and with the pairs of near misses. Documents with a null id have no
-    duplicates; rows sharing an id are one document.
+    apart. So the comparisons grow with the documents and with the pairs of near misses. ``component_id`` is the smallest id
+    of the component; of each component the document with the smallest (id, hash) is ``kept``. Texts without words are
+    similar to each other. Rows with a null id have no duplicates; rows that repeat id and text are one document. An empty
+    table gives an empty result. Other columns, whatever their names, are ignored. Ids are numbers or numeric texts.
     """
     bounded_batches(docs.sparkSession)
-    fps = materialise(fingerprints(docs, search, id_col, text_col), "fingerprints").where("doc_id is not null")
+    fps = fingerprints(docs, search, id_col, text_col).where("doc_id is not null").dropDuplicates(["doc_id", "text_hash"])
+    fps = materialise(fps.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
     # one row for equal sets of shingles only: equal fingerprints of different sets are candidates like any others
-    reps = materialise(fps.groupBy("fp", "digest").agg(F.min("doc_id").alias("rep")), "representatives")
-    equal = fps.join(reps, ["fp", "digest"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    links = materialise(equal.unionByName(candidate_links(reps, search, nearest=True)).distinct(), "candidates")
-    joined = components(proven_pairs(links, texts, similarity, search.width), "a", "b")
-    joined = materialise(joined, "joined")
+    reps = materialise(fps.groupBy("fp", "digest").agg(F.min("node").alias("rep")), "representatives")
+    equal = fps.join(reps, ["fp", "digest"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    names = fps.select("node", "doc_id", "text_hash")
+    texts = _keyed(docs, id_col, text_col)
+    links = materialise(candidate_links(reps, search, nearest=True), "candidates")
+    proven = proven_pairs(links, names, texts, similarity, search.width)
+    joined = materialise(components(proven.unionByName(equal), "a", "b"), "joined")
     named = reps.join(joined.hint("merge"), reps.rep == joined.node, "left")
     named = materialise(named.select("rep", "fp", F.coalesce("component", "rep").alias("label")), "labelled")
     apart = separate_pairs(named, search).where("a <> b")
     apart = materialise(apart.join(links.hint("merge"), ["a", "b"], "left_anti"), "apart")
-    more = proven_pairs(apart, texts, similarity, search.width)
+    more = proven_pairs(apart, names, texts, similarity, search.width)
     merged = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
-    return merged.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    for done in (reps, links, joined, named, apart):
+        discard(done)
+    merged = merged.join(names, "node")
+    first = merged.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    found = merged.join(first, "component")
+    return found.select("doc_id", "text_hash", F.col("first.doc_id").alias("component_id"), (F.struct("doc_id", "text_hash") == F.col("first")).alias("kept"))
 
 
-def proven_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Those of ``a long, b long`` whose texts in ``doc_id long, text string`` have shingle sets at least so similar.
+def proven_pairs(pairs: DataFrame, names: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Those of ``a long, b long`` whose texts have shingle sets at least so similar.
 
-    Pairs are dealt to ``TILES`` squared tiles by the hashes of both ids. A text goes once to each tile that has a pair of
-    it, at most ``2 * TILES`` times however many pairs it has, and is cut into shingles once there.
+    ``names`` says which ``doc_id, text_hash`` a ``node`` is, ``texts`` has their ``text``. Pairs are dealt to ``TILES`` squared
+    tiles by the hashes of both nodes. A text goes once to each tile that has a pair of it, at most ``2 * TILES`` times
+    however many pairs it has, and is cut into shingles once there.
     """
     tile = lambda c: F.pmod(F.xxhash64(c), F.lit(TILES)).cast("int")
     tiled = materialise(pairs.select("a", "b", tile("a").alias("i"), tile("b").alias("j")), "tiled")
-    wanted = tiled.select("i", "j", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # candidates only: the texts of documents without one aren't moved any further
+    wanted = tiled.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    # candidates only: the texts of documents without one aren't moved
     # (merge joins at every size: both sides grow with the corpus, so no plan may count on broadcasting one)
-    some = texts.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    there = wanted.join(some.hint("merge"), "doc_id")
+    key = ["doc_id", "text_hash"]
+    some = materialise(names.join(wanted.select("node").distinct().hint("merge"), "node"), "wanted")
+    columns = [F.col(c) for c in key]
+    moved = maybe_in(texts, columns, some, columns, "_wanted").where("_wanted").drop("_wanted")
+    moved = moved.join(some.hint("merge"), key).select("node", "text").dropDuplicates(["node"])
+    there = wanted.join(moved.hint("merge"), "node")
 
     def verify(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        at = {d: k for k, d in enumerate(texts["doc_id"].to_pylist())}
+        at = {d: k for k, d in enumerate(texts["node"].to_pylist())}
         column, sets = texts["text"], {}
 
         def shingles(doc: int) -> np.ndarray:
@@ -462,15 +523,20 @@ def proven_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, width: i
         ok = [a in at and b in at and jaccard(shingles(a), shingles(b)) >= similarity for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)]
         return pairs.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    there = there.select(F.col("i").alias("k"), F.col("j").alias("l"), "doc_id", "text")
+    there = there.select(F.col("i").alias("k"), F.col("j").alias("l"), "node", "text")
     return tiled.groupBy("i", "j").cogroup(there.groupBy("k", "l")).applyInArrow(verify, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, search: Search = SIMILAR_320, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that have a near duplicate of smaller id: one of each group stays, unchanged.
+    """``docs`` with one document, unchanged, of each group of :func:`similar_documents`: the one that it calls kept.
 
-    Rows with a null id stay.
+    A text that shares its id with another is judged by itself. Of rows that repeat id and text one stays. Rows with a
+    null id all stay. An empty table gives an empty result; columns of any name stay as they are.
     """
     found = similar_documents(docs, similarity, search, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
+    doc, text_hash, own = (fresh(docs, n) for n in ("_doc", "_text_hash", "_own"))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash))
+    keyed = docs.withColumn(doc, F.col(id_col).cast("long")).withColumn(text_hash, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    keyed = keyed.withColumn(own, F.when(F.col(doc).isNull(), F.monotonically_increasing_id()))
+    # joined and deduplicated by the same keys: the texts move once
+    return keyed.join(gone.hint("merge"), [doc, text_hash], "left_anti").dropDuplicates([doc, text_hash, own]).select(*docs.columns)
