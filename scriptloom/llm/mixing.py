@@ -6,13 +6,14 @@
    what it can't use goes to its siblings, by weight, as far as they have room. A node's capacity is all that its leaves
    can give, so a shortage reaches another branch only when the siblings are exhausted. Sorted by capacity for each unit of
    weight, the children that are filled up are a prefix, so one running sum decides; there is no iteration. All sums are
-   integers.
+   integers; what rounding down leaves over goes, a token each, to the first of the other children by name.
 3. A leaf's budget is whole epochs and a rest. Each epoch has its own seeded order of the leaf's documents; the whole
    epochs take every document, the last one takes documents from the start of its order while their running sum of tokens
    stays within the rest.
 
-The running sum of a leaf of any size is cut into 4096 buckets of its order: bucket totals are summed, and only the one
-bucket where the rest runs out is ordered document by document.
+A leaf of any size is many tasks' work: documents meet their leaf's budget by (leaf, share of ids), of which there are
+``SALT``; its order is cut into 4096 buckets, whose totals decide which are taken whole; documents meet that decision by
+(leaf, bucket), and only the one bucket where the rest runs out is ordered document by document.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from ._rank import bucket_offsets, hashed_bucket, hashed_order
 from ._spark import fresh, materialise
 
+#: Shares of a leaf's documents that meet its budget in tasks of their own.
+SALT = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -74,7 +77,13 @@ def allocate(nodes: DataFrame, parent: list[str], name: str, mix: Mix) -> DataFr
         .withColumn("w_rest", F.sum(F.when(F.col("full"), 0).otherwise(F.col("w"))).over(siblings))
     )
     share = F.when(F.col("w_rest") > 0, F.expr("(rest * w) div w_rest")).otherwise(0)
-    return nodes.withColumn("budget", F.when(F.col("full"), big).otherwise(share).cast("long")).drop("w", "left", "w_left", "full", "rest", "w_rest")
+    open_ = ~F.col("full") & (F.col("w") > 0)
+    nodes = nodes.withColumn("share", F.when(F.col("full"), big).otherwise(share).cast("decimal(38,0)"))
+    # an open child has room for a token more than its share rounded down
+    by_name = siblings.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
+    nodes = nodes.withColumn("spare", F.col("parent_budget") - F.sum("share").over(siblings)).withColumn("place", F.sum(F.when(open_, 1).otherwise(0)).over(by_name))
+    budget = F.col("share") + F.when(open_ & (F.col("place") <= F.col("spare")), 1).otherwise(0)
+    return nodes.withColumn("budget", budget.cast("long")).drop("w", "left", "w_left", "full", "rest", "w_rest", "share", "spare", "place")
 
 
 def leaf_budgets(docs: DataFrame, mix: Mix) -> DataFrame:
@@ -122,28 +131,42 @@ def select_mix(docs: DataFrame, mix: Mix, domain: Column, id_col: str = "doc_id"
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("leaf_tokens")),
         "budgets",
     )
-    rows = base.join(budgets, leaf)
+    # a leaf may hold most of the documents: each share of its ids meets a copy of its budget
+    salted = budgets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    rows = base.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(SALT)).cast("int")).join(salted, [*leaf, "salt"]).drop("salt")
     order = hashed_order(F.lit(mix.seed), F.col("epochs"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = materialise(rows.withColumn("order", order).withColumn("bucket", hashed_bucket(F.col("order"))), "ordered")
-    # the last bucket that begins within the rest: those before it are taken whole, those behind it not at all
-    before = bucket_offsets(rows, leaf, "bucket", F.col("tokens"), "before")
-    cut = before.join(budgets.select(*leaf, "rest"), leaf).where("before <= rest")
-    cut = cut.groupBy(*leaf).agg(F.max(F.struct("bucket", "before")).alias("cut"))
-    rows = rows.join(cut, leaf).withColumn("cut_bucket", F.col("cut.bucket")).withColumn("cut_before", F.col("cut.before")).drop("cut")
-    running = Window.partitionBy(*leaf).orderBy("order").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    at_cut = rows.where("bucket = cut_bucket").withColumn("taken", F.col("cut_before") + F.sum("tokens").over(running) <= F.col("rest"))
-    others = rows.where("bucket <> cut_bucket").withColumn("taken", F.col("bucket") < F.col("cut_bucket"))
+    # the last bucket that begins within the rest is cut: those before it are taken whole, those behind it not at all
+    before = bucket_offsets(rows, leaf, "bucket", F.col("tokens"), "before").join(budgets.select(*leaf, "rest"), leaf)
+    last = F.max(F.when(F.col("before") <= F.col("rest"), F.col("bucket"))).over(Window.partitionBy(*leaf))
+    state = F.when(F.col("bucket") < last, 1).when(F.col("bucket") == last, 0).otherwise(-1)
+    states = before.select(*leaf, "bucket", "before", state.alias("state"))
+    rows = rows.join(states, [*leaf, "bucket"])
+    cut = rows.where("state = 0")
+    # documents of one place in the order, such as those that share an id, are one row here
+    places = cut.groupBy(*leaf, "order").agg(F.sum("tokens").alias("tokens"), F.max("before").alias("before"), F.max("rest").alias("rest"))
+    running = Window.partitionBy(*leaf).orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
+    places = places.select(*leaf, "order", (F.col("before") + F.sum("tokens").over(running) <= F.col("rest")).alias("taken"))
+    at_cut = cut.join(places, [*leaf, "order"])
+    others = rows.where("state <> 0").withColumn("taken", F.col("state") > 0)
     copies = F.least(F.col("epochs") + F.when(F.col("taken"), 1).otherwise(0), F.lit(mix.max_epochs)).cast("int")
-    return at_cut.unionByName(others).select("doc_id", *leaf, "tokens", "budget", copies.alias("copies"))
+    return at_cut.select(*others.columns).unionByName(others).select("doc_id", *leaf, "tokens", "budget", copies.alias("copies"))
 
 
 def apply_mix(docs: DataFrame, mix: Mix, domain: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; rows with a null id stay once."""
-    chosen = select_mix(docs, mix, domain, id_col, text_col, lang_col, source_col).where("doc_id is not null")
-    name, times = fresh(docs, "_mix_id"), fresh(docs, "_copies")
-    chosen = chosen.groupBy(F.col("doc_id").alias(name)).agg(F.max("copies").alias(times))
-    joined = docs.withColumn(name, F.col(id_col).cast("long")).join(chosen, name, "left")
-    joined = joined.withColumn(times, F.when(F.col(name).isNull(), 1).otherwise(F.coalesce(times, F.lit(0)))).where(F.col(times) > 0)
+    """``docs`` with each row as often as the mix takes it, rows without an id and rows that share one as well.
+
+    Columns of any name stay as they are. An empty table gives an empty result. Null and empty texts cost nothing and stay
+    or go as :func:`select_mix` says.
+    """
+    chosen = select_mix(docs, mix, domain, id_col, text_col, lang_col, source_col)
+    # an id has one place in its leaf's order, so all its rows there are taken equally often
+    leaf = {"domain": domain, "lang": F.col(lang_col), "source": F.col(source_col)}
+    names = {n: fresh(docs, f"_{n}") for n in (*leaf, "doc_id", "copies")}
+    chosen = chosen.groupBy("doc_id", *leaf).agg(F.max("copies").alias("copies")).withColumnsRenamed(names)
+    joined = docs.withColumns({names[n]: F.coalesce(c.cast("string"), F.lit("")) for n, c in leaf.items()} | {names["doc_id"]: F.col(id_col).cast("long")})
+    same = [joined[names[n]] == chosen[names[n]] for n in leaf]
+    joined = joined.join(chosen, [joined[names["doc_id"]].eqNullSafe(chosen[names["doc_id"]]), *same]).where(F.col(names["copies"]) > 0)
     if mix.max_epochs > 1:
-        joined = joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+        joined = joined.withColumn(names["copies"], F.explode(F.sequence(F.lit(1), F.col(names["copies"]))))
     return joined.select(*docs.columns)

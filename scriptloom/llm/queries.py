@@ -107,19 +107,22 @@ d0 as (select domain, sum(t)::hugeint as t, sum(t)::hugeint * 4 as c from leaves
 d1 as (select domain, c, b, b - coalesce(sum(c) over (order by c, domain rows between unbounded preceding and 1 preceding), 0) as l, count(*) over () - row_number() over (order by c, domain) + 1 as w from d0, root),
 d2 as (select *, c * w <= l as f from d1),
 d3 as (select *, b - sum(case when f then c else 0 end) over () as r, sum(case when f then 0 else 1 end) over () as k from d2),
-d as (select domain, (case when f then c else r // k end)::hugeint as b from d3),
+d4 as (select *, sum(case when f then c else r // k end) over () as used, sum(case when f then 0 else 1 end) over (order by domain) as place, b as pb from d3),
+d as (select domain, (case when f then c else r // k + case when place <= pb - used then 1 else 0 end end)::hugeint as b from d4),
 l0 as (select domain, lang, sum(t)::hugeint as t, sum(t)::hugeint * 4 as c from leaves group by all),
 l1 as (select domain, lang, c, b, b - coalesce(sum(c) over (partition by domain order by c, lang rows between unbounded preceding and 1 preceding), 0) as l,
   count(*) over (partition by domain) - row_number() over (partition by domain order by c, lang) + 1 as w from l0 join d using (domain)),
 l2 as (select *, c * w <= l as f from l1),
 l3 as (select *, b - sum(case when f then c else 0 end) over (partition by domain) as r, sum(case when f then 0 else 1 end) over (partition by domain) as k from l2),
-l as (select domain, lang, (case when f then c else r // k end)::hugeint as b from l3),
+l4 as (select *, sum(case when f then c else r // k end) over (partition by domain) as used, sum(case when f then 0 else 1 end) over (partition by domain order by lang) as place from l3),
+l as (select domain, lang, (case when f then c else r // k + case when place <= b - used then 1 else 0 end end)::hugeint as b from l4),
 s0 as (select domain, lang, source, t::hugeint as t, t::hugeint * 4 as c from leaves),
 s1 as (select domain, lang, source, t, c, b, b - coalesce(sum(c) over (partition by domain, lang order by c, source rows between unbounded preceding and 1 preceding), 0) as l,
   count(*) over (partition by domain, lang) - row_number() over (partition by domain, lang order by c, source) + 1 as w from s0 join l using (domain, lang)),
 s2 as (select *, c * w <= l as f from s1),
 s3 as (select *, b - sum(case when f then c else 0 end) over (partition by domain, lang) as r, sum(case when f then 0 else 1 end) over (partition by domain, lang) as k from s2),
-s as (select domain, lang, source, t, (case when f then c else r // k end)::bigint as budget from s3),
+s4 as (select *, sum(case when f then c else r // k end) over (partition by domain, lang) as used, sum(case when f then 0 else 1 end) over (partition by domain, lang order by source) as place from s3),
+s as (select domain, lang, source, t, (case when f then c else r // k + case when place <= b - used then 1 else 0 end end)::bigint as budget from s4),
 e as (select base.*, budget, case when t > 0 then budget // t else 0 end as epochs, budget - case when t > 0 then (budget // t) * t else 0 end as rest from base join s using (domain, lang, source)),
 o as (select *, md5('42:' || epochs::bigint || ':' || coalesce(doc_id::varchar, '')) as o from e),
 x as (select *, sum(tokens) over (partition by domain, lang, source order by o range between unbounded preceding and current row) as run from o)
