@@ -28,6 +28,20 @@ def test_exact_duplicates(spark, keep):
     assert left.columns == df.columns and Counter((r.text or "") for r in left.collect()) == Counter(dict.fromkeys(groups, 1))
 
 
+def test_runs_meet_in_rounds(spark):
+    """Many runs, wide fans: a group in every run, one in two far runs, and single rows; the plan exchanges places."""
+    from pyspark.sql import functions as F
+
+    assert [e.fan_bits(n) for n in (0, 1, 2, 8, 9, 64, 65, 512, 10**7)] == [1, 1, 1, 1, 2, 2, 3, 3, 6]
+    df = spark.range(0, 600, 1, 40).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id").isin(1, 599), "pair").otherwise(F.col("id").cast("string")).alias("text"))
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in e.exact_duplicates(df).collect()}
+    assert got[0] == (597, 200, False) and got[597] == (597, 200, True) and got[1] == (599, 2, False)
+    assert all(got[i] == (i, 1, True) for i in range(2, 599) if i % 3)
+    rows = df.select("doc_id", *e._key(F.col("text"))).withColumn("row", F.col("doc_id")).withColumn("run", F.spark_partition_id())
+    plan = e._merge(rows, F.max, e.fan_bits(40))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(place") == e.ROUNDS and plan.count("Exchange") == e.ROUNDS + 1
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert e.exact_duplicates(df).count() == 0 and e.drop_exact_duplicates(df).count() == 0
