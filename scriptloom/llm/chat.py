@@ -1,10 +1,11 @@
 """Tool calls of conversations: linked to their results, put in topological order, validated, written as canonical JSON.
 
 Calls and results are hash-joined by (conversation, call id). Dependencies are edges between calls; a call's place is its
-own turn unless a dependency stands later, in which case it moves behind that. Places are settled by rounds of one join
-each that only go on while something moves, so conversations that are in order already cost one round, and no conversation
-is gathered into one task. Positions come from ranks over ranges of turns. Arguments are validated and serialised row by row in
-Arrow batches; JSON is one line for each call, never a whole conversation.
+own turn unless a dependency stands later, in which case it moves behind that. Calls of a conversation, without their texts,
+come to one task sorted by conversation, and are ordered there in one pass over their edges, cycles included. A conversation
+of more than ``GROUP_EDGES`` calls and dependencies isn't gathered: its places are settled by rounds of one join each.
+Positions come from ranks over ranges of turns. Arguments are validated and serialised row by row in Arrow batches; JSON is
+one line for each call, never a whole conversation.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from pyspark.sql import functions as F
 
 from ._rank import ranks
 from ._spark import bounded_batches, discard, materialise
+from .mixing import count_tokens
 
 #: Turns ranked together.
 TURNS = 1024
+#: Calls and dependencies of a conversation that one task orders, at most.
+GROUP_EDGES = 1 << 18
 
 _KINDS = {
     "string": lambda v: isinstance(v, str),
@@ -88,12 +92,77 @@ def check(name: str | None, arguments: str | None, schemas: dict[str, dict]) ->
     return value, violations(value, schemas[name])
 
 
+def topological(calls: list[tuple[str, int, list[str]]]) -> list[tuple[int, int, bool]]:
+    """``place, level, cyclic`` of each ``(call id, turn, needed ids)`` of one conversation; ids don't repeat.
+
+    A call's (place, level) is its own (turn, 0), or just behind the last of its dependencies, (place, level + 1) of that,
+    where this comes later. Calls in a cycle, or behind one, keep their turn and are marked. Unknown ids are ignored.
+    """
+    at = {c: k for k, (c, _, _) in enumerate(calls)}
+    needs = [{at[n] for n in ids or () if n in at} for _, _, ids in calls]
+    found = [(turn, 0, False) for _, turn, _ in calls]
+    if all(calls[n][1] < turn for (_, turn, _), some in zip(calls, needs, strict=True) for n in some):
+        return found
+    behind: list[list[int]] = [[] for _ in calls]
+    for k, some in enumerate(needs):
+        for n in some:
+            behind[n].append(k)
+    open_, ready = [len(some) for some in needs], [k for k, some in enumerate(needs) if not some]
+    while ready:
+        n = ready.pop()
+        for k in behind[n]:
+            found[k] = max(found[k], (found[n][0], found[n][1] + 1, False))
+            open_[k] -= 1
+            if not open_[k]:
+                ready.append(k)
+    return [(turn, 0, True) if left else f for f, left, (_, turn, _) in zip(found, open_, calls, strict=True)]
+
+
+_SETTLED = "conv_id long, call_id string, place long, level int, cyclic boolean"
+
+
+def _settle_groups(calls: DataFrame) -> DataFrame:
+    """Places of conversations that a task can hold, one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settled(conv: int, rows: list) -> list[tuple]:
+            return [(conv, row[0], *place) for row, place in zip(rows, topological(rows), strict=True)]
+
+        def packed(out: list) -> pa.RecordBatch:
+            columns, kinds = list(zip(*out, strict=True)), (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "call_id", "place", "level", "cyclic"])
+
+        now, rows, out = None, [], []
+        for batch in batches:
+            for conv, *row in zip(*(batch[c].to_pylist() for c in ("conv_id", "call_id", "turn", "depends_on")), strict=True):
+                if conv != now:
+                    out += settled(now, rows)
+                    now, rows = conv, []
+                rows.append(tuple(row))
+            if len(out) >= 4096:
+                yield packed(out)
+                out = []
+        if out := out + settled(now, rows):
+            yield packed(out)
+
+    grouped = calls.select("conv_id", "call_id", "turn", "depends_on").repartition("conv_id").sortWithinPartitions("conv_id")
+    return grouped.mapInArrow(run, _SETTLED)
+
+
 def _settle(calls: DataFrame) -> DataFrame:
-    """``conv_id, call_id, place, level, cyclic``: each call's place in topological order.
+    """``conv_id, call_id, place, level, cyclic`` of all calls."""
+    sizes = calls.groupBy("conv_id").agg(F.sum(F.greatest(F.size("depends_on"), F.lit(0)) + 1).alias("size"))
+    large = materialise(sizes.where(F.col("size") > GROUP_EDGES).select("conv_id"), "large")
+    if not large.limit(1).count():
+        return _settle_groups(calls)
+    return _settle_groups(calls.join(large, "conv_id", "left_anti")).unionByName(_settle_rounds(calls.join(large, "conv_id", "left_semi")))
+
 
-    A call's (place, level) is its own (turn, 0), or just behind the last of its dependencies if that comes later. A level
-    above the number of calls of the conversation proves that a call is in a cycle or behind one; it keeps its turn, and is
-    marked. Levels rise to twice that number, so that every call of a cycle gets there.
+def _settle_rounds(calls: DataFrame) -> DataFrame:
+    """Places of conversations of any size; as many rounds as the longest chain of calls that move.
+
+    A level above the number of calls of the conversation proves that a call is in a cycle or behind one. Levels rise to
+    twice that number, so that every call of a cycle gets there.
     """
     edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("needs")).where("needs is not null").distinct()
     known = calls.select("conv_id", F.col("call_id").alias("needs"))
@@ -171,26 +240,40 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     )
 
 
-#: Tools of the turns of plain conversations: see :func:`from_turns`.
-TURN_SCHEMAS = {
-    "ask": {"type": "object", "required": ["text", "turn"], "additionalProperties": False, "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}},
-    "configure": {"type": "object", "required": ["text", "turn"], "additionalProperties": False, "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}},
+_ARGUMENTS = {
+    "type": "object", "required": ["text", "turn", "words"], "additionalProperties": False,
+    "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "words": {"type": "integer"}, "tone": {"type": "string", "enum": ["plain"]}},
 }
+#: Tools of the turns of plain conversations: see :func:`from_turns`.
+TURN_SCHEMAS = {"ask": _ARGUMENTS, "configure": _ARGUMENTS}
 
 
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of ``conv_id, turn, role, text`` rows: a user or system turn calls the model with its text
-    (tools ``ask`` and ``configure``) and needs the calls one and two turns before; an assistant turn is the result of the
-    call one turn before. Other roles call a tool of their own name, which no schema knows."""
-    call_id = lambda back: F.concat(F.lit("c"), F.col("conv_id"), F.lit("."), F.col("turn") - back)
+    """Calls and results made of ``conv_id, turn, role, text`` rows, so that tables of plain turns exercise every rule.
+
+    A user or system turn calls a tool (``ask``, ``configure``); other roles but the assistant call one of their own name,
+    which no schema knows. An assistant turn is the result of the call one turn before. With n the characters of the text:
+    a call needs the one a turn before; unless n mod 3 is 1 the one two turns before; and if n mod 3 is 0 the one two turns
+    later, behind which it moves, or with which it is a cycle if that one needs it. ``words`` is text instead of a number if
+    n mod 5 is 0. The optional ``tone`` is there in every fourth turn, and ``loud``, which isn't allowed, if n is odd.
+    A null turn counts as 0.
+    """
+    turn, n = F.coalesce(F.col("turn"), F.lit(0)).cast("long"), F.coalesce(F.length("text"), F.lit(0))
+    call_id = lambda back: F.concat(F.lit("c"), F.col("conv_id").cast("long"), F.lit("."), turn - back)
     assistant = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    words = count_tokens(F.col("text"))
+    tone = F.when(n % 2 == 0, "plain").otherwise("loud").alias("tone")
+
+    def arguments(text_words: bool, with_tone: bool):
+        fields = ["text", *([tone] if with_tone else []), turn.alias("turn"), (words.cast("string") if text_words else words).alias("words")]
+        return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+    by_tone = lambda text_words: F.when(turn % 4 == 2, arguments(text_words, True)).otherwise(arguments(text_words, False))
+    needs = F.array(call_id(1), F.when(n % 3 != 1, call_id(2)), F.when(n % 3 == 0, call_id(-2)))
     calls = turns.where(~assistant).select(
-        F.col("conv_id").cast("long").alias("conv_id"), call_id(0).alias("call_id"), F.col("turn").cast("long").alias("turn"),
+        F.col("conv_id").cast("long").alias("conv_id"), call_id(0).alias("call_id"), turn.alias("turn"),
         F.when(F.col("role") == "user", "ask").when(F.col("role") == "system", "configure").otherwise(F.col("role")).alias("name"),
-        F.to_json(F.struct("text", "turn"), {"ignoreNullFields": "false"}).alias("arguments"),
-        F.array(call_id(1), call_id(2)).alias("depends_on"),
-    )
-    results = turns.where(assistant).select(
-        F.col("conv_id").cast("long").alias("conv_id"), call_id(1).alias("call_id"), F.col("turn").cast("long").alias("turn"), F.col("text").alias("content")
+        F.when(n % 5 == 0, by_tone(True)).otherwise(by_tone(False)).alias("arguments"), F.array_compact(needs).alias("depends_on"),
     )
+    results = turns.where(assistant).select(F.col("conv_id").cast("long").alias("conv_id"), call_id(1).alias("call_id"), turn.alias("turn"), F.col("text").alias("content"))
     return calls, results

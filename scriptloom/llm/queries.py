@@ -36,7 +36,7 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = chat.from_turns(table(spark, sf_dir, "conversations"))
-    return chat.link_calls(calls, results, chat.TURN_SCHEMAS).drop("errors")
+    return chat.link_calls(calls, results, chat.TURN_SCHEMAS).withColumn("errors", F.array_join("errors", "; "))
 
 
 def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,19 +85,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_tool_call_linking": r"""
-with t as (select conv_id, turn, role, text, 'c' || conv_id || '.' || turn as own, 'c' || conv_id || '.' || (turn - 1) as before from conversations),
-calls as (select conv_id, own as call_id, min(struct_pack(turn := turn, name := case role when 'user' then 'ask' when 'system' then 'configure' else role end, text := text)) as c, count(*) - 1 as more
+with recursive t as (select conv_id, turn, role, text, length(text) as n, 'c' || conv_id || '.' || turn as own, 'c' || conv_id || '.' || (turn - 1) as before from conversations),
+calls as (select conv_id, own as call_id, min(struct_pack(turn := turn, name := case role when 'user' then 'ask' when 'system' then 'configure' else role end, text := text, n := n)) as c, count(*) - 1 as more
   from t where role <> 'assistant' group by all),
 results as (select conv_id, before as call_id, min(struct_pack(turn := turn, text := text)) as r, count(*) - 1 as more from t where role = 'assistant' group by all),
+sizes as (select conv_id, count(*) as size from calls group by all),
+edges as (select a.conv_id, a.call_id, b.call_id as needs from calls a join calls b on a.conv_id = b.conv_id
+  and (b.c.turn = a.c.turn - 1 or (b.c.turn = a.c.turn - 2 and a.c.n % 3 <> 1) or (b.c.turn = a.c.turn + 2 and a.c.n % 3 = 0))),
+walks(conv_id, call_id, place, level) as (select conv_id, call_id, c.turn, 0 from calls union
+  select e.conv_id, e.call_id, w.place, w.level + 1 from walks w join edges e on e.conv_id = w.conv_id and e.needs = w.call_id join sizes s on s.conv_id = w.conv_id where w.level <= s.size),
+placed as (select w.conv_id, w.call_id, max(level) > max(size) as cyclic, max(struct_pack(place := place, level := level)) as p from walks w join sizes s on s.conv_id = w.conv_id group by all),
 b as (select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, coalesce(c.c.turn, r.r.turn) as turn,
-  case when c.c is null then 'orphan' when r.r is null then 'pending' else 'linked' end as status, c.c.name as name, c.c.text as text, r.r.text as result,
+  case when c.c is null then 'orphan' when p.cyclic then 'cyclic' when r.r is null then 'pending' else 'linked' end as status, c.c.name as name, c.c.text as text, c.c.n as n, r.r.text as result,
+  case when c.c is null then r.r.turn when p.cyclic then c.c.turn else p.p.place end as place, case when c.c is null or p.cyclic then 0 else p.p.level end as level,
   coalesce(c.more, 0) + coalesce(r.more, 0) as repeats
-  from calls c full join results r on c.conv_id = r.conv_id and c.call_id = r.call_id)
-select conv_id, call_id, turn, row_number() over (partition by conv_id order by turn, call_id) - 1 as position, status, status <> 'orphan' and length(text) > 0 as valid, repeats,
+  from calls c join placed p on c.conv_id = p.conv_id and c.call_id = p.call_id full join results r on c.conv_id = r.conv_id and c.call_id = r.call_id),
+e as (select *, case when status = 'orphan' then 'no call' else concat_ws('; ', case when n = 0 then '$.text: shorter than 1' end, case when turn % 4 = 2 and n % 2 = 1 then '$.tone: not in enum' end,
+  case when n % 5 = 0 then '$.words: not integer' end) end as errors, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::varchar as words from b)
+select conv_id, call_id, turn, row_number() over (partition by conv_id order by place, level, turn, call_id) - 1 as position, status, errors = '' as valid, errors, repeats,
   case when status = 'orphan' then '{"call_id":' || to_json(call_id)::varchar || ',"result":' || to_json(result)::varchar || '}'
-  else '{"arguments":{"text":' || to_json(text)::varchar || ',"turn":' || turn || '},"call_id":' || to_json(call_id)::varchar || ',"name":' || to_json(name)::varchar
+  else '{"arguments":{"text":' || to_json(text)::varchar || case when turn % 4 = 2 then ',"tone":"' || case when n % 2 = 0 then 'plain' else 'loud' end || '"' else '' end || ',"turn":' || turn
+    || ',"words":' || case when n % 5 = 0 then '"' || words || '"' else words end || '},"call_id":' || to_json(call_id)::varchar || ',"name":' || to_json(name)::varchar
     || ',"result":' || coalesce(to_json(result)::varchar, 'null') || '}' end as json
-from b""",
+from e""",
     "op4_hierarchical_mixing": r"""
 with base as (select doc_id, 'd' || coalesce((try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 4)::varchar, '') as domain, coalesce(lang, '') as lang, coalesce(source, '') as source,
   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as tokens from documents),

@@ -32,8 +32,14 @@ def test_link_validate_serialise(spark):
     assert [k[1] for k, r in sorted(got.items(), key=lambda x: x[1].position) if k[0] == 1] == ["a", "b", "c", "d", "o"]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_order_is_topological(spark, seed):
+@pytest.fixture(params=[c.GROUP_EDGES, 0], ids=["groups", "rounds"])
+def both_ways(request, monkeypatch):
+    """Conversations ordered in a task each, and by rounds of joins."""
+    monkeypatch.setattr(c, "GROUP_EDGES", request.param)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_order_is_topological(spark, both_ways, seed):
     rng = random.Random(seed)
     n = 14
     order = list(range(n))
@@ -46,7 +52,7 @@ def test_order_is_topological(spark, seed):
     assert all(r.status == "pending" for r in got.values())
 
 
-def test_cycles_are_marked(spark):
+def test_cycles_are_marked(spark, both_ways):
     calls = [(1, "a", 0, "t", '{"a":1}', ["b"]), (1, "b", 1, "t", '{"a":1}', ["a"]), (1, "c", 2, "t", '{"a":1}', ["c"]), (1, "d", 3, "t", '{"a":1}', []), (2, "e", 0, "t", '{"a":1}', [])]
     got = run(spark, calls, [(1, "d", 4, "r")])
     assert {k[1]: r.status for k, r in got.items()} == {"a": "cyclic", "b": "cyclic", "c": "cyclic", "d": "linked", "e": "pending"}
@@ -62,4 +68,23 @@ def test_turns(spark):
     turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", ""), (1, 2, "assistant", "x"), (2, 0, "assistant", "y"), (3, 0, None, None)], "conv_id long, turn long, role string, text string")
     got = {(r.conv_id, r.call_id): r for r in c.link_calls(*c.from_turns(turns), c.TURN_SCHEMAS).collect()}
     assert {k: r.status for k, r in got.items()} == {(1, "c1.0"): "pending", (1, "c1.1"): "linked", (2, "c2.-1"): "orphan", (3, "c3.0"): "pending"}
-    assert got[1, "c1.0"].valid and got[1, "c1.1"].errors == ["$.text: shorter than 1"]
+    assert got[1, "c1.0"].valid and got[1, "c1.1"].errors == ["$.text: shorter than 1", "$.words: not integer"]
+    assert got[3, "c3.0"].errors == ["$.text: not string", "$.words: not integer", "unknown tool"][-1:]
+
+
+def test_turns_move_and_form_cycles(spark):
+    """Three letters need the call two turns later, which needs the one two turns before unless its length mod 3 is 1."""
+    texts = {0: "abc", 2: "abcd", 4: "abcdef", 6: "ab"}
+    turns = spark.createDataFrame([(1, t, "user", x) for t, x in texts.items()] + [(1, None, "user", "zz")], "conv_id long, turn long, role string, text string")
+    got = {r.call_id: r for r in c.link_calls(*c.from_turns(turns), c.TURN_SCHEMAS).collect()}
+    assert {k: (r.status, r.position, r.repeats) for k, r in got.items()} == {"c1.0": ("pending", 1, 1), "c1.2": ("pending", 0, 0), "c1.4": ("cyclic", 2, 0), "c1.6": ("cyclic", 3, 0)}
+    assert got["c1.6"].errors == [] and json.loads(got["c1.6"].json)["arguments"]["tone"] == "plain"
+    assert got["c1.2"].errors == []
+
+
+def test_a_long_cycle_and_a_long_chain_take_one_pass():
+    n = 100_000
+    ring = [(f"k{i}", i, [f"k{(i + 1) % n}"]) for i in range(n)]
+    assert all(x == (i, 0, True) for i, x in enumerate(c.topological(ring)))
+    chain = [(f"k{i}", i, [f"k{i + 1}"]) for i in range(n)]
+    assert c.topological(chain) == [(n - 1, n - 1 - i, False) for i in range(n)]
