@@ -1,8 +1,8 @@
 """Stupid-backoff scores (Brants et al., 2007) of every text against the counts of the whole corpus.
 
 A word w after v scores ``c(v w) / c(v)`` if the pair was seen ``min_count`` times, else ``0.4 * c(w) / N``; the first word
-of a text scores ``c(w) / N``. A text's score is the sum of the logarithms. Counts are those of the corpus itself, so a pair
-seen once is one that no other place confirms: it backs off.
+of a text scores ``c(w) / N``. A text's score is the sum of the logarithms. Counts are those of the corpus itself, so with the
+published ``min_count`` of 1 every pair has a count; with 2, a pair that no other place confirms backs off.
 
 The relations, and where they are cut:
 
@@ -17,7 +17,8 @@ The relations, and where they are cut:
 4. What still lacks the count of an infrequent word is joined to the word table, one row for each such word and document.
 5. All parts are summed per document.
 
-Words are hashed to 48 bits; a collision would merge two words' counts.
+Words and pairs are hashed to 64 bits. Two of d hashes are expected to collide, and to share a count, d * d / 2**65 times: never
+with a million words, and a few times with ten billion distinct pairs.
 """
 
 from __future__ import annotations
@@ -34,11 +35,10 @@ from ._spark import bounded_batches, materialise
 from .simhash import words
 
 BACKOFF = 0.4
-MIN_COUNT = 2
+MIN_COUNT = 1
 #: Words of a run, and pairs in a bucket, about.
 RUN_WORDS = 1 << 20
 BUCKET_PAIRS = 1 << 21
-MAX_BUCKETS = 1 << 15
 #: A word is frequent from N / 2**20 on, a pair from N / 2**18 on; a run of n words proposes pairs seen n / 2**18 times.
 WORD_BITS = 20
 PAIR_BITS = 18
@@ -51,7 +51,7 @@ class _Hashes(dict):
 
         if len(self) >= _CACHE_ROWS:
             self.clear()
-        self[word] = found = xxh64_intdigest(word) >> 16
+        self[word] = found = xxh64_intdigest(word)
         return found
 
 
@@ -130,6 +130,11 @@ def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table[at] == x, at
 
 
+def _unsigned(hashes: list[int]) -> np.ndarray:
+    """Hashes as they are before Spark, which has signed numbers only."""
+    return np.array(hashes, np.int64).view(np.uint64)
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """``v, w long, n long``: words (w null) with their counts in the corpus; pairs with what runs proposed of theirs."""
 
@@ -140,7 +145,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             key, first, m = np.unique(pair_key(h[at - 1], h[at]), return_index=True, return_counts=True)
             often = m * 2**PAIR_BITS >= len(h)
             first, m = at[first[often]], m[often]
-            v, w = np.concatenate([word, h[first - 1]]).astype(np.int64), h[first].astype(np.int64)
+            v, w = np.concatenate([word, h[first - 1]]).view(np.int64), h[first].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.concat_arrays([pa.nulls(len(word), pa.int64()), pa.array(w)]), pa.array(np.concatenate([n, m]))], ["v", "w", "n"])
 
     return texts.mapInArrow(run, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
@@ -153,8 +158,8 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, id_col: str = "doc_id", t
     that repeat an id, or have none, are counted and scored each. An empty table gives an empty result. Other columns are
     ignored.
     """
-    if min_count < 2:
-        raise ValueError("min_count must be 2 or more")
+    if min_count < 1:
+        raise ValueError("min_count must be 1 or more")
     spark = docs.sparkSession
     bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -162,17 +167,17 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, id_col: str = "doc_id", t
     total = table.where("w is null").agg(F.sum("n")).first()[0] or 0
     known = table.where("w is null").select(F.col("v").alias("word"), "n")
     frequent = known.where(F.col("n") * 2**WORD_BITS >= total).collect()
-    frequent.sort()
-    word = np.array([r["word"] for r in frequent], np.uint64)
-    word_n = np.array([r["n"] for r in frequent], np.float64)
+    word, word_n = _unsigned([r["word"] for r in frequent]), np.array([r["n"] for r in frequent], np.float64)
+    order = np.argsort(word)
+    word, word_n = word[order], word_n[order]
     word_log, ranked = np.log(word_n), _Words(word, word_n)
     # what runs propose is half of a frequent pair's count or more, and at most 2**19 pairs can have that much
     proposed = table.where(F.col("w").isNotNull() & (F.col("n") * 2 ** (PAIR_BITS + 1) >= total) & (F.col("n") >= min_count)).collect()
-    pv, pw = (np.array([r[c] for r in proposed], np.uint64) for c in ("v", "w"))
+    pv, pw = (_unsigned([r[c] for r in proposed]) for c in ("v", "w"))
     key = pair_key(pv, pw)
     order = np.argsort(key)
     key, pv = key[order], pv[order]
-    buckets = int(min(MAX_BUCKETS, max(1, -(-total // BUCKET_PAIRS))))
+    buckets = int(max(1, -(-total // BUCKET_PAIRS)))
     log_total = float(np.log(max(1, total)))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +192,8 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, id_col: str = "doc_id", t
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             ends = np.cumsum(np.bincount(doc[hit], minlength=len(rows)))
             lists, begins = where[hit], np.concatenate([[0], ends[:-1]])
-            first = [int(h[s]) if n else None for s, n in zip(starts, sizes, strict=True)]
+            signed = h.view(np.int64)
+            first = [int(signed[s]) if n else None for s, n in zip(starts, sizes, strict=True)]
             columns = {
                 "bucket": pa.array((rows % buckets).astype(np.int32)), "row": pa.array(rows), "doc_id": pa.array([d for _, d in named], pa.int64()), "n": pa.array(sizes), "first": pa.array(first, pa.int64()),
                 "often": pa.array([_planes(np.diff(np.sort(lists[b:e]), prepend=0), 4) for b, e in zip(begins, ends, strict=True)], pa.binary()),
@@ -204,7 +210,7 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, id_col: str = "doc_id", t
             out = []
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 local, index = np.unique(doc[s:e], return_inverse=True)
-                others = [_planes(h[place[s:e][code[s:e] == ranked.OTHER]], 6) for code, place in ((v, at - 1), (w, at))]
+                others = [_planes(h[place[s:e][code[s:e] == ranked.OTHER]], 8) for code, place in ((v, at - 1), (w, at))]
                 out.append((int(b[s]), _planes(np.diff(v[s:e], prepend=0), 3), _planes(w[s:e], 3), *others, _planes(index, 4), _planes(rows[local], 8)))
             if out:
                 b, *packed = zip(*out, strict=True)
@@ -222,8 +228,8 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, id_col: str = "doc_id", t
             out.append(pa.table({"word": pa.array(i.astype(np.int64)), "times": pa.array(np.bincount(back, n, len(i)).astype(np.int64))}))
         if len(runs):
             read = lambda c, size: [_from_planes(x, size) for x in runs[c].to_pylist()]
-            v = np.concatenate([ranked.hashes(np.cumsum(x).astype(np.int64), o) for x, o in zip(read("v", 3), read("v_others", 6), strict=True)])
-            w = np.concatenate([ranked.hashes(x.astype(np.int64), o) for x, o in zip(read("w", 3), read("w_others", 6), strict=True)])
+            v = np.concatenate([ranked.hashes(np.cumsum(x).astype(np.int64), o) for x, o in zip(read("v", 3), read("v_others", 8), strict=True)])
+            w = np.concatenate([ranked.hashes(x.astype(np.int64), o) for x, o in zip(read("w", 3), read("w_others", 8), strict=True)])
             ids = [_from_planes(x, 8).astype(np.int64) for x in runs["ids"].to_pylist()]
             doc = np.concatenate([i[_from_planes(x, 4).astype(np.int64)] for i, x in zip(ids, runs["doc"].to_pylist(), strict=True)])
             _, back, n = np.unique(pair_key(v, w), return_inverse=True, return_counts=True)
@@ -237,7 +243,7 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, id_col: str = "doc_id", t
             doc_ids, doc = np.unique(doc, return_inverse=True)
             out.append(pa.table({"row": pa.array(doc_ids), "part": pa.array(np.bincount(doc, part, len(doc_ids)))}))
             doc, lacks, sign = doc[~hit], lacks[~hit], sign[~hit]
-            out.append(pa.table({"row": pa.array(doc_ids[doc]), "word": pa.array(lacks.astype(np.int64)), "times": pa.array(sign.astype(np.int64))}))
+            out.append(pa.table({"row": pa.array(doc_ids[doc]), "word": pa.array(lacks.view(np.int64)), "times": pa.array(sign.astype(np.int64))}))
         schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("part", pa.float64()), ("word", pa.int64()), ("times", pa.int64()), ("often", pa.binary())])
         full = [pa.table({f.name: t[f.name].cast(f.type) if f.name in t.column_names else pa.nulls(len(t), f.type) for f in schema}, schema=schema) for t in out]
         return pa.concat_tables(full)

@@ -66,7 +66,7 @@ def op9_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_score.score(table(spark, sf_dir, "documents"))
-    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+    return scored.select("doc_id", "n_words", F.round("mean_log_score", 5).alias("log_score"), F.round("log_score", 4).alias("log_likelihood"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,9 +162,9 @@ p as (select doc_id, pos, w, lag(w) over (partition by doc_id order by pos) as v
 u as (select w, count(*) as n from e group by w),
 b as (select v, w, count(*) as n from p where v is not null group by all),
 t as (select count(*) as n from e),
-s as (select p.doc_id, case when p.v is null then ln(uw.n) - ln(t.n) when b.n >= 2 then ln(b.n) - ln(uv.n) else ln(0.4) + ln(uw.n) - ln(t.n) end as s
+s as (select p.doc_id, case when p.v is null then ln(uw.n) - ln(t.n) when b.n >= 1 then ln(b.n) - ln(uv.n) else ln(0.4) + ln(uw.n) - ln(t.n) end as s
   from p join u uw on p.w = uw.w left join u uv on p.v = uv.w left join b on p.v = b.v and p.w = b.w cross join t)
-select d.doc_id, len(l)::bigint as n_words, round(coalesce(x.s, 0), 4) as log_score from d left join (select doc_id, sum(s) as s from s group by doc_id) x using (doc_id)""",
+select d.doc_id, len(l)::bigint as n_words, round(x.s / nullif(len(l), 0), 5) as log_score, round(coalesce(x.s, 0), 4) as log_likelihood from d left join (select doc_id, sum(s) as s from s group by doc_id) x using (doc_id)""",
 }
 
 
