@@ -8,12 +8,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import bounded_batches
 
 
+#: Compressed features that a sample sends to the driver, at most.
+SAMPLE_BYTES = 64 << 20
+
+
 @dataclass(frozen=True)
 class Ftrl:
     alpha: float = 0.5
@@ -66,9 +70,10 @@ def out_of_fold(rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarra
 def labelled_sample(docs: DataFrame, labels: DataFrame, targets: list[str], featurise, most: int, id_col: str, text_col: str) -> tuple[list, np.ndarray]:
     """Features and targets of at most ``most`` labelled rows, the first in the order of MD5(id), and their targets.
 
-    Labels with a null id or target are left out; of labels that repeat an id the smallest stays. The sample of ids is
-    bounded by ``most``, so it is broadcast; the texts are read by the executors, and only sparse features come back, as
-    compressed differences.
+    Labels with a null id or target are left out; of labels that repeat an id the smallest stays, and of texts that do the
+    one whose features sort first. The sample of ids is bounded by ``most``, so it is broadcast; the texts are read by the
+    executors, and only sparse features come back, as compressed differences: one row for each id, and in the order of the
+    sample no more than ``SAMPLE_BYTES`` of them.
     """
     bounded_batches(docs.sparkSession)
     known = labels.where(" and ".join(f"{c} is not null" for c in ["doc_id", *targets]))
@@ -85,8 +90,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: list[str], feat
             x = pa.array([zlib.compress(f[1].astype("<f4").tobytes()) for f in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), i, x, *batch.columns[2:]], ["doc_id", "i", "x", *targets])
 
-    got = rows.mapInArrow(run, f"doc_id long, i binary, x binary, {names}").collect()
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["i"]), bytes(r["x"])))
+    found = rows.mapInArrow(run, f"doc_id long, i binary, x binary, {names}")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("i", "x", *targets)).alias("f")).select("doc_id", "f.*")
+    # a window over ``most`` rows at most
+    order = Window.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sized = found.withColumn("bytes", F.sum(F.length("i") + F.length("x")).over(order))
+    got = sized.where(F.col("bytes") <= SAMPLE_BYTES).drop("bytes").collect()
+    got.sort(key=lambda r: r["doc_id"])
     unpack = lambda raw, kind: np.frombuffer(zlib.decompress(bytes(raw)), kind)
     sparse = [(np.cumsum(unpack(r["i"], "<u4"), dtype=np.int32), unpack(r["x"], "<f4")) for r in got]
     return sparse, np.array([[r[t] for t in targets] for r in got], np.float64).reshape(len(got), len(targets))

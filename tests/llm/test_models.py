@@ -1,10 +1,12 @@
 import math
 import os
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from scriptloom.llm import ftrl, lm_score, quality, queries, toxicity
@@ -64,7 +66,102 @@ def test_hard_rows(spark):
         assert part.count() == 0
 
 
-def brute_scores(rows, min_count=2):
+def plain_ftrl(rows, labels, bias, how):
+    """FTRL-proximal over dicts, weight by weight."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= how.l1:
+            return 0.0
+        return (math.copysign(how.l1, z[i]) - z[i]) / ((how.beta + math.sqrt(n[i])) / how.alpha + how.l2)
+
+    rng = np.random.default_rng(how.seed)
+    for _ in range(how.epochs):
+        for r in rng.permutation(len(rows)):
+            x = {**rows[r], bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - labels[r]) * x[i]
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / how.alpha * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def plain_score(row, w, bias):
+    return 1 / (1 + math.exp(-(sum(w.get(i, 0.0) * x for i, x in row.items()) + w.get(bias, 0.0))))
+
+
+def plain_quality_features(text):
+    """Counts of single tokens and pairs by the top 20 bits of their hashes, scaled to length 1."""
+    hashes = []
+    for token in re.findall(r"\w+|[^\w\s]+", text or ""):
+        hashes.append(xxhash.xxh64_intdigest("\x01capitals" if len(token) > 1 and token.isupper() else token.lower().encode()))
+    pairs = [0 if a == b else (a * 0x9E3779B97F4A7C15 ^ b * 0xC2B2AE3D27D4EB4F) % 2**64 for a, b in zip(hashes, hashes[1:], strict=False)]
+    counts = Counter(h >> 44 for h in hashes + pairs)
+    length = max(1.0, math.sqrt(sum(c * c for c in counts.values())))
+    return {i: c / length for i, c in counts.items()}
+
+
+def plain_toxicity_features(text):
+    out = {}
+    for w in re.findall(r"\w+", (text or "").lower()):
+        for part in [w, *("\x01" + w[:k] for k in range(4, 9) if len(w) >= k)]:
+            out[xxhash.xxh64_intdigest(part.encode()) >> 44] = 1.0
+    return out
+
+
+def model_rows():
+    rng = np.random.default_rng(8)
+    vocabulary = [f"{a}{b}" for a in ("good", "plain", "insult", "JUNK", "word") for b in range(12)]
+    docs = [(i, " ".join(rng.choice(vocabulary, rng.integers(3, 30))) + "!" * (i % 3)) for i in range(90)]
+    labels = [(i, int("JUNK" not in t), int(t.count("insult") > 3)) for i, t in docs]
+    return docs + [(90, None), (91, ""), (92, "Éa 日本 !!!"), (93, "word " * 30_000)], labels
+
+
+def test_quality_by_plain_loops(spark):
+    docs, labels = model_rows()
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    df, known = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    chosen = [(plain_quality_features(t), q) for (i, t), (_, q, _) in zip(docs, labels, strict=False) if not held(i)]
+    w = plain_ftrl([x for x, _ in chosen], [q for _, q in chosen], "bias", quality.SETTINGS)
+    got = {r.doc_id: r for r in quality.score(df, quality.fit(df, known)).collect()}
+    assert len({round(got[i].score, 2) for i in got}) > 10
+    for i, t in docs:
+        assert got[i].score == pytest.approx(plain_score(plain_quality_features(t), w, "bias"), abs=1e-5)
+        assert got[i].held_out == held(i)
+
+
+def test_chain_by_plain_loops(spark):
+    docs, labels = model_rows()
+    df, known = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = [plain_toxicity_features(t) for _, t in docs[:90]]
+    toxic = [float(t) for _, _, t in labels]
+    junk = [float(t and not q) for _, q, t in labels]
+    first = plain_ftrl(rows, toxic, "bias", toxicity.SETTINGS)
+    seen = {}
+    for fold in range(toxicity.FOLDS):
+        others = [k for k in range(90) if k % toxicity.FOLDS != fold]
+        w = plain_ftrl([rows[k] for k in others], [toxic[k] for k in others], "bias", toxicity.SETTINGS)
+        seen |= {k: plain_score(rows[k], w, "bias") for k in range(fold, 90, toxicity.FOLDS)}
+    second = plain_ftrl([{**rows[k], "p0": seen[k]} for k in range(90)], junk, "bias", toxicity.SETTINGS)
+    got = {r.doc_id: r for r in toxicity.score(df, toxicity.fit(df, known, queries.categories())).collect()}
+    assert max(r.p_toxic for r in got.values()) > 0.5 > min(r.p_toxic for r in got.values())
+    for i, t in docs:
+        p = plain_score(plain_toxicity_features(t), first, "bias")
+        q = plain_score({**plain_toxicity_features(t), "p0": p}, second, "bias")
+        assert (got[i].p_toxic, got[i].p_toxic_junk) == pytest.approx((p, q), abs=1e-4)
+        assert got[i].toxic == (max(got[i].p_toxic, got[i].p_toxic_junk) >= toxicity.REJECT)
+
+
+def test_an_id_that_repeats_is_one_training_row(spark):
+    docs, labels = model_rows()
+    df, known = spark.createDataFrame(docs + [(0, "another text")] * 50, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows, y = ftrl.labelled_sample(df, known.select("doc_id", "toxic"), ["toxic"], toxicity.features, 1000, "doc_id", "text")
+    assert len(rows) == len(y) == 90
+
+
+def brute_scores(rows, min_count):
     docs = [[w for w in (t or "").encode().lower().split()] for _, t in rows]
     one, two = Counter(w for d in docs for w in d), Counter(p for d in docs for p in zip(d, d[1:], strict=False))
     n = sum(one.values())
@@ -77,8 +174,8 @@ def brute_scores(rows, min_count=2):
     return out
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_stupid_backoff(spark, monkeypatch, small):
+@pytest.mark.parametrize("small, min_count", [(False, 1), (True, 1), (True, 2)])
+def test_stupid_backoff(spark, monkeypatch, small, min_count):
     """With tiny runs and buckets, and with thresholds under which nothing or nearly everything is frequent."""
     if small:
         monkeypatch.setattr(lm_score, "RUN_WORDS", 50)
@@ -88,8 +185,8 @@ def test_stupid_backoff(spark, monkeypatch, small):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(rng.choice([f"w{k}" for k in range(40)], rng.integers(0, 60), p=np.array([1 / (k + 1) for k in range(40)]) / sum(1 / (k + 1) for k in range(40))))) for i in range(60)] + HARD
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, row int").repartition(3)
-    got = lm_score.score(df).collect()
-    expected = sorted((-1 if i is None else i, *s) for (i, _), s in zip(rows, brute_scores(rows), strict=True))
+    got = lm_score.score(df, min_count).collect()
+    expected = sorted((-1 if i is None else i, *s) for (i, _), s in zip(rows, brute_scores(rows, min_count), strict=True))
     found = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.log_score) for r in got)
     assert [f[:2] for f in found] == [e[:2] for e in expected]
     assert [f[2] for f in found] == pytest.approx([e[2] for e in expected], abs=1e-5)
