@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, fields, replace
 
 #: Punctuation after which a redistributed line may break.
 SYMBOLS = "[\u3000-\u303f\uff00-\uff65\u2000-\u206f]"
@@ -38,22 +38,49 @@ class ExtractConfig:
     cutoff: bool = False
     cutoff_copy: bool = True
     ignore_decode_error: bool = False
-    separate: str = "\r\n"
+    #: A pattern between units; '' for lines. Without a group in front its matches go (see :func:`separators_kept`).
+    separate: str = ""
     write_offset: int = 0
+    #: Bytes of a length in front of each capture (little-endian), where it stands ("start": at the match; a number: from
+    #: the capture's start; none: just before it), and what makes it the capture's length: length * scale + add.
     pre_len: int = 0
+    pre_len_offset: int | str | None = None
     pre_len_scale: int = 1
     pre_len_add: int = 0
-    extra: dict = field(default_factory=dict)
+    #: The capture ends where the length says, not where the pattern does; the length is rewritten on import.
+    pre_len_strict: bool = False
+    pre_len_fix: bool = True
+    #: Binary texts: their encoding, allowed single bytes among two-byte ones (a pattern; none: no check), and whether
+    #: captures that can't be decoded are dropped.
+    encoding: str = "cp932"
+    check_jis: str | None = None
+    #: Bracketed scripts: brackets, what a segment that ends a paragraph or holds a command looks like, the pattern of text
+    #: in a segment, and a pattern behind a bracket that keeps it inside the text.
+    sep_str: str = "[,]"
+    end_str: str = "np"
+    ctrl_str: str = "^[A-Za-z]"
+    extract_key: str = ""
+    merge_str: str = ""
+    join_after_split: bool = False
+    keep_format: bool = False
+    dynamic_replace: str = ""
+    engine_name: str = ""
+    extra_data: str = ""
 
 
 #: Option names of rule texts whose name here isn't just the snake-case form.
-RENAMED = {"struct": "structure", "maxCountPerLine": "max_per_line", "splitParaSep": "para_sep"}
+RENAMED = {"struct": "structure", "maxCountPerLine": "max_per_line", "splitParaSep": "para_sep", "checkJIS": "check_jis", "OldEncodeName": "encoding", "contentSeparate": "separate"}
 
 
 def _snake(name: str) -> str:
     return RENAMED.get(name) or re.sub(r"(?<=[a-z0-9])([A-Z])", lambda m: "_" + m[1].lower(), name)
 
 
+def separators_kept(separate: str) -> bool:
+    """Whether what separates units is a unit itself: its pattern begins with a group."""
+    return separate.startswith("(")
+
+
 @dataclass(frozen=True)
 class Role:
     """What a capture group's name says about its captures."""
@@ -64,6 +91,7 @@ class Role:
     blocks: str | None = None
     interval: str | None = None  # a key that starts to hold; "" ends it
     skip: bool = False
+    nolen: bool = False  # a capture without a length in front
 
     @classmethod
     def parse(cls, group: str | None) -> Role:
@@ -89,7 +117,7 @@ class Role:
                 blocks = part[4:]
             else:
                 keys.append("unfinish" if part == "un" else part)
-        return cls(tuple(keys), tuple(flags), kind, blocks, interval)
+        return cls(tuple(keys), tuple(flags), kind, blocks, interval, nolen=group.startswith("nolen"))
 
 
 @dataclass(frozen=True)
@@ -116,17 +144,16 @@ class RuleProgram:
 
     @classmethod
     def parse(cls, text: str, config: ExtractConfig = ExtractConfig()) -> RuleProgram:
-        """Reads ``key=value`` lines up to a blank line or ``sample``. A key that comes again replaces its pattern in place."""
+        """Reads ``key=value`` lines up to a blank line or ``sample``. A key that comes again replaces its pattern in place; an
+        option that isn't known is an error."""
         rules: dict[str, str] = {}
-        known = {f.name: f for f in fields(ExtractConfig)}
+        known = {f.name: f.type for f in fields(ExtractConfig)}
         options: dict = {}
-        extra = dict(config.extra)
 
         def put(name: str, value) -> None:
-            if name in known and name != "extra":
-                options[name] = value
-            else:
-                extra[name] = value
+            if name not in known:
+                raise ValueError(f"unknown option {name!r}")
+            options[name] = str(value) if known[name] == "str" and not isinstance(value, bool) else value
 
         for line in (text or "").split("\n"):
             line = line.rstrip("\r")
@@ -143,5 +170,6 @@ class RuleProgram:
             elif value in ("True", "true", "False", "false"):
                 put(_snake(key), value[0] in "Tt")
             else:
-                put(_snake(key), int(value) if value.isdecimal() and key not in ("extraData", "extractKey") else value)
-        return cls(tuple(Rule(k, p) for k, p in rules.items()), replace(config, extra=extra, **options))
+                number = re.fullmatch(r"-?\d+", value) and key not in ("extraData", "extractKey")
+                put(_snake(key), int(value) if number else value)
+        return cls(tuple(Rule(k, p) for k, p in rules.items()), replace(config, **options))

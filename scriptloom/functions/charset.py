@@ -15,16 +15,19 @@ from pyspark.sql import functions as F
 _KEPT = re.compile(r"<([0-9A-Fa-f]+)>")
 
 
+#: Fixed ranges of a two-byte character: first bytes, and the second bytes that may follow.
+_PAIRS = re.compile(rb"[\x81-\x9f\xe0-\xef\xfa\xfb][\x40-\x7e\x80-\xfc]|\xfc[\x40-\x4b]")
+
+
 def is_shift_jis(data: bytes, single: re.Pattern | None = None) -> bool:
     """Whether bytes are two-byte Shift-JIS characters, but for single ones that the pattern allows."""
-    i = 0
-    while i < len(data):
-        if single and single.fullmatch(data[i : i + 1]):
-            i += 1
-        elif i + 1 < len(data) and (0x81 <= data[i] <= 0x9F or 0xE0 <= data[i] <= 0xFC) and 0x40 <= data[i + 1] <= 0xFC and data[i + 1] != 0x7F:
-            i += 2
-        else:
+    at = 0
+    while at < len(data):
+        alone = single and single.match(data[at : at + 1])
+        pair = None if alone else _PAIRS.match(data, at)
+        if not alone and not pair:
             return False
+        at += 1 if alone else 2
     return True
 
 
@@ -286,3 +289,11 @@ def huffman_codes(counts: dict[int, int]) -> dict[int, str]:
 
 def byte_histogram(data: bytes) -> dict[int, int]:
     return dict(Counter(data))
+
+
+def byte_counts(df, data_col: str, keys: list[str]):
+    """``keys, byte int, n long``: how often each byte stands in binary values; a partial aggregate of at most 256 rows a key."""
+    pairs = F.regexp_extract_all(F.hex(data_col), F.lit("(..)"))
+    exploded = df.select(*keys, F.explode(pairs).alias("_b"))
+    counted = exploded.groupBy(*keys, "_b").agg(F.count("*").alias("n"))
+    return counted.select(*keys, F.conv("_b", 16, 10).cast("int").alias("byte"), "n")

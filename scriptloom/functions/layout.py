@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import bisect
-import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,50 +14,65 @@ from ..config import ExtractConfig
 
 
 def redistribute_text(orig: str, trans: str, config: ExtractConfig = ExtractConfig()) -> list[str]:
-    """A translation cut into as many lines as the original has, preferably behind punctuation near the same proportion."""
-    lines, given = orig.split(config.para_sep), trans.split(config.para_sep)
-    flat, n = "".join(given), len(orig.split(config.para_sep))
-    blank = config.add_space
-    if n == 1:
+    """A translation cut into as many lines as the original has, preferably behind punctuation near the same proportion.
+
+    The first of these that applies: one line; the translation's own lines, if their number (``ignore_same_line_count``) or
+    their number and lengths (``ignore_not_max_count``) will do; pieces of a fixed width (``fixed_max_per_line``);
+    punctuation. A line without text is ``add_space``.
+    """
+    wanted, own = orig.split(config.para_sep), trans.split(config.para_sep)
+    flat = "".join(own)
+    if len(wanted) == 1:
         return [flat]
-    if config.ignore_same_line_count and len(given) == n:
-        return given
-    if config.ignore_not_max_count and len(given) <= n and all(len(t) <= config.max_per_line for t in given):
-        return [t or blank for t in given] + [blank] * (n - len(given))
+    if config.ignore_same_line_count and len(own) == len(wanted):
+        return own
+    room = len(wanted) - len(own)
+    if config.ignore_not_max_count and room >= 0 and max(map(len, own)) <= config.max_per_line:
+        return _filled(own + [""] * room, config)
     if config.fixed_max_per_line:
-        width = config.max_per_line
-        parts = [flat[i : i + width] for i in range(0, len(flat), width)]
-        return parts[: n - 1] + ["".join(parts[n - 1 :])] if len(parts) > n else parts + [blank] * (n - len(parts))
-    ends = [m.end() for m in re.finditer(config.symbols, flat)]
-    if len(ends) > n:
-        # proportions count separators in the whole, but not in the parts
-        scale = len(trans) / len(orig)
-        chosen: list[int] = []
-        length = 0
-        for line in lines[:-1]:
-            length += len(line)
-            at = nearest_index(ends, math.floor(length * scale))
-            chosen.append(max(at, chosen[-1] + 1) if chosen else at)
-        chosen.append(len(ends) - 1)
-        for j in range(n - 2, -1, -1):
-            if chosen[j] < chosen[j + 1]:
-                break
-            chosen[j] = chosen[j + 1] - 1
-        cuts = [ends[i] for i in chosen]
-    else:
-        cuts = ends + [len(flat)] * (n - len(ends))
-    parts = [flat[a:b] or blank for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        cuts = [min(k * config.max_per_line, len(flat)) for k in range(1, len(wanted))] + [len(flat)]
+        return _filled(_cut(flat, cuts), config)
+    ends = np.array([m.end() for m in re.finditer(config.symbols, flat)], np.int64)
+    # where the original's lines end, in proportion; the separators count in the whole length but not in the lines
+    marks = np.cumsum([len(x) for x in wanted[:-1]]) * (len(trans) / len(orig))
+    cuts = break_points(ends, marks, len(flat))
+    lines = _filled(_cut(flat, cuts), config)
     if config.keep_tail and cuts[-1] < len(flat):
-        parts[-1] = ("" if cuts[-1] == ([0, *cuts])[-2] else parts[-1]) + flat[cuts[-1] :]
-    return parts
+        lines[-1] = (lines[-1] if len(cuts) < 2 or cuts[-1] > cuts[-2] else "") + flat[cuts[-1] :]
+    return lines
+
+
+def break_points(ends: np.ndarray, marks: np.ndarray, length: int) -> list[int]:
+    """A cut for each mark and one for the end, among ascending ``ends``.
+
+    With no more ends than cuts each end is one, and the length of the text stands for those that lack. Else the last cut is
+    the last end, and every mark gets the end nearest to it (of two the left one) in the range that keeps the cuts strictly
+    ascending: behind the cut before it, and with an end left for each one after it.
+    """
+    n = len(marks) + 1
+    if len(ends) <= n:
+        return [*ends.tolist(), *[length] * (n - len(ends))]
+    place, target = np.arange(n - 1), np.floor(marks).astype(np.int64)
+    right = np.clip(np.searchsorted(ends, target), 1, len(ends) - 1)
+    nearest = np.where(target - ends[right - 1] <= ends[right] - target, right - 1, right)
+    rising = np.maximum.accumulate(nearest - place) + place
+    chosen = np.minimum(rising, len(ends) - n + place)
+    return [*ends[chosen].tolist(), int(ends[-1])]
+
+
+def _cut(text: str, cuts: list[int]) -> list[str]:
+    return [text[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+
+def _filled(lines: list[str], config: ExtractConfig) -> list[str]:
+    return [x or config.add_space for x in lines]
+
 
+def redistributed(orig: Column, trans: Column, config: ExtractConfig = ExtractConfig()) -> Column:
+    """The redistributed lines, or with ``join_after_split`` one text of them (as an array of one)."""
+    lines = redistribute(orig, trans, config)
+    return F.array(F.array_join(lines, config.para_sep)) if config.join_after_split else lines
 
-def nearest_index(values: list[int], target: int) -> int:
-    """The index of the nearest of ascending values; of two equally near the left one."""
-    right = bisect.bisect_left(values, target)
-    if right == 0 or right == len(values):
-        return min(right, len(values) - 1)
-    return right - 1 if target - values[right - 1] <= values[right] - target else right
 
 
 def redistribute(orig: Column, trans: Column, config: ExtractConfig = ExtractConfig()) -> Column:

@@ -48,3 +48,12 @@ def substitution_report(chars: DataFrame, table: DataFrame) -> DataFrame:
 def reason_counts(rows: DataFrame, reasons: dict[str, Column], group: list[str] | None = None) -> DataFrame:
     """How many rows each reason holds for."""
     return rows.groupBy(*(group or [])).agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in reasons.items()])
+
+
+#: Levels of messages, the least important first.
+LEVELS = ("debug", "info", "tip", "warning", "error")
+
+
+def at_least(reports: DataFrame, level: str, level_col: str = "level") -> DataFrame:
+    """Messages of a level and above."""
+    return reports.where(F.col(level_col).isin(*LEVELS[LEVELS.index(level) :]))

@@ -168,3 +168,25 @@ def signature_warning(line: Column) -> Column:
 
 def first_level_json(value: Column) -> Column:
     return F.try_parse_json(value)
+
+
+def with_symbols(text: Column, pattern: str, symbols: Column) -> Column:
+    """Matches of a pattern replaced by their symbols (a map column); those without one stay."""
+    parts = F.regexp_extract_all(text, F.lit(f"(?s)({pattern}|.(?:(?!{pattern}).)*)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda x: F.coalesce(F.element_at(symbols, x), x)), "")
+
+
+def without_symbols(text: Column, symbols: dict[str, str]) -> Column:
+    """The inverse on import: every symbol back to what it stands for. ``symbols`` is as short as the list of symbols."""
+    return replace_chain(text, {new: old for old, new in symbols.items()})
+
+
+#: What some engines' texts need before they are read, and translations before they are written.
+ENGINE_FIXES = {
+    "orig": {"RealLive": {" +": ""}, "Silky_map": {"<001A0014>": "\n"}},
+    "trans": {"RealLive": {"<n>": "<230003C900000000>"}, "Silky_map": {"\n": "<001A0014>"}},
+}
+
+
+def engine_fix(text: Column, engine: str, side: str) -> Column:
+    return regex_chain(text, ENGINE_FIXES[side].get(engine, {}))

@@ -6,9 +6,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bits of the order behind its first column, in a decimal of 38 digits.
+_REST = 62
+
+
+def packed_order(rows: DataFrame, order: list[str]) -> Column | None:
+    """One number that sorts as ``order`` does, or None where its columns don't fit.
+
+    A struct can't be a hash aggregate's value, a decimal can: so the first whole number takes the high digits and up to two
+    more, places that count from 0, take 31 bits each (a negative one is an error).
+    """
+    kinds = dict(rows.dtypes)
+    if any(kinds[c] not in ("bigint", "int", "smallint", "tinyint") for c in order) or len(order) > 3 or any(kinds[c] == "bigint" for c in order[1:]):
+        return None
+    packed = F.col(order[0]).cast("decimal(38,0)") * F.lit(1 << _REST).cast("decimal(19,0)")
+    for k, c in enumerate(order[1:]):
+        place = F.when(F.col(c) < 0, F.raise_error(F.lit(f"a place in {c} is negative")).cast("long")).otherwise(F.col(c).cast("long"))
+        packed = packed + F.call_function("shiftleft", place, F.lit(31 * (1 - k)))
+    return packed.cast("decimal(38,0)")
+
+
+def _whole_part(a: Column, b: Column) -> Column:
+    """The integer quotient of two decimals, as a long."""
+    return F.call_function("div", a.cast("decimal(38,0)"), b)
+
+
+def unpacked_order(packed: Column, rows: DataFrame, order: list[str]) -> Column:
+    """The struct of ``order`` that :func:`packed_order` made a number of."""
+    whole = F.lit(1 << _REST).cast("decimal(19,0)")
+    rest = F.pmod(packed, whole).cast("long")
+    high = _whole_part(packed - rest.cast("decimal(19,0)"), whole)
+    kinds = dict(rows.dtypes)
+    parts = [high.cast(kinds[order[0]]).alias(order[0])]
+    for k, c in enumerate(order[1:]):
+        parts.append(F.call_function("shiftright", rest, F.lit(31 * (1 - k))).bitwiseAND(F.lit((1 << 31) - 1)).cast(kinds[c]).alias(c))
+    return F.struct(*parts)
+
+
 def first_seen(rows: DataFrame, text_col: str, order: list[str]) -> DataFrame:
-    """``text, first``: each distinct text and the place, a struct of ``order``, where it is first seen. One partial aggregate."""
-    return rows.groupBy(F.col(text_col).alias("text")).agg(F.min(F.struct(*order)).alias("first"))
+    """``text, first``: each distinct text and the place, a struct of ``order``, where it is first seen.
+
+    One partial aggregate, by hash where the order can be packed into a number.
+    """
+    packed = packed_order(rows, order)
+    if packed is None:
+        return rows.groupBy(F.col(text_col).alias("text")).agg(F.min(F.struct(*order)).alias("first"))
+    found = rows.groupBy(F.col(text_col).alias("text")).agg(F.min(packed).alias("_first"))
+    return found.select("text", unpacked_order(F.col("_first"), rows, order).alias("first"))
 
 
 def names_and_messages(items: DataFrame, order: list[str]) -> DataFrame:
@@ -21,17 +65,41 @@ def names_and_messages(items: DataFrame, order: list[str]) -> DataFrame:
 def occurrence_join(rows: DataFrame, translations: DataFrame, order: list[str], text_col: str = "text", allow_empty: bool = False) -> DataFrame:
     """``rows`` plus ``translated``: dictionary values dealt to the occurrences of their key, from the end.
 
-    ``translations`` has ``text, trans array<string>``. The r-th occurrence from the end takes value ``max(m - r + 1, 1)`` of
-    m. Unknown keys keep their text, and so do empty values unless ``allow_empty``.
+    ``translations`` has ``text, trans array<string>``; its keys are distinct, and ``order`` tells the occurrences of a key
+    apart. The r-th occurrence from the end takes value ``max(m - r + 1, 1)`` of m. Unknown keys keep their text, and so do
+    empty values unless ``allow_empty``.
+
+    Only the last m - 1 occurrences of a key get another value than its first. So ranks are taken of these alone, by a window
+    with a fixed limit that drops all others before the shuffle: the commonest line of a corpus isn't sorted as a whole.
     """
-    w = Window.partitionBy(text_col).orderBy(*[F.desc(c) for c in order])
-    ranked = rows.withColumn("_r", F.row_number().over(w))
-    table = translations.select(F.col("text").alias(text_col), "trans")
-    joined = ranked.join(table, text_col, "left")
-    at = F.greatest(F.size("trans") - F.col("_r") + 1, F.lit(1))
-    value = F.when(F.size("trans") > 0, F.element_at("trans", at))
+    taken = {c.lower() for c in rows.columns}
+
+    def own(name: str) -> str:
+        while name in taken:
+            name += "_"
+        return name
+
+    trans, rank = own("_trans"), own("_rank")
+    table = translations.select(F.col("text").alias(text_col), F.col("trans").alias(trans))
+    most = table.agg(F.max(F.size(trans))).first()[0] or 0
+    joined = rows.join(table, text_col, "left")
+    if most > 1:
+        several = rows.select(text_col, *order).join(table.where(F.size(trans) > 1).select(text_col), text_col, "left_semi")
+        last = Window.partitionBy(text_col).orderBy(*[F.desc(c) for c in order])
+        ranked = several.withColumn(rank, F.row_number().over(last)).where(F.col(rank) < most)
+        joined = joined.join(ranked, [text_col, *order], "left")
+    else:
+        joined = joined.withColumn(rank, F.lit(1))
+    first = F.element_at(trans, 1)
+    by_rank = F.element_at(trans, F.greatest(F.size(trans) - F.col(rank) + 1, F.lit(1)))
+    value = F.when(F.size(trans) > 0, F.when(F.col(rank).isNull(), first).otherwise(by_rank))
     kept = F.coalesce(value if allow_empty else F.when(value != "", value), F.col(text_col))
-    return joined.withColumn("translated", kept).drop("_r", "trans")
+    return joined.select(*rows.columns, kept.alias("translated"))
+
+
+def keep_first(translations: DataFrame) -> DataFrame:
+    """A dictionary with the first value of each key only."""
+    return translations.withColumn("trans", F.slice("trans", 1, 1))
 
 
 def positional_zip(left: DataFrame, right: DataFrame, order_left: list[str], order_right: list[str], left_col: str, right_col: str) -> DataFrame:

@@ -14,6 +14,7 @@ def captures(events: DataFrame, config: ExtractConfig, file_cols: list[str], lin
     Only the next event of the file touches a line's last capture, so one window over the file's events is enough: the flags
     of the following match (and a skip's own) are brought back with ``lead`` and folded into the capture's keys.
     """
+    events = _with_intervals(events, config, file_cols, line_col)
     w = Window.partitionBy(*file_cols).orderBy(line_col)
     after = w.rowsBetween(1, Window.unboundedFollowing)
     # what a matched line does to the capture before it: each capture's own flags, and a name ends what is unfinished
@@ -26,7 +27,7 @@ def captures(events: DataFrame, config: ExtractConfig, file_cols: list[str], lin
         F.col("next_kind") == "skip", F.concat(skip_ops, F.coalesce("next_ops", none)) if config.skip_ignore_ctrl else skip_ops
     ).otherwise(none)
     rows = lines.select(*file_cols, line_col, "kind", F.size("captures").alias("n"), reached.alias("reached"), F.posexplode_outer("captures").alias("cap_no", "c"))
-    rows = _intervals(rows, config, file_cols, line_col).where("kind = 'match' and c is not null")
+    rows = rows.where("kind = 'match' and c is not null")
     is_last = F.col("cap_no") == F.col("n") - 1
     live = is_last if config.name_keep_ctrl else is_last & ~F.array_contains("c.keys", "name")
 
@@ -35,16 +36,31 @@ def captures(events: DataFrame, config: ExtractConfig, file_cols: list[str], lin
         blocked = F.coalesce(F.contains(F.col("c.blocks"), key), F.lit(False))
         return F.when(F.substring(op, 1, 1) == "-", F.array_remove(keys, key)).when(blocked, keys).otherwise(F.array_union(keys, F.array(key)))
 
-    held = F.when(F.col("interval") != "", F.array_union("c.keys", F.array("interval"))).otherwise(F.col("c.keys"))
+    held = F.when(F.col("c.interval") != "", F.array_union("c.keys", F.array("c.interval"))).otherwise(F.col("c.keys"))
     keys = F.aggregate(F.when(live, F.col("reached")).otherwise(none), held, fold)
     return rows.select(*file_cols, line_col, "cap_no", "c.start", "c.end", "c.text", keys.alias("keys"), "c.type")
 
 
-def _intervals(rows: DataFrame, config: ExtractConfig, file_cols: list[str], line_col: str) -> DataFrame:
-    """``interval``: the key that the last start, not followed by an end or a skip, made hold; '' for none."""
+def _with_intervals(events: DataFrame, config: ExtractConfig, file_cols: list[str], line_col: str) -> DataFrame:
+    """``events`` whose captures' ``interval`` is the key that holds there ('' for none), without empty captures.
+
+    Inside a line, what holds at a capture is the last start or end up to it; before that, the last of an earlier line, unless
+    a skip came between. So lines are the rows of the window, not captures.
+    """
+    last = lambda until: F.element_at(F.filter(F.transform(F.slice("captures", 1, until), lambda c: c["interval"]), lambda x: x.isNotNull()), -1)
+    said = F.when(F.size(F.filter("captures", lambda c: c["interval"].isNotNull())) > 0, last(F.size("captures")))
     reset = F.lit(None).cast("string") if config.skip_ignore_unfinish else F.when(F.col("kind") == "skip", F.lit(""))
-    w = Window.partitionBy(*file_cols).orderBy(line_col, "cap_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("interval", F.coalesce(F.last(F.coalesce("c.interval", reset), ignorenulls=True).over(w), F.lit("")))
+    before = Window.partitionBy(*file_cols).orderBy(line_col).rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.withColumn("_said", F.coalesce(said, reset))
+    rows = rows.withColumn("_held", F.coalesce(F.last("_said", ignorenulls=True).over(before), F.lit("")))
+    state = F.struct(F.col("_held").alias("held"), F.array().cast(events.schema["captures"].dataType).alias("out"))
+
+    def step(s, c):
+        held = F.coalesce(c["interval"], s["held"])
+        kept = F.when(c["text"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(c.withField("interval", held))))
+        return F.struct(held.alias("held"), kept.alias("out"))
+
+    return rows.withColumn("captures", F.aggregate("captures", state, step)["out"]).drop("_said", "_held")
 
 
 def fill_interval(df: DataFrame, starts, ends, partition: list[str], order: list[str], name: str = "inside") -> DataFrame:

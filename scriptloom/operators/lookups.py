@@ -122,3 +122,12 @@ def learned_names(rows: DataFrame, variable: Column, definition: Column, partiti
     rows = rows.withColumn("_var", variable).withColumn("_def", F.when(definition, F.lead("text").over(w)))
     first = Window.partitionBy(*partition, "_var").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(name, F.first("_def", ignorenulls=True).over(first)).drop("_var", "_def")
+
+
+def jump_targets(commands: DataFrame, file_cols: list[str], address: str, target: str, least: int = 0) -> DataFrame:
+    """``commands`` plus ``target_no``: the number of the command that stands at a jump's target; null where none does.
+
+    Targets below ``least`` aren't jumps. ``commands`` has ``command_no``.
+    """
+    places = commands.select(*file_cols, F.col(address).alias(target), F.col("command_no").alias("target_no"))
+    return commands.join(places.where(F.col(target) >= least), [*file_cols, target], "left")

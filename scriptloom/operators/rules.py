@@ -10,12 +10,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Role, RuleProgram
+from ..functions.charset import is_shift_jis
 from ..regexes import java_pattern
 
 CAPTURE = "struct<start:int,end:int,text:string,keys:array<string>,flags:array<string>,type:string,blocks:string,interval:string>"
@@ -24,7 +26,9 @@ EVENT = f"kind string, captures array<{CAPTURE}>"
 
 
 def search_line(line: str, compiled: list, post_skip, names: frozenset[str], serial: bool) -> tuple[str, list] | None:
-    """The event of one line: ``("skip", [])``, ``("match", captures)`` or None."""
+    """The event of one line: ``("skip", [])``, ``("match", captures)`` or None.
+
+    Captures come with their places and roles; empty ones only if they start or end an interval."""
     for kind, pattern, roles in compiled:
         if kind == "skip":
             if pattern.search(line):
@@ -42,7 +46,8 @@ def search_line(line: str, compiled: list, post_skip, names: frozenset[str], ser
                 accepted = True
                 found[match.start(i)] = (match.start(i), match.end(i), text, role)
         if accepted:
-            return "match", [c for c in found.values() if c[2] != ""]
+            # an empty capture isn't one, but an interval that it starts or ends holds
+            return "match", [c for c in found.values() if c[2] != "" or c[3].interval is not None]
     return None
 
 
@@ -56,14 +61,20 @@ def _matches(pattern: re.Pattern, line: str, serial: bool) -> Iterator[re.Match]
         at = match.end() if match.end() > match.start() else match.end() + 1
 
 
+_SPAN = ("search_start", "search_end")
+
+
 def _compile(program: RuleProgram) -> list:
     return [(r.kind, re.compile(r.pattern), r.roles()) for r in program.rules if r.kind]
 
 
 def events(lines: DataFrame, program: RuleProgram, line_col: str = "line") -> DataFrame:
-    """``lines`` without those that match nothing, plus ``kind`` and ``captures`` with positions. Null lines match nothing."""
+    """``lines`` without those that match nothing, plus ``kind`` and ``captures`` with positions. Null lines match nothing.
+
+    Where ``lines`` has ``search_start`` and ``search_end``, rules see only that part of a line; positions are the line's.
+    """
     config, others = program.config, [c for c in lines.columns if c != line_col]
-    names = frozenset(config.name_list)
+    names, part_only = frozenset(config.name_list), set(_SPAN) <= set(lines.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = _compile(program)
@@ -71,12 +82,13 @@ def events(lines: DataFrame, program: RuleProgram, line_col: str = "line") -> Da
         kind_of = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("keys", pa.list_(pa.string())), ("flags", pa.list_(pa.string())), ("type", pa.string()), ("blocks", pa.string()), ("interval", pa.string())]))
         for batch in batches:
             kinds, captures, keep = [], [], []
-            for at, line in enumerate(batch[line_col].to_pylist()):
-                event = None if line is None else search_line(line, compiled, post_skip, names, config.serial_search)
+            spans = zip(*(batch[c].to_pylist() for c in _SPAN), strict=True) if part_only else repeat((0, None))
+            for at, (line, (low, high)) in enumerate(zip(batch[line_col].to_pylist(), spans, strict=False)):
+                event = None if line is None else search_line(line[low:high], compiled, post_skip, names, config.serial_search)
                 if event:
                     keep.append(at)
                     kinds.append(event[0])
-                    captures.append([{"start": s, "end": e, "text": t, "keys": list(r.keys), "flags": list(r.flags), "type": r.type, "blocks": r.blocks, "interval": r.interval} for s, e, t, r in event[1]])
+                    captures.append([{"start": low + s, "end": low + e, "text": t, "keys": list(r.keys), "flags": list(r.flags), "type": r.type, "blocks": r.blocks, "interval": r.interval} for s, e, t, r in event[1]])
             part = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([part[c] for c in others] + [pa.array(kinds, pa.string()), pa.array(captures, kind_of)], [*others, "kind", "captures"])
 
@@ -129,3 +141,85 @@ def first_match(lines: DataFrame, program: RuleProgram, line_col: str = "line")
             steps.append((F.size(found) > 0, F.struct(F.lit(i).alias("rule"), F.lit("match").alias("kind"), texts.alias("texts"))))
     decided = reduce(lambda done, step: F.when(step[0], step[1]).otherwise(done), reversed(steps), F.lit(None))
     return _from_start(lines, config).withColumn("_hit", decided).select(*lines.columns, "_hit.rule", "_hit.kind", "_hit.texts")
+
+
+# ---- bytes -----------------------------------------------------------------------------------------------------------
+
+#: A capture of bytes: places in bytes, and the place and value of the length in front (-1: there is none).
+BYTE_CAPTURE = CAPTURE[:-1] + ",prefix_at:int,prefix:long>"
+
+
+def search_unit(data: bytes, compiled: list, program: RuleProgram) -> tuple[str, list] | None:
+    """As :func:`search_line`, over bytes: captures are ``(start, end, text, role, prefix_at, prefix)``."""
+    config = program.config
+    post_skip = re.compile(config.post_skip) if config.post_skip else None
+    single = re.compile(config.check_jis.encode("latin-1")) if config.check_jis else None
+    for kind, pattern, roles in compiled:
+        if kind == "skip":
+            if pattern.search(data):
+                return "skip", []
+            continue
+        found: dict[int, tuple] = {}
+        at, accepted = 0, False
+        while at <= len(data) and (match := pattern.search(data, at)):
+            moved = 0
+            for i, role in enumerate(roles, 1):
+                if match.group(i) is None:
+                    continue
+                start, end, prefix_at, prefix = *match.span(i), -1, -1
+                if config.pre_len and not role.nolen:
+                    offset = config.pre_len_offset
+                    prefix_at = match.start() if offset == "start" else start + (-config.pre_len if offset is None else offset)
+                    prefix = int.from_bytes(data[max(0, prefix_at) : prefix_at + config.pre_len], "little")
+                    if config.pre_len_strict:
+                        told = start + prefix * config.pre_len_scale + config.pre_len_add
+                        if not start <= told <= len(data):
+                            break
+                        moved, end = moved + told - end, told
+                raw = data[start:end]
+                if role.skip or (config.check_jis is not None and not is_shift_jis(raw, single)):
+                    continue
+                try:
+                    text = raw.decode(config.encoding)
+                except UnicodeDecodeError:
+                    if config.ignore_decode_error:
+                        continue
+                    raise
+                if post_skip and post_skip.search(text):
+                    continue
+                accepted = True
+                found[start] = (start, end, text, Role(keys=("name",)) if text in config.name_list else role, prefix_at, prefix)
+            step = match.end() + moved
+            at = step if step > max(at, match.start()) else max(at, match.end()) + 1
+        if accepted:
+            return "match", [c for c in found.values() if c[2] != "" or c[3].interval is not None]
+    return None
+
+
+def byte_events(units: DataFrame, program: RuleProgram, unit_col: str = "unit") -> DataFrame:
+    """``units`` of bytes without those that match nothing, plus ``kind`` and ``captures`` (:data:`BYTE_CAPTURE`).
+
+    Patterns are those of the rule text in the texts' encoding. A capture that can't be decoded fails the job, or is dropped
+    with ``ignoreDecodeError``. Null units match nothing.
+    """
+    others = [c for c in units.columns if c != unit_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [(r.kind, re.compile(r.pattern.encode(program.config.encoding), re.DOTALL), r.roles()) for r in program.rules if r.kind]
+        for batch in batches:
+            rows = []
+            for at, data in enumerate(batch[unit_col].to_pylist()):
+                event = None if data is None else search_unit(data, compiled, program)
+                if event:
+                    rows.append((at, event[0], [
+                        {"start": s, "end": e, "text": t, "keys": list(r.keys), "flags": list(r.flags), "type": r.type, "blocks": r.blocks, "interval": r.interval, "prefix_at": p, "prefix": n}
+                        for s, e, t, r, p, n in event[1]
+                    ]))
+            part = batch.take(pa.array([r[0] for r in rows], pa.int64()))
+            strings = pa.list_(pa.string())
+            kind_of = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("keys", strings), ("flags", strings), ("type", pa.string()), ("blocks", pa.string()), ("interval", pa.string()), ("prefix_at", pa.int32()), ("prefix", pa.int64())]))
+            made = [pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], kind_of)]
+            yield pa.RecordBatch.from_arrays([part[c] for c in others] + made, [*others, "kind", "captures"])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in units.schema if f.name != unit_col)
+    return units.select(*others, unit_col).mapInArrow(run, f"{schema}kind string, captures array<{BYTE_CAPTURE}>")

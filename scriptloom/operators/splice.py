@@ -1,10 +1,16 @@
-"""Putting translated spans back into their lines, and lines into files (survey X18, F14, F17, P18)."""
+"""Putting translated spans back into their lines, and lines into files (survey X17, X18, F14, F17, P18)."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import ExtractConfig
+from ..functions.charset import fit_bytes
+
 
 def splice(lines: DataFrame, spans: DataFrame, keys: list[str], line_col: str = "line") -> DataFrame:
     """``lines`` with each span (``keys, start, end, translated``; offsets in characters, from 0) replaced.
@@ -41,3 +47,86 @@ def write_shifted(df: DataFrame, columns: list[str], offset: int, values: dict[s
         target = df.columns[at] if at < len(df.columns) else f"{name}_{offset}"
         out[target] = F.coalesce(value, F.col(name))
     return df.withColumns({k: v for k, v in out.items() if columns is None or k not in columns or offset})
+
+
+def splice_texts(texts: DataFrame, spans: DataFrame, file_col: str, text_col: str = "text") -> DataFrame:
+    """``texts`` with spans (``file, line_no, start, end, translated``) put in place in one pass over each text.
+
+    Lines and their ends stay where they are: only the spans are shuffled to their text, never lines. Spans of a line don't
+    overlap. A text without spans comes back as it was.
+    """
+
+    @F.pandas_udf("string")
+    def put(text: pd.Series, changes: pd.Series) -> pd.Series:
+        def one(t, found):
+            if t is None or found is None:
+                return t
+            by_line: dict[int, list] = {}
+            for x in found:
+                by_line.setdefault(x["line_no"], []).append((x["start"], x["end"], x["translated"]))
+            out = []
+            for n, part in enumerate(re.split("(\r\n|\n)", t)):
+                at = 0
+                for start, end, new in sorted(by_line.get(n // 2, ())) if n % 2 == 0 else ():
+                    out += [part[at:start], new]
+                    at = end
+                out.append(part[at:])
+            return "".join(out)
+
+        return pd.Series([one(t, c) for t, c in zip(text, changes, strict=True)], dtype=object)
+
+    grouped = spans.groupBy(file_col).agg(F.collect_list(F.struct("line_no", "start", "end", "translated")).alias("_spans"))
+    joined = texts.join(grouped, file_col, "left")
+    return joined.withColumn(text_col, put(F.col(text_col), F.col("_spans"))).select(*texts.columns)
+
+
+def splice_bytes(units: DataFrame, spans: DataFrame, keys: list[str], config: ExtractConfig, unit_col: str = "unit") -> DataFrame:
+    """``units`` of bytes with spans (``keys, start, end, translated, prefix_at, prefix``; places in bytes) replaced.
+
+    With ``cutoff`` a translation is cut or filled to the bytes it replaces. With ``preLen`` and ``preLenFix`` the length in front
+    grows by what the text grew; where it counts more than single bytes, zeros fill the text up to a whole count. A
+    translation that can't be encoded leaves its span as it was.
+    """
+
+    @F.pandas_udf("binary")
+    def put(unit: pd.Series, changes: pd.Series) -> pd.Series:
+        def one(data, found):
+            if data is None or found is None:
+                return data
+            out = bytearray(data)
+            # from the last to the first, so that no place moves before it is used
+            for x in sorted(found, key=lambda x: -x["start"]):
+                low, high = x["start"], x["end"]
+                try:
+                    new = fit_bytes(x["translated"], high - low, config.encoding)[0] if config.cutoff else x["translated"].encode(config.encoding)
+                except UnicodeEncodeError:
+                    continue
+                grown = len(new) - (high - low)
+                if grown and config.pre_len and config.pre_len_fix and x["prefix_at"] >= 0:
+                    fill = -grown % config.pre_len_scale
+                    new, grown = new + bytes(fill), grown + fill
+                    at = x["prefix_at"]
+                    out[low:high] = new
+                    out[at : at + config.pre_len] = (x["prefix"] + grown // config.pre_len_scale).to_bytes(config.pre_len, "little")
+                else:
+                    out[low:high] = new
+            return bytes(out)
+
+        return pd.Series([one(d, c) for d, c in zip(unit, changes, strict=True)], dtype=object)
+
+    grouped = spans.groupBy(*keys).agg(F.collect_list(F.struct("start", "end", "translated", "prefix_at", "prefix")).alias("_spans"))
+    joined = units.join(grouped, keys, "left")
+    return joined.withColumn(unit_col, put(F.col(unit_col), F.col("_spans"))).select(*units.columns)
+
+
+def cutoffs(spans: DataFrame, config: ExtractConfig) -> DataFrame:
+    """``trans, short, diff``: translations longer than what they replace, for a dictionary of shorter ones (``cutoff.json``).
+
+    ``short`` is the translation itself with ``cutoffCopy``, else empty; ``diff`` the bytes too many. Encodings are those that
+    Spark's ``encode`` knows; UTF-8 for others.
+    """
+    known = config.encoding.upper().replace("-", "").replace("_", "")
+    size = F.octet_length(F.encode("translated", "ISO-8859-1" if known in ("LATIN1", "ISO88591") else "UTF-16LE" if known == "UTF16LE" else "UTF-8"))
+    over = (size - (F.col("end") - F.col("start"))).alias("diff")
+    found = spans.select(F.col("translated").alias("trans"), over).where("diff > 0")
+    return found.groupBy("trans").agg(F.max("diff").alias("diff")).withColumn("short", F.col("trans") if config.cutoff_copy else F.lit(""))

@@ -1,11 +1,14 @@
-"""File-level tools over dictionaries and lists (survey T1 to T5, section 2.7)."""
+"""File-level tools over dictionaries, lists and workbooks (survey T1 to T6, section 2.7)."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dictionary import last_wins, with_position
+from .dictionary import last_wins, packed_order, with_position
 
 
 def merge_lists(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -65,7 +68,49 @@ def unflatten_path(name, sep: str = "__"):
     return F.replace(name, F.lit(sep), F.lit("/"))
 
 
+def merge_sheets(rows: DataFrame, file_col: str = "file", sheet_col: str = "sheet") -> DataFrame:
+    """Rows of workbooks as sheets of one: each file's first sheet gets the file's name."""
+    first = rows.groupBy(file_col).agg(F.min(sheet_col).alias("_first"))
+    kept = rows.join(first, file_col).where(F.col(sheet_col) == F.col("_first"))
+    return kept.withColumn(sheet_col, F.regexp_replace(file_col, r"\.xlsx$", "")).drop("_first")
+
+
+def split_sheets(rows: DataFrame, file_col: str = "file", sheet_col: str = "sheet") -> DataFrame:
+    """Sheets of a workbook as workbooks of their own, named after the sheet."""
+    return rows.withColumn(file_col, F.concat(F.col(sheet_col), F.lit(".xlsx"))).withColumn(sheet_col, F.lit("Sheet1"))
+
+
+def collect_files(files: DataFrame, path_col: str = "path", sep: str = "__") -> DataFrame:
+    """``path, name``: every file of a tree under one flat name."""
+    return files.withColumn("name", flatten_path(F.col(path_col), sep))
+
+
+def distribute_files(files: DataFrame, tree: DataFrame, path_col: str = "path", sep: str = "__") -> DataFrame:
+    """Collected files back at the places of a tree: ``path`` of each file whose flat name is one of the tree's, null for others."""
+    places = tree.select(F.col(path_col).alias("_place"), flatten_path(F.col(path_col), sep).alias("name")).distinct()
+    return files.join(places, "name", "left").withColumn(path_col, F.col("_place")).drop("_place")
+
+
+#: What a line of a batch list begins with if it isn't a command.
+COMMENTS = ("#", "//", "::", ";")
+
+
+def batch_commands(lines: DataFrame, order: list[str], line_col: str = "line") -> DataFrame:
+    """``order, verb, name, value`` of a batch list: ``set`` lines with their option, ``extract`` lines with their path.
+
+    Blank lines and comments aren't commands. Anything else is ``shell``, which this engine lists and never runs.
+    """
+    line = F.trim(line_col)
+    kept = lines.where((line != "") & ~reduce(or_, [F.startswith(line, F.lit(c)) for c in COMMENTS]))
+    verb = F.when(F.regexp_like(line, F.lit("^(extract|set)(\\s|$)")), F.regexp_extract(line, "^(\\w+)", 1)).otherwise("shell")
+    rest = F.when(verb == "shell", line).otherwise(F.trim(F.regexp_replace(line, "^\\w+", "")))
+    name = F.when(verb == "set", F.trim(F.split(rest, "=", 2)[0]))
+    value = F.when(verb == "set", F.trim(F.get(F.split(rest, "=", 2), F.lit(1)))).otherwise(rest)
+    return kept.select(*order, verb.alias("verb"), name.alias("name"), value.alias("value"))
+
+
 def top_k(rows: DataFrame, key: str, k: int, order: list[str]) -> DataFrame:
-    """The ``k`` most frequent keys; of equally frequent ones, those seen first."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first"))
-    return counts.orderBy(F.desc("n"), "first").limit(k).drop("first")
+    """The ``k`` most frequent keys; of equally frequent ones, those seen first. One aggregate, by hash where the order packs."""
+    packed = packed_order(rows, order)
+    seen = F.min(F.struct(*order) if packed is None else packed).alias("first")
+    return rows.groupBy(key).agg(F.count("*").alias("n"), seen).orderBy(F.desc("n"), "first").limit(k).drop("first")

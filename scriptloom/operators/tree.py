@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import count
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -84,9 +86,89 @@ def leaves(df: DataFrame, json_col: str, keys: str = "all", depth: int = 64) ->
     return df.select(*others, json_col).mapInArrow(run, f"{schema}leaf_no int, path array<string>, code long, text string")
 
 
+def replace_leaves(df: DataFrame, json_col: str, changes_col: str, keys: str = "all", depth: int = 64, style: int = 0) -> DataFrame:
+    """``df`` with the leaves of its JSON texts replaced: ``changes_col`` is an ``array<struct<leaf_no:int, text:string>>``.
+
+    Leaves are numbered as :func:`leaves` does. Strings that hold JSON are opened and closed again, compactly. Texts that aren't
+    JSON, and rows without changes, come back as they are; ``style`` is that of :func:`scriptloom.sources.formats.rebuilt_json`.
+    """
+    from ..sources.formats import rebuilt_json
+
+    wanted = include_key(keys)
+
+    def rewrite(node, left: int, number: Iterator[int], new: dict[int, str]):
+        if isinstance(node, str):
+            if node[:1] in "[{" and left:
+                try:
+                    tree = json.loads(node)
+                except ValueError:
+                    pass
+                else:
+                    return json.dumps(rewrite(tree, left - 1, number, new), ensure_ascii=False, separators=(",", ":"))
+            return new.get(next(number), node) if node else node
+        if isinstance(node, list) and left:
+            return [rewrite(x, left - 1, number, new) for x in node]
+        if isinstance(node, dict) and left:
+            return {k: rewrite(x, left - 1, number, new) if isinstance(x, (dict, list)) or wanted(k) else x for k, x in node.items()}
+        return node
+
+    @F.pandas_udf("string")
+    def put(text: pd.Series, changes: pd.Series) -> pd.Series:
+        def one(t, found):
+            new = {x["leaf_no"]: x["text"] for x in found} if found is not None else {}
+            try:
+                return rebuilt_json(rewrite(json.loads(t), depth, count(), new), style) if t and new else t
+            except ValueError:
+                return t
+
+        return pd.Series([one(t, c) for t, c in zip(text, changes, strict=True)], dtype=object)
+
+    return df.withColumn(json_col, put(F.col(json_col), F.col(changes_col)))
+
+
+def keep_format_roles(captures: Column, key: Column) -> Column:
+    """Captures of the value of a key ``name`` or ``message``: the last of them is a name, or ends what is unfinished."""
+    last = F.size(captures) - 1
+    keys = lambda c: F.when(key == "name", F.array_union(c["keys"], F.array(F.lit("name")))).when(key == "message", F.array_remove(c["keys"], "unfinish")).otherwise(c["keys"])
+    return F.transform(captures, lambda c, i: F.when(i == last, c.withField("keys", keys(c))).otherwise(c))
+
+
+#: Event codes, what they are for, whether their texts are extracted (x) and whether they break a paragraph (b).
+EVENT_CODES = """
+0 Empty - b; 101 Show Text Attributes x b; 102 Show Choices x b; 103 Input Number - b; 104 Select Key Item - b; 105 Show Scrolling Text Attributes - b;
+108 Comment x -; 111 Conditional Branch - b; 112 Loop - b; 113 Break Loop - b; 115 Exit Event Processing - b; 117 Call Common Event - b; 118 Label - b;
+119 Jump to Label - b; 121 Control Switches - b; 122 Control Variables - b; 123 Control Self Switch - b; 124 Control Timer - b; 125 Change Gold - b;
+126 Change Items - b; 127 Change Weapons - b; 128 Change Armor - b; 129 Change Party Member - b; 132 Change Battle BGM - b; 133 Change Battle End ME - b;
+134 Change Save Access - b; 135 Change Menu Access - b; 136 Change Encounter - b; 137 Change Formation Access - b; 138 Change Window Color - b;
+201 Transfer Player - b; 202 Set Vehicle Location - b; 203 Set Event Location - b; 204 Scroll Map - b; 205 Set Move Route - b; 206 Get on/off Vehicle - b;
+211 Change Transparency - b; 212 Show Animation - b; 213 Shot Balloon Icon - b; 214 Erase Event - b; 216 Change Player Followers - b; 217 Gather Followers - b;
+221 Fadeout Screen - b; 222 Fadein Screen - b; 223 Tint Screen - b; 224 Flash Screen - b; 225 Shake Screen - b; 230 Wait - b; 231 Show Picture - b;
+232 Move Picture - b; 233 Rotate Picture - b; 234 Tint Picture - b; 235 Erase Picture - b; 236 Set Weather Effects - b; 241 Play BGM - b; 242 Fadeout BGM - b;
+243 Save BGM - b; 244 Replay BGM - b; 245 Play BGS - b; 246 Fadeout BGS - b; 249 Play ME - b; 250 Play SE - b; 251 Stop SE - b; 261 Play Movie - b;
+281 Change Map Display - b; 282 Change Tileset - b; 283 Change Battle Back - b; 284 Change Parallax Back - b; 285 Get Location Info - b;
+301 Battle Processing - b; 302 Shop Processing - b; 303 Name Input Processing - b; 311 Change HP - b; 312 Change MP - b; 313 Change State - b;
+314 Recover All - b; 315 Change EXP - b; 316 Change Level - b; 317 Change Parameters - b; 318 Change Skills - b; 319 Change Equipment - b;
+320 Change Actor Name x -; 321 Change Actor Class - b; 322 Change Actor Graphic - b; 323 Change Vehicle Graphic - b; 324 Change Actor Nickname x -;
+331 Change Enemy HP - b; 332 Change Enemy MP - b; 333 Change Enemy State - b; 334 Enemy Recover All - b; 335 Enemy Appear - b; 336 Enemy Transform - b;
+337 Show Battle Animation - b; 339 Force Action - b; 340 Abort Battle - b; 351 Open Menu Screen - b; 352 Open Save Screen - b; 353 Game Over - b;
+354 Return to Title Screen - b; 355 Script x -; 401 Show Text x -; 402 When - b; 403 When Cancel - b; 404 Choices End - b; 405 Show Scrolling Text x -;
+408 Comment More x -; 411 Else - b; 412 Branch End - b; 413 Repeat Above - b; 601 If Win - b; 602 If Escape - b; 603 If Lose - b;
+604 Battle Processing End - b; 605 Shop Item - b; 655 Script More x -; 657 Other x -
+"""
+
+
+def event_codes(spark: SparkSession) -> DataFrame:
+    """``code, label, extract, breaks`` of :data:`EVENT_CODES`."""
+    rows = []
+    for entry in EVENT_CODES.replace("\n", " ").split(";"):
+        code, *label, extract, breaks = entry.split()
+        rows.append((int(code), " ".join(label), extract == "x", breaks == "b"))
+    return spark.createDataFrame(rows, "code long, label string, extract boolean, breaks boolean")
+
+
 def with_codes(rows: DataFrame, codes: DataFrame, code_col: str = "code") -> DataFrame:
-    """Events that a code table (``code, label, extract, breaks``; a few hundred rows at most by its format) says to extract."""
-    table = F.broadcast(codes.where("extract").select(F.col("code").alias(code_col), "label", "breaks"))
+    """Events that a code table (``code, label, extract, breaks``) says to extract."""
+    table = codes.where("extract").select(F.col("code").alias(code_col), "label", "breaks")
     return rows.join(table, code_col)
 
 

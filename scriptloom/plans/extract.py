@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ExtractConfig, RuleProgram
+from ..config import ExtractConfig, RuleProgram, separators_kept
 from ..functions.text import split_zip
-from ..operators import dictionary, flags, items, rules, splice
+from ..operators import dialogue, dictionary, flags, items, rules, splice
 from ..sources.text import lines as split_lines
-from ..sources.text import with_newline
+from ..sources.text import units, with_newline
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,8 @@ def extract(texts: DataFrame, rule_text: str, config: ExtractConfig = ExtractCon
     """Runs a rule text over ``file, text`` rows. Flags reach back only with a paragraph structure."""
     program = RuleProgram.parse(rule_text, config)
     config = program.config
-    lines = split_lines(texts.select(file_col, text_col), text_col)
+    texts = texts.select(file_col, text_col)
+    lines = units(texts, config.separate, text_col) if config.separate else split_lines(texts, text_col)
     found = rules.events(lines, program)
     if not config.structure.startswith("para"):
         found = found.withColumn("captures", F.transform("captures", lambda c: c.withField("flags", F.array().cast("array<string>"))))
@@ -61,5 +62,51 @@ def import_translations(texts: DataFrame, rule_text: str, translations: DataFram
         chosen = chosen.where(~F.array_contains("keys", "name"))
     joined = dictionary.occurrence_join(chosen, translations, [file_col, "line_no", "cap_no"], allow_empty=config.allow_empty)
     spliced = splice.splice(found.lines, joined.select(file_col, "line_no", "start", "end", "translated"), [file_col, "line_no"])
+    if config.separate:
+        # separators that are units are there already; others are written as the option says, escapes read
+        between = "" if separators_kept(config.separate) else config.separate.encode().decode("unicode_escape")
+        return splice.rebuild_files(spliced, file_col, "line_no", "line", between)
     votes = with_newline(texts.select(file_col, text_col)).select(file_col, "newline")
     return splice.rebuild_files(spliced.join(votes, file_col), file_col, "line_no", "line", F.col("newline"))
+
+
+def extract_brackets(texts: DataFrame, rule_text: str, config: ExtractConfig = ExtractConfig(), file_col: str = "file", text_col: str = "text") -> DataFrame:
+    """Captures of bracketed scripts: ``file, line_no, at, start, end, text, keys, type`` (see :func:`.dialogue.bracket_events`)."""
+    program = RuleProgram.parse(rule_text, config)
+    found = flags.captures(dialogue.bracket_events(texts, program, file_col, text_col), program.config, [file_col], "at")
+    return found.withColumn("line_no", dialogue.line_of(F.col("at")))
+
+
+def extract_blocks(texts: DataFrame, config: ExtractConfig = ExtractConfig(), file_col: str = "file", text_col: str = "text") -> DataFrame:
+    """Captures of block files (see :func:`.dialogue.block_events`)."""
+    found = flags.captures(dialogue.block_events(texts, file_col, text_col), config, [file_col], "at")
+    return found.withColumn("line_no", dialogue.line_of(F.col("at")))
+
+
+def extract_bytes(units_: DataFrame, rule_text: str, config: ExtractConfig = ExtractConfig(), keys: tuple[str, ...] = ("file",), order: str = "unit_no") -> DataFrame:
+    """Captures of units of bytes, with the place and value of a length in front: what :func:`import_bytes` needs."""
+    program = RuleProgram.parse(rule_text, config)
+    found = rules.byte_events(units_, program)
+    flat = found.where("kind = 'match'").select(*keys, order, F.posexplode("captures").alias("cap_no", "c")).where("c.text <> ''")
+    marked = flags.captures(found.withColumn("captures", F.transform("captures", lambda c: c.dropFields("prefix_at", "prefix"))), program.config, list(keys), order)
+    places = flat.select(*keys, order, F.col("c.start").alias("start"), "c.prefix_at", "c.prefix")
+    return marked.join(places, [*keys, order, "start"])
+
+
+def import_bytes(units_: DataFrame, rule_text: str, translations: DataFrame, config: ExtractConfig = ExtractConfig(), keys: tuple[str, ...] = ("file",), order: str = "unit_no") -> DataFrame:
+    """``units_`` with ``translations(text, trans array)`` put in place, lengths in front made right."""
+    found = extract_bytes(units_, rule_text, config, keys, order)
+    config = RuleProgram.parse(rule_text, config).config
+    joined = dictionary.occurrence_join(found, translations, [*keys, order, "cap_no"], allow_empty=config.allow_empty)
+    return splice.splice_bytes(units_, joined, [*keys, order], config)
+
+
+def import_table(df: DataFrame, columns: dict[str, DataFrame], config: ExtractConfig = ExtractConfig()) -> DataFrame:
+    """A table whose cells are translated by dictionaries (``text, trans``; one for each column), ``writeOffset`` columns to the right."""
+    values = {}
+    for name, table in columns.items():
+        firsts = table.select(F.col("text").alias(name), F.element_at("trans", 1).alias(f"_{name}"))
+        df = df.join(firsts, name, "left")
+        values[name] = F.when(F.col(f"_{name}") != "", F.col(f"_{name}"))
+    written = splice.write_shifted(df, list(columns), config.write_offset, values)
+    return written.drop(*[f"_{c}" for c in columns])

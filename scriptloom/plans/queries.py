@@ -11,7 +11,7 @@ from ..config import RuleProgram
 from ..functions import charset, layout
 from ..functions import text as tx
 from ..operators import dictionary, flags, items, lookups, rules, sequences, splice, tools, tree
-from ..sources import formats
+from ..sources import formats, tables
 from ..sources.text import lines as split_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,11 +229,12 @@ def format05(spark, d):
     return formats.document(first, F.array("text"), ["line_no"], ["doc_id"], 5)
 
 
-@query(r"select item_id, text as key, reverse(left(text, 20)) as value from benchmark")
-def format08_12(spark, d):
-    rows = table(spark, d, "benchmark").select("item_id", "text", F.reverse(F.left("text", F.lit(20))).alias("trans"))
-    sheet = formats.xlsx_rows(8, rows.select("text", "trans")).select(F.col("Key").alias("key"), F.col("Value").alias("value"))
-    return rows.select("item_id", F.col("text").alias("key")).join(sheet, "key").select("item_id", "key", "value")
+@query(r"select text as key, reverse(left(text, 20)) as value from benchmark union all select 'Key', 'Value'")
+def format08_file(spark, d):
+    """Format 8 as a workbook's bytes, read back; the header is its first row."""
+    rows = table(spark, d, "benchmark").select("text", F.reverse(F.left("text", F.lit(20))).alias("trans"))
+    book = tables.sheets(spark.createDataFrame([("a", bytearray(formats.workbook_of(formats.xlsx_rows(8, rows))))], "file string, data binary"))
+    return book.select(F.get("cells", F.lit(0)).alias("key"), F.get("cells", F.lit(1)).alias("value"))
 
 
 @query(f"""with {LINES}, o as (select doc_id, line_no, line as text, row_number() over (partition by line order by doc_id desc, line_no desc) as r from lines where line <> ''),
@@ -389,10 +390,11 @@ def event_code_break(spark, d):
     return rows.select("user_id", "event_id", "label", running.alias("paragraph"))
 
 
-@query("select page_id, '<' || rpad(page_id::varchar, 7, ' ') || '>' || url as tagged, url as untagged from pages")
+@query("select page_id, '<' || rpad(left(url, 12), 7, ' ') || '>' || url as tagged, case when length(url) > 4 then substr(url, 5) else '' end as untagged from pages")
 def tag_prefix(spark, d):
-    made = tree.tag(F.col("page_id"), F.col("url"))
-    return table(spark, d, "pages").select("page_id", made.alias("tagged"), tree.untag(made).alias("untagged"))
+    """Keys longer than the tag are cut; untagging cuts as wide as tagging, whatever the text is."""
+    made = tree.tag(F.left("url", F.lit(12)), F.col("url"))
+    return table(spark, d, "pages").select("page_id", made.alias("tagged"), tree.untag(F.concat(F.lit("<key"), F.lit("    >"), F.substring("url", 5, 1 << 20))).alias("untagged"))
 
 
 # ---- neighbourhoods --------------------------------------------------------------------------------------------------
@@ -548,17 +550,28 @@ def hard_wrap(spark, d):
     return table(spark, d, "benchmark").select("item_id", tx.hard_wrap(F.col("text"), 20, "/").alias("text"))
 
 
-@query(f"with {LINES} select doc_id, count(*) filter (where length(line) > 300) as n_over from lines group by 1")
+@query(r"select doc_id, list_filter(string_split(text, chr(10)), lambda x: length(x) > 300) as long_lines from documents")
 def over_length(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(tx.over_length(F.split("text", "\n", -1), 300)).cast("long").alias("n_over"))
+    return table(spark, d, "documents").select("doc_id", tx.over_length(F.split("text", "\n", -1), 300).alias("long_lines"))
 
 
-@query("select doc_id, text from documents")
-def splice_roundtrip(spark, d):
-    """Every capitalised word put back where it was found, lines joined again: the text as it was."""
-    rows = doc_lines(spark, d)
+@query(rf"""with {LINES}, p as (select doc_id, line_no, list_transform(regexp_extract_all(line, '[A-Z][a-z]+|[^A-Z]+|[A-Z]'), lambda x: case when regexp_matches(x, '^[A-Z][a-z]+') then reverse(x) else x end) as l from lines)
+select doc_id, string_agg(coalesce(array_to_string(l, ''), ''), chr(10) order by line_no) as text from p group by 1""")
+def splice_changed(spark, d):
+    """Every capitalised word turned round where it was found; spans move to their text, lines don't."""
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "\r\n", "\n").alias("text"))
+    found = rules.events(split_lines(docs), RuleProgram.parse("10_search=([A-Z][a-z]+)")).select("doc_id", "line_no", F.explode("captures").alias("c"))
+    spans = found.select("doc_id", "line_no", "c.start", "c.end", F.reverse("c.text").alias("translated"))
+    return splice.splice_texts(docs, spans, "doc_id")
+
+
+@query(rf"""with {LINES}, p as (select doc_id, line_no, list_transform(regexp_extract_all(line, '[A-Z][a-z]+|[^A-Z]+|[A-Z]'), lambda x: case when regexp_matches(x, '^[A-Z][a-z]+') then reverse(x) else x end) as l from lines where doc_id % 4 = 0)
+select doc_id, string_agg(coalesce(array_to_string(l, ''), ''), chr(10) order by line_no) as text from p group by 1""")
+def splice_lines(spark, d):
+    """The same over lines that stay relations: spans joined to lines, lines joined to files."""
+    rows = doc_lines(spark, d).where("doc_id % 4 = 0")
     found = rules.events(rows, RuleProgram.parse("10_search=([A-Z][a-z]+)")).select("doc_id", "line_no", F.explode("captures").alias("c"))
-    spans = found.select("doc_id", "line_no", "c.start", "c.end", F.col("c.text").alias("translated"))
+    spans = found.select("doc_id", "line_no", "c.start", "c.end", F.reverse("c.text").alias("translated"))
     return splice.rebuild_files(splice.splice(rows, spans, ["doc_id", "line_no"]), "doc_id", "line_no", "line")
 
 
@@ -574,17 +587,16 @@ def dedupe_first(spark, d):
     return dictionary.dedupe_first(table(spark, d, "documents").select("text", "doc_id"), ["text"], ["doc_id"])
 
 
-@query("select item_id, case when strlen(text) <= 40 then text end as whole, strlen(text)::int as n_bytes from benchmark")
+@query("select item_id, left(text, list_max(list_filter(range(0, 41), lambda i: strlen(left(text, i)) <= 40))) as cut, strlen(text)::int as n_bytes from benchmark")
 def cutoff_utf8(spark, d):
     t = F.col("text")
-    cut = tx.cut_utf8(t, 40)
-    return table(spark, d, "benchmark").select("item_id", F.when(cut == t, cut).alias("whole"), F.octet_length(t).alias("n_bytes"))
+    return table(spark, d, "benchmark").select("item_id", tx.cut_utf8(t, 40).alias("cut"), F.octet_length(t).alias("n_bytes"))
 
 
-# ---- order-dependent functions without SQL ---------------------------------------------------------------------------
+# ---- order-dependent functions ---------------------------------------------------------------------------------------
 
 
-@query()
+@query(r"select item_id, case when not regexp_matches(text, '[^\x00-\xFF]') then list_transform(range(0, length(text), 32), lambda i: substr(text, (i + 1)::bigint, 32)) end as lines from benchmark")
 def wrap_bytes(spark, d):
     return table(spark, d, "benchmark").select("item_id", layout.wrap_bytes(F.col("text"), 32, "latin-1").alias("lines"))
 
@@ -599,32 +611,76 @@ def redistribute(spark, d):
     return docs.join(b, "item_id").select("doc_id", layout.redistribute(F.col("text"), F.col("trans"), config).alias("lines"))
 
 
-@query()
+@query("select doc_id, list_transform(range(0, len(string_split(text, chr(10)))), lambda i: case when i < len(string_split(text, chr(10))) - 1 then coalesce(nullif(substr(t, (i * 40 + 1)::bigint, 40), ''), '　') else coalesce(nullif(substr(t, (i * 40 + 1)::bigint), ''), '　') end) as lines from (select d.doc_id, d.text, replace(b.text, chr(10), '') as t from documents d join benchmark b on d.doc_id % 40 = b.item_id) where contains(text, chr(10))")
+def redistribute_fixed(spark, d):
+    """Pieces of a fixed width for the lines of the original, the rest in the last."""
+    docs = table(spark, d, "documents").where(F.contains("text", F.lit("\n"))).withColumn("item_id", F.col("doc_id") % 40)
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("trans"))
+    from ..config import ExtractConfig
+
+    config = ExtractConfig(para_sep="\n", fixed_max_per_line=True, max_per_line=40)
+    return docs.join(b, "item_id").select("doc_id", layout.redistribute(F.col("text"), F.col("trans"), config).alias("lines"))
+
+
+@query("""with c as (select item_id, text, left(text, list_max(list_filter(range(0, 65), lambda i: strlen(left(text, i)) <= 64))) as cut from benchmark)
+select item_id, hex(encode(cut)) || repeat('20', (64 - strlen(cut))::int) as data, (64 - strlen(text))::int as diff from c""")
 def fit_bytes(spark, d):
     t = F.col("text")
     return table(spark, d, "benchmark").select("item_id", charset.fitted(t, F.lit(64), "utf-8").alias("f")).select("item_id", F.hex("f.data").alias("data"), "f.diff")
 
 
-@query("select item_id, text from benchmark")
+@query("select item_id, array_to_string(list_transform(range(0, strlen(text)), lambda i: printf('%02X', xor(('0x' || substr(hex(encode(text)), (2 * i + 1)::bigint, 2))::int, [90, 165, 15][i % 3 + 1]))), '') as data from benchmark")
 def xor_bytes(spark, d):
-    once = charset.xor(F.encode("text", "utf-8"), b"\x5a\xa5\x0f")
-    return table(spark, d, "benchmark").select("item_id", F.decode(charset.xor(once, b"\x5a\xa5\x0f"), "utf-8").alias("text"))
+    return table(spark, d, "benchmark").select("item_id", F.hex(charset.xor(F.encode("text", "utf-8"), b"\x5a\xa5\x0f")).alias("data"))
 
 
-@query()
+def _bracketed(spark, d) -> DataFrame:
+    t = dictionary.dedupe_first(table(spark, d, "conversations").select("conv_id", "turn", "text", "role"), ["conv_id", "turn"], ["text"])
+    return t.withColumn("text", F.concat(F.when(F.col("turn") % 3 == 0, "「").otherwise(""), "text", F.when(F.col("turn") % 3 == 2, "」").otherwise("")))
+
+
+@query("""with recursive t as (select conv_id, turn, min(struct_pack(text := text, role := role)) as x from conversations group by all),
+b as (select conv_id, turn, x.role as name, case when turn % 3 = 0 then '「' else '' end || x.text || case when turn % 3 = 2 then '」' else '' end as text, row_number() over (partition by conv_id order by turn) as rn from t),
+c as (select *, len(regexp_extract_all(text, '[「『]')) - len(regexp_extract_all(text, '[」』]')) as bal from b),
+s as (select a.conv_id, a.rn, z.rn as upto, sum(m.bal) as open from c a join c z on z.conv_id = a.conv_id and z.rn between a.rn and a.rn + 8 + 1 join c m on m.conv_id = a.conv_id and m.rn between a.rn and z.rn group by all),
+e as (select conv_id, rn, least(coalesce(min(upto) filter (where open <= 0), 1000000), rn + 9, (select max(rn) from c where c.conv_id = s.conv_id)) as upto from s group by conv_id, rn),
+g(conv_id, rn) as (select distinct conv_id, 1::bigint from c union all select g.conv_id, e.upto + 1 from g join e on e.conv_id = g.conv_id and e.rn = g.rn where exists (select 1 from c where c.conv_id = g.conv_id and c.rn = e.upto + 1))
+select g.conv_id as file, f.turn as first, (e.upto - g.rn + 1)::int as n_parts, f.name, (select string_agg(text, '' order by rn) from c where c.conv_id = g.conv_id and c.rn between g.rn and e.upto) as message
+from g join e on e.conv_id = g.conv_id and e.rn = g.rn join c f on f.conv_id = g.conv_id and f.rn = g.rn""")
 def balance_merge(spark, d):
-    t = table(spark, d, "conversations").withColumn("text", F.concat(F.when(F.col("turn") % 3 == 0, "「").otherwise(""), "text", F.when(F.col("turn") % 3 == 2, "」").otherwise("")))
-    return sequences.merge_unclosed(t, "conv_id", "turn", "role", "text")
+    return sequences.merge_unclosed(_bracketed(spark, d), "conv_id", "turn", "role", "text")
 
 
-@query()
-def speaker_merge3(spark, d):
-    t = split_lines(table(spark, d, "documents").select("doc_id", "lang", "text"))
-    return sequences.merge_speaker_lines(t, "doc_id", "line_no", "lang", "line")
+_MARKED = "case when line_no % 7 = 1 then '「' when line_no % 11 = 4 then '（' else '' end || line || case when line_no % 7 = 3 then '」' when line_no % 11 = 4 then '）' else '' end"
 
 
-@query()
+@query(f"""with recursive {LINES}, t as (select doc_id, line_no, case when (line_no // 5) % 2 = 0 then 'a' else 'b' end as speaker, {_MARKED} as line from lines where doc_id % 5 = 0 and line_no < 60),
+n as (select *, regexp_matches(line, '[」）)]') as closes, left(line, 1) in ('「', '（', '(') as opens, case left(line, 1) when '「' then contains(line, '」') when '（' then contains(line, '）') when '(' then contains(line, ')') else false end as whole from t),
+e as (select a.doc_id, a.line_no, case when a.whole then a.line_no
+  when a.opens and not a.closes then least(coalesce((select min(z.line_no) from n z where z.doc_id = a.doc_id and z.line_no > a.line_no and z.closes), 1000000), coalesce((select min(z.line_no) - 1 from n z where z.doc_id = a.doc_id and z.line_no > a.line_no and z.speaker <> a.speaker), 1000000), (select max(z.line_no) from n z where z.doc_id = a.doc_id))
+  else least(a.line_no + 2, coalesce((select min(z.line_no) - 1 from n z where z.doc_id = a.doc_id and z.line_no > a.line_no and (z.speaker <> a.speaker or z.opens)), 1000000), (select max(z.line_no) from n z where z.doc_id = a.doc_id)) end as upto from n a),
+g(doc_id, line_no) as (select distinct doc_id, 0 from n union all select g.doc_id, (e.upto + 1)::int from g join e on e.doc_id = g.doc_id and e.line_no = g.line_no join n on n.doc_id = g.doc_id and n.line_no = e.upto + 1)
+select g.doc_id as file, g.line_no as first, (e.upto - g.line_no + 1)::int as n_parts, f.speaker as name, (select string_agg(line, chr(13) || chr(10) order by line_no) from n where n.doc_id = g.doc_id and n.line_no between g.line_no and e.upto) as message
+from g join e on e.doc_id = g.doc_id and e.line_no = g.line_no join n f on f.doc_id = g.doc_id and f.line_no = g.line_no""")
+def speaker_merge3(spark, d):
+    """Two speakers in turn, with brackets that close in their line, later, or never."""
+    docs = table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id", "text")
+    n = F.col("line_no")
+    opened = F.when(n % 7 == 1, "「").when(n % 11 == 4, "（").otherwise("")
+    closed = F.when(n % 7 == 3, "」").when(n % 11 == 4, "）").otherwise("")
+    rows = split_lines(docs).where("line_no < 60").withColumn("line", F.concat(opened, "line", closed)).withColumn("speaker", F.when(F.floor(n / 5) % 2 == 0, "a").otherwise("b"))
+    return sequences.merge_speaker_lines(rows, "doc_id", "line_no", "speaker", "line")
+
+
+@query("""with t as (select conv_id, turn, min(struct_pack(text := text, role := role)) as x from conversations group by all)
+select conv_id as file, turn as seq, case when turn % 4 = 1 or turn % 8 = 2 then x.role else upper(x.role) end as name, case when turn % 4 = 1 then x.text else lower(x.text) end as message,
+case when turn % 4 = 1 then 'new_item' when turn % 8 = 2 then 'new_name' end as fix from t""")
 def align_fix_missing(spark, d):
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("name"), F.col("text").alias("message"))
-    old = t.where("turn % 4 <> 1").withColumns({"trans_name": F.upper("name"), "trans": F.lower("message")})
+    """Old translations, without every fourth item and without some names, carried over."""
+    t = dictionary.dedupe_first(table(spark, d, "conversations").select("conv_id", "turn", "text", "role"), ["conv_id", "turn"], ["text"])
+    t = t.select("conv_id", "turn", F.col("role").alias("name"), F.col("text").alias("message"))
+    old = t.where("turn % 4 <> 1").withColumn("name", F.when(F.col("turn") % 8 != 2, F.col("name"))).withColumns({"trans_name": F.upper("name"), "trans": F.lower("message")})
     return sequences.align_inserts(t, old, "conv_id", "turn")
+
+
+from . import script_queries  # noqa: E402, F401  (registers its queries)

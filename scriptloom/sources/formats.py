@@ -6,13 +6,13 @@ only their final concatenation gathers a group, and it is as large as the docume
 
 from __future__ import annotations
 
-import importlib.util
 import json
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .xlsx import MOST_ROWS, read_workbook, write_workbook
+
 
 def json_string(text: Column) -> Column:
     """A JSON string; characters beyond ASCII stay as they are."""
@@ -105,11 +105,6 @@ def read_two_line(texts: DataFrame, flag: str = "☆★", sep: str = "\r\n", col
     )
 
 
-def _need_openpyxl() -> None:
-    if not importlib.util.find_spec("openpyxl"):
-        raise RuntimeError("XLSX formats (8 and 12) need openpyxl")
-
-
 def xlsx_rows(fmt: int, rows: DataFrame) -> DataFrame:
     """The table of a workbook: ``Key, Value`` (8, from ``text, trans``) or four columns (12, from ``name, message``)."""
     if fmt == 8:
@@ -118,18 +113,59 @@ def xlsx_rows(fmt: int, rows: DataFrame) -> DataFrame:
     return rows.select(name.alias("Name"), message.alias("Text"), name.alias("Trans Name"), message.alias("Trans Text"))
 
 
-def write_xlsx(table: DataFrame, path: str, most: int = 1_048_575) -> None:
-    """A workbook holds a bounded number of rows; more of them are an error, not a cut."""
-    _need_openpyxl()
-    frame = table.limit(most + 1).toPandas()
-    if len(frame) > most:
+def workbook_of(table: DataFrame, sheet: str = "Sheet1", most: int = MOST_ROWS - 1) -> bytes:
+    """A table as a workbook of one sheet, header first. A sheet holds a bounded number of rows; more are an error, not a cut."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
         raise ValueError("too many rows for one sheet")
-    frame.to_excel(path, index=False, engine="openpyxl")
+    return write_workbook({sheet: [table.columns, *[list(r) for r in rows]]})
+
+
+def write_xlsx(table: DataFrame, path: str, most: int = MOST_ROWS - 1) -> None:
+    """One workbook file, written through Spark's file system."""
+    write_file(table.sparkSession, path, workbook_of(table, most=most))
+
+
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file (a workbook, a report, a table of symbols) at any path that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """The first sheet, or a named one, of a workbook: the header's columns, all text."""
+    data = bytes(spark.read.format("binaryFile").load(path).first()["content"])
+    sheets = read_workbook(data)
+    header, *rows = sheets[sheet or next(iter(sheets))] or [[]]
+    padded = [(r + [""] * len(header))[: len(header)] for r in rows]
+    return spark.createDataFrame(padded, ", ".join(f"`{c}` string" for c in header))
+
+
+def write_outputs(documents: dict[int, DataFrame], path: str) -> None:
+    """Two outputs of one extraction: the second one's folder has the prefix ``extra_``."""
+    for n, (fmt, docs) in enumerate(documents.items()):
+        write_documents(docs, f"{path}/{'extra_' if n else ''}format{fmt:02d}")
+
+
+def symbol_table(symbols: str) -> bytes:
+    """``sjis_ext.bin``: the characters that tunnel codes stand for, in order, as UTF-16."""
+    return symbols.encode("utf-16-le")
+
+
+def tunnel_config(symbols: str, config: dict | None = None) -> str:
+    """``uif_config.json`` with the tunnel decoder switched on for these characters."""
+    made = dict(config or {})
+    made["tunnel_decoder"] = {**made.get("tunnel_decoder", {}), "enable": True, "mapping": symbols}
+    return json.dumps(made, ensure_ascii=False, indent=2)
 
 
-def read_xlsx(spark, path: str) -> DataFrame:
-    _need_openpyxl()
-    return spark.createDataFrame(pd.read_excel(path, dtype=str).fillna(""))
+def cutoff_dictionary(found: DataFrame) -> DataFrame:
+    """``document``: ``cutoff.json``, translations that don't fit and what to write instead (:func:`..operators.splice.cutoffs`)."""
+    return document(found, F.array(F.concat(json_string(F.col("trans")), F.lit(": "), json_string(F.col("short")))), ["trans"], [], 0)
 
 
 def rebuilt_json(tree: object, style: int = 1) -> str:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import importlib.util
-import io
+import re
 import struct
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .xlsx import read_workbook, write_workbook
+
 
 def csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, encoding: str = "UTF-8") -> DataFrame:
     """All columns as text; no inference pass over the data."""
@@ -31,22 +32,43 @@ def json_texts(spark: SparkSession, path: str, postfix: str = ".json") -> DataFr
 
 
 def workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """``file, sheet, row_no, cells array<string>`` of XLSX files, all sheets; needs openpyxl."""
-    if not importlib.util.find_spec("openpyxl"):
-        raise RuntimeError("reading XLSX needs openpyxl")
+    """``file, sheet, row_no, cells array<string>`` of XLSX files, all sheets."""
+    from .text import files
+
+    return sheets(files(spark, path, ".xlsx", binary=True))
+
+
+def sheets(blobs: DataFrame) -> DataFrame:
+    """``file, sheet, row_no, cells array<string>`` of ``file, data`` rows of workbooks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string()))])
         for batch in batches:
-            rows = []
             for name, data in zip(batch["file"].to_pylist(), batch["data"].to_pylist(), strict=True):
-                for sheet, frame in pd.read_excel(io.BytesIO(data), sheet_name=None, header=None, dtype=str).items():
-                    for n, row in enumerate(frame.fillna("").values.tolist()):
-                        rows.append({"file": name, "sheet": sheet, "row_no": n, "cells": row})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("file", pa.string()), ("sheet", pa.string()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string()))]))
+                rows = [{"file": name, "sheet": sheet, "row_no": n, "cells": row} for sheet, found in read_workbook(data).items() for n, row in enumerate(found)]
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return blobs.select("file", "data").mapInArrow(run, "file string, sheet string, row_no int, cells array<string>")
+
+
+def books(rows: DataFrame, file_col: str = "file", sheet_col: str = "sheet", order: str = "row_no", cells_col: str = "cells") -> DataFrame:
+    """``file, data``: a workbook of each file's sheets, in the order of their names; a file's rows are one task's."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("sheet", "ascending"), ("row_no", "ascending")])
+        found: dict[str, list] = {}
+        for sheet, cells in zip(table["sheet"].to_pylist(), table["cells"].to_pylist(), strict=True):
+            found.setdefault(sheet, []).append(cells)
+        return pa.table({"file": table["file"][:1], "data": pa.array([write_workbook(found)], pa.binary())})
+
+    named = rows.select(F.col(file_col).cast("string").alias("file"), F.col(sheet_col).cast("string").alias("sheet"), F.col(order).cast("long").alias("row_no"), F.col(cells_col).alias("cells"))
+    return named.groupBy("file").applyInArrow(run, "file string, data binary")
 
-    from .text import files
 
-    return files(spark, path, ".xlsx", binary=True).mapInArrow(run, "file string, sheet string, row_no int, cells array<string>")
+def csv_texts(df: DataFrame, sep: str = ",") -> DataFrame:
+    """``line``: rows as CSV, quoted where they must be; the writer for rebuilt tables is ``df.write.csv``."""
+    quoted = [F.when(F.regexp_like(c, F.lit(f'[{re.escape(sep)}"\r\n]')), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)]
+    return df.select(F.concat_ws(sep, *quoted).alias("line"))
 
 
 def xml_dialogue(texts: DataFrame, key: str = "file", xml_col: str = "xml") -> DataFrame:

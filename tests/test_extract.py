@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,7 +56,8 @@ def simulate(lines, program):
             if role.interval is not None:
                 interval = role.interval or None
             keys = set(role.keys) | ({interval} if interval else set())
-            mine.append({"line": n, "text": text, "keys": keys, "blocks": role.blocks, "flags": list(role.flags) + (["-unfinish"] if "name" in role.keys else [])})
+            if text:
+                mine.append({"line": n, "text": text, "keys": keys, "blocks": role.blocks, "flags": list(role.flags) + (["-unfinish"] if "name" in role.keys else [])})
         for c in mine:
             for op in c["flags"] if live else ():
                 if op[0] == "-":
@@ -71,7 +73,7 @@ def simulate(lines, program):
 PROGRAMS = [
     RULES,
     "00_skip=^x\n10_search=^(?P<name>N.*)$\n20_search=^(?P<pre_name>b.*)$\n30_search=^(?P<predel_unfinish>c.*)$\n40_search=^(?P<unfinish>d.*)$\n50_search=^(.+)$\nstructure=para",
-    "00_skip=^x\n10_search=^(?P<start_unfinish>s.*)$\n20_search=^(?P<end_unfinish>e.*)$\n30_search=^(?P<not_nameANDunfinish>n.*)$\n40_search=^(?P<pre_name>b.*)$\n50_search=^(.+)$\nstructure=para",
+    "00_skip=^x\n10_search=^(?P<start_unfinish>s.*)$\n15_search=^(?P<start_name>)t\n16_search=^(?P<end_name>)1\n20_search=^(?P<end_unfinish>e.*)$\n30_search=^(?P<not_nameANDunfinish>n.*)$\n40_search=^(?P<pre_name>b.*)$\n50_search=^(.+)$\nstructure=para",
 ]
 
 
@@ -95,9 +97,11 @@ def test_roles():
 
 
 def test_rule_text():
-    p = RuleProgram.parse("<note\n10_search=a\n20_skip=b\n10_search=c\nflag=serialSearch\nstruct=paragraph\nstartline=3\nfoo=1\n\n30_search=d")
+    p = RuleProgram.parse("<note\n10_search=a\n20_skip=b\n10_search=c\nflag=serialSearch\nstruct=paragraph\nstartline=3\npreLenOffset=-2\nOldEncodeName=utf-8\n\n30_search=d")
     assert [(r.key, r.pattern) for r in p.rules] == [("10_search", "c"), ("20_skip", "b")]
-    assert p.config.serial_search and p.config.structure == "paragraph" and p.config.startline == 3 and p.config.extra == {"foo": 1}
+    assert p.config.serial_search and p.config.structure == "paragraph" and p.config.startline == 3 and p.config.pre_len_offset == -2 and p.config.encoding == "utf-8"
+    with pytest.raises(ValueError, match="foo"):
+        RuleProgram.parse("foo=1")
 
 
 def test_native_and_general_matchers_agree(spark):
@@ -152,3 +156,41 @@ def test_zip_needs_equal_lengths(spark):
     a, b = spark.range(3).withColumn("t", F.lit("x")), spark.range(4).withColumn("t", F.lit("y"))
     with pytest.raises(Exception, match="differ in length"):
         dictionary.positional_zip(a, b, ["id"], ["id"], "t", "t").collect()
+
+
+def test_brackets_of_any_depth():
+    from scriptloom.operators.dialogue import nested_parts
+
+    part = lambda t, **k: [t[a:b] for a, b in nested_parts(t, **k)]
+    assert part("ab[c[d]e]fgh[i]") == ["ab", "c[d]e", "fgh", "i"]
+    assert part("ab[c]x") == ["ab", "c"] and part("ab[c]xy") == ["ab", "c", "xy"]
+    assert part("ab[c]]de[f") == ["ab", "c", "]de", "[f"]
+    assert part("ab[ruby x]cd[np]", keep=re.compile("^ruby")) == ["ab[ruby x]cd", "np"]
+    assert part("a[b]", with_brackets=True) == ["a", "[b]"] and part("") == []
+
+
+def test_byte_rules():
+    """Lengths in front, checks and decoding, unit by unit."""
+    def run(data, text):
+        program = RuleProgram.parse(text)
+        compiled = [(r.kind, re.compile(r.pattern.encode(program.config.encoding), re.DOTALL), r.roles()) for r in program.rules if r.kind]
+        event = rules.search_unit(data, compiled, program)
+        return event and (event[0], [(c[0], c[1], c[2], c[4], c[5]) for c in event[1]])
+
+    rule = "OldEncodeName=utf-8\npreLen=2\npreLenStrict=true\npreLenScale=2\npreLenAdd=-1\n10_search=#..(.)"
+    assert run(b"##\x03\0hello#\x01\0x", rule) == ("match", [(4, 9, "hello", 2, 3), (12, 13, "x", 10, 1)])
+    assert run(b"#\xff\0h", rule) is None
+    assert run(b"\x02\0ab", "OldEncodeName=utf-8\npreLen=1\npreLenOffset=start\n10_search=[\\x02].(a)") == ("match", [(2, 3, "a", 0, 2)])
+    assert run(b"abc", "00_skip=b\n10_search=(c)") == ("skip", [])
+    assert run("あa".encode("cp932"), "checkJIS=a\n10_search=^(.+)$") == ("match", [(0, 3, "あa", -1, -1)])
+    assert run("あb".encode("cp932"), "checkJIS=a\n10_search=^(.+)$") is None
+    with pytest.raises(UnicodeDecodeError):
+        run(b"\xff", "OldEncodeName=utf-8\n10_search=(.)")
+
+
+def test_blocks():
+    from scriptloom.operators.dialogue import block_captures
+
+    text = 'x = {\n"not yet"\n[1] = {\n{\nname={"en"},\nname="Ann",\n"line one",\n{"rt2"},\n"line two",\n},\n},\n"after"\n[2]\nname={en="A", ja="B"},'
+    got = [(n, c[0][2], c[0][3].keys) for n, _, c in block_captures(text)]
+    assert got == [(5, "Ann", ("name",)), (6, "line one", ("unfinish",)), (8, "line two", ()), (13, "B", ("name",))]

@@ -218,3 +218,55 @@ def test_names_and_reports(spark):
     table = spark.createDataFrame([("a", "X"), ("b", "X")], "ch string, substitute string")
     assert {r.state for r in reports.substitution_report(chars, table).collect()} == {"repeat"}
     assert reports.reason_counts(rows, {"long": F.length("t") > 1}).first().long == 2
+
+
+def plain_redistribution(orig, trans, sep, symbols, blank):
+    """Cut by cut, from the contract: nearest punctuation, strictly ascending, one left for each cut to come."""
+    lines, flat = orig.split(sep), trans.replace(sep, "")
+    n = len(lines)
+    if n == 1:
+        return [flat]
+    ends = [i + 1 for i, c in enumerate(flat) if c in symbols]
+    if len(ends) <= n:
+        cuts = ends + [len(flat)] * (n - len(ends))
+    else:
+        cuts, seen, low = [], 0, 0
+        for k in range(n - 1):
+            seen += len(lines[k])
+            mark = int(seen * (len(trans) / len(orig)))
+            best = min(range(len(ends)), key=lambda i: (abs(ends[i] - mark), i))
+            best = min(max(best, low), len(ends) - n + k)
+            cuts.append(ends[best])
+            low = best + 1
+        cuts.append(ends[-1])
+    parts = [flat[a:b] or blank for a, b in zip([0, *cuts], cuts, strict=False)]
+    if cuts[-1] < len(flat):
+        parts[-1] = ("" if cuts[-1] == ([0, *cuts])[-2] else parts[-1]) + flat[cuts[-1] :]
+    return parts
+
+
+def test_redistribution_by_plain_loops():
+    import random
+
+    from scriptloom.config import ExtractConfig
+    from scriptloom.functions.layout import redistribute_text
+
+    rng = random.Random(1)
+    config = ExtractConfig(para_sep="|", symbols="[.,]", add_space="_")
+    for _ in range(3000):
+        orig, trans = ("|".join("".join(rng.choice("abc.,") for _ in range(rng.randrange(8))) for _ in range(rng.randrange(1, 6))) for _ in "xy")
+        if orig:
+            assert redistribute_text(orig, trans, config) == plain_redistribution(orig, trans, "|", ".,", "_")
+
+
+def test_packed_orders(spark):
+    from scriptloom.operators import dictionary
+
+    rows = spark.createDataFrame([("a", -5, 3, 1), ("a", -5, 2, 9), ("a", 4, 0, 0), ("b", 2**60, 2**31 - 1, 0), ("b", 2**60, 2**31 - 1, 7)], "text string, i long, j int, k int")
+    got = {r.text: tuple(r["first"]) for r in dictionary.first_seen(rows, "text", ["i", "j", "k"]).collect()}
+    assert got == {"a": (-5, 2, 9), "b": (2**60, 2**31 - 1, 0)}
+    plan = dictionary.first_seen(rows, "text", ["i", "j", "k"])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert dictionary.packed_order(rows, ["text"]) is None
+    with pytest.raises(Exception, match="negative"):
+        dictionary.first_seen(rows.withColumn("k", -rows.k - 1), "text", ["i", "k"]).collect()
