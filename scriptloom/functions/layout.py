@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import re
 
 import numpy as np
@@ -74,7 +73,6 @@ def redistributed(orig: Column, trans: Column, config: ExtractConfig = ExtractCo
     return F.array(F.array_join(lines, config.para_sep)) if config.join_after_split else lines
 
 
-
 def redistribute(orig: Column, trans: Column, config: ExtractConfig = ExtractConfig()) -> Column:
     @F.pandas_udf("array<string>")
     def run(o: pd.Series, t: pd.Series) -> pd.Series:

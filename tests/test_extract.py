@@ -178,7 +178,7 @@ def test_byte_rules():
         return event and (event[0], [(c[0], c[1], c[2], c[4], c[5]) for c in event[1]])
 
     rule = "OldEncodeName=utf-8\npreLen=2\npreLenStrict=true\npreLenScale=2\npreLenAdd=-1\n10_search=#..(.)"
-    assert run(b"##\x03\0hello#\x01\0x", rule) == ("match", [(4, 9, "hello", 2, 3), (12, 13, "x", 10, 1)])
+    assert run(b"-#\x03\0hello#\x01\0x", rule) == ("match", [(4, 9, "hello", 2, 3), (12, 13, "x", 10, 1)])
     assert run(b"#\xff\0h", rule) is None
     assert run(b"\x02\0ab", "OldEncodeName=utf-8\npreLen=1\npreLenOffset=start\n10_search=[\\x02].(a)") == ("match", [(2, 3, "a", 0, 2)])
     assert run(b"abc", "00_skip=b\n10_search=(c)") == ("skip", [])
