@@ -38,7 +38,7 @@ BACKOFF = 0.4
 MIN_COUNT = 1
 #: Words of a run, and pairs in a bucket, about.
 RUN_WORDS = 1 << 20
-BUCKET_PAIRS = 1 << 21
+BUCKET_PAIRS = 1 << 20
 #: A word is frequent from N / 2**20 on, a pair from N / 2**18 on; a run of n words proposes pairs seen n / 2**18 times.
 WORD_BITS = 20
 PAIR_BITS = 18
