@@ -15,13 +15,16 @@ from .queries import LINES, doc_lines, query, table
 
 # ---- binary layouts: files made field by field, read, changed, written and read again ---------------------------------
 
-_NAME, _TEXT = "'speaker ' || (item_id % 5)", "replace(left(text, 60), chr(10), ' ')"
+_NAME = "'speaker ' || (item_id % 5)"
+#: Layouts whose texts have a size of one byte hold 60 characters of any kind; all others get the whole text.
+_SHORT = ("stack_strings", "signed_commands_0")
 
 
 def _layout_sql(name: str) -> str:
     values = ", ".join(f"({n}, '{kind}', '{part}')" for n, (part, kind) in enumerate(blobs.CONTENTS[name]))
     after = "translate(b, 'aeiou', 'AEIOU')" if engines.LAYOUTS[name].fixed else "b || '!?'"
-    return f"""with f as (select item_id, {_NAME} as name, {_TEXT} as text from benchmark), c(n, kind, part) as (values {values}),
+    text = f"replace({'left(text, 60)' if name in _SHORT else 'text'}, chr(10), ' ')"
+    return f"""with f as (select item_id, {_NAME} as name, {text} as text from benchmark), c(n, kind, part) as (values {values}),
 b as (select item_id, n, kind, case part when 'n' then name else text end as b from f, c) select item_id::varchar as file, n::bigint as n, kind, b as before, {after} as after from b"""
 
 
@@ -35,7 +38,7 @@ def _layout_query(name: str):
         return engines.texts(pieces, name, code).select("file", place.cast("long").alias("n"), "kind", F.col("text").alias(text), "piece_no")
 
     def run(spark, d):
-        rows = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("speaker "), F.col("item_id") % 5).alias("name"), F.replace(F.left("text", F.lit(60)), F.lit("\n"), F.lit(" ")).alias("text"))
+        rows = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("speaker "), F.col("item_id") % 5).alias("name"), F.replace(F.left("text", F.lit(60)) if name in _SHORT else F.col("text"), F.lit("\n"), F.lit(" ")).alias("text"))
         files = rows.select(F.col("item_id").cast("string").alias("file"), blobs.blob(name, F.col("name"), F.col("text")).alias("data"))
         pieces = engines.units(files, name)
         before = numbered(pieces, "before")
@@ -56,7 +59,7 @@ for _name in blobs.CONTENTS:
 def excluded_files(spark, d):
     """Files whose names a layout doesn't want pass as one raw piece."""
     name = F.concat(F.when(F.col("item_id") % 2 == 0, "yst").otherwise("ysc"), F.col("item_id").cast("string"))
-    files = table(spark, d, "benchmark").select(name.alias("file"), blobs.blob("length_macros", F.lit("n"), F.left("text", F.lit(60))).alias("data"))
+    files = table(spark, d, "benchmark").select(name.alias("file"), blobs.blob("length_macros", F.lit("n"), F.col("text")).alias("data"))
     counted = engines.units(files, "length_macros", only="^yst").groupBy("file").agg(F.count("*").alias("n"))
     return counted.select(F.substring("file", 4, 10).alias("file"), (F.col("n") > 1).alias("opened"))
 
@@ -114,11 +117,11 @@ def undecodable_dropped(spark, d):
     return extract.extract_bytes(units, "encoding=utf-8\nignoreDecodeError=true\n10_search=^([\\s\\S]+)$").select("file", "text")
 
 
-@query(r"select item_id as file, left(text, 12) as text from benchmark where not regexp_matches(text, '[^\x00-\xFF]') and regexp_full_match(left(text, 12), '(?s)([A-Za-z ,.\n]|[\x{81}-\x{9F}\x{E0}-\x{EF}\x{FA}\x{FB}][\x{40}-\x{7E}\x{80}-\x{FC}]|\x{FC}[\x{40}-\x{4B}])+')")
+@query(r"select item_id as file, text from benchmark where not regexp_matches(text, '[^\x00-\xFF]') and regexp_full_match(text, '(?s)([A-Za-z ,.\n]|[\x{81}-\x{9F}\x{E0}-\x{EF}\x{FA}\x{FB}][\x{40}-\x{7E}\x{80}-\x{FC}]|\x{FC}[\x{40}-\x{4B}])+')")
 def two_byte_check(spark, d):
     """Captures that aren't two-byte characters, but for allowed single ones, are dropped."""
     b = table(spark, d, "benchmark").where(~F.regexp_like("text", F.lit("[^\\x00-\\xFF]")))
-    units = b.select(F.col("item_id").alias("file"), F.lit(0).alias("unit_no"), F.encode(F.left("text", F.lit(12)), "ISO-8859-1").alias("unit"))
+    units = b.select(F.col("item_id").alias("file"), F.lit(0).alias("unit_no"), F.encode("text", "ISO-8859-1").alias("unit"))
     return extract.extract_bytes(units, "OldEncodeName=latin-1\ncheckJIS=[A-Za-z ,.\\n]\n10_search=^([\\s\\S]+)$").select("file", "text")
 
 
