@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Buckets whose totals are summed together.
+SPAN = 64
+
 
 def hashed_order(*parts: Column) -> Column:
     """A seeded random order that other engines can repeat: the MD5 of the parts, joined by colons, in hex."""
@@ -20,11 +23,21 @@ def hashed_bucket(order: Column, digits: int = 3) -> Column:
     return F.conv(F.substring(order, 1, digits), 16, 10).cast("int")
 
 
-def bucket_offsets(df: DataFrame, group: list[str], bucket: str, amount: Column, name: str) -> DataFrame:
-    """``group, bucket, name``: the sum of ``amount`` over the earlier buckets of the group."""
-    totals = df.groupBy(*group, bucket).agg(F.sum(amount).alias("_amount"))
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(*group, bucket, F.coalesce(F.sum("_amount").over(before), F.lit(0)).cast("long").alias(name))
+def bucket_offsets(df: DataFrame, group: list[str], bucket: str, amount: Column, name: str, extra: dict[str, Column] | None = None) -> DataFrame:
+    """``group, bucket, name``: the sum of ``amount`` over the earlier buckets of the group, and ``extra`` aggregates.
+
+    Two levels: totals of spans of ``SPAN`` buckets are summed along the group, and those of buckets inside their span, so
+    that a group with many buckets isn't one task's rows.
+    """
+    totals = df.groupBy(*group, bucket).agg(F.sum(amount).alias("_amount"), *[c.alias(n) for n, c in (extra or {}).items()])
+    totals = totals.withColumn("_span", F.floor(F.col(bucket) / SPAN).cast("int"))
+    earlier = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = lambda keys, order: F.coalesce(F.sum("_amount").over(earlier(keys, order)), F.lit(0)).cast("long")
+    spans = totals.groupBy(*group, "_span").agg(F.sum("_amount").alias("_amount"))
+    spans = spans.select(*group, "_span", summed(group, "_span").alias("_spans_before"))
+    inside = totals.withColumn("_before_inside", summed([*group, "_span"], bucket))
+    found = inside.join(spans, [*group, "_span"])
+    return found.select(*group, bucket, (F.col("_spans_before") + F.col("_before_inside")).alias(name), *(extra or {}))
 
 
 def ranks(df: DataFrame, group: list[str], bucket: str, order: list[str], name: str, bounded: bool = False) -> DataFrame:

@@ -12,8 +12,8 @@
    stays within the rest.
 
 A leaf of any size is many tasks' work: documents meet their leaf's budget by (leaf, share of ids), of which there are
-``SALT``; its order is cut into 4096 buckets, whose totals decide which are taken whole; documents meet that decision by
-(leaf, bucket), and only the one bucket where the rest runs out is ordered document by document.
+``SALT``; its order is cut into 4096 buckets, whose totals decide, in spans of 64, which are taken whole; documents meet that decision
+by share again, and only the one bucket where the rest runs out is ordered document by document.
 """
 
 from __future__ import annotations
@@ -133,15 +133,15 @@ def select_mix(docs: DataFrame, mix: Mix, domain: Column, id_col: str = "doc_id"
     )
     # a leaf may hold most of the documents: each share of its ids meets a copy of its budget
     salted = budgets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    rows = base.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(SALT)).cast("int")).join(salted, [*leaf, "salt"]).drop("salt")
+    rows = base.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(SALT)).cast("int")).join(salted, [*leaf, "salt"])
     order = hashed_order(F.lit(mix.seed), F.col("epochs"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = materialise(rows.withColumn("order", order).withColumn("bucket", hashed_bucket(F.col("order"))), "ordered")
     # the last bucket that begins within the rest is cut: those before it are taken whole, those behind it not at all
-    before = bucket_offsets(rows, leaf, "bucket", F.col("tokens"), "before").join(budgets.select(*leaf, "rest"), leaf)
-    last = F.max(F.when(F.col("before") <= F.col("rest"), F.col("bucket"))).over(Window.partitionBy(*leaf))
-    state = F.when(F.col("bucket") < last, 1).when(F.col("bucket") == last, 0).otherwise(-1)
-    states = before.select(*leaf, "bucket", "before", state.alias("state"))
-    rows = rows.join(states, [*leaf, "bucket"])
+    offsets = bucket_offsets(rows, leaf, "bucket", F.col("tokens"), "before", {"room": F.max("rest")}).where("before <= room")
+    cuts = offsets.groupBy(*leaf).agg(F.max("bucket").alias("last"), F.max("before").alias("before"))
+    cuts = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    state = F.when(F.col("bucket") < F.col("last"), 1).when(F.col("bucket") == F.col("last"), 0).otherwise(-1)
+    rows = rows.join(cuts, [*leaf, "salt"]).withColumn("state", state).drop("salt", "last")
     cut = rows.where("state = 0")
     # documents of one place in the order, such as those that share an id, are one row here
     places = cut.groupBy(*leaf, "order").agg(F.sum("tokens").alias("tokens"), F.max("before").alias("before"), F.max("rest").alias("rest"))
