@@ -89,16 +89,16 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     count = len(names)
     links, intercepts = np.zeros((count, count)), np.zeros(count)
     table: dict[int, list[float]] = {}
-    folds = np.arange(len(rows)) % FOLDS
+    folds, earlier = np.arange(len(rows)) % FOLDS, np.zeros((len(rows), 0), np.float32)
     for k in range(count if rows else 0):
         size = SIZE + k  # features SIZE to SIZE + k - 1 are the earlier probabilities
-        w = train(rows, y[:, k], size, SETTINGS)
+        w = train(rows, y[:, k], size, SETTINGS, earlier)
         links[k, :k], intercepts[k] = w[SIZE:size], w[size]
         for i in np.flatnonzero(w[:SIZE]):
             table.setdefault(int(i), [0.0] * count)[k] = float(w[i])
         if k + 1 < count:
-            p = out_of_fold(rows, y[:, k], folds, size, SETTINGS)
-            rows = [(np.append(i, np.int32(size)), np.append(x, np.float32(p[r]))) for r, (i, x) in enumerate(rows)]
+            p = out_of_fold(rows, y[:, k], folds, size, SETTINGS, earlier)
+            earlier = np.column_stack([earlier, p.astype(np.float32)])
     return Chain(tuple(names), {i: tuple(v) for i, v in table.items()}, links, intercepts)
 
 
