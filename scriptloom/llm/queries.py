@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, exact_dedup, line_dedup, lm_score, mixing, packing, quality, simhash, toxicity
+from . import chat, embed_dedup, exact_dedup, line_dedup, lm_score, manifest, mixing, packing, quality, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", F.round("mean_log_score", 5).alias("log_score"), F.round("log_score", 4).alias("log_likelihood"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_toxicity_chain, op3_tool_call_linking, op4_hierarchical_mixing, op5_length_bucket_packing,
-        op6_embedding_range_join, op7_quality_ftrl, op8_exact_dedup_tree, op9_line_window_dedup, op10_stupid_backoff, pipeline,
+        op6_embedding_range_join, op7_quality_ftrl, op8_exact_dedup_tree, op9_line_window_dedup, op10_stupid_backoff,
+        op13_merkle_manifest, pipeline,
     )
 }
 
@@ -165,13 +170,30 @@ t as (select count(*) as n from e),
 s as (select p.doc_id, case when p.v is null then ln(uw.n) - ln(t.n) when b.n >= 1 then ln(b.n) - ln(uv.n) else ln(0.4) + ln(uw.n) - ln(t.n) end as s
   from p join u uw on p.w = uw.w left join u uv on p.v = uv.w left join b on p.v = b.v and p.w = b.w cross join t)
 select d.doc_id, len(l)::bigint as n_words, round(x.s / nullif(len(l), 0), 5) as log_score, round(coalesce(x.s, 0), 4) as log_likelihood from d left join (select doc_id, sum(s) as s from s group by doc_id) x using (doc_id)""",
+    "op13_merkle_manifest": r"""
+with recursive c as (select *, list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::ubigint)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)::ubigint[]), lambda x, _: xor(x // 2, case when x % 2 = 1 then 3988292384::ubigint else 0::ubigint end))) as crc from documents),
+b as (select doc_id, lang, n_chars, coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') as head,
+  coalesce(octet_length(encode(text)) || ':' || text, '-') as tail, case when xor(crc, 4294967295::ubigint) % 7 = 0 then 1 else 0 end as added from c),
+m as (select doc_id, lang, sha256(head || coalesce(length(n_chars::varchar) || ':' || n_chars, '-') || tail) as leaf,
+  sha256(head || coalesce(length((n_chars + added)::varchar) || ':' || (n_chars + added), '-') || tail) as changed from b),
+d as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as r, count(*) over (partition by lang) as n from m),
+t(lang, l, i, h, n) as (select lang, 0, r, leaf, n from d union all
+  select lang, l + 1, i // 2, sha256(string_agg(h, '' order by i)), (max(n) + 1) // 2 from t where n > 1 group by lang, l, i // 2),
+s as (select lang, h as subroot, l as height, row_number() over (order by encode(lang) nulls first) - 1 as place, count(*) over () as n from t where n = 1),
+u(l, i, h, n) as (select 0, place, subroot, n from s union all select l + 1, i // 2, sha256(string_agg(h, '' order by i)), (max(n) + 1) // 2 from u where n > 1 group by l, i // 2),
+w as (select h as root, l as height from u where n = 1),
+k as (select d.*, subroot, s.height as low, place, root, w.height + s.height as high from d join s on d.lang is not distinct from s.lang cross join w),
+x as (select k.doc_id, k.lang, k.r, t.l, t.h, t.i from k join t on k.lang is not distinct from t.lang and t.l < k.low and t.i = xor(k.r >> t.l, 1)
+  union all select k.doc_id, k.lang, k.r, k.low + u.l, u.h, u.i from k join u on u.l < k.high - k.low and u.i = xor(k.place >> u.l, 1)),
+p as (select lang, r, string_agg(h, '' order by l) as proof from x group by all),
+f(lang, r, l, h) as (select lang, r, 0, changed from k union all
+  select f.lang, f.r, f.l + 1, sha256(case when x.h is null then f.h when x.i % 2 = 1 then f.h || x.h else x.h || f.h end)
+  from f join k on f.lang is not distinct from k.lang and f.r = k.r and f.l < k.high left join x on f.lang is not distinct from x.lang and f.r = x.r and f.l = x.l)
+select k.doc_id, k.leaf, k.subroot, k.root, sha256(coalesce(p.proof, '')) as proof_sha256, f.h as folded_root, f.h = k.root as verified
+from k left join p on k.lang is not distinct from p.lang and k.r = p.r join f on f.lang is not distinct from k.lang and f.r = k.r and f.l = k.high""",
 }
 
 
 def register() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
-    import corpus_pipeline
-
-    sql = dict(ORACLE_SQL)
-    if corpus_pipeline.ORACLE_SQL:
-        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
-    return dict(QUERIES), sql
+    return dict(QUERIES), dict(ORACLE_SQL)
