@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, exact_dedup, line_dedup, lm_score, manifest, mixing, packing, quality, simhash, toxicity
+from . import chat, collocations, embed_dedup, exact_dedup, line_dedup, lm_score, manifest, mixing, packing, quality, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", F.round("mean_log_score", 5).alias("log_score"), F.round("log_score", 4).alias("log_likelihood"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
@@ -84,7 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_simhash_near_dedup, op2_toxicity_chain, op3_tool_call_linking, op4_hierarchical_mixing, op5_length_bucket_packing,
         op6_embedding_range_join, op7_quality_ftrl, op8_exact_dedup_tree, op9_line_window_dedup, op10_stupid_backoff,
-        op13_merkle_manifest, pipeline,
+        op11_phrase_collocations, op13_merkle_manifest, pipeline,
     )
 }
 
@@ -170,6 +174,21 @@ t as (select count(*) as n from e),
 s as (select p.doc_id, case when p.v is null then ln(uw.n) - ln(t.n) when b.n >= 1 then ln(b.n) - ln(uv.n) else ln(0.4) + ln(uw.n) - ln(t.n) end as s
   from p join u uw on p.w = uw.w left join u uv on p.v = uv.w left join b on p.v = b.v and p.w = b.w cross join t)
 select d.doc_id, len(l)::bigint as n_words, round(x.s / nullif(len(l), 0), 5) as log_score, round(coalesce(x.s, 0), 4) as log_likelihood from d left join (select doc_id, sum(s) as s from s group by doc_id) x using (doc_id)""",
+    "op11_phrase_collocations": r"""
+with t as (select coalesce(lang, 'und') as lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as l from documents),
+p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from (select lang, unnest(l) as piece from t)),
+g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) as phrase from p, (select unnest([1, 2, 3]) as k) where len(w) >= k),
+f as (select lang, k, phrase, count(*) as n from g group by all),
+s as (select lang, sum(n)::bigint as n from f where k = 1 group by lang),
+c as (select lang, k, phrase, n as a, string_split(phrase, ' ') as w from f where k > 1 and n >= 10),
+u as (select lang, phrase, a, unnest(range(1, k)) as cut, w from c),
+x as (select u.lang, u.phrase, a, cut, l.n as l, r.n as r, (1000000::hugeint * a * a // (l.n::hugeint * r.n))::bigint as score from u
+  join f l on u.lang = l.lang and l.phrase = array_to_string(w[1:cut], ' ') join f r on u.lang = r.lang and r.phrase = array_to_string(w[cut + 1 :], ' ')),
+b as (select * from x qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+d as (select distinct s.lang, s.phrase from c s join (select lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase, a from c where k = 3) o
+  on s.lang = o.lang and s.phrase = o.phrase and 100 * o.a >= 50 * s.a)
+select b.lang, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank, b.phrase, a, l, r, s.n as n, score
+from b join s on b.lang = s.lang anti join d on b.lang = d.lang and b.phrase = d.phrase qualify rank <= 2000""",
     "op13_merkle_manifest": r"""
 with recursive c as (select *, list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::ubigint)),
   lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)::ubigint[]), lambda x, _: xor(x // 2, case when x % 2 = 1 then 3988292384::ubigint else 0::ubigint end))) as crc from documents),
