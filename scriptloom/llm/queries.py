@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, embed_dedup, exact_dedup, line_dedup, lm_score, manifest, mixing, packing, quality, simhash, toxicity
+from . import chat, collocations, embed_dedup, exact_dedup, line_dedup, lm_score, manifest, mixing, packing, quality, simhash, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,13 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
@@ -88,7 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_simhash_near_dedup, op2_toxicity_chain, op3_tool_call_linking, op4_hierarchical_mixing, op5_length_bucket_packing,
         op6_embedding_range_join, op7_quality_ftrl, op8_exact_dedup_tree, op9_line_window_dedup, op10_stupid_backoff,
-        op11_phrase_collocations, op13_merkle_manifest, pipeline,
+        op11_phrase_collocations, op12_suffix_dedup, op13_merkle_manifest, pipeline,
     )
 }
 
@@ -189,6 +196,17 @@ d as (select distinct s.lang, s.phrase from c s join (select lang, unnest([array
   on s.lang = o.lang and s.phrase = o.phrase and 100 * o.a >= 50 * s.a)
 select b.lang, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank, b.phrase, a, l, r, s.n as n, score
 from b join s on b.lang = s.lang anti join d on b.lang = d.lang and b.phrase = d.phrase qualify rank <= 2000""",
+    "op12_suffix_dedup": r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, p, md5_number(substr(h, 2 * p + 1, 100)) as k from (select doc_id, h, unnest(range(0, length(h) // 2 - 49)) as p from d)),
+f as (select k, min(doc_id) as first from w group by k having count(*) > 1),
+g as (select distinct w.doc_id, p from w join f using (k) where w.doc_id > f.first),
+o as (select *, sum(n) over (partition by doc_id order by p) as span from (select *, case when p <= lag(p) over (partition by doc_id order by p) + 50 then 0 else 1 end as n from g)),
+s as (select doc_id, span, min(p) as b, max(p) + 50 as e from o group by all),
+c as (select doc_id, count(*) as n_spans, sum(e - b)::bigint as n_removed, max(e) as rest, string_agg(substr(h, 2 * before + 1, 2 * (b - before)), '' order by b) as head
+  from (select s.*, h, coalesce(lag(e) over (partition by s.doc_id order by b), 0) as before from s join d using (doc_id)) group by doc_id)
+select d.doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(case when c.doc_id is null then h else head || substr(h, 2 * rest + 1) end)) as kept_sha256 from d left join c using (doc_id)""",
     "op13_merkle_manifest": r"""
 with recursive c as (select *, list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::ubigint)),
   lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)::ubigint[]), lambda x, _: xor(x // 2, case when x % 2 = 1 then 3988292384::ubigint else 0::ubigint end))) as crc from documents),
