@@ -3,11 +3,13 @@
 1. A first pass over the texts hashes every phrase into ``2**SLOT_BITS`` slots and counts these: a sketch with one row, whose
    counts are upper bounds of the phrases'. Its slots are dealt to buckets and summed there, so that no task holds it whole;
    what comes back is a bit a slot, whether ``min_count`` was reached (32 MB at any input size, broadcast). The same pass counts words.
-2. A second pass keeps, once each, the phrases whose bit is set: the candidates, all that can reach ``min_count`` among them.
+   Words are told apart by 64-bit hashes inside a run of some MB only; beyond that, by their bytes.
+2. A second pass keeps, once each, the phrases whose bit is set: the candidates, all that can reach ``min_count`` among them. They are
+   dealt to buckets, a sorted list in one row each.
 3. Candidates are compiled into Aho-Corasick automata in shards of about ``AUTOMATON_BYTES``. For each shard one job scans the
    texts of its languages: words are written with one space before and after each and a line break between pieces, and keys
-   start and end with that space, so that a match is whole words of one piece and overlapping matches count. Tasks sum their
-   matches, Spark sums the tasks', and those below the threshold, which only shared a slot, go.
+   start and end with that space, so that a match is whole words of one piece and overlapping matches count. Tasks send a list of
+   counts a bucket; the lists are added, and phrases below the threshold, which only shared a slot, go.
 4. Cuts, scores, the rule on longer phrases and the ranks are joins and aggregates of candidates with the counts of their parts.
 
 A phrase of ``min_count`` occurrences has parts of as many, so the counts of parts are words' or other candidates' counts. With far
@@ -16,17 +18,18 @@ more than ``2**SLOT_BITS`` distinct phrases the sketch keeps more candidates tha
 
 from __future__ import annotations
 
-import re
+import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import bounded_batches, discard, materialise, shared_dir
-from .lm_score import _find, _from_planes, _Hashes, _planes, pair_key
+from .lm_score import _find, _from_planes, _planes, pair_key
 
 MIN_COUNT = 10
 MAX_WORDS = 3
@@ -35,8 +38,9 @@ ABSORB_PERCENT = 50
 TOP = 2000
 SLOT_BITS = 28
 _BUCKETS = 64
-#: Words of a run, and the bytes of the candidates of one automaton: about 30 bytes of memory each.
-RUN_WORDS = 1 << 20
+#: Bytes of a run, candidates of a bucket, and the bytes of the candidates of one automaton: about 30 bytes of memory each.
+RUN_BYTES = 1 << 22
+BUCKET_PHRASES = 1 << 14
 AUTOMATON_BYTES = 1 << 23
 #: Keys a task remembers having proposed.
 _PROPOSED = 1 << 22
@@ -44,53 +48,96 @@ NO_LANG = "und"
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes(10 if b in _SEPARATORS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-_TOKEN = re.compile(b"[^ \n]+|\n")
 _BREAK = b"\n"
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """The words of a text in UTF-8, A-Z lower-cased, and a line break wherever a piece ends."""
-    return _TOKEN.findall((text or b"").translate(_FOLD))
+def folded(text: bytes | None) -> bytes:
+    """A text with A-Z lower-cased, line breaks for what ends a piece, and spaces for what ends a word."""
+    return (text or b"").translate(_FOLD)
+
+
+def guarded(text: bytes | None) -> str:
+    """The words of a text with one space before and after each, and a line break, guarded like a word, where a piece ends; a character a byte."""
+    line = b" %b " % folded(text).replace(_BREAK, b" \n ")
+    while b"  " in line:
+        line = line.replace(b"  ", b" ")
+    return line.decode("latin-1")
+
+
+def _tables(places: int = 64) -> np.ndarray:
+    """A number for each byte at each place of a word: sums of them are the words' hashes."""
+    z = np.arange(1, places * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+_TABLES = _tables()
 
 
 class _Run:
-    """Tokens of whole texts, one language after another; a break ends each text."""
+    """Whole texts, one language after another: where their words are, and hashes of these."""
 
-    def __init__(self, texts: dict[str, list[list[bytes]]], cache: _Hashes) -> None:
+    def __init__(self, texts: dict[str, list[bytes]]) -> None:
         self.langs = list(texts)
-        self.words = [w for lang in self.langs for text in texts[lang] for w in (*text, _BREAK)]
-        self.hash = np.fromiter(map(cache.__getitem__, self.words), np.uint64, len(self.words))
-        sizes = [sum(len(t) + 1 for t in texts[lang]) for lang in self.langs]
-        self.lang = np.repeat(np.arange(len(sizes)), sizes)
-        self.word = self.hash != cache[_BREAK]
-        seed = np.array([cache[b"\n" + lang.encode()] for lang in self.langs], np.uint64)[self.lang] if self.langs else np.zeros(0, np.uint64)
-        self.key = pair_key(seed, self.hash)
+        of_lang = [_BREAK.join(texts[lang]) + _BREAK for lang in self.langs]
+        self.bytes = b"".join(of_lang)
+        data = np.frombuffer(self.bytes, np.uint8)
+        line = data == 10
+        letter = (data != 32) & ~line
+        edge = np.diff(letter.astype(np.int8), prepend=0)
+        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        breaks = np.cumsum(line, dtype=np.int32)
+        #: Whether a piece ends after each word.
+        self.ends = np.ones(len(self.start), bool)
+        self.ends[:-1] = breaks[self.start[1:]] != breaks[self.end[:-1] - 1]
+        size = self.end - self.start
+        first = np.cumsum(size) - size
+        place = np.arange(size.sum(), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
+        value = _TABLES[(place & 63) << 8 | data[letter]]
+        far = np.flatnonzero(place > 63)
+        value[far] *= (place[far] >> 6).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4E) + np.uint64(1)
+        h = np.add.reduceat(value, first) if len(first) else value
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        self.hash = h ^ (h >> np.uint64(32))
+        self.lang = np.searchsorted(np.cumsum([len(x) for x in of_lang]), self.start, side="right")
+        seed = np.array([int.from_bytes(hashlib.sha256(lang.encode()).digest()[:8], "big") for lang in self.langs], np.uint64)
+        self.key = pair_key(seed[self.lang], self.hash)
 
     def phrases(self, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each length from 2: where phrases of that length begin, and their keys."""
-        key, ok = self.key, self.word
+        """For each length from 2: at which words phrases of that length begin, and their keys."""
+        key, ok = self.key, np.ones(len(self.key), bool)
         for n in range(2, most + 1):
-            ok = ok[:-1] & self.word[n - 1 :]
+            ok = ok[:-1] & ~self.ends[n - 2 : len(self.ends) - 1]
             key = pair_key(key[:-1], self.hash[n - 1 :])
             at = np.flatnonzero(ok)
             yield n, at, key[at]
 
+    def words(self, at: np.ndarray, n: int = 1) -> list[bytes]:
+        """The n words from each given one on, with single spaces between."""
+        found = [self.bytes[b:e] for b, e in zip(self.start[at].tolist(), self.end[at + n - 1].tolist(), strict=True)]
+        if n > 1:
+            wide = np.flatnonzero(self.end[at + n - 1] - self.start[at] > sum((self.end - self.start)[at + k] for k in range(n)) + n - 1)
+            for i in wide.tolist():
+                found[i] = b" ".join(x for x in found[i].split(b" ") if x)
+        return found
+
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Run]:
     """Runs from batches of ``lang, text``."""
-    cache = _Hashes()
-    texts: dict[str, list[list[bytes]]] = {}
+    texts: dict[str, list[bytes]] = {}
     n = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = tokens(text.as_py())
+            found = folded(text.as_py())
             texts.setdefault(lang, []).append(found)
             n += len(found) + 1
-            if n >= RUN_WORDS:
-                yield _Run(texts, cache)
+            if n >= RUN_BYTES:
+                yield _Run(texts)
                 texts, n = {}, 0
     if texts:
-        yield _Run(texts, cache)
+        yield _Run(texts)
 
 
 def _slot(key: np.ndarray, bits: int) -> np.ndarray:
@@ -104,12 +151,10 @@ def _first_pass(docs: DataFrame, most: int, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _runs(batches):
-            at = np.flatnonzero(r.word)
-            _, first, n = np.unique(r.key[at], return_index=True, return_counts=True)
-            first = at[first]
+            _, first, n = np.unique(r.key, return_index=True, return_counts=True)
             lang = pa.array(r.langs, pa.string()).take(pa.array(r.lang[first]))
             none = pa.nulls(len(first))
-            yield pa.RecordBatch.from_arrays([lang, pa.array([r.words[i] for i in first], pa.binary()), pa.array(n), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([lang, pa.array(r.words(first), pa.binary()), pa.array(n), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())], schema=schema)
             keys = [k for _, _, k in r.phrases(most)]
             slots, n = np.unique(_slot(np.concatenate(keys), bits), return_counts=True)
             cut = np.searchsorted(slots, np.arange(_BUCKETS + 1, dtype=np.uint64) << np.uint64(inside))
@@ -146,8 +191,10 @@ def _frequent_slots(sketch: DataFrame, min_count: int, bits: int) -> np.ndarray:
 
 
 def _candidates(docs: DataFrame, bitmap: np.ndarray, most: int, bits: int) -> DataFrame:
-    """``lang, phrase binary``, each once: the phrases whose slot reached the threshold."""
+    """``lang, bucket, phrases binary``: those whose slot reached the threshold, each once, sorted and separated by breaks, in even buckets."""
+    buckets = np.uint64(max(1, int(np.bitwise_count(bitmap).sum()) // BUCKET_PHRASES))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("phrases", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(0, np.uint64)
@@ -157,72 +204,98 @@ def _candidates(docs: DataFrame, bitmap: np.ndarray, most: int, bits: int) -> Da
                 hit = (shared.value[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1 == 1
                 key, first = np.unique(key[hit], return_index=True)
                 new = ~_find(known, key)[0]
-                first = at[hit][first[new]]
-                known = np.sort(np.concatenate([known, key[new]]), kind="stable") if len(known) < _PROPOSED else key[new]
-                lang = pa.array(r.langs, pa.string()).take(pa.array(r.lang[first]))
-                yield pa.RecordBatch.from_arrays([lang, pa.array([b" ".join(r.words[i : i + n]) for i in first], pa.binary())], ["lang", "phrase"])
+                first, key = at[hit][first[new]], key[new]
+                known = np.sort(np.concatenate([known, key]), kind="stable") if len(known) < _PROPOSED else key
+                place = r.lang[first] * int(buckets) + (key % buckets).astype(np.int64)
+                order = np.argsort(place, kind="stable")
+                place, phrases = place[order], r.words(first[order], n)
+                cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+                rows = [_BREAK.join(phrases[b:e]) for b, e in zip(cut, [*cut[1:], len(place)], strict=True)]
+                lang, bucket = np.divmod(place[cut], int(buckets))
+                yield pa.RecordBatch.from_arrays([pa.array([r.langs[i] for i in lang], pa.string()), pa.array(bucket.astype(np.int32)), pa.array(rows, pa.binary())], schema=schema)
+
+    def union(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[bytes] = set()
+        for batch in batches:
+            for phrases in batch.column("phrases"):
+                found.update(phrases.as_py().split(_BREAK))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int32()), pa.array([_BREAK.join(sorted(found))], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "lang string, phrase binary").distinct()
+    kept = docs.mapInArrow(run, "lang string, bucket int, phrases binary")
+    return kept.groupBy("lang", "bucket").applyInArrow(union, "lang string, bucket int, phrases binary")
 
 
 _AUTOMATA: dict = {}
 
 
-def _automata(key: str, shard: list[tuple[str, bytes]]) -> tuple[dict, int]:
-    """The automaton of each language of a shard, built once a worker, and the number of phrases; values are places in the shard."""
+def _automata(key: str, shard: list[tuple[str, int, bytes]]) -> dict:
+    """The automaton of each language of a shard, built once a worker; values are places in the shard."""
     if key not in _AUTOMATA:
         import ahocorasick
 
         _AUTOMATA.clear()
         built, n = {}, 0
-        for lang, phrases in shard:
-            built[lang] = a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for lang, _, phrases in shard:
+            a = built.setdefault(lang, ahocorasick.Automaton(ahocorasick.STORE_INTS))
             for phrase in phrases.split(_BREAK):
                 a.add_word(f" {phrase.decode('latin-1')} ", n)
                 n += 1
+        for a in built.values():
             a.make_automaton()
-        _AUTOMATA[key] = built, n
+        _AUTOMATA[key] = built
     return _AUTOMATA[key]
 
 
-def _scan(docs: DataFrame, shard: list[tuple[str, bytes]]) -> DataFrame:
-    """``lang, phrase binary, n long``: a task's matches of each phrase of the shard (by language, separated by breaks) that it met."""
+def _scan(docs: DataFrame, shard: list[tuple[str, int, bytes]]) -> DataFrame:
+    """``lang, bucket, counts binary``: a task's matches of the phrases of each bucket of the shard, in their order."""
     shared, key = docs.sparkSession.sparkContext.broadcast(shard), uuid.uuid4().hex
+    sizes = [phrases.count(_BREAK) + 1 for _, _, phrases in shard]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built, size = _automata(key, shared.value)
-        total = np.zeros(size, np.int64)
+        built = _automata(key, shared.value)
+        total = np.zeros(sum(sizes), np.int64)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if lang in built:
-                    # bytes as characters: keys and texts alike, one byte each
-                    line = f" {b' '.join(tokens(text.as_py())).decode('latin-1')} "
-                    hits = np.fromiter((i for _, i in built[lang].iter(line)), np.int64)
-                    if 8 * len(hits) > size:
-                        total += np.bincount(hits, minlength=size)
+                    hits = np.fromiter((i for _, i in built[lang].iter(guarded(text.as_py()))), np.int64)
+                    if 8 * len(hits) > len(total):
+                        total += np.bincount(hits, minlength=len(total))
                     else:
                         np.add.at(total, hits, 1)
-        begin = 0
-        for lang, phrases in shared.value:
-            phrases = phrases.split(_BREAK)
-            met = np.flatnonzero(total[begin : begin + len(phrases)])
-            for s in range(0, len(met), 1 << 16):
-                part = met[s : s + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([phrases[i] for i in part], pa.binary()), pa.array(total[begin + part])], ["lang", "phrase", "n"])
-            begin += len(phrases)
-
-    return docs.where(F.col("lang").isin([lang for lang, _ in shard])).mapInArrow(run, "lang string, phrase binary, n long")
-
+        for (lang, bucket, _), part in zip(shared.value, np.split(total, np.cumsum(sizes)[:-1]), strict=True):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([bucket], pa.int32()), pa.array([_planes(part, 8)], pa.binary())], ["lang", "bucket", "counts"])
+
+    return docs.where(F.col("lang").isin([lang for lang, _, _ in shard])).mapInArrow(run, "lang string, bucket int, counts binary")
+
+
+def _shards(candidates: DataFrame) -> Iterator[list[tuple[str, int, bytes]]]:
+    """Buckets, side by side by language, in shards of about ``AUTOMATON_BYTES``. The driver holds the buckets' sizes, and one shard at a time."""
+    sizes = candidates.select("lang", "bucket", F.octet_length("phrases").alias("n")).orderBy("lang", "bucket").collect()
+    shard, n = {}, 0
+    for r in [*sizes, None]:
+        if shard and (r is None or n + r["n"] > AUTOMATON_BYTES):
+            wanted = reduce(Column.__or__, [(F.col("lang") == lang) & F.col("bucket").between(low, high) for lang, (low, high) in shard.items()])
+            yield [(x["lang"], x["bucket"], bytes(x["phrases"])) for x in candidates.where(wanted).collect()]
+            shard, n = {}, 0
+        if r is not None:
+            shard[r["lang"]] = (shard.get(r["lang"], (r["bucket"],))[0], r["bucket"])
+            n += r["n"]
+
+
+def _total(min_count: int):
+    def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases, counts = [], np.zeros(1, np.int64)
+        for batch in batches:
+            for names, part in zip(batch.column("phrases"), batch.column("counts"), strict=True):
+                if names.is_valid:
+                    phrases = names.as_py().split(_BREAK)
+                if part.is_valid:
+                    counts = counts + _from_planes(part.as_py(), 8).view(np.int64)
+        often = np.flatnonzero(counts >= min_count)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(often), pa.string()), pa.array([phrases[i] for i in often], pa.binary()), pa.array(counts[often])], ["lang", "phrase", "n"])
 
-def _sharded(candidates: DataFrame) -> tuple[DataFrame, int]:
-    """``candidates`` with the ``shard`` of each, and the number of shards: languages side by side on a line of bytes, cut evenly."""
-    sizes = candidates.groupBy("lang").agg(F.sum(F.octet_length("phrase") + 2).alias("bytes"))
-    before = Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("begin", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
-    total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    place = F.col("begin") + F.col("bytes") * (F.pmod(F.xxhash64("phrase"), F.lit(1 << 20)) / (1 << 20))
-    placed = candidates.join(sizes, "lang").select("lang", "phrase", F.floor(place / AUTOMATON_BYTES).cast("int").alias("shard"))
-    return placed, int(-(-total // AUTOMATON_BYTES))
+    return total
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, lang_col: str = "lang", text_col: str = "text", slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
@@ -237,16 +310,13 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     bitmap = _frequent_slots(first.where("bucket is not null").select("bucket", "slots", "counts"), min_count, slot_bits)
     discard(first)
     candidates = materialise(_candidates(source, bitmap, max_words, slot_bits), "candidates")
-    placed, shards = _sharded(candidates)
     path = f"{shared_dir(spark)}/matches-{uuid.uuid4().hex}"
-    spark.createDataFrame([], "lang string, phrase binary, n long").write.parquet(path)
-    for k in range(shards):
-        by_lang: dict[str, list[bytes]] = {}
-        for r in placed.where(F.col("shard") == k).toLocalIterator():
-            by_lang.setdefault(r["lang"], []).append(bytes(r["phrase"]))
-        _scan(source, [(lang, _BREAK.join(phrases)) for lang, phrases in by_lang.items()]).write.mode("append").parquet(path)
-    matches = spark.read.schema("lang string, phrase binary, n long").parquet(path)
-    counts = materialise(matches.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count), "phrases")
+    spark.createDataFrame([], "lang string, bucket int, counts binary").write.parquet(path)
+    for shard in _shards(candidates):
+        _scan(source, shard).write.mode("append").parquet(path)
+    matches = spark.read.schema("lang string, bucket int, counts binary").parquet(path)
+    both = candidates.unionByName(matches, allowMissingColumns=True)
+    counts = materialise(both.groupBy("lang", "bucket").applyInArrow(_total(min_count), "lang string, phrase binary, n long"), "phrases")
     matches._scriptloom_path = path
     discard(matches)
     discard(candidates)

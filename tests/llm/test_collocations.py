@@ -45,6 +45,7 @@ HARD = [("en", None), ("en", ""), (None, " \t\n"), ("en", "na na na na na"), ("e
 @pytest.mark.parametrize("rows,min_count,most,top", [(made(1), 10, 3, 25), (made(2, 200), 3, 4, 2000), (made(3, 60), 1, 2, 2000), (HARD, 3, 3, 20), ([], 10, 3, 10)])
 def test_like_plain_counts(spark, monkeypatch, rows, min_count, most, top):
     monkeypatch.setattr(c, "AUTOMATON_BYTES", 2000)
+    monkeypatch.setattr(c, "BUCKET_PHRASES", 20)
     df = spark.createDataFrame([(k, lang, t, 1, "x") for k, (lang, t) in enumerate(rows)], "doc_id long, lang string, text string, n int, phrase string").repartition(3)
     got = c.collocations(df, min_count, most, top, slot_bits=20).collect()
     assert {tuple(r) for r in got} == brute(rows, min_count, most, top) and len(got) == len(set(got))
@@ -52,7 +53,7 @@ def test_like_plain_counts(spark, monkeypatch, rows, min_count, most, top):
 
 def test_shared_slots_change_nothing(spark, monkeypatch):
     """A sketch so small that every phrase passes, and runs of few words."""
-    monkeypatch.setattr(c, "RUN_WORDS", 500)
+    monkeypatch.setattr(c, "RUN_BYTES", 2000)
     rows = made(4)
     df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
     _, counts = c.phrase_counts(df, 10, 3, slot_bits=9)
