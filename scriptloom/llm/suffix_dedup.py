@@ -1,8 +1,9 @@
 """Repeated passages of 50 bytes and more, removed after their first document, by a distributed merge sort of suffixes.
 
-A text of 50 bytes and more is read through windows of 50 bytes. A window's anchor is the position of the smallest hash among its
-19 strings of 32 bytes, the leftmost of equal ones: it depends on the window's bytes alone, so equal windows have equal anchors
-at equal offsets. Hashes decide only what is an anchor and what is sent; equality is always that of bytes.
+A text of 50 bytes and more is read through windows of 50 bytes. A window's anchor is one of its 19 strings of 32 bytes: where the
+smallest hash of its strings of 13 bytes stands, the leftmost of equal ones, modulo 19 (a mod-minimizer: about one place in 15 is an
+anchor). It depends on the window's bytes alone, so equal windows have equal anchors at equal offsets. Hashes decide only what is
+an anchor and what is sent; equality is always that of bytes.
 
 1. A first pass counts anchors in a sketch of ``2**SLOT_BITS`` slots, as phrases are counted for collocations. An anchor alone in its
    slot starts no repeated window and isn't sent (distributed duplicate detection, as in prefix-doubling string sorting).
@@ -36,9 +37,10 @@ from .lm_score import _from_planes, _planes
 WINDOW = 50
 ANCHOR = 32
 LEFT = WINDOW - ANCHOR
+SMALL = 4 + (ANCHOR - 4) % (LEFT + 1)
 SLOT_BITS = 29
 #: Bytes hashed together, anchors counted together, entries of a sorted run, entries of a range, sampled anchors.
-SLICE = 1 << 20
+SLICE = 1 << 18
 RUN_ANCHORS = 1 << 20
 RUN_ENTRIES = 1 << 18
 RANGE_ENTRIES = 1 << 17
@@ -47,49 +49,57 @@ SAMPLE = 1 << 17
 _LAST = (1 << 63) - 1
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_PLACE_BITS = 22
-_PLACE = np.uint64((1 << _PLACE_BITS) - 1)
+_SMALL_MIX = np.uint32(0x9E3779B1)
+#: A place in a slice and, above it, the high bits of a hash are one number of 32 bits.
+_PLACE = np.uint32(SLICE - 1)
 
 
 def _byte_codes() -> np.ndarray:
-    z = (np.arange(1, 257, dtype=np.uint64) * _MIX) ^ np.uint64(0xD1B54A32D192ED03)
+    z = np.arange(1, 257, dtype=np.uint64) * _MIX
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return z ^ (z >> np.uint64(31))
+    return (z >> np.uint64(32)).astype(np.uint32)
 
 
 _CODES = _byte_codes()
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of texts side by side in ``data`` (below 4 MB): place, hash, and the first and last window of each."""
+    """Anchors of texts side by side in ``data`` (a slice at most): place, evenly spread hash, and the first and last window of each."""
     none = np.zeros(0, np.int64)
     if len(data) < WINDOW:
         return none, none.astype(np.uint64), none, none
-    h = _CODES[data]
-    span = 1
-    while span < ANCHOR:
-        h = h[:-span] * _MIX + h[span:]
-        h ^= h >> np.uint64(29)
+    h, span = _CODES[data], 1
+    while span < 8:
+        h = h[:-span] * _SMALL_MIX + h[span:]
+        h ^= h >> np.uint32(15)
         span *= 2
-    h *= _MIX
-    h ^= h >> np.uint64(32)
-    least = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
-    wide, span = WINDOW - ANCHOR + 1, 1
+    h = (h[: 8 - SMALL] * _SMALL_MIX + h[SMALL - 8 :]) * _SMALL_MIX  # of strings of SMALL bytes
+    h ^= h >> np.uint32(15)
+    least = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint32)
+    wide, span = WINDOW - SMALL + 1, 1
     while span * 2 <= wide:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if wide > span:
         least = np.minimum(least[: span - wide], least[wide - span :])
-    inside = np.ones(len(least), bool)
-    for e in ends[:-1]:
-        inside[max(0, e - WINDOW + 1) : e] = False
-    window = np.flatnonzero(inside)
-    if not len(window):
-        return none, none.astype(np.uint64), none, none
-    place = (least[window] & _PLACE).astype(np.int64)
+    window = np.arange(len(least), dtype=np.int32)
+    ahead = (least & _PLACE).astype(np.int32) - window
+    for _ in range((WINDOW - SMALL) // (LEFT + 1)):  # modulo LEFT + 1
+        ahead -= (ahead > LEFT) * np.int32(LEFT + 1)
+    place = window + ahead
+    for e in ends[:-1].tolist():
+        place[max(0, e - WINDOW + 1) : e] = -1  # windows of two texts
     new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    place = place[new]
-    return place, h[place], window[new], window[np.concatenate([new[1:] - 1, [len(window) - 1]])]
+    last = np.concatenate([new[1:] - 1, [len(place) - 1]])
+    whole = place[new] >= 0
+    new, last = new[whole], last[whole]
+    place = place[new].astype(np.int64)
+    words = data[place[:, None] + np.arange(ANCHOR)].view("<u8")
+    key = words[:, 0] * _MIX
+    for k in range(1, ANCHOR // 8):
+        key = (key ^ (key >> np.uint64(31))) * _MIX + words[:, k] * np.uint64(0xC2B2AE3D27D4EB4F)
+    key = (key ^ (key >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return place, key ^ (key >> np.uint64(31)), new, last
 
 
 class _Slice:
@@ -115,13 +125,13 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
     for batch in batches:
         for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             text = text.as_py()
-            for begin in range(0, max(1, len(text) - WINDOW + 1), SLICE):
-                part = text[begin : begin + SLICE + WINDOW - 1]
-                parts.append((doc, key, begin, part))
-                n += len(part)
-                if n >= SLICE:
+            for begin in range(0, max(1, len(text) - WINDOW + 1), SLICE - WINDOW + 1):
+                part = text[begin : begin + SLICE]
+                if n + len(part) > SLICE:
                     yield _Slice(parts)
                     parts, n = [], 0
+                parts.append((doc, key, begin, part))
+                n += len(part)
     if parts:
         yield _Slice(parts)
 
@@ -201,6 +211,15 @@ _SENT_SCHEMA = pa.schema(_SENT)
 _SENT_SQL = ", ".join(f"{n} {'int' if t == pa.int32() else 'binary'}" for n, t in _SENT)
 
 
+def _packed(data: bytes) -> bytes:
+    """Compressed, with the size in front."""
+    return len(data).to_bytes(4, "big") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[4:], int.from_bytes(data[:4], "big"), "zstd", asbytes=True)
+
+
 def _known(doc: np.ndarray, key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     """Ranges that are removed, as rows whose ``shared`` is null, in parts below zero."""
     pairs, index = np.unique(np.stack([doc, key], axis=1), axis=0, return_inverse=True)
@@ -232,8 +251,8 @@ def _sorted_run(right: np.ndarray, size: np.ndarray, left: np.ndarray, left_size
         before = l[np.arange(LEFT) < left_size[b:e, None]]
         yield pa.RecordBatch.from_arrays([
             pa.array([part[b]], pa.int32()),
-            *[pa.array([x], pa.binary()) for x in (shared[b:e].astype(np.uint8).tobytes(), size[b:e].astype(np.uint8).tobytes(), rest.tobytes(), left_size[b:e].astype(np.uint8).tobytes(), before.tobytes())],
-            *[pa.array([_planes(x[b:e].view(np.uint64), 8)], pa.binary()) for x in (doc, key, place)],
+            *[pa.array([_packed(x.tobytes())], pa.binary()) for x in (shared[b:e].astype(np.uint8), size[b:e].astype(np.uint8), rest, left_size[b:e].astype(np.uint8), before)],
+            *[pa.array([_packed(_planes(x[b:e].view(np.uint64), 8))], pa.binary()) for x in (doc, key, place)],
         ], schema=_SENT_SCHEMA)
 
 
@@ -328,6 +347,8 @@ def later_windows(shared: np.ndarray, size: np.ndarray, left: np.ndarray, left_s
     """For sorted entries and each offset (a column): whether the window there also starts in a smaller document."""
     n = len(size)
     out = np.zeros((n, LEFT + 1), bool)
+    if not n:
+        return out
     group = np.cumsum(shared < ANCHOR)
     order = np.lexsort((left_size, *reversed(_columns(left)), group))
     near = _shared(left[order], left_size[order])
@@ -355,6 +376,7 @@ def _merge_range(group: pa.Table) -> pa.Table:
         if row["shared"] is None:
             out.append(tuple(np.frombuffer(row[c], np.int64) for c in ("doc", "hash", "place", "rest")))
             continue
+        row = {c: _unpacked(x) for c, x in row.items() if c != "part"}
         shared, sizes, rest, strings, last, at = row["shared"], row["sizes"], row["rest"], [], b"", 0
         for p, n in zip(shared, sizes, strict=True):
             last = last[:p] + rest[at : at + n - p]
@@ -384,15 +406,19 @@ def _merge_range(group: pa.Table) -> pa.Table:
     return pa.table(dict(zip(("doc", "hash", "begin", "end"), map(pa.array, columns), strict=True)))
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS) -> DataFrame:
-    """``doc long, hash long, begin long, end long``: byte ranges to remove, some of them overlapping, of the text with this id and xxhash64; a written table."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, doc, hash, text``: texts in UTF-8 and their keys, the id and, only if some id repeats, the text's hash."""
+    doc, text = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    unique = docs.groupBy(doc.alias("doc")).count().where("count > 1").isEmpty()
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), doc.alias("doc"), (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("hash"), text.cast("binary").alias("text"))
+
+
+def repeated_ranges(keyed: DataFrame, slot_bits: int = SLOT_BITS) -> DataFrame:
+    """``doc long, hash long, begin long, end long``: byte ranges to remove, some of them overlapping, of the texts with these keys; a written table."""
     if slot_bits < _BUCKETS.bit_length() + 2:
         raise ValueError("every bucket needs a byte of slots")
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("hash"), text.cast("binary").alias("text"))
-    texts = texts.where(F.octet_length("text") >= WINDOW)
+    spark = keyed.sparkSession
+    texts = keyed.where(F.octet_length("text") >= WINDOW).select("doc", "hash", "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     every = max(1, size // (LEFT // 2 + 1) // SAMPLE)
     counted = materialise(_count_anchors(texts, slot_bits, every), "anchors")
@@ -433,11 +459,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal results. Null ids are after all others and alike. Texts shorter than a window stay. An empty table gives an
     empty result. Other columns are ignored.
     """
-    found = repeated_ranges(docs, id_col, text_col, slot_bits)
+    bounded_batches(docs.sparkSession)
+    source = _keyed(docs, id_col, text_col)
+    found = repeated_ranges(source, slot_bits)
     ranges = materialise(found.groupBy("doc", "hash").agg(F.collect_list(F.struct("begin", "end")).alias("ranges")), "spans")
     discard(found)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("hash"), text.cast("binary").alias("text"))
     loses = fresh(source, "loses")
     source = maybe_in(source, [F.col("doc"), F.col("hash")], ranges, [F.col("doc"), F.col("hash")], loses)
     met = source.where(F.col(loses)).join(ranges.hint("merge"), ["doc", "hash"], "left")

@@ -59,7 +59,6 @@ HARD = [(1, None), (2, ""), (3, "z" * 49), (4, "z" * 50), (5, "z" * 200), (5, "z
 def test_like_plain_windows(spark, monkeypatch, rows):
     monkeypatch.setattr(s, "RANGE_ENTRIES", 50)
     monkeypatch.setattr(s, "RUN_ENTRIES", 200)
-    monkeypatch.setattr(s, "SLICE", 1000)
     df = spark.createDataFrame([(i, t, 1, b"k") for i, t in rows], "doc_id long, text string, hash int, kept binary").repartition(5)
     got = [(r.doc_id, r.n_bytes, bytes(r.kept), tuple((x.begin, x.end) for x in r.spans)) for r in s.drop_repeats(df, slot_bits=16).collect()]
     assert sorted(got, key=repr) == brute(rows)
