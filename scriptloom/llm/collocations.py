@@ -39,9 +39,9 @@ TOP = 2000
 SLOT_BITS = 28
 _BUCKETS = 64
 #: Bytes of a run, candidates of a bucket, and the bytes of the candidates of one automaton: about 30 bytes of memory each.
-RUN_BYTES = 1 << 22
+RUN_BYTES = 1 << 21
 BUCKET_PHRASES = 1 << 14
-AUTOMATON_BYTES = 1 << 23
+AUTOMATON_BYTES = 6 << 20
 #: Keys a task remembers having proposed.
 _PROPOSED = 1 << 22
 NO_LANG = "und"
@@ -75,6 +75,10 @@ def _tables(places: int = 64) -> np.ndarray:
 _TABLES = _tables()
 
 
+#: The shard that this worker scans for, if it does.
+_AUTOMATA: dict = {}
+
+
 class _Run:
     """Whole texts, one language after another: where their words are, and hashes of these."""
 
@@ -126,6 +130,7 @@ class _Run:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Run]:
     """Runs from batches of ``lang, text``."""
+    _AUTOMATA.clear()
     texts: dict[str, list[bytes]] = {}
     n = 0
     for batch in batches:
@@ -225,9 +230,6 @@ def _candidates(docs: DataFrame, bitmap: np.ndarray, most: int, bits: int) -> Da
     return kept.groupBy("lang", "bucket").applyInArrow(union, "lang string, bucket int, phrases binary")
 
 
-_AUTOMATA: dict = {}
-
-
 def _automata(key: str, shard: list[tuple[str, int, bytes]]) -> dict:
     """The automaton of each language of a shard, built once a worker; values are places in the shard."""
     if key not in _AUTOMATA:
