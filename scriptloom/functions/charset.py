@@ -154,32 +154,6 @@ def write_prefixed(data: bytes, width: int, scale: int = 1, add: int = 0) -> byt
     return ((len(data) - add) // scale).to_bytes(width, "little") + data
 
 
-def tunnel_encode(text: str, table: dict[str, int], encoding: str = "cp932") -> bytes:
-    """Characters beyond the charset as private two-byte codes, numbered as first seen in ``table``."""
-    out = bytearray()
-    for ch in text:
-        try:
-            out += ch.encode(encoding)
-        except UnicodeEncodeError:
-            code = table.setdefault(ch, len(table))
-            # lead bytes 0x81 on, trail bytes 0x01 to 0x3F: pairs that no real character uses
-            out += bytes((0x81 + code // 63, 0x01 + code % 63))
-    return bytes(out)
-
-
-def tunnel_decode(data: bytes, table: dict[str, int], encoding: str = "cp932") -> str:
-    back, out, i = {v: k for k, v in table.items()}, [], 0
-    while i < len(data):
-        if i + 1 < len(data) and data[i] >= 0x81 and 0x01 <= data[i + 1] <= 0x3F:
-            out.append(back[(data[i] - 0x81) * 63 + data[i + 1] - 1])
-            i += 2
-        else:
-            n = 2 if 0x81 <= data[i] <= 0x9F or 0xE0 <= data[i] <= 0xFC else 1
-            out.append(data[i : i + n].decode(encoding))
-            i += n
-    return "".join(out)
-
-
 #: The dictionary coder's ring size, longest match, and shortest match that pays.
 RING, LONGEST, SHORTEST = 4096, 18, 3
 

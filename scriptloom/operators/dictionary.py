@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import positions
+
 
 #: Bits of the order behind its first column, in a decimal of 38 digits.
 _REST = 62
@@ -116,22 +118,9 @@ def positional_zip(left: DataFrame, right: DataFrame, order_left: list[str], ord
     return both.select("pos", "left", checked.alias("right"))
 
 
-def with_position(df: DataFrame, order: list[str], name: str = "pos", buckets: int = 1024) -> DataFrame:
-    """``df`` plus its position, from 0, in the order: bucket counts first, then ranks inside narrow buckets.
-
-    The first order column must be numeric; its range, found with one aggregate, is cut into ``buckets`` equal parts.
-    """
-    low, high = df.agg(F.min(order[0]), F.max(order[0])).first()
-    if low is None:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    width = max(1, -(-(int(high) - int(low) + 1) // buckets))
-    cut = df.withColumn("_b", F.floor((F.col(order[0]) - F.lit(int(low))) / width).cast("int"))
-    counts = cut.groupBy("_b").agg(F.count("*").alias("_n"))
-    # at most ``buckets`` + 1 rows
-    before = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_b").orderBy(*order)
-    ranked = cut.withColumn("_i", F.row_number().over(inside)).join(F.broadcast(before), "_b")
-    return ranked.withColumn(name, (F.col("_before") + F.col("_i") - 1).cast("long")).drop("_b", "_i", "_before")
+def with_position(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
+    """``df`` plus its position, from 0, in the order, which may be of any columns."""
+    return positions(df, order, name)
 
 
 def append_lines(new: DataFrame, old: DataFrame, text_col: str = "text") -> DataFrame:

@@ -683,4 +683,4 @@ def align_fix_missing(spark, d):
     return sequences.align_inserts(t, old, "conv_id", "turn")
 
 
-from . import script_queries  # noqa: E402, F401  (registers its queries)
+from . import scan_queries, script_queries  # noqa: E402, F401  (register their queries)

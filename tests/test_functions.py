@@ -80,8 +80,6 @@ def test_charset_helpers():
     assert charset.is_shift_jis("日本".encode("cp932")) and not charset.is_shift_jis(b"a")
     assert charset.keep_bytes(b"a\x01b", b"\x01") == b"a<01>b"
     assert b"".join(charset.encode_text("a<01>b", "ascii", marks=True)) == b"a\x01b"
-    table: dict = {}
-    assert charset.tunnel_decode(charset.tunnel_encode("日a䶮", table), table) == "日a䶮"
     codes = charset.huffman_codes(charset.byte_histogram(b"aaaabbc"))
     assert len(codes[97]) < len(codes[99])
     assert charset.read_prefixed(charset.write_prefixed(b"abc", 2), 0, 2) == b"abc"
