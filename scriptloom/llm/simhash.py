@@ -19,12 +19,13 @@ Plan, all of it over whole texts and all rows:
 
 Where a candidate only becomes a link by a comparison of texts (``similar_documents``), no set may be formed from unproven
 pairs. There step 5 runs twice: first for the nearest partner of each row, whose proven links join most of each group, then
-for every pair whose two rows are still in different components. A pair is left out only if its rows are joined already.
+for every pair whose two rows are still in different components. A pair is left out only if its rows are joined already, or if
+the sizes and parity bitmaps of its sets of shingles prove it too different: near misses never leave their task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -89,6 +90,28 @@ def fingerprint(hashes: np.ndarray, n64: int = 1) -> np.ndarray:
     return out
 
 
+def parity(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """A bit for each of ``bits`` classes of hashes, whether it holds an odd number of them, in words of 64 bits."""
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def can_be_similar(n: np.ndarray, bitmaps: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """False only where sets of shingles can't be so similar (Sandes et al., 2020).
+
+    Each element that only one of two sets has flips one bit of its parity bitmap, so the sets differ in as many elements as the
+    bitmaps in bits, at least. That bounds the elements in common from above; sizes alone do as well.
+    """
+    both = n[i] + n[j]
+    differ = np.abs(n[i] - n[j])
+    for k in range(0, len(i), 1 << 16):
+        part = slice(k, k + (1 << 16))
+        bits = np.bitwise_count(bitmaps[i[part]] ^ bitmaps[j[part]]).sum(axis=1, dtype=np.int64)
+        differ[part] = np.maximum(differ[part], bits)
+    common = (both - differ) // 2
+    return common * (1 + similarity) >= both * similarity - 1e-6
+
+
 @dataclass(frozen=True)
 class Search:
     """How fingerprints are made and compared.
@@ -108,6 +131,8 @@ class Search:
     task_rows: int = TASK_ROWS
     #: Where only the nearest partner is asked for, one within so many bits is near enough.
     close_bits: int = 0
+    #: Bits of the parity bitmap of a set of shingles, a multiple of 64; 0: none is made.
+    parity_bits: int = 0
 
     @property
     def block_bits(self) -> int:
@@ -123,7 +148,7 @@ EXACT_64 = Search()
 #: For a similarity of 0.8 or more on five-word shingles: texts at 0.8 differ in 15 % of the bits (48 of 320), so a
 #: 16-bit block differs in at most one bit with chance 0.28, and one of 20 blocks does with chance 0.9986. Pairs within
 #: ``max_bits`` (0.8 plus more than five standard deviations) are candidates; their shingle sets are then compared exactly.
-SIMILAR_320 = Search(width=5, n64=5, distinct=True, max_bits=84, blocks=20, radius=1, shard_rows=1 << 19, close_bits=16)
+SIMILAR_320 = Search(width=5, n64=5, distinct=True, max_bits=84, blocks=20, radius=1, shard_rows=1 << 19, close_bits=16, parity_bits=512)
 
 
 def _pack(rows: np.ndarray) -> list[bytes]:
@@ -148,23 +173,29 @@ def _block(fps: np.ndarray, block: int, bits: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, search: Search = EXACT_64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id long, text_hash long, fp binary, digest binary`` for each row: the hash of the text as it is, the words of the
-    fingerprint, big-endian, and 128 bits that stand for the shingles it was made from. Null text counts as empty."""
+    fingerprint, big-endian, and 128 bits that stand for the shingles it was made from; with ``search.parity_bits`` also their
+    number and parity bitmap, ``n long, parity binary``. Null text counts as empty."""
     bounded_batches(docs.sparkSession)
+    more = ["n", "parity"] if search.parity_bits else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            rows, digests = [], []
+            rows, digests, sizes, bitmaps = [], [], [], []
             for t in batch.column(2):
                 hashes = shingle_hashes(t.as_py(), search.width, search.distinct)
                 rows.append(fingerprint(hashes, search.n64))
                 digests.append(xxh3_128_digest(hashes.tobytes()))
+                if more:
+                    sizes.append(len(hashes))
+                    bitmaps.append(parity(hashes, search.parity_bits))
             if rows:
                 columns = [batch.column(0), batch.column(1), pa.array(_pack(np.array(rows)), pa.binary()), pa.array(digests, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "digest"])
+                columns += [pa.array(sizes, pa.int64()), pa.array(_pack(np.array(bitmaps)), pa.binary())] if more else []
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "digest", *more])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, fp binary, digest binary")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, fp binary, digest binary" + ", n long, parity binary" * bool(more))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -312,8 +343,9 @@ def link_shard(fps: np.ndarray, values: np.ndarray, home: np.ndarray, search: Se
     return links.pairs()
 
 
-def separate_shard(fps: np.ndarray, block: int, home: np.ndarray, label: np.ndarray, search: Search) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a shard whose labels differ, as they are found. A pair that meets in several blocks is given in the first."""
+def separate_shard(fps: np.ndarray, block: int, home: np.ndarray, label: np.ndarray, search: Search, possible: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a shard whose labels differ, as they are found, but for those that aren't ``possible``. A pair that meets in
+    several blocks is given in the first."""
     values = _block(fps, block, search.block_bits)
     short = values.astype(f"u{max(1, search.block_bits // 8)}")
     for q, h in _leaves(values, home, search):
@@ -333,6 +365,9 @@ def separate_shard(fps: np.ndarray, block: int, home: np.ndarray, label: np.ndar
                 for k in range(block):
                     ok = np.bitwise_count(_block(fps[i], k, search.block_bits) ^ _block(fps[j], k, search.block_bits)) > search.radius
                     i, j = i[ok], j[ok]
+                if possible:
+                    ok = possible(i, j)
+                    i, j = i[ok], j[ok]
                 if len(i):
                     yield np.maximum(i, j), np.minimum(i, j)
 
@@ -406,23 +441,29 @@ def candidate_links(reps: DataFrame, search: Search, nearest: bool = False) -> D
     return _routed(reps.select("rep", "fp"), search).groupBy(*_TASK).applyInArrow(link, "a long, b long").distinct()
 
 
-def separate_pairs(reps: DataFrame, search: Search) -> DataFrame:
+def separate_pairs(reps: DataFrame, search: Search, similarity: float | None = None) -> DataFrame:
     """``a long, b long`` with a > b: every pair of ``rep long, fp binary, label long`` that the search finds and whose labels
-    differ, once. A shard's pairs are returned as they are found and never held together."""
+    differ, once. A shard's pairs are returned as they are found and never held together. With a ``similarity``, ``reps`` has
+    ``n`` and ``parity`` too, and pairs that these prove less similar aren't made: so near misses cost a comparison of bitmaps."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).sort_by("rep")
         fps, block = _unpack(table["fp"], search.n64), table["block"][0].as_py()
         rep, home, label = table["rep"].to_numpy(), table["home"].to_numpy(zero_copy_only=False), table["label"].to_numpy()
         tile = table["tile"].to_numpy() if table["i"][0].as_py() != table["j"][0].as_py() else None
-        for a, b in separate_shard(fps, block, home, label, search):
+        possible = None
+        if similarity is not None:
+            n, bitmaps = table["n"].to_numpy(), _unpack(table["parity"], search.parity_bits // 64)
+            possible = lambda i, j: can_be_similar(n, bitmaps, i, j, similarity)
+        for a, b in separate_shard(fps, block, home, label, search, possible):
             if tile is not None:  # pairs inside a tile belong to the task of that tile alone
                 across = tile[a] != tile[b]
                 a, b = a[across], b[across]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(rep[a], pa.int64()), pa.array(rep[b], pa.int64())], ["a", "b"])
 
-    return _routed(reps.select("rep", "fp", "label"), search).groupBy(*_TASK).applyInArrow(pairs, "a long, b long")
+    columns = ["rep", "fp", "label", *(["n", "parity"] if similarity is not None else [])]
+    return _routed(reps.select(*columns), search).groupBy(*_TASK).applyInArrow(pairs, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, search: Search = EXACT_64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -471,7 +512,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, search: Search =
     fps = fingerprints(docs, search, id_col, text_col).where("doc_id is not null").dropDuplicates(["doc_id", "text_hash"])
     fps = materialise(fps.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
     # one row for equal sets of shingles only: equal fingerprints of different sets are candidates like any others
-    reps = materialise(fps.groupBy("fp", "digest").agg(F.min("node").alias("rep")), "representatives")
+    reps = materialise(fps.groupBy("fp", "digest", "n", "parity").agg(F.min("node").alias("rep")), "representatives")
     equal = fps.join(reps, ["fp", "digest"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     names = fps.select("node", "doc_id", "text_hash")
     texts = _keyed(docs, id_col, text_col)
@@ -479,8 +520,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, search: Search =
     proven = proven_pairs(links, names, texts, similarity, search.width)
     joined = materialise(components(proven.unionByName(equal), "a", "b"), "joined")
     named = reps.join(joined.hint("merge"), reps.rep == joined.node, "left")
-    named = materialise(named.select("rep", "fp", F.coalesce("component", "rep").alias("label")), "labelled")
-    apart = separate_pairs(named, search).where("a <> b")
+    named = materialise(named.select("rep", "fp", "n", "parity", F.coalesce("component", "rep").alias("label")), "labelled")
+    apart = separate_pairs(named, search, similarity).where("a <> b")
     apart = materialise(apart.join(links.hint("merge"), ["a", "b"], "left_anti"), "apart")
     more = proven_pairs(apart, names, texts, similarity, search.width)
     merged = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")

@@ -238,3 +238,39 @@ def test_very_long_texts(spark):
     long = " ".join(f"w{i % 9973}" for i in range(400_000))
     df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short text of a few words")], "doc_id long, text string")
     assert sorted(r.doc_id for r in s.drop_near_duplicates(df).collect()) == [1, 3]
+
+
+def test_parity_bounds_lose_no_pair():
+    """Pairs of sets around the threshold: what is ruled out is below it, and most of what is far below is ruled out."""
+    rng = np.random.default_rng(7)
+    sets, pairs = [], []
+    for size in (1, 4, 5, 9, 60, 500, 4000):
+        base = rng.integers(0, 2**63, size).astype(np.uint64)
+        for share in (0.0, 0.05, 0.1, 0.111, 0.12, 0.2, 0.5):
+            for keep in (1.0, 0.8, 0.9):
+                x = np.unique(np.concatenate([base[: int(size * keep)], rng.integers(0, 2**63, int(size * share)).astype(np.uint64)]))
+                sets.append(x)
+    sets.append(np.zeros(0, np.uint64))
+    n, bitmaps = np.array([len(x) for x in sets]), np.array([s.parity(x, 512) for x in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    ok = s.can_be_similar(n, bitmaps, i, j, 0.8)
+    real = np.array([s.jaccard(sets[a], sets[b]) for a, b in zip(i, j)])
+    assert ok[real >= 0.8].all() and (real >= 0.8).sum() > 50
+    assert ok[(real < 0.6) & (n[i] > 50) & (n[i] < 600)].mean() < 0.05
+
+
+def test_recall_at_the_threshold(spark):
+    """Documents at a similarity just above 0.8 to their original alone: found, but for the chance that the search states."""
+    rng = np.random.default_rng(8)
+    docs, expected = [], 0
+    for k in range(150):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+        other = list(base)
+        for at in (20, 55, 90):  # three edits of five shingles each: (146 - 15) / (146 + 15) = 0.81
+            other[at] = f"v{rng.integers(0, 10**6)}"
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        a, b = (s.shingle_hashes(t, 5, True) for _, t in docs[-2:])
+        assert 0.8 <= s.jaccard(a, b) < 0.82
+        expected += 1
+    kept = {r.doc_id for r in s.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(2 * k in kept for k in range(150)) and sum(2 * k + 1 not in kept for k in range(150)) >= expected - 2
