@@ -40,7 +40,25 @@ def include_key(spec: str):
     return (lambda k: k not in names) if spec.startswith("!") else (lambda k: k in names)
 
 
-def leaves(df: DataFrame, json_col: str, keys: str = "all", depth: int = 64) -> DataFrame:
+def _loaded(text: str | None):
+    """The tree of a JSON text; None for what is none, or is nested deeper than Python's reader goes (some ten thousand levels)."""
+    try:
+        return json.loads(text) if text else None
+    except (ValueError, RecursionError):
+        return None
+
+
+def _opened(node: str):
+    """The tree in a string that holds JSON itself, or None."""
+    return _loaded(node) if node[:1] in ("[", "{") else None
+
+
+def _well_formed(text: str) -> str:
+    """Lone surrogates, which JSON may escape but UTF-8 lacks, as question marks."""
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace").replace("\ufffd", "?") if any("\ud800" <= c <= "\udfff" for c in text) else text
+
+
+def leaves(df: DataFrame, json_col: str, keys: str = "all") -> DataFrame:
     """String leaves of JSON texts: other columns, ``leaf_no int, path array<string>, code long, text string``.
 
     ``code`` is that of the nearest event (an object with a numeric ``code`` and ``parameters``) above the leaf. Strings that
@@ -48,34 +66,32 @@ def leaves(df: DataFrame, json_col: str, keys: str = "all", depth: int = 64) ->
     """
     others, wanted = [c for c in df.columns if c != json_col], include_key(keys)
 
-    def walk(node, path: list[str], code: int | None, left: int) -> Iterator[tuple]:
-        if isinstance(node, str):
-            if node[:1] in "[{" and left:
-                try:
-                    yield from walk(json.loads(node), path, code, left - 1)
-                    return
-                except ValueError:
-                    pass
-            if node:
-                yield path, code, node
-        elif isinstance(node, list) and left:
-            for i, x in enumerate(node):
-                yield from walk(x, [*path, str(i)], code, left - 1)
-        elif isinstance(node, dict) and left:
-            is_event = isinstance(node.get("code"), int) and isinstance(node.get("parameters"), list)
-            for k, x in node.items():
-                if isinstance(x, (dict, list)) or wanted(k):
-                    yield from walk(x, [*path, k], node["code"] if is_event else code, left - 1)
+    def walk(tree) -> Iterator[tuple]:
+        # a stack, not recursion: trees may be as deep as their texts are long
+        stack = [(tree, [], None)]
+        while stack:
+            node, path, code = stack.pop()
+            if isinstance(node, str):
+                opened = _opened(node)
+                if opened is not None:
+                    stack.append((opened, path, code))
+                elif node:
+                    yield path, code, _well_formed(node)
+            elif isinstance(node, list):
+                stack += [(x, [*path, str(i)], code) for i, x in reversed(list(enumerate(node)))]
+            elif isinstance(node, dict):
+                if isinstance(node.get("code"), int) and isinstance(node.get("parameters"), list):
+                    own = node["code"]
+                else:
+                    own = code
+                inside = [(x, [*path, _well_formed(k)], own) for k, x in node.items() if isinstance(x, (dict, list)) or wanted(k)]
+                stack += reversed(inside)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, numbers, paths, codes, texts = [], [], [], [], []
             for at, text in enumerate(batch[json_col].to_pylist()):
-                try:
-                    tree = json.loads(text) if text else None
-                except ValueError:
-                    tree = None
-                for n, (path, code, leaf) in enumerate(walk(tree, [], None, depth)):
+                for n, (path, code, leaf) in enumerate(walk(_loaded(text))):
                     for column, x in zip((rows, numbers, paths, codes, texts), (at, n, path, code, leaf), strict=True):
                         column.append(x)
             part = batch.take(pa.array(rows, pa.int64()))
@@ -86,40 +102,35 @@ def leaves(df: DataFrame, json_col: str, keys: str = "all", depth: int = 64) ->
     return df.select(*others, json_col).mapInArrow(run, f"{schema}leaf_no int, path array<string>, code long, text string")
 
 
-def replace_leaves(df: DataFrame, json_col: str, changes_col: str, keys: str = "all", depth: int = 64, style: int = 0) -> DataFrame:
+def replace_leaves(df: DataFrame, json_col: str, changes_col: str, keys: str = "all", style: int = 0) -> DataFrame:
     """``df`` with the leaves of its JSON texts replaced: ``changes_col`` is an ``array<struct<leaf_no:int, text:string>>``.
 
     Leaves are numbered as :func:`leaves` does. Strings that hold JSON are opened and closed again, compactly. Texts that aren't
     JSON, and rows without changes, come back as they are; ``style`` is that of :func:`scriptloom.sources.formats.rebuilt_json`.
+    A text with changes that is nested deeper than Python's recursion goes (nearly a thousand levels) is an error.
     """
     from ..sources.formats import rebuilt_json
 
     wanted = include_key(keys)
 
-    def rewrite(node, left: int, number: Iterator[int], new: dict[int, str]):
+    def rewrite(node, number: Iterator[int], new: dict[int, str]):
         if isinstance(node, str):
-            if node[:1] in "[{" and left:
-                try:
-                    tree = json.loads(node)
-                except ValueError:
-                    pass
-                else:
-                    return json.dumps(rewrite(tree, left - 1, number, new), ensure_ascii=False, separators=(",", ":"))
+            opened = _opened(node)
+            if opened is not None:
+                return json.dumps(rewrite(opened, number, new), ensure_ascii=False, separators=(",", ":"))
             return new.get(next(number), node) if node else node
-        if isinstance(node, list) and left:
-            return [rewrite(x, left - 1, number, new) for x in node]
-        if isinstance(node, dict) and left:
-            return {k: rewrite(x, left - 1, number, new) if isinstance(x, (dict, list)) or wanted(k) else x for k, x in node.items()}
+        if isinstance(node, list):
+            return [rewrite(x, number, new) for x in node]
+        if isinstance(node, dict):
+            return {k: rewrite(x, number, new) if isinstance(x, (dict, list)) or wanted(k) else x for k, x in node.items()}
         return node
 
     @F.pandas_udf("string")
     def put(text: pd.Series, changes: pd.Series) -> pd.Series:
         def one(t, found):
             new = {x["leaf_no"]: x["text"] for x in found} if found is not None else {}
-            try:
-                return rebuilt_json(rewrite(json.loads(t), depth, count(), new), style) if t and new else t
-            except ValueError:
-                return t
+            tree = _loaded(t) if new else None
+            return t if tree is None else _well_formed(rebuilt_json(rewrite(tree, count(), new), style))
 
         return pd.Series([one(t, c) for t, c in zip(text, changes, strict=True)], dtype=object)
 
@@ -133,42 +144,27 @@ def keep_format_roles(captures: Column, key: Column) -> Column:
     return F.transform(captures, lambda c, i: F.when(i == last, c.withField("keys", keys(c))).otherwise(c))
 
 
-#: Event codes, what they are for, whether their texts are extracted (x) and whether they break a paragraph (b).
-EVENT_CODES = """
-0 Empty - b; 101 Show Text Attributes x b; 102 Show Choices x b; 103 Input Number - b; 104 Select Key Item - b; 105 Show Scrolling Text Attributes - b;
-108 Comment x -; 111 Conditional Branch - b; 112 Loop - b; 113 Break Loop - b; 115 Exit Event Processing - b; 117 Call Common Event - b; 118 Label - b;
-119 Jump to Label - b; 121 Control Switches - b; 122 Control Variables - b; 123 Control Self Switch - b; 124 Control Timer - b; 125 Change Gold - b;
-126 Change Items - b; 127 Change Weapons - b; 128 Change Armor - b; 129 Change Party Member - b; 132 Change Battle BGM - b; 133 Change Battle End ME - b;
-134 Change Save Access - b; 135 Change Menu Access - b; 136 Change Encounter - b; 137 Change Formation Access - b; 138 Change Window Color - b;
-201 Transfer Player - b; 202 Set Vehicle Location - b; 203 Set Event Location - b; 204 Scroll Map - b; 205 Set Move Route - b; 206 Get on/off Vehicle - b;
-211 Change Transparency - b; 212 Show Animation - b; 213 Shot Balloon Icon - b; 214 Erase Event - b; 216 Change Player Followers - b; 217 Gather Followers - b;
-221 Fadeout Screen - b; 222 Fadein Screen - b; 223 Tint Screen - b; 224 Flash Screen - b; 225 Shake Screen - b; 230 Wait - b; 231 Show Picture - b;
-232 Move Picture - b; 233 Rotate Picture - b; 234 Tint Picture - b; 235 Erase Picture - b; 236 Set Weather Effects - b; 241 Play BGM - b; 242 Fadeout BGM - b;
-243 Save BGM - b; 244 Replay BGM - b; 245 Play BGS - b; 246 Fadeout BGS - b; 249 Play ME - b; 250 Play SE - b; 251 Stop SE - b; 261 Play Movie - b;
-281 Change Map Display - b; 282 Change Tileset - b; 283 Change Battle Back - b; 284 Change Parallax Back - b; 285 Get Location Info - b;
-301 Battle Processing - b; 302 Shop Processing - b; 303 Name Input Processing - b; 311 Change HP - b; 312 Change MP - b; 313 Change State - b;
-314 Recover All - b; 315 Change EXP - b; 316 Change Level - b; 317 Change Parameters - b; 318 Change Skills - b; 319 Change Equipment - b;
-320 Change Actor Name x -; 321 Change Actor Class - b; 322 Change Actor Graphic - b; 323 Change Vehicle Graphic - b; 324 Change Actor Nickname x -;
-331 Change Enemy HP - b; 332 Change Enemy MP - b; 333 Change Enemy State - b; 334 Enemy Recover All - b; 335 Enemy Appear - b; 336 Enemy Transform - b;
-337 Show Battle Animation - b; 339 Force Action - b; 340 Abort Battle - b; 351 Open Menu Screen - b; 352 Open Save Screen - b; 353 Game Over - b;
-354 Return to Title Screen - b; 355 Script x -; 401 Show Text x -; 402 When - b; 403 When Cancel - b; 404 Choices End - b; 405 Show Scrolling Text x -;
-408 Comment More x -; 411 Else - b; 412 Branch End - b; 413 Repeat Above - b; 601 If Win - b; 602 If Escape - b; 603 If Lose - b;
-604 Battle Processing End - b; 605 Shop Item - b; 655 Script More x -; 657 Other x -
-"""
+#: The codes of events. Texts of the first two groups are extracted; those of the first and the last break a paragraph.
+TEXT_AND_BREAK = (101, 102)
+TEXT = (108, 320, 324, 355, 401, 405, 408, 655, 657)
+BREAK = (
+    0, 103, 104, 105, 111, 112, 113, 115, 117, 118, 119, 121, 122, 123, 124, 125, 126, 127, 128, 129, 132, 133, 134,
+    135, 136, 137, 138, 201, 202, 203, 204, 205, 206, 211, 212, 213, 214, 216, 217, 221, 222, 223, 224, 225, 230,
+    231, 232, 233, 234, 235, 236, 241, 242, 243, 244, 245, 246, 249, 250, 251, 261, 281, 282, 283, 284, 285, 301,
+    302, 303, 311, 312, 313, 314, 315, 316, 317, 318, 319, 321, 322, 323, 331, 332, 333, 334, 335, 336, 337, 339,
+    340, 351, 352, 353, 354, 402, 403, 404, 411, 412, 413, 601, 602, 603, 604, 605,
+)
 
 
 def event_codes(spark: SparkSession) -> DataFrame:
-    """``code, label, extract, breaks`` of :data:`EVENT_CODES`."""
-    rows = []
-    for entry in EVENT_CODES.replace("\n", " ").split(";"):
-        code, *label, extract, breaks = entry.split()
-        rows.append((int(code), " ".join(label), extract == "x", breaks == "b"))
-    return spark.createDataFrame(rows, "code long, label string, extract boolean, breaks boolean")
+    """``code, extract, breaks`` of the fixed codes."""
+    rows = [(c, True, True) for c in TEXT_AND_BREAK] + [(c, True, False) for c in TEXT] + [(c, False, True) for c in BREAK]
+    return spark.createDataFrame(rows, "code long, extract boolean, breaks boolean")
 
 
 def with_codes(rows: DataFrame, codes: DataFrame, code_col: str = "code") -> DataFrame:
-    """Events that a code table (``code, label, extract, breaks``) says to extract."""
-    table = codes.where("extract").select(F.col("code").alias(code_col), "label", "breaks")
+    """Events that a code table (``code, extract, breaks``) says to extract."""
+    table = codes.where("extract").select(F.col("code").alias(code_col), "breaks")
     return rows.join(table, code_col)
 
 

@@ -162,7 +162,7 @@ def search_span(spark, d):
 
 
 @query("""with t as (select conv_id, turn, min(struct_pack(text := text, role := role)) as x from conversations group by all), u as (select conv_id, turn, x.role as role, replace(x.text, chr(10), ' ') as text from t)
-select conv_id, turn * 2 as n, role as text, true as is_name from u where role <> 'system' union all select conv_id, turn * 2 + 1, text, false from u where role <> 'system' and length(text) > 1""")
+select conv_id, turn * 2 as n, role as text, true as is_name from u where role <> 'system' union all select conv_id, turn * 2 + 1, text, false from u where role <> 'system' and text <> ''""")
 def bracketed_script(spark, d):
     """Commands in brackets, one of them nested, names by rule, text between; ``[np]`` ends a paragraph."""
     t = dictionary.dedupe_first(table(spark, d, "conversations").select("conv_id", "turn", "text", "role"), ["conv_id", "turn"], ["text"])
@@ -207,11 +207,11 @@ def json_tree_write(spark, d):
     return tree.replace_leaves(e.select("event_id", js.alias("j"), changes.alias("changes")), "j", "changes").select("event_id", "j")
 
 
-@query("""with c as (select event_id, event_type, (case event_id % 5 when 0 then 101 when 1 then 401 when 2 then 230 when 3 then 320 else 999 end) as code from events), k(code, label, breaks) as (values (101, 'Show Text Attributes', true), (401, 'Show Text', false), (320, 'Change Actor Name', false))
-select event_id, label, breaks from c join k using (code)""")
+@query("""with c as (select event_id, event_type, (case event_id % 5 when 0 then 101 when 1 then 401 when 2 then 230 when 3 then 320 else 999 end) as code from events), k(code, breaks) as (values (101, true), (401, false), (320, false))
+select event_id, code::bigint as code, breaks from c join k using (code)""")
 def event_code_table(spark, d):
     e = table(spark, d, "events").select("event_id", F.element_at(F.array(*[F.lit(c).cast("long") for c in (101, 401, 230, 320, 999)]), (F.col("event_id") % 5 + 1).cast("int")).alias("code"))
-    return tree.with_codes(e, tree.event_codes(spark)).select("event_id", "label", "breaks")
+    return tree.with_codes(e, tree.event_codes(spark)).select("event_id", "code", "breaks")
 
 
 @query("select conv_id, turn, role, 'name' as k, 'name' as keys from conversations group by all union all select conv_id, turn, role, 'message', '' from conversations group by all")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptloom.config import ExtractConfig, Role, RuleProgram
-from scriptloom.operators import dictionary, items, rules
+from scriptloom.operators import dictionary, items, rules, tree
 from scriptloom.plans.extract import extract, import_translations, item_translations
 from scriptloom.regexes import java_pattern, java_replacement
 
@@ -163,7 +163,7 @@ def test_brackets_of_any_depth():
 
     part = lambda t, **k: [t[a:b] for a, b in nested_parts(t, **k)]
     assert part("ab[c[d]e]fgh[i]") == ["ab", "c[d]e", "fgh", "i"]
-    assert part("ab[c]x") == ["ab", "c"] and part("ab[c]xy") == ["ab", "c", "xy"]
+    assert part("ab[c]x") == ["ab", "c", "x"] and part("ab[c]xy") == ["ab", "c", "xy"]
     assert part("ab[c]]de[f") == ["ab", "c", "]de", "[f"]
     assert part("ab[ruby x]cd[np]", keep=re.compile("^ruby")) == ["ab[ruby x]cd", "np"]
     assert part("a[b]", with_brackets=True) == ["a", "[b]"] and part("") == []
@@ -194,3 +194,28 @@ def test_blocks():
     text = 'x = {\n"not yet"\n[1] = {\n{\nname={"en"},\nname="Ann",\n"line one",\n{"rt2"},\n"line two",\n},\n},\n"after"\n[2]\nname={en="A", ja="B"},'
     got = [(n, c[0][2], c[0][3].keys) for n, _, c in block_captures(text)]
     assert got == [(5, "Ann", ("name",)), (6, "line one", ("unfinish",)), (8, "line two", ()), (13, "B", ("name",))]
+
+
+def test_block_braces():
+    """Braces in quotes don't count, text behind a closed block is outside, two blocks follow each other."""
+    from scriptloom.operators.dialogue import block_captures
+
+    text = 'x\n[1] = {\n{\n"a } } b",\n},\n},\n"outside"\n[2] = {\n"c",\n{"/x"},\n{"rt2"},\n},\nname="no"'
+    assert [(n, c[0][2], c[0][3].keys) for n, _, c in block_captures(text)] == [(3, "a } } b", ()), (8, "c", ("unfinish",))]
+    assert list(block_captures("")) == [] and list(block_captures('[1]\n"x"')) == []
+
+
+def test_trees_of_any_text(spark):
+    """Lone surrogates become question marks, deep trees lose no leaf, JSON inside strings is opened at any depth."""
+    import json
+
+    deep = "[" * 300 + '"low"' + "]" * 300
+    inside = json.dumps({"a": json.dumps({"b": json.dumps(["x", ""])})})
+    df = spark.createDataFrame([(1, '{"t":"a\\ud800b"}'), (2, deep), (3, inside), (4, None), (5, "{"), (6, '"top"')], "n int, j string")
+    got = {(r.n, r.text, len(r.path)) for r in tree.leaves(df, "j").collect()}
+    assert got == {(1, "a?b", 1), (2, "low", 300), (3, "x", 3), (6, "top", 0)}
+    changed = df.withColumn("c", F.array(F.struct(F.lit(0).alias("leaf_no"), F.lit("new").alias("text"))))
+    back = {r.n: r.j for r in tree.replace_leaves(changed, "j", "c").collect()}
+    assert back[2] == deep.replace("low", "new") and back[4] is None and back[5] == "{" and json.loads(json.loads(back[3])["a"])["b"] == '["new",""]'
+    codes = {r.code: (r.extract, r.breaks) for r in tree.event_codes(spark).collect()}
+    assert codes[101] == (True, True) and codes[401] == (True, False) and codes[0] == (False, True) and len(codes) == 116
