@@ -3,13 +3,15 @@
 1. A first pass over the texts hashes every phrase into ``2**SLOT_BITS`` slots and counts these: a sketch with one row, whose
    counts are upper bounds of the phrases'. Its slots are dealt to buckets and summed there, so that no task holds it whole;
    what comes back is a bit a slot, whether ``min_count`` was reached (32 MB at any input size, broadcast). The same pass counts words.
-   Words are told apart by 64-bit hashes inside a run of some MB only; beyond that, by their bytes.
+   Words are told apart by 64-bit hashes inside a task only; beyond that, by their bytes.
 2. A second pass keeps, once each, the phrases whose bit is set: the candidates, all that can reach ``min_count`` among them. They are
    dealt to buckets, a sorted list in one row each.
 3. Candidates are compiled into Aho-Corasick automata in shards of about ``AUTOMATON_BYTES``. For each shard one job scans the
    texts of its languages: words are written with one space before and after each and a line break between pieces, and keys
    start and end with that space, so that a match is whole words of one piece and overlapping matches count. Tasks send a list of
    counts a bucket; the lists are added, and phrases below the threshold, which only shared a slot, go.
+   The scans are as many as there are shards, so work grows with the texts times the frequent phrases (one scan of all texts for
+   each 10 MB of them).
 4. Cuts, scores, the rule on longer phrases and the ranks are joins and aggregates of candidates with the counts of their parts.
 
 A phrase of ``min_count`` occurrences has parts of as many, so the counts of parts are words' or other candidates' counts. With far
@@ -38,10 +40,13 @@ ABSORB_PERCENT = 50
 TOP = 2000
 SLOT_BITS = 28
 _BUCKETS = 64
-#: Bytes of a run, candidates of a bucket, and the bytes of the candidates of one automaton: about 30 bytes of memory each.
+#: A first word has the buckets of one in so many.
+_SPREAD = 256
+#: Bytes of a run, words that a task counts together, candidates of a bucket, and the bytes of the candidates of one automaton: about 25 bytes of memory each.
 RUN_BYTES = 1 << 21
+RUN_WORDS = 1 << 19
 BUCKET_PHRASES = 1 << 14
-AUTOMATON_BYTES = 6 << 20
+AUTOMATON_BYTES = 10 << 20
 #: Keys a task remembers having proposed.
 _PROPOSED = 1 << 22
 NO_LANG = "und"
@@ -145,6 +150,29 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Run]:
         yield _Run(texts)
 
 
+class _Words:
+    """The words of a task's runs with their counts."""
+
+    def __init__(self) -> None:
+        self.key, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.lang, self.word = np.zeros(0, object), np.zeros(0, object)
+
+    def add(self, r: _Run) -> None:
+        key, first, n = np.unique(r.key, return_index=True, return_counts=True)
+        known, at = _find(self.key, key)
+        self.n[at[known]] += n[known]
+        new, key, n = first[~known], key[~known], n[~known]
+        place = np.searchsorted(self.key, key)
+        word = np.empty(len(new), object)
+        word[:] = r.words(new)
+        lang = np.array(r.langs, object)[r.lang[new]]
+        self.key, self.n, self.lang, self.word = (np.insert(x, place, y) for x, y in ((self.key, key), (self.n, n), (self.lang, lang), (self.word, word)))
+
+    def batch(self, schema: pa.Schema) -> pa.RecordBatch:
+        columns = {"lang": pa.array(self.lang, pa.string()), "word": pa.array(self.word, pa.binary()), "n": pa.array(self.n)}
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(self.key), f.type)) for f in schema], schema=schema)
+
+
 def _slot(key: np.ndarray, bits: int) -> np.ndarray:
     return key >> np.uint64(64 - bits)
 
@@ -155,11 +183,12 @@ def _first_pass(docs: DataFrame, most: int, bits: int) -> DataFrame:
     inside = bits - (_BUCKETS.bit_length() - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
         for r in _runs(batches):
-            _, first, n = np.unique(r.key, return_index=True, return_counts=True)
-            lang = pa.array(r.langs, pa.string()).take(pa.array(r.lang[first]))
-            none = pa.nulls(len(first))
-            yield pa.RecordBatch.from_arrays([lang, pa.array(r.words(first), pa.binary()), pa.array(n), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())], schema=schema)
+            words.add(r)
+            if len(words.key) > RUN_WORDS:
+                yield words.batch(schema)
+                words = _Words()
             keys = [k for _, _, k in r.phrases(most)]
             slots, n = np.unique(_slot(np.concatenate(keys), bits), return_counts=True)
             cut = np.searchsorted(slots, np.arange(_BUCKETS + 1, dtype=np.uint64) << np.uint64(inside))
@@ -170,6 +199,8 @@ def _first_pass(docs: DataFrame, most: int, bits: int) -> DataFrame:
                 pa.array([_planes(np.diff(slots[cut[b] : cut[b + 1]], prepend=np.uint64(b) << np.uint64(inside)), 4) for b in full], pa.binary()),
                 pa.array([_planes(n[cut[b] : cut[b + 1]], 4) for b in full], pa.binary()),
             ], schema=schema)
+        if len(words.key):
+            yield words.batch(schema)
 
     return docs.mapInArrow(run, "lang string, word binary, n long, bucket int, slots binary, counts binary")
 
@@ -211,7 +242,9 @@ def _candidates(docs: DataFrame, bitmap: np.ndarray, most: int, bits: int) -> Da
                 new = ~_find(known, key)[0]
                 first, key = at[hit][first[new]], key[new]
                 known = np.sort(np.concatenate([known, key]), kind="stable") if len(known) < _PROPOSED else key
-                place = r.lang[first] * int(buckets) + (key % buckets).astype(np.int64)
+                # phrases with one first word side by side share the automaton's nodes; where buckets are many, it has several
+                spread = r.hash[first] + r.hash[first + 1] % np.uint64(1 + int(buckets) // _SPREAD) * np.uint64(0x9E3779B97F4A7C15)
+                place = r.lang[first] * int(buckets) + (spread % buckets).astype(np.int64)
                 order = np.argsort(place, kind="stable")
                 place, phrases = place[order], r.words(first[order], n)
                 cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
