@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import fresh
 from .scan import positions
 
 
@@ -64,41 +65,53 @@ def names_and_messages(items: DataFrame, order: list[str]) -> DataFrame:
     return first_seen(names.unionByName(messages), "text", [*order, "part"])
 
 
-def occurrence_join(rows: DataFrame, translations: DataFrame, order: list[str], text_col: str = "text", allow_empty: bool = False) -> DataFrame:
+def occurrence_join(rows: DataFrame, translations: DataFrame, order: list[str], text_col: str = "text", allow_empty: bool = False, most: int | None = None) -> DataFrame:
     """``rows`` plus ``translated``: dictionary values dealt to the occurrences of their key, from the end.
 
     ``translations`` has ``text, trans array<string>``; its keys are distinct, and ``order`` tells the occurrences of a key
     apart. The r-th occurrence from the end takes value ``max(m - r + 1, 1)`` of m. Unknown keys keep their text, and so do
-    empty values unless ``allow_empty``.
+    empty values unless ``allow_empty``. ``most``: the length of the longest ``trans``, where it is known; else one job finds it.
 
     Only the last m - 1 occurrences of a key get another value than its first. So ranks are taken of these alone, by a window
-    with a fixed limit that drops all others before the shuffle: the commonest line of a corpus isn't sorted as a whole.
+    with a fixed limit that drops all others before the shuffle: the commonest line of a corpus isn't sorted as a whole. Their places
+    go to the dictionary's side, a short list for each key, and the rows are joined once.
     """
-    taken = {c.lower() for c in rows.columns}
-
-    def own(name: str) -> str:
-        while name in taken:
-            name += "_"
-        return name
-
-    trans, rank = own("_trans"), own("_rank")
+    trans, lasts, rank, at = fresh(rows, "_trans", "_lasts", "_rank", "_at")
     table = translations.select(F.col("text").alias(text_col), F.col("trans").alias(trans))
-    most = table.agg(F.max(F.size(trans))).first()[0] or 0
-    joined = rows.join(table, text_col, "left")
+    if most is None:
+        most = table.agg(F.max(F.size(trans))).first()[0] or 0
     if most > 1:
-        several = rows.select(text_col, *order).join(table.where(F.size(trans) > 1).select(text_col), text_col, "left_semi")
         last = Window.partitionBy(text_col).orderBy(*[F.desc(c) for c in order])
-        ranked = several.withColumn(rank, F.row_number().over(last)).where(F.col(rank) < most)
-        joined = joined.join(ranked, [text_col, *order], "left")
+        ranked = rows.select(text_col, *order).withColumn(rank, F.row_number().over(last)).where(F.col(rank) < most)
+        places = ranked.groupBy(text_col).agg(F.collect_list(F.struct(F.struct(*order).alias(at), F.col(rank).alias(rank))).alias(lasts))
+        joined = rows.join(table.join(places, text_col, "left"), text_col, "left")
+        own = F.get(F.filter(lasts, lambda x: x[at] == F.struct(*order)), F.lit(0))[rank]
     else:
-        joined = joined.withColumn(rank, F.lit(1))
+        joined, own = rows.join(table, text_col, "left"), F.lit(1)
     first = F.element_at(trans, 1)
-    by_rank = F.element_at(trans, F.greatest(F.size(trans) - F.col(rank) + 1, F.lit(1)))
-    value = F.when(F.size(trans) > 0, F.when(F.col(rank).isNull(), first).otherwise(by_rank))
+    by_rank = F.element_at(trans, F.greatest(F.size(trans) - own + 1, F.lit(1)))
+    value = F.when(F.size(trans) > 0, F.when(own.isNull(), first).otherwise(by_rank))
     kept = F.coalesce(value if allow_empty else F.when(value != "", value), F.col(text_col))
     return joined.select(*rows.columns, kept.alias("translated"))
 
 
+def overlay(layers: DataFrame, value: str, layer: str, order: list[str], text_col: str = "text") -> DataFrame:
+    """``text, value, layer, first`` of dictionaries in layers, such as appended folders: a key has the value of its newest layer.
+
+    Inside a layer the last value in the order counts. ``first`` is the place where the key is seen first, in the oldest
+    layer that has it, so a new layer doesn't move old keys. A null layer is the oldest; null values count like others.
+    """
+    places = [layer, *order]
+    newest = F.max_by(F.struct(value, layer), F.struct(*places))
+    found = layers.groupBy(F.col(text_col).alias("text")).agg(newest.alias("_new"), F.min(F.struct(*places)).alias("first"))
+    return found.select("text", F.col("_new")[value].alias(value), F.col("_new")[layer].alias(layer), "first")
+
+
+def unlayered(rows: DataFrame, layers: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows whose text no layer has: what the next layer is made of. One anti-join against all layers; null texts stay."""
+    return rows.join(layers.select(text_col).distinct(), text_col, "left_anti")
+
+
 def keep_first(translations: DataFrame) -> DataFrame:
     """A dictionary with the first value of each key only."""
     return translations.withColumn("trans", F.slice("trans", 1, 1))
@@ -130,17 +143,18 @@ def append_lines(new: DataFrame, old: DataFrame, text_col: str = "text") -> Data
 
 def append_items(items: DataFrame, old: DataFrame, texts: Column, text_col: str = "text") -> DataFrame:
     """Items of which any of ``texts`` (an array column) is new."""
-    keys = [c for c in items.columns]
-    exploded = items.withColumn("_t", F.explode(texts))
-    fresh = exploded.join(old.select(F.col(text_col).alias("_t")).distinct(), "_t", "left_anti")
-    return fresh.select(*keys).distinct()
+    own, = fresh(items, "_t")
+    exploded = items.withColumn(own, F.explode(texts))
+    new = exploded.join(old.select(F.col(text_col).alias(own)).distinct(), own, "left_anti")
+    return new.select(*items.columns).distinct()
 
 
 def replace_names(rows: DataFrame, names: DataFrame, name_col: str, when: Column | None = None) -> DataFrame:
     """``name_col`` replaced by ``names(old, new)`` where it equals an old name; names in the table are distinct."""
-    joined = rows.join(names.select(F.col("old").alias(name_col), F.col("new").alias("_new")), name_col, "left")
-    hit = F.col("_new").isNotNull() & (when if when is not None else F.lit(True))
-    return joined.withColumn(name_col, F.when(hit, F.col("_new")).otherwise(F.col(name_col))).drop("_new")
+    new, = fresh(rows, "_new")
+    joined = rows.join(names.select(F.col("old").alias(name_col), F.col("new").alias(new)), name_col, "left")
+    hit = F.col(new).isNotNull() & (when if when is not None else F.lit(True))
+    return joined.withColumn(name_col, F.when(hit, F.col(new)).otherwise(F.col(name_col))).drop(new)
 
 
 def last_wins(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:

@@ -243,7 +243,7 @@ select o.doc_id, o.line_no, o.text, case when trans[greatest(3 - r + 1, 1)] <> '
 def trans_occurrence_join(spark, d):
     rows = doc_lines(spark, d).where("line <> ''").withColumnRenamed("line", "text")
     known = rows.where(F.length("text").between(1, 40)).select("text").distinct().withColumn("trans", F.array(F.lit("t1"), F.lit("t2"), F.lit("")))
-    return dictionary.occurrence_join(rows, known, ["doc_id", "line_no"]).select("doc_id", "line_no", "text", "translated")
+    return dictionary.occurrence_join(rows, known, ["doc_id", "line_no"], most=3).select("doc_id", "line_no", "text", "translated")
 
 
 @query("with a as (select row_number() over (order by item_id) - 1 as pos, text from benchmark) select pos, text as left, reverse(text) as right from a")
@@ -611,10 +611,15 @@ def redistribute(spark, d):
     return docs.join(b, "item_id").select("doc_id", layout.redistribute(F.col("text"), F.col("trans"), config).alias("lines"))
 
 
-@query("select doc_id, list_transform(range(0, len(string_split(text, chr(10)))), lambda i: case when i < len(string_split(text, chr(10))) - 1 then coalesce(nullif(substr(t, (i * 40 + 1)::bigint, 40), ''), '　') else coalesce(nullif(substr(t, (i * 40 + 1)::bigint), ''), '　') end) as lines from (select d.doc_id, d.text, replace(b.text, chr(10), '') as t from documents d join benchmark b on d.doc_id % 40 = b.item_id) where contains(text, chr(10))")
+#: Lines of 40 characters for as many lines as the original has, the rest in the last; the whole translation for one line.
+FIXED_LINES = """l as (select doc_id, case when n = 1 then [t] else list_transform(range(0, n), lambda i: coalesce(nullif(case when i < n - 1 then substr(t, (i * 40 + 1)::bigint, 40) else substr(t, (i * 40 + 1)::bigint) end, ''), '　')) end as lines
+from (select d.doc_id, len(string_split(d.text, chr(10))) as n, replace(b.text, chr(10), '') as t from documents d join benchmark b on d.doc_id % 40 = b.item_id))"""
+
+
+@query(f"with {FIXED_LINES} select doc_id, lines from l")
 def redistribute_fixed(spark, d):
     """Pieces of a fixed width for the lines of the original, the rest in the last."""
-    docs = table(spark, d, "documents").where(F.contains("text", F.lit("\n"))).withColumn("item_id", F.col("doc_id") % 40)
+    docs = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % 40)
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("trans"))
     from ..config import ExtractConfig
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import codepage
-from ..operators import scan, tunnel
+from ..functions import codepage, folds, paths
+from ..operators import dictionary, scan, tunnel
 from .queries import LINES, doc_lines, query, table
 
 #: All documents as one long file, in the order of documents and lines.
@@ -90,3 +90,76 @@ def fit_bytes_cp932(spark, d):
     """Every line in exactly 24 bytes of cp932, wide spaces as padding; null where a character has no code."""
     rows = doc_lines(spark, d).select(*_ORDER, codepage.fitted(_kana(F.col("line")), F.lit(24), "cp932", "　".encode("cp932")).alias("f"))
     return rows.select(*_ORDER, F.hex("f.data").alias("data"), "f.diff")
+
+
+# ---- layers, folds and sorts -----------------------------------------------------------------------------------------
+
+_LAYERS = f"{LINES}, y as (select doc_id, line_no, doc_id % 4 as layer, line as text, doc_id || '/' || line_no as value from lines where line <> '')"
+
+
+@query(f"""with {_LAYERS}, o as (select *, row_number() over (partition by text order by layer desc, doc_id desc, line_no desc) as newest, row_number() over (partition by text order by layer, doc_id, line_no) as oldest from y where layer < 3)
+select n.text, n.value, n.layer, f.layer as first_layer, f.doc_id, f.line_no from o n join o f using (text) where n.newest = 1 and f.oldest = 1""")
+def append_layers(spark, d):
+    """Three layers that contradict each other: the newest value of each line, and where the line stands first."""
+    rows = doc_lines(spark, d).where("line <> ''").select("doc_id", "line_no", (F.col("doc_id") % 4).alias("layer"), F.col("line").alias("text"))
+    rows = rows.withColumn("value", F.concat_ws("/", F.col("doc_id").cast("string"), F.col("line_no").cast("string")))
+    found = dictionary.overlay(rows.where("layer < 3"), "value", "layer", _ORDER)
+    return found.select("text", "value", "layer", F.col("first.layer").alias("first_layer"), "first.doc_id", "first.line_no")
+
+
+@query(f"with {_LAYERS} select doc_id, line_no, text from y where layer = 3 and text not in (select text from y where layer < 3)")
+def next_layer(spark, d):
+    """What no layer has yet."""
+    rows = doc_lines(spark, d).where("line <> ''").select("doc_id", "line_no", F.col("line").alias("text"))
+    layer = F.col("doc_id") % 4
+    return dictionary.unlayered(rows.where(layer == 3), rows.where(layer < 3)).select("doc_id", "line_no", "text")
+
+
+@query(f"""with recursive {LINES}, f(doc_id, line_no, line, rounds) as (select doc_id, line_no, line, 0 from lines
+  union all select doc_id, line_no, new, rounds + 1 from (select *, regexp_replace(regexp_replace(line, 'th([a-z])', '\\1h', 'g'), 'an', 'n', 'g') as new from f) where new <> line)
+select doc_id, line_no, max_by(line, rounds) as line, max(rounds)::int as rounds from f group by doc_id, line_no""")
+def replace_to_fixed_point(spark, d):
+    """A letter moves before its h until no th is left before one, and an becomes n, as often as that changes anything."""
+    return folds.fixed_point(doc_lines(spark, d).select("doc_id", "line_no", "line"), "line", [("th([a-z])", r"\1h"), ("an", "n")])
+
+
+@query("""with p as (select doc_id, string_split(replace(text, 'e', chr(34)), chr(34)) as l from documents)
+select doc_id, array_to_string(list_transform(l, lambda x, i: x || case when i = len(l) then '' when i % 2 = 1 then '“' else '”' end), '') as text from p""")
+def paired_quotes(spark, d):
+    """Every e is a quote here."""
+    quoted = F.replace("text", F.lit("e"), F.lit('"'))
+    return table(spark, d, "documents").select("doc_id", folds.paired_quotes(quoted).alias("text"))
+
+
+@query(r"select doc_id, regexp_replace(replace(replace(text, 'th', '{'), ' of', '/of}'), '\{([^/{}]*)/[^{}]*\}', '\1', 'g') as text from documents")
+def without_ruby(spark, d):
+    ruby = F.replace(F.replace("text", F.lit("th"), F.lit("{")), F.lit(" of"), F.lit("/of}"))
+    return table(spark, d, "documents").select("doc_id", folds.without_ruby(ruby).alias("text"))
+
+
+@query(rf"""with {LINES}, k as (select doc_id, line_no, replace(replace(regexp_replace(translate(line, 'aeio', 'あえいお'), '[^ -~あえいお]', '', 'g'), ',', '、'), '.', '。') as t from lines),
+w as (select *, list_transform(string_split(t, ''), lambda c: case when ascii(c) > 127 then 2 else 1 end) as l, case when t = '' then 0 else length(t) end as n from k),
+r as (select *, list_transform(range(1, least(n, 21) + 1), lambda i: list_sum(l[1:i])) as used from w),
+a as (select *, coalesce(list_max(list_filter(range(1, least(n, 21) + 1), lambda i: used[i] <= 20)), 0) as fits, coalesce(list_max(list_filter(range(1, least(n, 21) + 1), lambda i: used[i] <= 20 and substr(t, i, 1) in ('、', '。'))), 0) as brk from r),
+c as (select doc_id, line_no, t, case when n > fits and brk > 0 then brk else fits end as cut from a)
+select doc_id, line_no, [left(t, cut::bigint), substr(t, cut::bigint + 1)] as parts from c""")
+def parts_for_slots(spark, d):
+    """Every line in a slot of 20 bytes of cp932 and one for the rest, cut behind punctuation where there is some."""
+    kana = F.regexp_replace(F.translate("line", "aeio", "あえいお"), "[^ -~あえいお]", "")
+    marked = F.replace(F.replace(kana, F.lit(","), F.lit("、")), F.lit("."), F.lit("。"))
+    return doc_lines(spark, d).select(*_ORDER, folds.parts_for_slots(marked, [20, 20]).alias("parts"))
+
+
+@query(f"with {LINES}, w as (select distinct regexp_extract(line, '^[A-Za-z]+') as word from lines) select word, row_number() over (order by lower(word), word) - 1 as pos from w")
+def collated_positions(spark, d):
+    """First words in an order that doesn't see case (a collation of Spark's), bytes decide between equal ones."""
+    words = doc_lines(spark, d).select(F.regexp_extract("line", "^[A-Za-z]+", 0).alias("word")).distinct()
+    return scan.positions(words.withColumn("folded", F.collate("word", "UTF8_LCASE")), ["folded", "word"]).select("word", "pos")
+
+
+@query("""select 'P' || (page_id % 50) || '_' || page_id || '.txt' as name, row_number() over (order by page_id % 50, page_id) - 1 as pos from pages""")
+def natural_positions(spark, d):
+    """File names in an order in which numbers count by value."""
+    name = F.concat(F.lit("P"), (F.col("page_id") % 50).cast("string"), F.lit("_"), F.col("page_id").cast("string"), F.lit(".txt"))
+    names = table(spark, d, "pages").select(name.alias("name")).withColumn("key", paths.natural_key(F.col("name")))
+    return scan.positions(names, ["key"]).select("name", "pos")

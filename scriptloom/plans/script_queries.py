@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ExtractConfig, RuleProgram
-from ..functions import charset, layout, reports
+from ..functions import charset, codepage, layout, reports
 from ..functions import text as tx
 from ..operators import dictionary, lookups, rules, splice, tools, tree
 from ..sources import engines, formats, tables
 from . import blobs, extract
-from .queries import LINES, doc_lines, query, table
+from .queries import FIXED_LINES, LINES, doc_lines, query, table
 
 # ---- binary layouts: files made field by field, read, changed, written and read again ---------------------------------
 
@@ -117,12 +117,14 @@ def undecodable_dropped(spark, d):
     return extract.extract_bytes(units, "encoding=utf-8\nignoreDecodeError=true\n10_search=^([\\s\\S]+)$").select("file", "text")
 
 
-@query(r"select item_id as file, text from benchmark where not regexp_matches(text, '[^\x00-\xFF]') and regexp_full_match(text, '(?s)([A-Za-z ,.\n]|[\x{81}-\x{9F}\x{E0}-\x{EF}\x{FA}\x{FB}][\x{40}-\x{7E}\x{80}-\x{FC}]|\x{FC}[\x{40}-\x{4B}])+')")
+@query(rf"""with {LINES}, k as (select doc_id, line_no, translate(line, 'aeiou', 'あえいおう') as text from lines)
+select doc_id, line_no, text from k where regexp_full_match(text, '[A-Za-z ,.あえいおう]+')""")
 def two_byte_check(spark, d):
-    """Captures that aren't two-byte characters, but for allowed single ones, are dropped."""
-    b = table(spark, d, "benchmark").where(~F.regexp_like("text", F.lit("[^\\x00-\\xFF]")))
-    units = b.select(F.col("item_id").alias("file"), F.lit(0).alias("unit_no"), F.encode("text", "ISO-8859-1").alias("unit"))
-    return extract.extract_bytes(units, "OldEncodeName=latin-1\ncheckJIS=[A-Za-z ,.\\n]\n10_search=^([\\s\\S]+)$").select("file", "text")
+    """Captures that aren't two-byte characters, but for allowed single ones, are dropped. Vowels become kana; what cp932 lacks stays UTF-8."""
+    kana = F.translate("line", "aeiou", "あえいおう")
+    units = doc_lines(spark, d).select("doc_id", "line_no", F.coalesce(codepage.encoded(kana, "cp932"), F.encode(kana, "utf-8")).alias("unit"))
+    found = extract.extract_bytes(units, "OldEncodeName=cp932\ncheckJIS=[A-Za-z ,.]\nignoreDecodeError=true\n10_search=^([\\s\\S]+)$", keys=("doc_id",), order="line_no")
+    return found.select("doc_id", "line_no", "text")
 
 
 # ---- rules over text -------------------------------------------------------------------------------------------------
@@ -214,14 +216,15 @@ def event_code_table(spark, d):
     return tree.with_codes(e, tree.event_codes(spark)).select("event_id", "code", "breaks")
 
 
-@query("select conv_id, turn, role, 'name' as k, 'name' as keys from conversations group by all union all select conv_id, turn, role, 'message', '' from conversations group by all")
+@query("""select conv_id, turn, role, unnest(['name', 'message', 'other']) as k, unnest(['unfinish,name', '', 'unfinish']) as keys, '' as first_keys from conversations group by conv_id, turn, role""")
 def keep_format_roles(spark, d):
+    """A value in two captures, the last one unfinished: a name's is a name too, a message's isn't unfinished any more."""
     t = table(spark, d, "conversations").select("conv_id", "turn", "role").distinct()
-    cells = t.select("conv_id", "turn", "role", F.explode(F.array(F.lit("name"), F.lit("message"))).alias("k"))
-    found = rules.events(cells.withColumn("line", F.col("role")), RuleProgram.parse("10_search=^(?P<unfinish>.)(?P<unfinish2>.+)$".replace("unfinish2", "un2")))
+    cells = t.select("conv_id", "turn", "role", F.explode(F.array(F.lit("name"), F.lit("message"), F.lit("other"))).alias("k"))
+    found = rules.events(cells.withColumn("line", F.col("role")), RuleProgram.parse("10_search=^(.)(?P<unfinish>.+)$"))
     roles = tree.keep_format_roles(F.col("captures"), F.col("k"))
-    last = F.element_at(roles, -1)
-    return found.select("conv_id", "turn", "role", "k", F.array_join(F.array_remove(last["keys"], "unfinish"), ",").alias("keys"))
+    shown = lambda i: F.array_join(F.element_at(roles, i)["keys"], ",")
+    return found.select("conv_id", "turn", "role", "k", shown(-1).alias("keys"), shown(1).alias("first_keys"))
 
 
 @query("""with m as (select doc_id, unnest(l) as token, unnest(range(len(l))) as n from (select doc_id, regexp_extract_all(text, '[0-9]+') as l from documents)),
@@ -245,10 +248,14 @@ def engine_fixes(spark, d):
     return table(spark, d, "benchmark").select("item_id", tx.engine_fix(t, "RealLive", "orig").alias("orig"), tx.engine_fix(F.concat(t, F.lit("<n>")), "RealLive", "trans").alias("trans"))
 
 
-@query("select item_id, ['a', 'b'][1:1] as trans from benchmark")
+@query(f"""with {LINES}, o as (select line as text, list(doc_id || ':' || line_no order by doc_id, line_no) as trans from lines where line <> '' group by 1)
+select text, trans[1:1] as trans from o""")
 def keep_first(spark, d):
-    rows = table(spark, d, "benchmark").withColumn("trans", F.array(F.lit("a"), F.lit("b")))
-    return dictionary.keep_first(rows).select("item_id", "trans")
+    """Of every line's values, one for each place where it stands, the first."""
+    rows = doc_lines(spark, d).where("line <> ''")
+    values = F.array_sort(F.collect_list(F.struct("doc_id", "line_no")))
+    known = rows.groupBy(F.col("line").alias("text")).agg(F.transform(values, lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["line_no"].cast("string"))).alias("trans"))
+    return dictionary.keep_first(known).select("text", "trans")
 
 
 @query("with p as (select lang, unnest(regexp_extract_all(hex(encode(text)), '..')) as b from documents) select lang, ('0x' || b)::int as byte, count(*) as n from p group by all")
@@ -325,10 +332,10 @@ def cutoff_file(spark, d):
     return formats.cutoff_dictionary(splice.cutoffs(spans, ExtractConfig(encoding="utf-8")))
 
 
-@query("select doc_id, case when len(string_split(text, chr(10))) = 1 then replace(text, chr(10), '') end as one from documents")
+@query(f"with {FIXED_LINES} select doc_id, array_to_string(lines, chr(10)) as one from l")
 def redistribute_joined(spark, d):
-    """Joined after redistribution: one text, which is the translation itself where the original has one line."""
-    t = F.col("text")
-    config = ExtractConfig(para_sep="\n", symbols="[.,]", join_after_split=True)
-    made = layout.redistributed(t, t, config)[0]
-    return table(spark, d, "documents").select("doc_id", F.when(F.size(F.split(t, "\n")) == 1, made).alias("one"))
+    """Joined after redistribution: the new lines of every document as one text."""
+    docs = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % 40)
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("trans"))
+    config = ExtractConfig(para_sep="\n", fixed_max_per_line=True, max_per_line=40, join_after_split=True)
+    return docs.join(b, "item_id").select("doc_id", layout.redistributed(F.col("text"), F.col("trans"), config)[0].alias("one"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .xlsx import MOST_ROWS, read_workbook, write_workbook
@@ -145,10 +145,21 @@ def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataF
     return spark.createDataFrame(padded, ", ".join(f"`{c}` string" for c in header))
 
 
-def write_outputs(documents: dict[int, DataFrame], path: str) -> None:
-    """Two outputs of one extraction: the second one's folder has the prefix ``extra_``."""
-    for n, (fmt, docs) in enumerate(documents.items()):
-        write_documents(docs, f"{path}/{'extra_' if n else ''}format{fmt:02d}")
+def write_outputs(documents: DataFrame, made: dict[int, Column], path: str) -> dict[str, int]:
+    """Several outputs of one extraction in one pass: ``format=NN`` folders of texts, and counters of what was read and written.
+
+    ``made`` has the text of each format, null where a row has none in it. Rows are read once and exploded to their
+    formats; ``rows`` and, for each format, ``lines`` and ``texts`` are counted as they pass, not by another scan.
+    """
+    seen = Observation("outputs")
+    each = [F.struct(F.lit(f"{n:02d}").alias("format"), text.alias("value")) for n, text in made.items()]
+    counts = [F.count(F.lit(1)).alias("rows")]
+    for n, text in made.items():
+        newlines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+        counts += [F.count(text).alias(f"texts{n:02d}"), F.coalesce(F.sum(newlines), F.lit(0)).cast("long").alias(f"lines{n:02d}")]
+    rows = documents.observe(seen, *counts).select(F.explode(F.array(*each)).alias("x")).select("x.*").where("value is not null")
+    rows.write.partitionBy("format").text(path)
+    return seen.get
 
 
 def symbol_table(symbols: str) -> bytes:

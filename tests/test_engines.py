@@ -103,8 +103,6 @@ def test_workbook_files(spark, tmp_path):
     assert sorted(map(tuple, formats.read_xlsx(spark, f"{tmp_path}/x.xlsx").collect())) == [("a", "1"), ("b", "")]
     with pytest.raises(ValueError, match="too many"):
         formats.write_xlsx(table, f"{tmp_path}/y.xlsx", most=1)
-    formats.write_outputs({0: spark.createDataFrame([("{}",)], "document string"), 2: spark.createDataFrame([("[]",)], "document string")}, f"{tmp_path}/out")
-    assert [spark.read.text(f"{tmp_path}/out/{n}").first().value for n in ("format00", "extra_format02")] == ["{}", "[]"]
     assert formats.symbol_table("あ") == b"\x42\x30" and '"mapping": "あ"' in formats.tunnel_config("あ", {"tunnel_decoder": {"x": 1}})
 
 
