@@ -1,8 +1,11 @@
 """The ordered rule program over lines: skip rules, search rules, first match wins (survey P3 to P14).
 
-Two physical forms of the same program. Where every search rule has one group, patterns are safe in Java, and nobody asks
-for positions, it is one native expression: a chain of conditions that stops at the first rule with an accepted capture.
-Otherwise it runs in Arrow batches with Python's own matcher. Either way lines are independent: no shuffle, no order.
+Physical forms of the same program. Where every search rule has one group, patterns are safe in Java, and nobody asks for positions,
+it is one native expression: a chain of conditions that stops at the first rule with an accepted capture (:func:`first_match`).
+With positions it runs in Arrow batches with Python's own matcher, but only on lines that have a literal which some rule
+needs. On demand positions are native too, where patterns are sequences of parts (:func:`..regexes.segments`): every part is
+made a group, and so is the gap before a match, so that places are sums of lengths. Lines are independent in all forms: no
+shuffle, no order.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ..config import Role, RuleProgram
 from ..functions.charset import is_shift_jis
-from ..regexes import java_pattern
+from ..regexes import java_pattern, required_literal, segments
+from ..shared import fresh
 
 CAPTURE = "struct<start:int,end:int,text:string,keys:array<string>,flags:array<string>,type:string,blocks:string,interval:string>"
 #: kind is 'skip' or 'match'; lines without a match have no row.
@@ -68,13 +72,21 @@ def _compile(program: RuleProgram) -> list:
     return [(r.kind, re.compile(r.pattern), r.roles()) for r in program.rules if r.kind]
 
 
-def events(lines: DataFrame, program: RuleProgram, line_col: str = "line") -> DataFrame:
+def events(lines: DataFrame, program: RuleProgram, line_col: str = "line", native: bool = False) -> DataFrame:
     """``lines`` without those that match nothing, plus ``kind`` and ``captures`` with positions. Null lines match nothing.
 
+    ``native`` asks for the form without Python workers, where the program has one: the same events, at two to three times the
+    CPU time (its fold over matches is interpreted), so it is for sessions that mustn't start them.
+
     Where ``lines`` has ``search_start`` and ``search_end``, rules see only that part of a line; positions are the line's.
     """
     config, others = program.config, [c for c in lines.columns if c != line_col]
     names, part_only = frozenset(config.name_list), set(_SPAN) <= set(lines.columns)
+    event = _native_events(F.col(line_col), program, part_only) if native else None
+    if event is not None:
+        hit, = fresh(lines, "_hit")
+        found = _from_start(lines, config).withColumn(hit, event).where(F.col(hit).isNotNull())
+        return found.select(*others, F.col(hit)["kind"].alias("kind"), F.col(hit)["captures"].alias("captures"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = _compile(program)
@@ -92,7 +104,7 @@ def events(lines: DataFrame, program: RuleProgram, line_col: str = "line") -> Da
             part = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([part[c] for c in others] + [pa.array(kinds, pa.string()), pa.array(captures, kind_of)], [*others, "kind", "captures"])
 
-    selected = _from_start(lines, config).select(*others, line_col)
+    selected = _from_start(lines, config).select(*others, line_col).where(needs(F.col(line_col), program))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in selected.schema if f.name != line_col)
     return selected.mapInArrow(run, f"{schema}, {EVENT}" if schema else EVENT)
 
@@ -101,6 +113,98 @@ def _from_start(lines: DataFrame, config) -> DataFrame:
     return lines.where(F.col("line_no") >= config.startline) if config.startline and "line_no" in lines.columns else lines
 
 
+def needs(line: Column, program: RuleProgram) -> Column:
+    """Whether a line has the literal that some rule can't match without; true where a rule needs none."""
+    literals = [required_literal(r.pattern) for r in program.rules if r.kind]
+    return reduce(Column.__or__, [F.contains(line, F.lit(x)) for x in dict.fromkeys(literals)]) if literals and all(literals) else F.lit(True)
+
+
+_ROLE = "struct<start:int,end:int,text:string,keys:array<string>,flags:array<string>,type:string,blocks:string,interval:string>"
+
+
+def _capture(start: Column, text: Column, role: Role) -> Column:
+    """A capture as :data:`CAPTURE`, with the role of its rule's group."""
+    strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    return F.struct(
+        start.cast("int").alias("start"), (start + F.length(text)).cast("int").alias("end"), text.alias("text"), strings(role.keys).alias("keys"), strings(role.flags).alias("flags"),
+        F.lit(role.type).cast("string").alias("type"), F.lit(role.blocks).cast("string").alias("blocks"), F.lit(role.interval).cast("string").alias("interval"),
+    ).cast(_ROLE)
+
+
+def _match_step(groups: list[tuple[int, Role]], n_parts: int, names: tuple[str, ...], unwanted: str | None):
+    """What a match (a struct of its parts ``p1``, the gap, to ``pn``) adds to a state of place and captures."""
+
+    def step(s: Column, m: Column) -> Column:
+        before = lambda k: reduce(Column.__add__, [F.length(m[f"p{j}"]) for j in range(1, k)], s["at"])
+        made = []
+        for k, role in groups:
+            if not role.skip:
+                text = m[f"p{k}"]
+                one = _capture(before(k), text, role)
+                made.append(F.when(text.isin(*names), _capture(before(k), text, Role(keys=("name",)))).otherwise(one) if names else one)
+        kept = F.array(*made)
+        if unwanted:
+            kept = F.filter(kept, lambda c: ~F.regexp_like(c["text"], F.lit(unwanted)))
+        return F.struct(before(n_parts + 1).cast("int").alias("at"), F.concat(s["out"], kept).alias("out"))
+
+    return step
+
+
+#: Matches of a line that are folded together. Appending to an array copies it, so one fold over all would cost their square.
+FOLD = 512
+
+
+def _folded(matches: Column, at: Column, none: Column, step) -> Column:
+    """All captures of a line's matches, chunk by chunk; the matches are found once and handed on in the state."""
+    chunks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(matches) - 1, F.lit(0)) / FOLD).cast("int"))
+
+    def chunk(s: Column, k: Column) -> Column:
+        part = F.slice(s["all"], k * FOLD + 1, F.lit(FOLD))
+        done = lambda d: F.struct(s["all"].alias("all"), d["at"].alias("at"), F.concat(s["out"], d["out"]).alias("out"))
+        return F.aggregate(part, F.struct(s["at"].alias("at"), none.alias("out")), step, done)
+
+    return F.aggregate(chunks, F.struct(matches.alias("all"), at.alias("at"), none.alias("out")), chunk, lambda s: s["out"])
+
+
+def _native_events(line: Column, program: RuleProgram, part_only: bool) -> Column | None:
+    """``struct<kind, captures>`` of a line, null where it matches nothing; None where the program can't run natively."""
+    config = program.config
+    unwanted = java_pattern(config.post_skip) if config.post_skip else None
+    if config.serial_search or (config.post_skip and unwanted is None):
+        return None
+    base = F.col(_SPAN[0]) if part_only else F.lit(0)
+    seen = F.substring(line, base + 1, F.coalesce(F.col(_SPAN[1]), F.length(line)) - base) if part_only else line
+    steps: list[Column] = []
+    none = F.array().cast(f"array<{_ROLE}>")
+    for rule in program.rules:
+        if not rule.kind:
+            continue
+        pattern = java_pattern(rule.pattern)
+        if pattern is None:
+            return None
+        if rule.kind == "skip":
+            steps.append(F.when(F.regexp_like(seen, F.lit(pattern)), F.struct(F.lit("skip").alias("kind"), none.alias("captures"))))
+            continue
+        parts, roles = segments(rule.pattern), rule.roles()
+        if parts is None or any(r.interval is not None for r in roles):
+            return None
+        if not roles or all(r.skip for r in roles):
+            continue
+        # \G: a match begins where the one before ended, so a rest without one is read once and not from each of its places
+        whole = F.lit(java_pattern("\\G([\\s\\S]*?)" + "".join(x if group else f"({x})" for x, group in parts)))
+        found = [F.regexp_extract_all(seen, whole, F.lit(k)).alias(f"p{k}") for k in range(1, len(parts) + 2)]
+        groups = [k + 2 for k, (_, group) in enumerate(parts) if group]
+        step = _match_step(list(zip(groups, roles, strict=True)), len(found), config.name_list, unwanted)
+        taken = _folded(F.arrays_zip(*found), base.cast("int"), none, step)
+        # the captures stand in an array of one, so that what follows names them twice but finds them once
+        accepted = F.filter(F.array(taken), lambda t: F.size(t) > 0)
+        event = F.transform(accepted, lambda t: F.struct(F.lit("match").alias("kind"), F.filter(t, lambda c: c["text"] != "").alias("captures")))
+        # lines without a match are spared the fold
+        steps.append(F.when(F.regexp_like(seen, F.lit(pattern)), F.get(event, F.lit(0))))
+    kind = f"struct<kind:string,captures:array<{_ROLE}>>"
+    return F.coalesce(*[step.cast(kind) for step in steps], F.lit(None).cast(kind))
+
+
 def native_form(program: RuleProgram) -> list[tuple[str, str, Role | None]] | None:
     """(kind, Java pattern, role) of each rule where the whole program can run natively, else None."""
     out = []

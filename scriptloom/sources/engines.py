@@ -157,7 +157,7 @@ def register(name: str, layout: Layout) -> None:
 
 
 def units(blobs: DataFrame, layout: str, only: str | None = None) -> DataFrame:
-    """``file, piece_no, kind, piece`` of ``file, data`` rows. Files whose names don't match ``only`` are one raw piece."""
+    """``file, piece_no, kind, piece`` of ``file, data`` rows. Files whose names don't match ``only`` are one raw piece, null data none."""
     how, wanted = LAYOUTS[layout], re.compile(only) if only else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +170,7 @@ def units(blobs: DataFrame, layout: str, only: str | None = None) -> DataFrame:
             kinds = (pa.string(), pa.int32(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "piece_no", "kind", "piece"])
 
-    return blobs.select("file", "data").mapInArrow(run, "file string, piece_no int, kind string, piece binary")
+    return blobs.select("file", "data").where("data is not null").mapInArrow(run, "file string, piece_no int, kind string, piece binary")
 
 
 def texts(pieces: DataFrame, layout: str, encoding: str | None = None) -> DataFrame:

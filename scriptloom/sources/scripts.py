@@ -258,6 +258,8 @@ def pointer_sections(data: bytes, sections: int = 4) -> Pieces:
     items: list[list[bytes]] = []
     for s in range(sections):
         low, count = little(data, 8 * s), little(data, 8 * s + 4)
+        if low + 4 * count > len(data):  # no table that reaches beyond its file
+            return [("raw", data)]
         found = []
         for k in range(count):
             begin = little(data, low + 4 * k)

@@ -111,3 +111,11 @@ def test_packed_bodies():
     stored = zlib.compress(body)
     data = bytes(20) + len(body).to_bytes(4, "little") + len(stored).to_bytes(4, "little") + stored
     assert [p for k, p in e.LAYOUTS["counted_packed"].read(data) if k == "text"] == [b"hello"]
+
+
+def test_foreign_tables_and_null_data(spark):
+    """A count beyond the file, a table beyond it, and no data at all."""
+    huge = (40).to_bytes(4, "little") + (1 << 31).to_bytes(4, "little") + bytes(200)
+    assert e.LAYOUTS["pointer_sections"].pieces(huge) == [("raw", huge)]
+    df = spark.createDataFrame([("a", None), ("b", bytearray(huge))], "file string, data binary")
+    assert [(r.file, r.piece_no, r.kind) for r in e.units(df, "pointer_sections").collect()] == [("b", 0, "raw")]
