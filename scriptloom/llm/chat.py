@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -66,13 +67,19 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces, characters beyond ASCII as they are; NaN and infinities become null."""
+    """JSON with sorted keys, no spaces, characters beyond ASCII as they are, but lone surrogates, which UTF-8 lacks, as escapes; NaN
+    and infinities become null."""
     try:
-        return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+        return escaped(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
     except ValueError:
         return canonical(_finite(value))
 
 
+def escaped(text: str) -> str:
+    """Lone surrogates as JSON escapes them."""
+    return text if text.isascii() else re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def _finite(v):
     if isinstance(v, dict):
         return {k: _finite(x) for k, x in v.items()}
@@ -82,14 +89,17 @@ def _finite(v):
 
 
 def check(name: str | None, arguments: str | None, schemas: dict[str, dict]) -> tuple[object, list[str]]:
-    """Parsed arguments (the text itself where it is no JSON; null for none) and what is wrong with the call."""
+    """Parsed arguments (the text itself where it is no JSON or nested too deep; null for none) and what is wrong with the call."""
     try:
         value = None if arguments is None else json.loads(arguments)
     except (ValueError, RecursionError):
         return arguments, ["$: not JSON"]
-    if name not in schemas:
-        return value, ["unknown tool"]
-    return value, violations(value, schemas[name])
+    try:
+        canonical(value)
+        found = violations(value, schemas[name]) if name in schemas else ["unknown tool"]
+    except RecursionError:
+        return arguments, ["$: nested too deep"]
+    return value, [escaped(x) for x in found]
 
 
 def topological(calls: list[tuple[str, int, list[str]]]) -> list[tuple[int, int, bool]]:

@@ -88,3 +88,21 @@ def test_a_long_cycle_and_a_long_chain_take_one_pass():
     assert all(x == (i, 0, True) for i, x in enumerate(c.topological(ring)))
     chain = [(f"k{i}", i, [f"k{i + 1}"]) for i in range(n)]
     assert c.topological(chain) == [(n - 1, n - 1 - i, False) for i in range(n)]
+
+
+def test_arguments_of_any_text():
+    """Lone surrogates stay escapes, nesting beyond what Python can walk is reported and the text is kept."""
+    import json
+
+    from scriptloom.llm import chat
+
+    value, found = chat.check("t", '{"a\\ud800":"x\\udfffé"}', {"t": {"additionalProperties": False}})
+    assert chat.canonical(value) == '{"a\\ud800":"x\\udfffé"}' and found == ["$.a\\ud800: not allowed"]
+    assert all(x.encode() for x in [chat.canonical(value), *found]) and json.loads(chat.canonical(value)) == value
+    schema: dict = {"type": "array"}
+    schema["items"] = schema
+    deep = "[" * 1200 + "]" * 1200
+    for name in ("t", "other"):
+        value, found = chat.check(name, deep, {"t": schema})
+        assert chat.canonical(value) and (value == deep and found == ["$: nested too deep"] or name == "other" and found == ["unknown tool"])
+    assert chat.check("t", "[" * 200_000, {"t": schema})[1] == ["$: not JSON"]
