@@ -34,7 +34,6 @@ class ExtractConfig:
     fixed_max_per_line: bool = False
     keep_tail: bool = True
     symbols: str = SYMBOLS
-    two_line_flag: str = "☆★"
     cutoff: bool = False
     cutoff_copy: bool = True
     ignore_decode_error: bool = False
@@ -62,9 +61,6 @@ class ExtractConfig:
     extract_key: str = ""
     merge_str: str = ""
     join_after_split: bool = False
-    keep_format: bool = False
-    dynamic_replace: str = ""
-    engine_name: str = ""
     extra_data: str = ""
 
 
@@ -72,6 +68,12 @@ class ExtractConfig:
 RENAMED = {"struct": "structure", "maxCountPerLine": "max_per_line", "splitParaSep": "para_sep", "checkJIS": "check_jis", "OldEncodeName": "encoding", "contentSeparate": "separate"}
 
 
+#: Options that belong to one step only and are its arguments: a rule text that sets one is told so.
+ARGUMENTS = {
+    "two_line_flag": "formats.read_two_line", "keep_format": "tree.keep_format_roles", "dynamic_replace": "text.with_symbols", "engine_name": "text.engine_fix",
+}
+
+
 def _snake(name: str) -> str:
     return RENAMED.get(name) or re.sub(r"(?<=[a-z0-9])([A-Z])", lambda m: "_" + m[1].lower(), name)
 
@@ -151,6 +153,8 @@ class RuleProgram:
         options: dict = {}
 
         def put(name: str, value) -> None:
+            if name in ARGUMENTS:
+                raise ValueError(f"{name!r} isn't read from rule texts: it is an argument of {ARGUMENTS[name]}")
             if name not in known:
                 raise ValueError(f"unknown option {name!r}")
             options[name] = str(value) if known[name] == "str" and not isinstance(value, bool) else value

@@ -219,3 +219,9 @@ def test_trees_of_any_text(spark):
     assert back[2] == deep.replace("low", "new") and back[4] is None and back[5] == "{" and json.loads(json.loads(back[3])["a"])["b"] == '["new",""]'
     codes = {r.code: (r.extract, r.breaks) for r in tree.event_codes(spark).collect()}
     assert codes[101] == (True, True) and codes[401] == (True, False) and codes[0] == (False, True) and len(codes) == 116
+
+
+@pytest.mark.parametrize("line", ["twoLineFlag=ab", "flag=keepFormat", "engineName=X", "dynamicReplace=x"])
+def test_options_of_single_steps_are_told(line):
+    with pytest.raises(ValueError, match="argument of"):
+        RuleProgram.parse(line)
