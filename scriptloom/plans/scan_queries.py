@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codepage, folds, paths
 from ..operators import dictionary, scan, tunnel
+from ..sources import tables
 from .queries import LINES, doc_lines, query, table
 
 #: All documents as one long file, in the order of documents and lines.
@@ -163,3 +164,24 @@ def natural_positions(spark, d):
     name = F.concat(F.lit("P"), (F.col("page_id") % 50).cast("string"), F.lit("_"), F.col("page_id").cast("string"), F.lit(".txt"))
     names = table(spark, d, "pages").select(name.alias("name")).withColumn("key", paths.natural_key(F.col("name")))
     return scan.positions(names, ["key"]).select("name", "pos")
+
+
+@query(r"""with t as (select conv_id, turn, min(struct_pack(text := text, role := role)) as x from conversations group by all),
+u as (select conv_id, turn, x.role as role, regexp_replace(x.text, '[^A-Za-z0-9]+', ' ', 'g') as text from t where regexp_matches(x.text, '[A-Za-z0-9]')),
+n as (select *, row_number() over (partition by conv_id order by turn) - 1 as seq from u), r as (select conv_id, role, min(turn) as first from u group by all)
+select conv_id, seq::int as seq, 'n' || first as name_id, 'm' || turn as mess_id, role as name, text as message from n join r using (conv_id, role)""")
+def xml_dialogue(spark, d):
+    """Each conversation as a file of text resources and log entries; a repeated resource and a repeated entry don't count."""
+    t = dictionary.dedupe_first(table(spark, d, "conversations").select("conv_id", "turn", "text", "role"), ["conv_id", "turn"], ["text"])
+    t = t.withColumn("text", F.regexp_replace("text", "[^A-Za-z0-9]+", " ")).where(F.regexp_like("text", F.lit("[A-Za-z0-9]")))
+    first = t.groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
+    rows = t.join(first, ["conv_id", "role"])
+    one = lambda no, text: F.concat(F.lit('<TextRes NO="'), no, F.lit('">'), text, F.lit("</TextRes>"))
+    name_id, mess_id = F.concat(F.lit("n"), F.col("first").cast("string")), F.concat(F.lit("m"), F.col("turn").cast("string"))
+    log = F.concat(F.lit('<Log NAME="'), name_id, F.lit('" MESS="'), mess_id, F.lit('"/>'))
+    said = F.array_sort(F.collect_list(F.struct("turn", one(name_id, F.col("role")).alias("who"), one(mess_id, F.col("text")).alias("what"), log.alias("log"))))
+    files = rows.groupBy("conv_id").agg(said.alias("said"))
+    joined = lambda f: F.array_join(F.transform("said", f), "")
+    body = F.concat(F.lit("<all>"), joined(lambda x: x["who"]), joined(lambda x: x["what"]), F.lit('<TextRes NO="m0">again</TextRes>'), joined(lambda x: x["log"]), joined(lambda x: x["log"]), F.lit("</all>"))
+    found = tables.xml_dialogue(files.select("conv_id", body.alias("xml")), "conv_id")
+    return found.where("name is not null").select("conv_id", "seq", "name_id", "mess_id", "name", "message")

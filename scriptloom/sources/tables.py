@@ -74,11 +74,11 @@ def csv_texts(df: DataFrame, sep: str = ",") -> DataFrame:
 def xml_dialogue(texts: DataFrame, key: str = "file", xml_col: str = "xml") -> DataFrame:
     """``file, seq, name_id, mess_id, name, message``: log entries resolved through the text resources of their file.
 
-    The first of the entries with a message id counts.
+    The first of the entries with a message id counts, and the first of the resources with a number.
     """
     get = lambda path: F.xpath(F.col(xml_col), F.lit(path))
-    resources = texts.select(key, F.explode(F.arrays_zip(get("//TextRes/@NO").alias("no"), get("//TextRes/text()").alias("text"))).alias("r")).select(key, "r.no", "r.text")
-    resources = resources.groupBy(key, "no").agg(F.first("text").alias("text"))
+    resources = texts.select(key, F.posexplode(F.arrays_zip(get("//TextRes/@NO").alias("no"), get("//TextRes/text()").alias("text"))).alias("at", "r")).select(key, "at", "r.no", "r.text")
+    resources = resources.groupBy(key, "no").agg(F.min_by("text", "at").alias("text"))
     logs = texts.select(key, F.posexplode(F.arrays_zip(get("//Log/@NAME").alias("name_id"), get("//Log/@MESS").alias("mess_id"))).alias("seq", "l")).select(key, "seq", "l.*")
     logs = logs.groupBy(key, "mess_id").agg(F.min(F.struct("seq", "name_id")).alias("f")).select(key, "f.seq", "f.name_id", "mess_id")
     name = resources.select(key, F.col("no").alias("name_id"), F.col("text").alias("name"))
