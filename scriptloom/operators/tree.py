@@ -163,9 +163,8 @@ def event_codes(spark: SparkSession) -> DataFrame:
 
 
 def with_codes(rows: DataFrame, codes: DataFrame, code_col: str = "code") -> DataFrame:
-    """Events that a code table (``code, extract, breaks``) says to extract."""
-    table = codes.where("extract").select(F.col("code").alias(code_col), "breaks")
-    return rows.join(table, code_col)
+    """Events that a code table (``code, extract, breaks``, and what else it says of a code) says to extract."""
+    return rows.join(codes.where("extract").drop("extract").withColumnRenamed("code", code_col), code_col)
 
 
 def tag(key: Column, value: Column, width: int = 7) -> Column:
