@@ -6,10 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import newline_vote
+from ..regexes import java_pattern
 
 
 def files(spark: SparkSession, path: str, postfix: str = "", recursive: bool = False, binary: bool = False) -> DataFrame:
@@ -37,13 +38,35 @@ def with_newline(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return texts.withColumn("newline", newline_vote(F.col(text_col)))
 
 
+#: Texts that are cut in one go, so that a batch of long texts never stands in a worker as all of its parts.
+SLICE_ROWS = 64
+
+
+def _native_units(text: Column, separator: str) -> Column | None:
+    """The parts of a text as an array, without Python; None where the pattern may match nothing or Java may read it otherwise."""
+    pattern = java_pattern(separator)
+    if pattern is None or not re._parser.parse(separator).getwidth()[0]:
+        return None
+    between = F.split(text, pattern, -1)
+    groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in range(1, re.compile(separator).groups + 1)]
+    if not groups:
+        return between
+    names = [f"g{k}" for k in range(len(groups) + 1)]
+    rows = F.arrays_zip(*[x.alias(n) for x, n in zip((between, *groups), names, strict=True)])
+    # behind the last part no group stands
+    return F.filter(F.flatten(F.transform(rows, lambda r: F.array(*[r[n] for n in names]))), lambda x: x.isNotNull())
+
+
 def units(texts: DataFrame, separator: str, text_col: str = "text") -> DataFrame:
-    """Parts between matches of a pattern, in order; what its groups capture are units as well."""
+    """``keep, line_no, line``: parts between matches of a pattern, in order; what its groups capture are units as well."""
     keep = [c for c in texts.columns if c != text_col]
+    parts = _native_units(F.col(text_col), separator)
+    if parts is not None:
+        return texts.select(*keep, F.posexplode(parts).alias("line_no", "line"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = re.compile(separator)
-        for batch in batches:
+        for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             rows, numbers, parts = [], [], []
             for at, text in enumerate(batch[text_col].to_pylist()):
                 for n, part in enumerate(compiled.split(text) if text is not None else []):

@@ -39,3 +39,17 @@ def test_event_codes_have_labels(spark, tmp_path):
     made(spark, tmp_path, "events", [(n, "click") for n in range(10)], "event_id long, event_type string")
     assert same_as_sql(spark, tmp_path, "event_code_table", "events") == 6
     assert {r.label for r in QUERIES["event_code_table"](spark, str(tmp_path)).collect()} == {"Show Text Attributes", "Show Text", "Change Actor Name"}
+
+
+@pytest.mark.parametrize("pattern", ["([.,])", "[.,]", "(a)|(b)", r"(\d)\s*([,;])?", r"(\d*)"])
+def test_units_cut_as_python_does(spark, pattern):
+    """Separators become units without Python workers, unless the pattern may match nothing."""
+    import re
+
+    from scriptloom.sources.text import units
+
+    texts = ["", ".", "a.b,c", "..", "1, 2;3x", "ab\n,b", None] + ["word. " * 500] * 200
+    found = units(spark.createDataFrame(list(enumerate(texts)), "n int, text string"), pattern)
+    assert ("MapInArrow" in found._jdf.queryExecution().toString()) == (pattern == r"(\d*)")
+    got = sorted((r.n, r.line_no, r.line) for r in found.collect())
+    assert got == [(n, k, x or "") for n, t in enumerate(texts) if t is not None for k, x in enumerate(re.split(pattern, t))]
