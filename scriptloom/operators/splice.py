@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ExtractConfig
 from ..functions.charset import fit_bytes
+from ..shared import slices
 
 
 def splice(lines: DataFrame, spans: DataFrame, keys: list[str], line_col: str = "line") -> DataFrame:
@@ -49,6 +51,23 @@ def write_shifted(df: DataFrame, columns: list[str], offset: int, values: dict[s
     return df.withColumns({k: v for k, v in out.items() if columns is None or k not in columns or offset})
 
 
+#: Texts whose spans a worker holds as objects at once.
+SLICE_ROWS = 64
+
+
+def _changed(joined: DataFrame, like: DataFrame, name: str, kind: pa.DataType, one) -> DataFrame:
+    """``joined`` as ``like``, ``name`` changed by ``one(value, spans)`` where it and ``_spans`` aren't null."""
+    columns = like.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, SLICE_ROWS):
+            pairs = zip(batch[name], batch["_spans"], strict=True)
+            made = pa.array([one(v.as_py(), s.as_py()) if v.is_valid and s.is_valid else v.as_py() for v, s in pairs], kind)
+            yield pa.RecordBatch.from_arrays([made if c == name else batch[c] for c in columns], columns)
+
+    return joined.mapInArrow(run, like.schema)
+
+
 def splice_texts(texts: DataFrame, spans: DataFrame, file_col: str, text_col: str = "text") -> DataFrame:
     """``texts`` with spans (``file, line_no, start, end, translated``) put in place in one pass over each text.
 
@@ -56,28 +75,21 @@ def splice_texts(texts: DataFrame, spans: DataFrame, file_col: str, text_col: st
     overlap. A text without spans comes back as it was.
     """
 
-    @F.pandas_udf("string")
-    def put(text: pd.Series, changes: pd.Series) -> pd.Series:
-        def one(t, found):
-            if t is None or found is None:
-                return t
-            by_line: dict[int, list] = {}
-            for x in found:
-                by_line.setdefault(x["line_no"], []).append((x["start"], x["end"], x["translated"]))
-            out = []
-            for n, part in enumerate(re.split("(\r\n|\n)", t)):
-                at = 0
-                for start, end, new in sorted(by_line.get(n // 2, ())) if n % 2 == 0 else ():
-                    out += [part[at:start], new]
-                    at = end
-                out.append(part[at:])
-            return "".join(out)
-
-        return pd.Series([one(t, c) for t, c in zip(text, changes, strict=True)], dtype=object)
+    def one(t: str, found: list[dict]) -> str:
+        by_line: dict[int, list] = {}
+        for x in found:
+            by_line.setdefault(x["line_no"], []).append((x["start"], x["end"], x["translated"]))
+        out = []
+        for n, part in enumerate(re.split("(\r\n|\n)", t)):
+            at = 0
+            for start, end, new in sorted(by_line.get(n // 2, ())) if n % 2 == 0 else ():
+                out += [part[at:start], new]
+                at = end
+            out.append(part[at:])
+        return "".join(out)
 
     grouped = spans.groupBy(file_col).agg(F.collect_list(F.struct("line_no", "start", "end", "translated")).alias("_spans"))
-    joined = texts.join(grouped, file_col, "left")
-    return joined.withColumn(text_col, put(F.col(text_col), F.col("_spans"))).select(*texts.columns)
+    return _changed(texts.join(grouped, file_col, "left").select(*texts.columns, "_spans"), texts, text_col, pa.string(), one)
 
 
 def splice_bytes(units: DataFrame, spans: DataFrame, keys: list[str], config: ExtractConfig, unit_col: str = "unit") -> DataFrame:
@@ -88,35 +100,28 @@ def splice_bytes(units: DataFrame, spans: DataFrame, keys: list[str], config: Ex
     translation that can't be encoded leaves its span as it was.
     """
 
-    @F.pandas_udf("binary")
-    def put(unit: pd.Series, changes: pd.Series) -> pd.Series:
-        def one(data, found):
-            if data is None or found is None:
-                return data
-            out = bytearray(data)
-            # from the last to the first, so that no place moves before it is used
-            for x in sorted(found, key=lambda x: -x["start"]):
-                low, high = x["start"], x["end"]
-                try:
-                    new = fit_bytes(x["translated"], high - low, config.encoding)[0] if config.cutoff else x["translated"].encode(config.encoding)
-                except UnicodeEncodeError:
-                    continue
-                grown = len(new) - (high - low)
-                if grown and config.pre_len and config.pre_len_fix and x["prefix_at"] >= 0:
-                    fill = -grown % config.pre_len_scale
-                    new, grown = new + bytes(fill), grown + fill
-                    at = x["prefix_at"]
-                    out[low:high] = new
-                    out[at : at + config.pre_len] = (x["prefix"] + grown // config.pre_len_scale).to_bytes(config.pre_len, "little")
-                else:
-                    out[low:high] = new
-            return bytes(out)
-
-        return pd.Series([one(d, c) for d, c in zip(unit, changes, strict=True)], dtype=object)
+    def one(data: bytes, found: list[dict]) -> bytes:
+        out = bytearray(data)
+        # from the last to the first, so that no place moves before it is used
+        for x in sorted(found, key=lambda x: -x["start"]):
+            low, high = x["start"], x["end"]
+            try:
+                new = fit_bytes(x["translated"], high - low, config.encoding)[0] if config.cutoff else x["translated"].encode(config.encoding)
+            except UnicodeEncodeError:
+                continue
+            grown = len(new) - (high - low)
+            if grown and config.pre_len and config.pre_len_fix and x["prefix_at"] >= 0:
+                fill = -grown % config.pre_len_scale
+                new, grown = new + bytes(fill), grown + fill
+                at = x["prefix_at"]
+                out[low:high] = new
+                out[at : at + config.pre_len] = (x["prefix"] + grown // config.pre_len_scale).to_bytes(config.pre_len, "little")
+            else:
+                out[low:high] = new
+        return bytes(out)
 
     grouped = spans.groupBy(*keys).agg(F.collect_list(F.struct("start", "end", "translated", "prefix_at", "prefix")).alias("_spans"))
-    joined = units.join(grouped, keys, "left")
-    return joined.withColumn(unit_col, put(F.col(unit_col), F.col("_spans"))).select(*units.columns)
+    return _changed(units.join(grouped, keys, "left").select(*units.columns, "_spans"), units, unit_col, pa.binary(), one)
 
 
 def cutoffs(spans: DataFrame, config: ExtractConfig) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import newline_vote
 from ..regexes import java_pattern
+from ..shared import slices
 
 
 def files(spark: SparkSession, path: str, postfix: str = "", recursive: bool = False, binary: bool = False) -> DataFrame:
@@ -66,7 +67,7 @@ def units(texts: DataFrame, separator: str, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = re.compile(separator)
-        for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
+        for batch in slices(batches, SLICE_ROWS):
             rows, numbers, parts = [], [], []
             for at, text in enumerate(batch[text_col].to_pylist()):
                 for n, part in enumerate(compiled.split(text) if text is not None else []):

@@ -23,9 +23,8 @@ def same_as_sql(spark, folder, name, *tables):
         con.execute(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
     got, expected = QUERIES[name](spark, str(folder)), con.execute(SQL[name])
     columns = [c[0] for c in expected.description]
-    rows = sorted(map(str, got.select(*columns).collect()))
-    plain = lambda r: str(spark.createDataFrame([r], got.select(*columns).schema).first())
-    assert rows == sorted(map(plain, expected.fetchall()))
+    rows = sorted(str(tuple(r)) for r in got.select(*columns).collect())
+    assert rows == sorted(map(str, expected.fetchall()))
     return len(rows)
 
 
@@ -53,3 +52,17 @@ def test_units_cut_as_python_does(spark, pattern):
     assert ("MapInArrow" in found._jdf.queryExecution().toString()) == (pattern == r"(\d*)")
     got = sorted((r.n, r.line_no, r.line) for r in found.collect())
     assert got == [(n, k, x or "") for n, t in enumerate(texts) if t is not None for k, x in enumerate(re.split(pattern, t))]
+
+
+def test_workers_take_slices(spark):
+    """Whatever the batch, pieces and spans stand in a worker for a few rows at a time."""
+    from scriptloom.operators import splice
+    from scriptloom.plans import blobs
+    from scriptloom.sources import engines
+
+    files = spark.range(1, 1001, 1, 1).select(F.col("id").cast("string").alias("file"), blobs.blob("length_macros", F.lit("n"), F.lit("t")).alias("data"))
+    rows = files.select(F.col("file"), F.lit("ab\ncd").alias("text"))
+    spans = rows.select("file", F.lit(1).alias("line_no"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit("X").alias("translated"))
+    assert engines.units(files, "length_macros").count() == 4000
+    assert splice.splice_texts(rows, spans, "file").where("text = 'ab\nXd'").count() == 1000
+    assert engines.SLICE_ROWS < 1000 and splice.SLICE_ROWS < 1000
