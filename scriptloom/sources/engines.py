@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import scripts
 from ..functions.charset import fit_bytes, xor_bytes
+from ..shared import slices
 from .assemble import TEXTS, Pieces, assemble
 
 
@@ -156,12 +157,16 @@ def register(name: str, layout: Layout) -> None:
     LAYOUTS[name] = layout
 
 
+#: Files whose pieces a worker holds at once.
+SLICE_ROWS = 64
+
+
 def units(blobs: DataFrame, layout: str, only: str | None = None) -> DataFrame:
     """``file, piece_no, kind, piece`` of ``file, data`` rows. Files whose names don't match ``only`` are one raw piece, null data none."""
     how, wanted = LAYOUTS[layout], re.compile(only) if only else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, SLICE_ROWS):
             rows = []
             for f, d in zip(batch["file"].to_pylist(), batch["data"].to_pylist(), strict=True):
                 pieces = how.pieces(d) if not wanted or wanted.search(f) else [("raw", d)]
