@@ -44,13 +44,28 @@ def sheets(blobs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string()))])
         for batch in batches:
-            for name, data in zip(batch["file"].to_pylist(), batch["data"].to_pylist(), strict=True):
-                rows = [{"file": name, "sheet": sheet, "row_no": n, "cells": row} for sheet, found in read_workbook(data).items() for n, row in enumerate(found)]
+            for name, data in zip(batch["file"], batch["data"], strict=True):
+                rows = [{"file": name.as_py(), "sheet": sheet, "row_no": n, "cells": row} for sheet, found in read_workbook(data.as_py()).items() for n, row in enumerate(found)]
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     return blobs.select("file", "data").mapInArrow(run, "file string, sheet string, row_no int, cells array<string>")
 
 
+#: Rows of a volume: about 5 MB as objects, far below what a sheet may have.
+VOLUME_ROWS = 1 << 10
+
+
+def volumes(rows: DataFrame, file: str, sheet: str = "Sheet1") -> DataFrame:
+    """``file, sheet, row_no, cells`` of a table of any size, for :func:`books`: as many files ``file_number`` as its rows need, each of ``VOLUME_ROWS`` at most.
+
+    Rows that stand side by side in a partition share a file; null cells are empty ones.
+    """
+    at = F.monotonically_increasing_id()
+    numbered = rows.withColumn("_at", at)
+    number = F.floor(F.col("_at") / VOLUME_ROWS).cast("string")
+    return numbered.select(F.concat(F.lit(f"{file}_"), number).alias("file"), F.lit(sheet).alias("sheet"), F.col("_at").alias("row_no"), F.array(*rows.columns).alias("cells"))
+
+
 def books(rows: DataFrame, file_col: str = "file", sheet_col: str = "sheet", order: str = "row_no", cells_col: str = "cells") -> DataFrame:
     """``file, data``: a workbook of each file's sheets, in the order of their names; a file's rows are one task's."""
 

@@ -54,6 +54,17 @@ def test_units_cut_as_python_does(spark, pattern):
     assert got == [(n, k, x or "") for n, t in enumerate(texts) if t is not None for k, x in enumerate(re.split(pattern, t))]
 
 
+def test_workbooks_are_bounded(spark, tmp_path):
+    """A table of any size takes as many workbooks as it needs."""
+    made(spark, tmp_path, "conversations", [(n, 0, "user", f"text {n}") for n in range(3000)], "conv_id long, turn long, role string, text string")
+    assert same_as_sql(spark, tmp_path, "format12_file", "conversations") == 3000
+    from scriptloom.sources import tables
+
+    volumes = tables.volumes(spark.range(3000).coalesce(1).select(F.col("id").cast("string")), "a")
+    sizes = volumes.groupBy("file").count().collect()
+    assert len(sizes) > 2 and max(r["count"] for r in sizes) <= tables.VOLUME_ROWS
+
+
 def test_workers_take_slices(spark):
     """Whatever the batch, pieces and spans stand in a worker for a few rows at a time."""
     from scriptloom.operators import splice
