@@ -1,13 +1,22 @@
-"""Greedy, order-dependent merges: one file's rows in one Arrow group (survey W9, W10, J14, W12).
+"""Greedy, order-dependent merges: one file's rows side by side in one task (survey W9, W10, J14, W12).
 
-What comes next depends on what was consumed before, so no window can express them. Groups are files (scenes, scripts), which
-are bounded by nature; many files make many tasks.
+What comes next depends on what was consumed before, so no window can express them. Files (scenes, scripts) are bounded by
+nature; many files make many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..shared import slices
+
+#: Rows that a worker reads as objects at once, beside those of its file.
+SLICE_ROWS = 1 << 10
 
 OPENS, CLOSES = "「『", "」』"
 
@@ -16,24 +25,55 @@ def balance(text: str) -> int:
     return sum(text.count(c) for c in OPENS) - sum(text.count(c) for c in CLOSES)
 
 
-def merge_unclosed(rows: DataFrame, file_col: str, order: str, name_col: str, text_col: str, look_ahead: int = 8) -> DataFrame:
-    """``file, first, n_parts, name, message``: a record with an open bracket takes up those after it, at most ``look_ahead``."""
+def _merged(rows: DataFrame, file_col: str, order: str, name_col: str, text_col: str, take) -> DataFrame:
+    """``file, first, n_parts, name, message``: each file's rows in order, gathered by ``take(texts, names, i)``: where what begins at ``i`` ends, and its text.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        texts, out, i = pdf[text_col].fillna("").tolist(), [], 0
-        names, places = pdf[name_col].tolist(), pdf[order].tolist()
+    Files stand one after another in their partition; a worker holds one file at a time, and no group of its own is set up for it.
+    """
+    kind = dict(rows.dtypes)
+    columns = ["file", "first", "n_parts", "name", "message"]
+    wanted = rows.select(F.col(file_col).alias("file"), F.col(order).alias("first"), F.col(name_col).cast("string").alias("name"), F.col(text_col).cast("string").alias("message"))
+
+    def merged(file, part: list[tuple]) -> Iterator[tuple]:
+        places, names, texts = zip(*part, strict=True)
+        i = 0
         while i < len(texts):
-            j, open_ = i + 1, balance(texts[i])
-            while open_ > 0 and j < len(texts) and j - i <= look_ahead:
-                open_ += balance(texts[j])
-                j += 1
-            out.append((pdf[file_col].iloc[0], places[i], j - i, names[i], "".join(texts[i:j])))
+            j, message = take(texts, names, i)
+            yield file, places[i], j - i, names[i], message
             i = j
-        return pd.DataFrame(out, columns=["file", "first", "n_parts", "name", "message"])
 
-    kind = dict(rows.dtypes)
-    return rows.select(file_col, order, name_col, text_col).groupBy(file_col).applyInPandas(run, f"file {kind[file_col]}, first {kind[order]}, n_parts int, name string, message string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, part, kinds = None, [], None
+        make = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], columns)
+        for batch in slices(batches, SLICE_ROWS):
+            out = []
+            kinds = (batch["file"].type, batch["first"].type, pa.int32(), pa.string(), pa.string())
+            for key, place, name, text in zip(*(batch[c].to_pylist() for c in ("file", "first", "name", "message")), strict=True):
+                if part and key != file:
+                    out += merged(file, part)
+                    part = []
+                file = key
+                part.append((place, name, text or ""))
+            if out:
+                yield make(out)
+        if part:
+            yield make(list(merged(file, part)))
+
+    sorted_rows = wanted.repartition("file").sortWithinPartitions("file", F.asc_nulls_last("first"))
+    return sorted_rows.mapInArrow(run, f"file {kind[file_col]}, first {kind[order]}, n_parts int, name string, message string")
+
+
+def merge_unclosed(rows: DataFrame, file_col: str, order: str, name_col: str, text_col: str, look_ahead: int = 8) -> DataFrame:
+    """``file, first, n_parts, name, message``: a record with an open bracket takes up those after it, at most ``look_ahead``."""
+
+    def take(texts: list, names: list, i: int) -> tuple[int, str]:
+        j, open_ = i + 1, balance(texts[i])
+        while open_ > 0 and j < len(texts) and j - i <= look_ahead:
+            open_ += balance(texts[j])
+            j += 1
+        return j, "".join(texts[i:j])
+
+    return _merged(rows, file_col, order, name_col, text_col, take)
 
 
 _PAIRS = {"「": "」", "（": "）", "(": ")"}
@@ -46,30 +86,25 @@ def merge_speaker_lines(rows: DataFrame, file_col: str, order: str, speaker_col:
     gather, at most ``most``, until a bracket opens. A change of speaker ends all of them.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        texts, out, i = pdf[text_col].fillna("").tolist(), [], 0
-        names = [None if pd.isna(s) else s for s in pdf[speaker_col]]
-        places = pdf[order].tolist()
-        while i < len(texts):
-            t, j = texts[i], i + 1
-            closes = lambda x: any(c in x for c in _PAIRS.values())
-            if t[:1] in _PAIRS and _PAIRS[t[0]] in t:
-                pass
-            elif t[:1] in _PAIRS and not closes(t):
-                while j < len(texts) and names[j] == names[i]:
-                    j += 1
-                    if closes(texts[j - 1]):
-                        break
-            else:
-                while j < len(texts) and j - i < most and names[j] == names[i] and texts[j][:1] not in _PAIRS:
-                    j += 1
-            out.append((pdf[file_col].iloc[0], places[i], j - i, names[i] or None, "\r\n".join(texts[i:j])))
-            i = j
-        return pd.DataFrame(out, columns=["file", "first", "n_parts", "name", "message"])
+    def closes(x: str) -> bool:
+        return "」" in x or "）" in x or ")" in x
 
-    kind = dict(rows.dtypes)
-    return rows.select(file_col, order, speaker_col, text_col).groupBy(file_col).applyInPandas(run, f"file {kind[file_col]}, first {kind[order]}, n_parts int, name string, message string")
+    def take(texts: list, names: list, i: int) -> tuple[int, str]:
+        t, j = texts[i], i + 1
+        if t[:1] in _PAIRS and _PAIRS[t[0]] in t:
+            pass
+        elif t[:1] in _PAIRS and not closes(t):
+            while j < len(texts) and names[j] == names[i]:
+                j += 1
+                if closes(texts[j - 1]):
+                    break
+        else:
+            while j < len(texts) and j - i < most and names[j] == names[i] and texts[j][:1] not in _PAIRS:
+                j += 1
+        return j, "\r\n".join(texts[i:j])
+
+    found = _merged(rows, file_col, order, speaker_col, text_col, take)
+    return found.withColumn("name", F.nullif("name", F.lit("")))
 
 
 def align_inserts(new: DataFrame, old: DataFrame, file_col: str, order: str) -> DataFrame:

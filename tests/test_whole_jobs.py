@@ -77,3 +77,16 @@ def test_workers_take_slices(spark):
     assert engines.units(files, "length_macros").count() == 4000
     assert splice.splice_texts(rows, spans, "file").where("text = 'ab\nXd'").count() == 1000
     assert engines.SLICE_ROWS < 1000 and splice.SLICE_ROWS < 1000
+
+
+def test_files_side_by_side(spark):
+    """Files without a group each, null ones and one across batches included."""
+    from scriptloom.operators import sequences
+
+    rows = [(f, n, "a" if n // 4 % 2 else "", f"「{n}" if n % 5 == 0 else None if n % 7 == 0 else f"{n}」") for f in (None, "x", "y") for n in range(3000 if f == "x" else 5)]
+    df = spark.createDataFrame(rows, "f string, n int, s string, t string")
+    made = sequences.merge_speaker_lines(df, "f", "n", "s", "t")
+    assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
+    got = made.orderBy("file", "first").collect()
+    assert [(r.first, r.n_parts, r.name, r.message) for r in got if r.file is None] == [(0, 2, None, "「0\r\n1」"), (2, 2, None, "2」\r\n3」"), (4, 1, "a", "4」")]
+    assert all(sum(r.n_parts for r in got if r.file == f) == n for f, n in ((None, 5), ("x", 3000), ("y", 5)))
