@@ -7,6 +7,7 @@ pattern over their hex digits takes them out. The tables are made from Python's
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 from pyspark.sql import Column
@@ -33,6 +34,19 @@ def table(encoding: str) -> tuple[tuple[str, int], ...]:
     return tuple(out)
 
 
+@cache
+def characters(encoding: str) -> dict[str, bytes]:
+    """The characters beyond ASCII and their bytes."""
+    return {c: u.to_bytes(1, "big") if u < _WIDE else (u - _WIDE).to_bytes(2, "big") for c, u in table(encoding)}
+
+
+@cache
+def character_bytes(encoding: str) -> re.Pattern:
+    """Finds the bytes of one character after another."""
+    leads = bytes(b for b in range(256) if re.fullmatch(LEADS[encoding], f"{b:02X}"))
+    return re.compile(b"[" + re.escape(leads) + b"].|.", re.DOTALL)
+
+
 @cache
 def _pairs(encoding: str) -> tuple[str, str]:
     """Characters and units for both ways; of characters with the same bytes, the one that these are read as."""

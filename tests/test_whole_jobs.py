@@ -54,6 +54,23 @@ def test_units_cut_as_python_does(spark, pattern):
     assert got == [(n, k, x or "") for n, t in enumerate(texts) if t is not None for k, x in enumerate(re.split(pattern, t))]
 
 
+def test_tunnel_looks_characters_up(spark):
+    """The same bytes and texts as the native form, what has no code or is no character null."""
+    from scriptloom.functions import codepage
+    from scriptloom.operators import tunnel
+
+    codes = {"é": b"\x81\x01", "ä": b"\x81\x02"}
+    rows = [(1, "aéあ漢ｱ\x7f"), (2, "ö"), (3, ""), (4, None), (5, "Ω～－x" * 200)]
+    df = spark.createDataFrame(rows, "n int, t string").withColumn("b", codepage.encoded(F.col("t"), "cp932", codes))
+    extra = spark.createDataFrame([(6, None, b"\x81"), (7, None, b"\xfd\xff"), (8, None, b"\x81\x02a\x80")], "n int, t string, b binary")
+    df = df.unionByName(extra)
+    sent, back = tunnel.tunnel_encoded(F.col("t"), codes), tunnel.tunnel_decoded(F.col("b"), codes)
+    found = df.select("b", codepage.decoded(F.col("b"), "cp932", codes).alias("t"), sent.alias("sent"), back.alias("back"), "n")
+    assert "ArrowEvalPython" in found._jdf.queryExecution().toString()
+    got = found.collect()
+    assert all(r.t == r.back and (r.n > 5 or r.b == r.sent) for r in got) and sum(r.back is None for r in got) == 4
+
+
 def test_workbooks_are_bounded(spark, tmp_path):
     """A table of any size takes as many workbooks as it needs."""
     made(spark, tmp_path, "conversations", [(n, 0, "user", f"text {n}") for n in range(3000)], "conv_id long, turn long, role string, text string")
