@@ -42,28 +42,36 @@ def parts_for_slots(text: Column, capacities: list[int], encoding: str = "cp932"
     """
     wide = _wide(encoding)
     number = lambda x: F.lit(x).cast("int")
+    punctuation = f"^[\\s\\S]*[{PUNCTUATION}]"
+
+    def once(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def outside(s: Column, c: Column) -> Column:
+        depth = s["depth"] + F.when(c == OPENS, 1).when(c == CLOSES, -1).otherwise(0)
+        cut = F.when((depth <= 0) & F.contains(F.lit(PUNCTUATION), c), s["at"] + 1).otherwise(s["cut"])
+        return F.struct(depth.alias("depth"), (s["at"] + 1).alias("at"), cut.alias("cut"))
+
+    def last_break(head: Column) -> Column:
+        # only a head with an opening bracket needs the fold
+        state = F.struct(number(0).alias("depth"), number(0).alias("at"), number(0).alias("cut"))
+        folded = F.aggregate(F.filter(F.split(head, ""), lambda c: c != ""), state, outside, lambda s: s["cut"])
+        return F.when(F.contains(head, F.lit(OPENS)), folded).otherwise(F.length(F.regexp_extract(head, punctuation, 0)))
 
     def slot(done: Column, room: Column) -> Column:
         rest = done["rest"]
-
-        def step(s: Column, c: Column) -> Column:
-            used = s["used"] + F.when(F.translate(c, wide, "") == "", 2).otherwise(1)
-            over = s["over"] | (used > room)
-            depth = s["depth"] + F.when(c == OPENS, 1).when(c == CLOSES, -1).otherwise(0)
-            breaks = (depth <= 0) & F.contains(F.lit(PUNCTUATION), c)
-            at = s["fits"] + 1
-            return F.struct(
-                used.alias("used"), F.when(over, s["depth"]).otherwise(depth).alias("depth"), F.when(over, s["fits"]).otherwise(at).alias("fits"),
-                F.when(over | ~breaks, s["cut"]).otherwise(at).alias("cut"), over.alias("over"),
-            )
-
-        def cut(s: Column) -> Column:
-            at = F.when(s["over"] & (s["cut"] > 0), s["cut"]).otherwise(s["fits"])
-            return F.struct(F.concat(done["parts"], F.array(F.substring(rest, F.lit(1), at))).alias("parts"), F.substring(rest, at + 1, F.length(rest)).alias("rest"))
-
-        state = F.struct(number(0).alias("used"), number(0).alias("depth"), number(0).alias("fits"), number(0).alias("cut"), F.lit(False).alias("over"))
-        chars = F.filter(F.split(F.substring(rest, F.lit(1), room + 1), ""), lambda c: c != "")
-        return F.aggregate(chars, state, step, cut)
+        # the widths of all characters in one translation: a wide one is Ww, any other one letter
+        letters = F.translate(F.substring(rest, F.lit(1), room + 1), wide + "Ww", "W" * len(wide) + "nn")
+        bytes_ = F.replace(letters, F.lit("W"), F.lit("Ww"))
+        fits = lambda b: F.length(F.replace(F.regexp_replace(F.substring(b, F.lit(1), room), "W\\z", ""), F.lit("w"), F.lit("")))
+        measured = once(bytes_, lambda b: F.struct(fits(b).alias("fits"), (F.length(b) > room).alias("over")))
+
+        def cut(m: Column) -> Column:
+            broken = lambda b: F.when(b > 0, b).otherwise(m["fits"])
+            return F.when(m["over"], once(last_break(F.substring(rest, F.lit(1), m["fits"])), broken)).otherwise(m["fits"])
+
+        parted = lambda at: F.struct(F.concat(done["parts"], F.array(F.substring(rest, F.lit(1), at))).alias("parts"), F.substring(rest, at + 1, F.length(rest)).alias("rest"))
+        return once(once(measured, cut), parted)
 
     begin = F.struct(F.array().cast("array<string>").alias("parts"), text.alias("rest"))
     filled = lambda done: F.concat(done["parts"], F.array(done["rest"]))

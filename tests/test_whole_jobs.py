@@ -54,6 +54,38 @@ def test_units_cut_as_python_does(spark, pattern):
     assert got == [(n, k, x or "") for n, t in enumerate(texts) if t is not None for k, x in enumerate(re.split(pattern, t))]
 
 
+def test_slots_measure_characters_once(spark):
+    """The same parts as a plain loop over characters gives, with letters that the widths are written in, brackets, and more slots."""
+    import random
+
+    from scriptloom.functions import folds
+
+    def plain(text, rooms):
+        parts = []
+        for room in rooms[:-1]:
+            used = depth = fits = cut = 0
+            over = False
+            for c in text[: room + 1]:
+                used += 2 if c in folds._wide("cp932") else 1
+                if over := over or used > room:
+                    break
+                depth += (c == "「") - (c == "」")
+                fits += 1
+                cut = fits if depth <= 0 and c in folds.PUNCTUATION else cut
+            at = cut if over and cut else fits
+            parts, text = [*parts, text[:at]], text[at:]
+        return [*parts, text]
+
+    draw = random.Random(1)
+    texts = ["", "W" * 9, "wW" * 5, None] + ["".join(draw.choices("Wwa 「」。、あéÄ\n", k=draw.randrange(30))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    got = {r.n: r.p for r in df.select("n", folds.parts_for_slots(F.col("t"), [7, 5, 9]).alias("p")).collect()}
+    assert got == {n: None if t is None else plain(t, [7, 5, 9]) for n, t in enumerate(texts)}
+    # the table of wide characters is searched once a slot, not for each character
+    translations = str(df.select(folds.parts_for_slots(F.col("t"), [7, 5]).alias("p"))._jdf.queryExecution().analyzed().toString()).count("translate(")
+    assert translations == 1
+
+
 def test_tunnel_looks_characters_up(spark):
     """The same bytes and texts as the native form, what has no code or is no character null."""
     from scriptloom.functions import codepage
