@@ -33,14 +33,17 @@ def positions(rows: DataFrame, order: list[str], name: str = "pos") -> DataFrame
     return found.select(*rows.columns, F.col(before).alias(name))
 
 
-def carried(rows: DataFrame, value: Column, order: list[str], name: str, keys: list[str] | None = None, inclusive: bool = True) -> DataFrame:
+def carried(rows: DataFrame, value: Column | str, order: list[str], name: str, keys: list[str] | None = None, inclusive: bool = True) -> DataFrame:
     """``rows`` and ``name``: the last value that isn't null at or before each row, of rows with equal ``keys`` (null equals null).
+    A value that is the name of a column is that column.
 
     ``inclusive=False``: strictly before it. A key may have any share of the rows: it is cut like the rest of the order.
     """
     keys = keys or []
-    own, key = fresh(rows, "_value", "_key")
-    marked = rows.withColumn(own, value).withColumn(key, F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
+    key, own = fresh(rows, "_key", "_value")
+    own = value if isinstance(value, str) else own
+    # the columns of a key move inside it alone
+    marked = (rows if isinstance(value, str) else rows.withColumn(own, value)).withColumn(key, F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))).drop(*keys)
     placed, part, place = _placed(marked, [key, *[c for c in order if c not in keys]])
     inside, strict, first, last, carry, kind = fresh(placed, "_inside", "_strict", "_first", "_last", "_carry", "_kind")
     w = Window.partitionBy(part, key).orderBy(place)
@@ -54,13 +57,14 @@ def carried(rows: DataFrame, value: Column, order: list[str], name: str, keys: l
     known = known.select(part, F.col(key).alias(first), carry)
     found = seen.join(F.broadcast(known), part)
     before = F.when(F.col(key).eqNullSafe(F.col(first)), F.col(carry))
-    return found.select(*rows.columns, F.coalesce(F.col(inside if inclusive else strict), before).alias(name))
+    columns = [F.col(key)[c].alias(c) if c in keys else F.col(c) for c in rows.columns]
+    return found.select(*columns, F.coalesce(F.col(inside if inclusive else strict), before).alias(name))
 
 
-def following(rows: DataFrame, value: Column, order: list[str], name: str) -> DataFrame:
-    """``rows`` and ``name``: the value of the next row in the order, null for the last."""
-    own, = fresh(rows, "_value")
-    placed, part, place = _placed(rows.withColumn(own, value), order)
+def following(rows: DataFrame, value: Column | str, order: list[str], name: str) -> DataFrame:
+    """``rows`` and ``name``: the value (a column that is there, or another) of the next row in the order, null for the last."""
+    own = value if isinstance(value, str) else fresh(rows, "_value")[0]
+    placed, part, place = _placed(rows if isinstance(value, str) else rows.withColumn(own, value), order)
     ahead, final, first, next_first = fresh(placed, "_ahead", "_final", "_first", "_next")
     w = Window.partitionBy(part).orderBy(place)
     seen = placed.withColumn(ahead, F.lead(own).over(w)).withColumn(final, F.lead(F.lit(True)).over(w).isNull())
@@ -69,15 +73,21 @@ def following(rows: DataFrame, value: Column, order: list[str], name: str) -> Da
     return found.select(*rows.columns, F.when(F.col(final), F.col(next_first)).otherwise(F.col(ahead)).alias(name))
 
 
-def learned_names(rows: DataFrame, variable: str, definition: Column, text: Column, order: list[str], name: str = "learned") -> DataFrame:
+def learned_names(rows: DataFrame, variable: str, definition: Column, text: Column, order: list[str], name: str = "learned", keep: list[str] | None = None) -> DataFrame:
     """``rows`` and ``name``: what a variable stands for where it is used, the text after its last definition before that row.
 
     ``definition`` tells the rows that define their variable; a definition at the end of everything has no text and defines nothing.
+    ``keep``: the columns that are wanted, all if it is None. Others don't move: each text does once, to the row before it, and from
+    there on only those that define something.
     """
-    after, = fresh(rows, "_after")
-    ahead = following(rows, text, order, after)
-    told = F.when(definition & F.col(variable).isNotNull(), F.col(after))
-    return carried(ahead, told, order, name, [variable], inclusive=False).drop(after)
+    keep = rows.columns if keep is None else keep
+    said, defines, after = fresh(rows, "_said", "_defines", "_after")
+    needed = list(dict.fromkeys([*keep, variable, *order]))
+    slim = rows.select(*needed, text.alias(said), (definition & F.col(variable).isNotNull()).alias(defines))
+    ahead = following(slim, said, order, after)
+    # what a definition tells stands at its row alone
+    told = ahead.select(*needed, F.when(F.col(defines), F.col(after)).alias(after))
+    return carried(told, after, order, name, [variable], inclusive=False).select(*keep, name)
 
 
 def filled_interval(rows: DataFrame, starts: Column, ends: Column, order: list[str], name: str = "inside") -> DataFrame:

@@ -20,15 +20,15 @@ select doc_id, line_no, variable, last_value(told ignore nulls) over (partition
 def learned_names_corpus(spark, d):
     """The first word of a line is a variable; lines from A to M define it by the line after them. All documents are one file."""
     rows = doc_lines(spark, d).withColumn("variable", F.nullif(F.regexp_extract("line", "^([A-Za-z]+)", 1), F.lit("")))
-    found = scan.learned_names(rows, "variable", F.regexp_like("line", F.lit("^[A-M]")), F.col("line"), _ORDER)
-    return found.select("doc_id", "line_no", "variable", "learned")
+    return scan.learned_names(rows, "variable", F.regexp_like("line", F.lit("^[A-M]")), F.col("line"), _ORDER, keep=[*_ORDER, "variable"])
 
 
 @query(rf"""with {LINES}, e as (select *, case when regexp_matches(line, '^[A-C]') then 1 when regexp_matches(line, '^[T-Z]') then 0 end as ev from lines)
 select doc_id, line_no, coalesce(last_value(ev ignore nulls) over (order by doc_id, line_no), 0) = 1 as inside from e""")
 def interval_fill_corpus(spark, d):
-    line = F.col("line")
-    rows = scan.filled_interval(doc_lines(spark, d), F.regexp_like(line, F.lit("^[A-C]")), F.regexp_like(line, F.lit("^[T-Z]")), _ORDER)
+    said = lambda pattern: F.regexp_like("line", F.lit(pattern))
+    marked = doc_lines(spark, d).select(*_ORDER, said("^[A-C]").alias("starts"), said("^[T-Z]").alias("ends"))
+    rows = scan.filled_interval(marked, F.col("starts"), F.col("ends"), _ORDER)
     return rows.select("doc_id", "line_no", "inside")
 
 

@@ -139,3 +139,18 @@ def test_files_side_by_side(spark):
     got = made.orderBy("file", "first").collect()
     assert [(r.first, r.n_parts, r.name, r.message) for r in got if r.file is None] == [(0, 2, None, "「0\r\n1」"), (2, 2, None, "2」\r\n3」"), (4, 1, "a", "4」")]
     assert all(sum(r.n_parts for r in got if r.file == f) == n for f, n in ((None, 5), ("x", 3000), ("y", 5)))
+
+
+def test_learned_names_moves_each_text_once(spark, tmp_path):
+    """Texts go to the row before them; in the second order stand only those that define something."""
+    from scriptloom.operators import scan
+
+    df = spark.createDataFrame([(n, "v" if n % 2 else None, "D" if n == 1 else "line") for n in range(6)], "n int, v string, line string")
+    seen, before = [], scan.written
+    scan.written = lambda df, tag: seen.append(df.columns) or before(df, tag)
+    try:
+        got = scan.learned_names(df, "v", F.col("line") == "D", F.col("line"), ["n"], keep=["n", "v"]).orderBy("n").collect()
+    finally:
+        scan.written = before
+    assert [r.learned for r in got] == [None, None, None, "line", None, "line"]
+    assert not any("line" in columns for columns in seen) and len(seen) == 2
