@@ -4,33 +4,27 @@
    counts are upper bounds of the phrases'. Its slots are dealt to buckets and summed there, so that no task holds it whole;
    what comes back is a bit a slot, whether ``min_count`` was reached (32 MB at any input size, broadcast). The same pass counts words.
    Words are told apart by 64-bit hashes inside a task only; beyond that, by their bytes.
-2. A second pass keeps, once each, the phrases whose bit is set: the candidates, all that can reach ``min_count`` among them. They are
-   dealt to buckets, a sorted list in one row each.
-3. Candidates are compiled into Aho-Corasick automata in shards of about ``AUTOMATON_BYTES``. For each shard one job scans the
-   texts of its languages: words are written with one space before and after each and a line break between pieces, and keys
-   start and end with that space, so that a match is whole words of one piece and overlapping matches count. Tasks send a list of
-   counts a bucket; the lists are added, and phrases below the threshold, which only shared a slot, go.
-   The scans are as many as there are shards, so work grows with the texts times the frequent phrases (one scan of all texts for
-   each 10 MB of them).
+2. A second pass counts the phrases whose bit is set, all that can reach ``min_count`` among them, task by task: each goes once, with
+   its count, from a table of about ``AUTOMATON_BYTES`` to a bucket of about ``BUCKET_PHRASES``. Phrases are told apart like words.
+3. Each bucket adds its counts up by the phrases' bytes; those below the threshold, which only shared a slot, go. The texts are read twice
+   at any size, and what moves grows with them.
 4. Cuts, scores, the rule on longer phrases and the ranks are joins and aggregates of candidates with the counts of their parts.
 
 A phrase of ``min_count`` occurrences has parts of as many, so the counts of parts are words' or other candidates' counts. With far
-more than ``2**SLOT_BITS`` distinct phrases the sketch keeps more candidates than it should: more shards, the same result.
+more than ``2**SLOT_BITS`` distinct phrases the sketch moves more phrases than it should: larger buckets, the same result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches, discard, materialise, shared_dir
+from ._spark import bounded_batches, discard, materialise
 from .lm_score import _find, _from_planes, _planes, pair_key
 
 MIN_COUNT = 10
@@ -40,15 +34,12 @@ ABSORB_PERCENT = 50
 TOP = 2000
 SLOT_BITS = 28
 _BUCKETS = 64
-#: A first word has the buckets of one in so many.
-_SPREAD = 256
-#: Bytes of a run, words that a task counts together, candidates of a bucket, and the bytes of the candidates of one automaton: about 25 bytes of memory each.
+#: Bytes of a run; words that a task counts together; phrases of a bucket; bytes of the phrases that a task counts together, at 16 each (automata
+#: of so many bytes counted them before).
 RUN_BYTES = 1 << 21
 RUN_WORDS = 1 << 19
 BUCKET_PHRASES = 1 << 14
-AUTOMATON_BYTES = 10 << 20
-#: Keys a task remembers having proposed.
-_PROPOSED = 1 << 22
+AUTOMATON_BYTES = 16 << 20
 NO_LANG = "und"
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -61,14 +52,6 @@ def folded(text: bytes | None) -> bytes:
     return (text or b"").translate(_FOLD)
 
 
-def guarded(text: bytes | None) -> str:
-    """The words of a text with one space before and after each, and a line break, guarded like a word, where a piece ends; a character a byte."""
-    line = b" %b " % folded(text).replace(_BREAK, b" \n ")
-    while b"  " in line:
-        line = line.replace(b"  ", b" ")
-    return line.decode("latin-1")
-
-
 def _tables(places: int = 64) -> np.ndarray:
     """A number for each byte at each place of a word: sums of them are the words' hashes."""
     z = np.arange(1, places * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -80,10 +63,6 @@ def _tables(places: int = 64) -> np.ndarray:
 _TABLES = _tables()
 
 
-#: The shard that this worker scans for, if it does.
-_AUTOMATA: dict = {}
-
-
 class _Run:
     """Whole texts, one language after another: where their words are, and hashes of these."""
 
@@ -135,7 +114,6 @@ class _Run:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Run]:
     """Runs from batches of ``lang, text``."""
-    _AUTOMATA.clear()
     texts: dict[str, list[bytes]] = {}
     n = 0
     for batch in batches:
@@ -151,20 +129,22 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Run]:
 
 
 class _Words:
-    """The words of a task's runs with their counts."""
+    """The words, or phrases, of a task's runs with their counts."""
 
     def __init__(self) -> None:
         self.key, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.lang, self.word = np.zeros(0, object), np.zeros(0, object)
 
-    def add(self, r: _Run) -> None:
-        key, first, n = np.unique(r.key, return_index=True, return_counts=True)
-        known, at = _find(self.key, key)
-        self.n[at[known]] += n[known]
+    def add(self, r: _Run, keys: np.ndarray | None = None, at: np.ndarray | None = None, length: int = 1) -> None:
+        """The words of a run; or phrases of ``length`` words with ``keys`` that begin at the words ``at``."""
+        key, first, n = np.unique(r.key if keys is None else keys, return_index=True, return_counts=True)
+        known, there = _find(self.key, key)
+        self.n[there[known]] += n[known]
         new, key, n = first[~known], key[~known], n[~known]
+        new = new if at is None else at[new]
         place = np.searchsorted(self.key, key)
         word = np.empty(len(new), object)
-        word[:] = r.words(new)
+        word[:] = r.words(new, length)
         lang = np.array(r.langs, object)[r.lang[new]]
         self.key, self.n, self.lang, self.word = (np.insert(x, place, y) for x, y in ((self.key, key), (self.n, n), (self.lang, lang), (self.word, word)))
 
@@ -177,6 +157,13 @@ def _slot(key: np.ndarray, bits: int) -> np.ndarray:
     return key >> np.uint64(64 - bits)
 
 
+def _remixed(key: np.ndarray) -> np.ndarray:
+    """Keys whose low bits depend on all bits, so that they deal phrases to buckets evenly."""
+    z = key ^ (key >> np.uint64(31))
+    z *= np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(30))
+
+
 def _first_pass(docs: DataFrame, most: int, bits: int) -> DataFrame:
     """``lang, word, n`` rows of words, and ``bucket, slots, counts`` rows of the sketch."""
     schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("bucket", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
@@ -226,111 +213,51 @@ def _frequent_slots(sketch: DataFrame, min_count: int, bits: int) -> np.ndarray:
     return bitmap
 
 
-def _candidates(docs: DataFrame, bitmap: np.ndarray, most: int, bits: int) -> DataFrame:
-    """``lang, bucket, phrases binary``: those whose slot reached the threshold, each once, sorted and separated by breaks, in even buckets."""
+def _counted(docs: DataFrame, bitmap: np.ndarray, most: int, bits: int, min_count: int) -> DataFrame:
+    """``lang, phrase binary, n long``: the exact counts of all phrases that occur ``min_count`` times, which are among those whose slot did."""
     buckets = np.uint64(max(1, int(np.bitwise_count(bitmap).sum()) // BUCKET_PHRASES))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("phrases", pa.binary())])
+    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("phrases", pa.binary()), ("counts", pa.binary())])
+
+    def dealt(found: _Words) -> pa.RecordBatch:
+        """A row for each language and bucket: its phrases, separated by breaks, and their counts."""
+        names = found.lang.tolist()
+        langs = sorted(set(names))
+        of = np.fromiter(map({lang: k for k, lang in enumerate(langs)}.__getitem__, names), np.int64, len(names))
+        place = of * int(buckets) + (_remixed(found.key) % buckets).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        place, word, n = place[order], found.word[order], found.n[order]
+        cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        spans = list(zip(cut, [*cut[1:], len(place)], strict=True))
+        lang, bucket = np.divmod(place[cut], int(buckets))
+        columns = [pa.array([langs[i] for i in lang], pa.string()), pa.array(bucket.astype(np.int32)), pa.array([_BREAK.join(word[b:e]) for b, e in spans], pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([_planes(n[b:e], 8) for b, e in spans], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.zeros(0, np.uint64)
+        found = _Words()
         for r in _runs(batches):
-            for n, at, key in r.phrases(most):
+            for length, at, key in r.phrases(most):
                 slot = _slot(key, bits)
                 hit = (shared.value[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1 == 1
-                key, first = np.unique(key[hit], return_index=True)
-                new = ~_find(known, key)[0]
-                first, key = at[hit][first[new]], key[new]
-                known = np.sort(np.concatenate([known, key]), kind="stable") if len(known) < _PROPOSED else key
-                # phrases with one first word side by side share the automaton's nodes; where buckets are many, it has several
-                spread = r.hash[first] + r.hash[first + 1] % np.uint64(1 + int(buckets) // _SPREAD) * np.uint64(0x9E3779B97F4A7C15)
-                place = r.lang[first] * int(buckets) + (spread % buckets).astype(np.int64)
-                order = np.argsort(place, kind="stable")
-                place, phrases = place[order], r.words(first[order], n)
-                cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
-                rows = [_BREAK.join(phrases[b:e]) for b, e in zip(cut, [*cut[1:], len(place)], strict=True)]
-                lang, bucket = np.divmod(place[cut], int(buckets))
-                yield pa.RecordBatch.from_arrays([pa.array([r.langs[i] for i in lang], pa.string()), pa.array(bucket.astype(np.int32)), pa.array(rows, pa.binary())], schema=schema)
-
-    def union(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[bytes] = set()
-        for batch in batches:
-            for phrases in batch.column("phrases"):
-                found.update(phrases.as_py().split(_BREAK))
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int32()), pa.array([_BREAK.join(sorted(found))], pa.binary())], schema=schema)
-
-    kept = docs.mapInArrow(run, "lang string, bucket int, phrases binary")
-    return kept.groupBy("lang", "bucket").applyInArrow(union, "lang string, bucket int, phrases binary")
+                found.add(r, key[hit], at[hit], length)
+            if 16 * len(found.key) > AUTOMATON_BYTES:
+                yield dealt(found)
+                found = _Words()
+        if len(found.key):
+            yield dealt(found)
 
-
-def _automata(key: str, shard: list[tuple[str, int, bytes]]) -> dict:
-    """The automaton of each language of a shard, built once a worker; values are places in the shard."""
-    if key not in _AUTOMATA:
-        import ahocorasick
-
-        _AUTOMATA.clear()
-        built, n = {}, 0
-        for lang, _, phrases in shard:
-            a = built.setdefault(lang, ahocorasick.Automaton(ahocorasick.STORE_INTS))
-            for phrase in phrases.split(_BREAK):
-                a.add_word(f" {phrase.decode('latin-1')} ", n)
-                n += 1
-        for a in built.values():
-            a.make_automaton()
-        _AUTOMATA[key] = built
-    return _AUTOMATA[key]
-
-
-def _scan(docs: DataFrame, shard: list[tuple[str, int, bytes]]) -> DataFrame:
-    """``lang, bucket, counts binary``: a task's matches of the phrases of each bucket of the shard, in their order."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(shard), uuid.uuid4().hex
-    sizes = [phrases.count(_BREAK) + 1 for _, _, phrases in shard]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = _automata(key, shared.value)
-        total = np.zeros(sum(sizes), np.int64)
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if lang in built:
-                    hits = np.fromiter((i for _, i in built[lang].iter(guarded(text.as_py()))), np.int64)
-                    if 8 * len(hits) > len(total):
-                        total += np.bincount(hits, minlength=len(total))
-                    else:
-                        np.add.at(total, hits, 1)
-        for (lang, bucket, _), part in zip(shared.value, np.split(total, np.cumsum(sizes)[:-1]), strict=True):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([bucket], pa.int32()), pa.array([_planes(part, 8)], pa.binary())], ["lang", "bucket", "counts"])
-
-    return docs.where(F.col("lang").isin([lang for lang, _, _ in shard])).mapInArrow(run, "lang string, bucket int, counts binary")
-
-
-def _shards(candidates: DataFrame) -> Iterator[list[tuple[str, int, bytes]]]:
-    """Buckets, side by side by language, in shards of about ``AUTOMATON_BYTES``. The driver holds the buckets' sizes, and one shard at a time."""
-    sizes = candidates.select("lang", "bucket", F.octet_length("phrases").alias("n")).orderBy("lang", "bucket").collect()
-    shard, n = {}, 0
-    for r in [*sizes, None]:
-        if shard and (r is None or n + r["n"] > AUTOMATON_BYTES):
-            wanted = reduce(Column.__or__, [(F.col("lang") == lang) & F.col("bucket").between(low, high) for lang, (low, high) in shard.items()])
-            yield [(x["lang"], x["bucket"], bytes(x["phrases"])) for x in candidates.where(wanted).collect()]
-            shard, n = {}, 0
-        if r is not None:
-            shard[r["lang"]] = (shard.get(r["lang"], (r["bucket"],))[0], r["bucket"])
-            n += r["n"]
-
-
-def _total(min_count: int):
     def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, counts = [], np.zeros(1, np.int64)
+        sums: dict[bytes, int] = {}
         for batch in batches:
-            for names, part in zip(batch.column("phrases"), batch.column("counts"), strict=True):
-                if names.is_valid:
-                    phrases = names.as_py().split(_BREAK)
-                if part.is_valid:
-                    counts = counts + _from_planes(part.as_py(), 8).view(np.int64)
-        often = np.flatnonzero(counts >= min_count)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(often), pa.string()), pa.array([phrases[i] for i in often], pa.binary()), pa.array(counts[often])], ["lang", "phrase", "n"])
+            for phrases, counts in zip(batch.column("phrases"), batch.column("counts"), strict=True):
+                for phrase, n in zip(phrases.as_py().split(_BREAK), _from_planes(counts.as_py(), 8).view(np.int64).tolist(), strict=True):
+                    sums[phrase] = sums.get(phrase, 0) + n
+        often = [(phrase, n) for phrase, n in sums.items() if n >= min_count]
+        columns = [[key[0].as_py()] * len(often), [x for x, _ in often], [n for _, n in often]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "phrase", "n"])
 
-    return total
+    kept = docs.mapInArrow(run, "lang string, bucket int, phrases binary, counts binary")
+    return kept.groupBy("lang", "bucket").applyInArrow(total, "lang string, phrase binary, n long")
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, lang_col: str = "lang", text_col: str = "text", slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
@@ -344,17 +271,7 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     words = materialise(first.where("word is not null").groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("n")), "words")
     bitmap = _frequent_slots(first.where("bucket is not null").select("bucket", "slots", "counts"), min_count, slot_bits)
     discard(first)
-    candidates = materialise(_candidates(source, bitmap, max_words, slot_bits), "candidates")
-    path = f"{shared_dir(spark)}/matches-{uuid.uuid4().hex}"
-    spark.createDataFrame([], "lang string, bucket int, counts binary").write.parquet(path)
-    for shard in _shards(candidates):
-        _scan(source, shard).write.mode("append").parquet(path)
-    matches = spark.read.schema("lang string, bucket int, counts binary").parquet(path)
-    both = candidates.unionByName(matches, allowMissingColumns=True)
-    counts = materialise(both.groupBy("lang", "bucket").applyInArrow(_total(min_count), "lang string, phrase binary, n long"), "phrases")
-    matches._scriptloom_path = path
-    discard(matches)
-    discard(candidates)
+    counts = materialise(_counted(source, bitmap, max_words, slot_bits, min_count), "phrases")
     return words, counts
 
 
