@@ -36,10 +36,10 @@ SLOT_BITS = 28
 _BUCKETS = 64
 #: Bytes of a run; words that a task counts together; phrases of a bucket; bytes of the phrases that a task counts together, at 16 each (automata
 #: of so many bytes counted them before).
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 20
 RUN_WORDS = 1 << 19
 BUCKET_PHRASES = 1 << 14
-AUTOMATON_BYTES = 16 << 20
+AUTOMATON_BYTES = 4 << 20
 NO_LANG = "und"
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
