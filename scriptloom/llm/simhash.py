@@ -18,9 +18,14 @@ Plan, all of it over whole texts and all rows:
 6. Connected components over those links.
 
 Where a candidate only becomes a link by a comparison of texts (``similar_documents``), no set may be formed from unproven
-pairs. There step 5 runs twice: first for the nearest partner of each row, whose proven links join most of each group, then
-for every pair whose two rows are still in different components. A pair is left out only if its rows are joined already, or if
-the sizes and parity bitmaps of its sets of shingles prove it too different: near misses never leave their task.
+pairs. There candidates are sought twice: first the nearest partner of each row, whose proven links join most of each group, then
+every pair whose two rows are still in different components. A pair is left out only if its rows are joined already, or if
+the sizes and parity bitmaps of its sets of shingles prove it too different.
+
+Blocks short enough to find pairs that differ in 15 % of their bits have a fixed number of values, so all rows in trees would cost
+the square of the corpus. There fingerprints meet only where one of their min-hash keys is the same: the keys of unrelated
+texts aren't, however many there are. Keys that more than ``GROUP_ROWS`` rows share go to the trees of steps 3 to 5 instead,
+which cut them into even tasks.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
@@ -48,6 +53,10 @@ LEAF_ROWS = 512
 TILES = 64
 #: Shingles whose bits are counted at once; below 2**24, float32 counts are exact.
 COUNT_ROWS = 1 << 15
+#: Shingles that are hashed again at once for all min-hashes of a text.
+MIN_ROWS = 1 << 12
+#: Rows with one min-hash key that are compared with each other; those of a key with more are searched with trees.
+GROUP_ROWS = 1 << 10
 
 
 def words(text: str | None) -> list[bytes]:
@@ -96,6 +105,23 @@ def parity(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def min_hash_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """``bands`` keys, each of the minima of ``rows`` permutations of the hashes; no hashes: no keys.
+
+    Two sets of similarity s agree in a minimum with chance s, so in a key with chance ``s**rows``.
+    """
+    if not len(hashes):
+        return np.empty(0, np.uint64)
+    by = _remix(np.arange(bands * rows, dtype=np.uint64), 11) | np.uint64(1)
+    low = np.full(bands * rows, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), MIN_ROWS):
+        low = np.minimum(low, (by[:, None] * hashes[at : at + MIN_ROWS]).min(axis=1))
+    keys = np.arange(bands, dtype=np.uint64)
+    for part in low.reshape(bands, rows).T:
+        keys = _remix(keys ^ part, 1)
+    return keys
+
+
 def can_be_similar(n: np.ndarray, bitmaps: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
     """False only where sets of shingles can't be so similar (Sandes et al., 2020).
 
@@ -133,6 +159,9 @@ class Search:
     close_bits: int = 0
     #: Bits of the parity bitmap of a set of shingles, a multiple of 64; 0: none is made.
     parity_bits: int = 0
+    #: Min-hash keys of a set of shingles, and the minima that each is made of; 0: none are made.
+    bands: int = 0
+    band_rows: int = 4
 
     @property
     def block_bits(self) -> int:
@@ -148,7 +177,8 @@ EXACT_64 = Search()
 #: For a similarity of 0.8 or more on five-word shingles: texts at 0.8 differ in 15 % of the bits (48 of 320), so a
 #: 16-bit block differs in at most one bit with chance 0.28, and one of 20 blocks does with chance 0.9986. Pairs within
 #: ``max_bits`` (0.8 plus more than five standard deviations) are candidates; their shingle sets are then compared exactly.
-SIMILAR_320 = Search(width=5, n64=5, distinct=True, max_bits=84, blocks=20, radius=1, shard_rows=1 << 19, close_bits=16, parity_bits=512)
+#: Min-hash keys are the same with chance 0.8**4, and one of 20 is with chance 0.99997.
+SIMILAR_320 = Search(width=5, n64=5, distinct=True, max_bits=84, blocks=20, radius=1, shard_rows=1 << 19, close_bits=16, parity_bits=512, bands=20)
 
 
 def _pack(rows: np.ndarray) -> list[bytes]:
@@ -174,15 +204,17 @@ def _block(fps: np.ndarray, block: int, bits: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, search: Search = EXACT_64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id long, text_hash long, fp binary, digest binary`` for each row: the hash of the text as it is, the words of the
     fingerprint, big-endian, and 128 bits that stand for the shingles it was made from; with ``search.parity_bits`` also their
-    number and parity bitmap, ``n long, parity binary``. Null text counts as empty."""
+    number and parity bitmap, ``n long, parity binary``, and with ``search.bands`` their min-hash keys, ``keys array<long>``.
+    Null text counts as empty."""
     bounded_batches(docs.sparkSession)
     more = ["n", "parity"] if search.parity_bits else []
+    keyed = ["keys"] if search.bands else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            rows, digests, sizes, bitmaps = [], [], [], []
+            rows, digests, sizes, bitmaps, keys = [], [], [], [], []
             for t in batch.column(2):
                 hashes = shingle_hashes(t.as_py(), search.width, search.distinct)
                 rows.append(fingerprint(hashes, search.n64))
@@ -190,12 +222,16 @@ def fingerprints(docs: DataFrame, search: Search = EXACT_64, id_col: str = "doc_
                 if more:
                     sizes.append(len(hashes))
                     bitmaps.append(parity(hashes, search.parity_bits))
+                if keyed:
+                    keys.append(min_hash_keys(hashes, search.bands, search.band_rows).view(np.int64))
             if rows:
                 columns = [batch.column(0), batch.column(1), pa.array(_pack(np.array(rows)), pa.binary()), pa.array(digests, pa.binary())]
                 columns += [pa.array(sizes, pa.int64()), pa.array(_pack(np.array(bitmaps)), pa.binary())] if more else []
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "digest", *more])
+                columns += [pa.array(keys, pa.list_(pa.int64()))] if keyed else []
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "digest", *more, *keyed])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, fp binary, digest binary" + ", n long, parity binary" * bool(more))
+    schema = "doc_id long, text_hash long, fp binary, digest binary" + ", n long, parity binary" * bool(more) + ", keys array<long>" * bool(keyed)
+    return _keyed(docs, id_col, text_col).mapInArrow(run, schema)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -466,6 +502,52 @@ def separate_pairs(reps: DataFrame, search: Search, similarity: float | None = N
     return _routed(reps.select(*columns), search).groupBy(*_TASK).applyInArrow(pairs, "a long, b long")
 
 
+def shared_keys(reps: DataFrame) -> DataFrame:
+    """``key long, rep long, rows long``: the keys of ``rep long, keys array<long>`` that several rows have, and how many do."""
+    keys = reps.select("rep", F.explode("keys").alias("key"))
+    rows = keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
+    return keys.join(rows.hint("merge"), "key").select("key", "rep", "rows")
+
+
+def _longs(column: str, n: int) -> Column:
+    """The ``n`` words of 64 bits of a binary column, as an array of longs."""
+    return F.array(*[F.conv(F.hex(F.substring(column, 8 * k + 1, 8)), 16, -10).cast("long") for k in range(n)])
+
+
+def _differing(x: str, y: str, n: int) -> Column:
+    return sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(1, n)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+
+
+def _met(groups: DataFrame, reps: DataFrame, search: Search, columns: list[Column], also: Column | None = None) -> DataFrame:
+    """Pairs ``x``, ``y`` of rows with one key, x the one of larger rep, whose fingerprints are within ``max_bits``."""
+    rows = groups.join(reps.select("rep", _longs("fp", search.n64).alias("bits"), *columns).hint("merge"), "rep")
+    near = _differing("x.bits", "y.bits", search.n64) <= search.max_bits
+    order = F.col("x.rep") > F.col("y.rep")
+    on = (F.col("x.key") == F.col("y.key")) & order & (near if also is None else also & near)
+    return rows.alias("x").join(rows.alias("y").hint("merge"), on)
+
+
+def nearest_with_key(groups: DataFrame, reps: DataFrame, search: Search) -> DataFrame:
+    """``a long, b long`` with a > b: for each row of ``key long, rep long`` the nearest of the smaller reps that have its key.
+
+    ``reps`` has ``rep long, fp binary``; reps are at least 0 and below 2**56.
+    """
+    far = F.shiftleft(_differing("x.bits", "y.bits", search.n64).cast("long"), 56).bitwiseOR(F.col("y.rep"))
+    found = _met(groups, reps, search, []).groupBy("x.key", "x.rep").agg(F.min(far).alias("b"))
+    return found.select(F.col("rep").alias("a"), F.col("b").bitwiseAND(F.lit((1 << 56) - 1)).alias("b")).distinct()
+
+
+def separate_with_key(groups: DataFrame, reps: DataFrame, search: Search, similarity: float) -> DataFrame:
+    """``a long, b long`` with a > b: every pair of ``key long, rep long`` with one key whose labels differ, once, but for those
+    that sizes and parity bitmaps prove less similar (see :func:`can_be_similar`). ``reps`` has ``rep, fp, n, parity, label``."""
+    both = F.col("x.n") + F.col("y.n")
+    words = search.parity_bits // 64
+    differ = F.greatest(F.abs(F.col("x.n") - F.col("y.n")), _differing("x.odd", "y.odd", words).cast("long"))
+    possible = F.floor((both - differ) / 2) * (1 + similarity) >= both * similarity - 1e-6
+    pairs = _met(groups, reps, search, [_longs("parity", words).alias("odd"), F.col("n"), F.col("label")], (F.col("x.label") != F.col("y.label")) & possible)
+    return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, search: Search = EXACT_64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: ``doc_id long, fingerprint string, component_id long``.
 
@@ -500,7 +582,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, search: Search =
     """``doc_id long, text_hash long, component_id long, kept boolean`` for each document with a near duplicate.
 
     A document is an id and a text; ``text_hash`` (XXH64 of the text, null as empty) tells apart texts that share an id.
-    Candidates come from the fingerprints; a link holds only if the Jaccard similarity of the two sets of
+    Candidates share a min-hash key, or a block of a tree where too many rows share one, and have fingerprints within
+    ``search.max_bits``; a link holds only if the Jaccard similarity of the two sets of
     ``search.width``-word shingles, computed over the whole texts, is at least ``similarity``. Every candidate pair is
     compared unless its documents are in one component already: first each row's nearest, then all that are still
     apart. So the comparisons grow with the documents and with the pairs of near misses. ``component_id`` is the smallest id
@@ -512,20 +595,30 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, search: Search =
     fps = fingerprints(docs, search, id_col, text_col).where("doc_id is not null").dropDuplicates(["doc_id", "text_hash"])
     fps = materialise(fps.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
     # one row for equal sets of shingles only: equal fingerprints of different sets are candidates like any others
-    reps = materialise(fps.groupBy("fp", "digest", "n", "parity").agg(F.min("node").alias("rep")), "representatives")
+    reps = materialise(fps.groupBy("fp", "digest", "n", "parity").agg(F.min("node").alias("rep"), *[F.first(c).alias(c) for c in fps.columns if c == "keys"]), "representatives")
     equal = fps.join(reps, ["fp", "digest"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     names = fps.select("node", "doc_id", "text_hash")
     texts = _keyed(docs, id_col, text_col)
-    links = materialise(candidate_links(reps, search, nearest=True), "candidates")
+    crowding = reps.select(F.lit(0).cast("long").alias("key"), "rep", F.lit(GROUP_ROWS + 1).cast("long").alias("rows"))  # without keys all rows go to trees
+    shared = materialise(shared_keys(reps) if search.bands else crowding, "shared")
+    groups = shared.where(F.col("rows") <= GROUP_ROWS).select("key", "rep")
+    crowd = materialise(shared.where(F.col("rows") > GROUP_ROWS).select("rep").distinct(), "crowd")
+    crowded = not crowd.isEmpty()
+    links = nearest_with_key(groups, reps, search)
+    if crowded:
+        links = links.unionByName(candidate_links(reps.join(crowd.hint("merge"), "rep"), search, nearest=True)).distinct()
+    links = materialise(links, "candidates")
     proven = proven_pairs(links, names, texts, similarity, search.width)
     joined = materialise(components(proven.unionByName(equal), "a", "b"), "joined")
     named = reps.join(joined.hint("merge"), reps.rep == joined.node, "left")
     named = materialise(named.select("rep", "fp", "n", "parity", F.coalesce("component", "rep").alias("label")), "labelled")
-    apart = separate_pairs(named, search, similarity).where("a <> b")
+    apart = separate_with_key(groups, named, search, similarity)
+    if crowded:
+        apart = apart.unionByName(separate_pairs(named.join(crowd.hint("merge"), "rep"), search, similarity).where("a <> b")).distinct()
     apart = materialise(apart.join(links.hint("merge"), ["a", "b"], "left_anti"), "apart")
     more = proven_pairs(apart, names, texts, similarity, search.width)
     merged = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
-    for done in (reps, links, joined, named, apart):
+    for done in (reps, shared, crowd, links, joined, named, apart):
         discard(done)
     merged = merged.join(names, "node")
     first = merged.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
