@@ -18,8 +18,8 @@ Plan, all of it over whole texts and all rows:
 6. Connected components over those links.
 
 Where a candidate only becomes a link by a comparison of texts (``similar_documents``), no set may be formed from unproven
-pairs. There candidates are sought twice: first the nearest partner of each row, whose proven links join most of each group, then
-every pair whose two rows are still in different components. A pair is left out only if its rows are joined already, or if
+pairs. There candidates are sought twice: first a few partners of each row, near ones, whose proven links join most of each group,
+then every pair whose two rows are still in different components. A pair is left out only if its rows are joined already, or if
 the sizes and parity bitmaps of its sets of shingles prove it too different.
 
 Blocks short enough to find pairs that differ in 15 % of their bits have a fixed number of values, so all rows in trees would cost
@@ -36,7 +36,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
@@ -57,6 +57,9 @@ COUNT_ROWS = 1 << 15
 MIN_ROWS = 1 << 12
 #: Rows with one min-hash key that are compared with each other; those of a key with more are searched with trees.
 GROUP_ROWS = 1 << 10
+#: Rows with one min-hash key that all look for their nearest; where more share it, a row looks at ``NEIGHBOURS`` before it.
+NEAREST_ROWS = 1 << 5
+NEIGHBOURS = 4
 
 
 def words(text: str | None) -> list[bytes]:
@@ -503,10 +506,12 @@ def separate_pairs(reps: DataFrame, search: Search, similarity: float | None = N
 
 
 def shared_keys(reps: DataFrame) -> DataFrame:
-    """``key long, rep long, rows long``: the keys of ``rep long, keys array<long>`` that several rows have, and how many do."""
-    keys = reps.select("rep", F.explode("keys").alias("key"))
+    """``key long, rep long, next long, rows long``: the keys of ``rep long, keys array<long>`` that several rows have, the row's key
+    after each (after the last, its first), and how many rows have it."""
+    after = F.col("keys")[(F.col("at") + 1) % F.size("keys")]
+    keys = reps.select("rep", "keys", F.posexplode("keys").alias("at", "key")).select("key", "rep", after.alias("next"))
     rows = keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
-    return keys.join(rows.hint("merge"), "key").select("key", "rep", "rows")
+    return keys.join(rows.hint("merge"), "key").select("key", "rep", "next", "rows")
 
 
 def _longs(column: str, n: int) -> Column:
@@ -537,14 +542,31 @@ def nearest_with_key(groups: DataFrame, reps: DataFrame, search: Search) -> Data
     return found.select(F.col("rep").alias("a"), F.col("b").bitwiseAND(F.lit((1 << 56) - 1)).alias("b")).distinct()
 
 
+def _possible(search: Search, similarity: float) -> Column:
+    """Whether sizes ``n`` and parity bitmaps ``odd`` of ``x`` and ``y`` allow that similarity (see :func:`can_be_similar`)."""
+    both = F.col("x.n") + F.col("y.n")
+    differ = F.greatest(F.abs(F.col("x.n") - F.col("y.n")), _differing("x.odd", "y.odd", search.parity_bits // 64).cast("long"))
+    return F.floor((both - differ) / 2) * (1 + similarity) >= both * similarity - 1e-6
+
+
+def neighbours_with_key(groups: DataFrame, reps: DataFrame, search: Search, similarity: float) -> DataFrame:
+    """``a long, b long`` with a > b: pairs of ``key long, rep long, next long`` with one key that stand at most ``NEIGHBOURS`` places
+    apart where the rows of the key are in order of ``next``, within ``max_bits`` and not proven less similar. So a row is compared
+    with a few others, first with those of another key in common, however many have its key. ``reps`` has ``rep, fp, n, parity``."""
+    row = F.struct("rep", _longs("fp", search.n64).alias("bits"), _longs("parity", search.parity_bits // 64).alias("odd"), "n")
+    rows = groups.join(reps.select("rep", row.alias("x")).hint("merge"), "rep")
+    order = Window.partitionBy("key").orderBy("next", "rep")
+    before = F.explode(F.array(*[F.col(f"y{k}") for k in range(1, NEIGHBOURS + 1)])).alias("y")
+    pairs = rows.select("x", *[F.lag("x", k).over(order).alias(f"y{k}") for k in range(1, NEIGHBOURS + 1)]).select("x", before)
+    found = pairs.where(F.col("y").isNotNull() & (_differing("x.bits", "y.bits", search.n64) <= search.max_bits) & _possible(search, similarity))
+    return found.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
+
+
 def separate_with_key(groups: DataFrame, reps: DataFrame, search: Search, similarity: float) -> DataFrame:
     """``a long, b long`` with a > b: every pair of ``key long, rep long`` with one key whose labels differ, once, but for those
     that sizes and parity bitmaps prove less similar (see :func:`can_be_similar`). ``reps`` has ``rep, fp, n, parity, label``."""
-    both = F.col("x.n") + F.col("y.n")
-    words = search.parity_bits // 64
-    differ = F.greatest(F.abs(F.col("x.n") - F.col("y.n")), _differing("x.odd", "y.odd", words).cast("long"))
-    possible = F.floor((both - differ) / 2) * (1 + similarity) >= both * similarity - 1e-6
-    pairs = _met(groups, reps, search, [_longs("parity", words).alias("odd"), F.col("n"), F.col("label")], (F.col("x.label") != F.col("y.label")) & possible)
+    columns = [_longs("parity", search.parity_bits // 64).alias("odd"), F.col("n"), F.col("label")]
+    pairs = _met(groups, reps, search, columns, (F.col("x.label") != F.col("y.label")) & _possible(search, similarity))
     return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
@@ -585,8 +607,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, search: Search =
     Candidates share a min-hash key, or a block of a tree where too many rows share one, and have fingerprints within
     ``search.max_bits``; a link holds only if the Jaccard similarity of the two sets of
     ``search.width``-word shingles, computed over the whole texts, is at least ``similarity``. Every candidate pair is
-    compared unless its documents are in one component already: first each row's nearest, then all that are still
-    apart. So the comparisons grow with the documents and with the pairs of near misses. ``component_id`` is the smallest id
+    compared unless its documents are in one component already: first each row with its nearest, or with a few neighbours where
+    many share a key, then all that are still apart. So the comparisons grow with the documents and with the pairs of near misses. ``component_id`` is the smallest id
     of the component; of each component the document with the smallest (id, hash) is ``kept``. Texts without words are
     similar to each other. Rows with a null id have no duplicates; rows that repeat id and text are one document. An empty
     table gives an empty result. Other columns, whatever their names, are ignored. Ids are numbers or numeric texts.
@@ -599,20 +621,22 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, search: Search =
     equal = fps.join(reps, ["fp", "digest"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     names = fps.select("node", "doc_id", "text_hash")
     texts = _keyed(docs, id_col, text_col)
-    crowding = reps.select(F.lit(0).cast("long").alias("key"), "rep", F.lit(GROUP_ROWS + 1).cast("long").alias("rows"))  # without keys all rows go to trees
+    crowding = reps.select(F.lit(0).cast("long").alias("key"), "rep", F.lit(0).cast("long").alias("next"), F.lit(GROUP_ROWS + 1).cast("long").alias("rows"))  # without keys all rows go to trees
     shared = materialise(shared_keys(reps) if search.bands else crowding, "shared")
-    groups = shared.where(F.col("rows") <= GROUP_ROWS).select("key", "rep")
+    groups = shared.where(F.col("rows") <= GROUP_ROWS)
     crowd = materialise(shared.where(F.col("rows") > GROUP_ROWS).select("rep").distinct(), "crowd")
     crowded = not crowd.isEmpty()
-    links = nearest_with_key(groups, reps, search)
+    few = F.col("rows") <= NEAREST_ROWS
+    links = nearest_with_key(groups.where(few).select("key", "rep"), reps, search)
+    links = links.unionByName(neighbours_with_key(groups.where(~few).select("key", "rep", "next"), reps, search, similarity))
     if crowded:
-        links = links.unionByName(candidate_links(reps.join(crowd.hint("merge"), "rep"), search, nearest=True)).distinct()
-    links = materialise(links, "candidates")
+        links = links.unionByName(candidate_links(reps.join(crowd.hint("merge"), "rep"), search, nearest=True))
+    links = materialise(links.distinct(), "candidates")
     proven = proven_pairs(links, names, texts, similarity, search.width)
     joined = materialise(components(proven.unionByName(equal), "a", "b"), "joined")
     named = reps.join(joined.hint("merge"), reps.rep == joined.node, "left")
     named = materialise(named.select("rep", "fp", "n", "parity", F.coalesce("component", "rep").alias("label")), "labelled")
-    apart = separate_with_key(groups, named, search, similarity)
+    apart = separate_with_key(groups.select("key", "rep"), named, search, similarity)
     if crowded:
         apart = apart.unionByName(separate_pairs(named.join(crowd.hint("merge"), "rep"), search, similarity).where("a <> b")).distinct()
     apart = materialise(apart.join(links.hint("merge"), ["a", "b"], "left_anti"), "apart")

@@ -105,3 +105,46 @@ def test_min_hash_keys(monkeypatch):
     monkeypatch.setattr(s, "MIN_ROWS", 7)
     assert (s.min_hash_keys(x, 20, 4) == whole).all() and (s.min_hash_keys(x[::-1], 20, 4) == whole).all()
     assert len(s.min_hash_keys(x[:0], 20, 4)) == 0
+
+
+def test_work_in_a_family_grows_with_its_rows(spark, monkeypatch):
+    """A family of four times the rows, near misses among them, makes about four times the pairs; its components are those of brute force."""
+    made, met_ = [], s._met
+
+    def counted(*args):
+        pairs = met_(*args)
+        made[-1] += pairs.count()
+        return pairs
+
+    monkeypatch.setattr(s, "_met", counted)
+    monkeypatch.setattr(s, "TILES", 4)
+    for size in (75, 300):
+        rng = np.random.default_rng(7)
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 140)]
+        docs = [edited(rng, base, 7 if i % 4 == 0 else 1) for i in range(size)]
+        made.append(0)
+        got = {r.doc_id: r.component_id for r in s.similar_documents(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    expected = brute(docs)
+    assert {i: got.get(i, i) for i in range(size)} == expected and 20 < len(set(expected.values())) < 150
+    assert made[1] < 8 * max(made[0], 1000)
+
+
+def test_neighbours_by_brute_force(spark, monkeypatch):
+    """Rows at most so many places apart in their key's order, no others; pairs that can't be similar are left out."""
+    monkeypatch.setattr(s, "NEIGHBOURS", 2)
+    search, docs = s.SIMILAR_320, families(8, [40]) + families(9, [30], edits=3) + ["one", ""]
+    sets = [s.shingle_hashes(t, 5, True) for t in docs]
+    fps, odd = np.array([s.fingerprint(x, 5) for x in sets]), np.array([s.parity(x, 512) for x in sets])
+    keys = [s.min_hash_keys(x, 20, 4).view(np.int64).tolist() for x in sets]
+    rows = [(i, bytearray(f), len(x), bytearray(o), k) for i, (f, x, o, k) in enumerate(zip(s._pack(fps), sets, s._pack(odd), keys))]
+    reps = spark.createDataFrame(rows, "rep long, fp binary, n long, parity binary, keys array<long>")
+    got = {(r.a, r.b) for r in s.neighbours_with_key(s.shared_keys(reps).select("key", "rep", "next"), reps, search, 0.8).collect()}
+    groups = {}
+    for i, k in enumerate(keys):
+        for at, key in enumerate(k):
+            groups.setdefault(key, []).append((k[(at + 1) % 20], i))
+    pairs = {(max(a, b), min(a, b)) for g in map(sorted, groups.values()) for at, (_, a) in enumerate(g) for _, b in g[max(0, at - 2) : at]}
+    a, b = np.array(sorted(pairs)).T
+    near = sum(np.bitwise_count(fps[a, k] ^ fps[b, k]).astype(int) for k in range(5)) <= search.max_bits
+    ok = near & s.can_be_similar(np.array([len(x) for x in sets]), odd, a, b, 0.8)
+    assert got == set(zip(a[ok].tolist(), b[ok].tolist())) and 20 < len(got) < len(pairs)
