@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import ExtractConfig
+from ..config import ExtractConfig, RuleProgram
+
+
+def stand_alone(program: RuleProgram) -> bool:
+    """Whether no capture's keys depend on other lines: flags reach back only with a paragraph structure, and without intervals
+    all that a line can do to the capture before it is to end what is unfinished."""
+    roles = [r for rule in program.rules if rule.kind == "search" for r in rule.roles()]
+    return not program.config.structure.startswith("para") and all(r.interval is None and "unfinish" not in r.keys for r in roles)
+
+
+def own_captures(events: DataFrame, file_cols: list[str], line_col: str = "line_no") -> DataFrame:
+    """What :func:`captures` gives where captures :func:`stand_alone`, line by line: no window, no shuffle."""
+    rows = events.where("kind = 'match'").select(*file_cols, line_col, F.posexplode(F.filter("captures", lambda c: c["text"] != "")).alias("cap_no", "c"))
+    return rows.select(*file_cols, line_col, "cap_no", "c.start", "c.end", "c.text", "c.keys", "c.type")
 
 
 def captures(events: DataFrame, config: ExtractConfig, file_cols: list[str], line_col: str = "line_no") -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
-from itertools import repeat
+from itertools import accumulate, repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..config import Role, RuleProgram
 from ..functions.charset import is_shift_jis
 from ..regexes import java_pattern, required_literal, segments
-from ..shared import fresh
+from ..shared import fresh, slices
 
 CAPTURE = "struct<start:int,end:int,text:string,keys:array<string>,flags:array<string>,type:string,blocks:string,interval:string>"
 #: kind is 'skip' or 'match'; lines without a match have no row.
@@ -91,7 +91,6 @@ def events(lines: DataFrame, program: RuleProgram, line_col: str = "line", nativ
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = _compile(program)
         post_skip = re.compile(config.post_skip) if config.post_skip else None
-        kind_of = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("keys", pa.list_(pa.string())), ("flags", pa.list_(pa.string())), ("type", pa.string()), ("blocks", pa.string()), ("interval", pa.string())]))
         for batch in batches:
             kinds, captures, keep = [], [], []
             spans = zip(*(batch[c].to_pylist() for c in _SPAN), strict=True) if part_only else repeat((0, None))
@@ -100,15 +99,75 @@ def events(lines: DataFrame, program: RuleProgram, line_col: str = "line", nativ
                 if event:
                     keep.append(at)
                     kinds.append(event[0])
-                    captures.append([{"start": low + s, "end": low + e, "text": t, "keys": list(r.keys), "flags": list(r.flags), "type": r.type, "blocks": r.blocks, "interval": r.interval} for s, e, t, r in event[1]])
+                    captures.append([(low + s, low + e, t, r) for s, e, t, r in event[1]] if low else event[1])
             part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part[c] for c in others] + [pa.array(kinds, pa.string()), pa.array(captures, kind_of)], [*others, "kind", "captures"])
+            yield pa.RecordBatch.from_arrays([part[c] for c in others] + [pa.array(kinds, pa.string()), _capture_lists(captures)], [*others, "kind", "captures"])
 
     selected = _from_start(lines, config).select(*others, line_col).where(needs(F.col(line_col), program))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in selected.schema if f.name != line_col)
     return selected.mapInArrow(run, f"{schema}, {EVENT}" if schema else EVENT)
 
 
+_ROLE_KIND = [("keys", pa.list_(pa.string())), ("flags", pa.list_(pa.string())), ("type", pa.string()), ("blocks", pa.string()), ("interval", pa.string())]
+
+
+def _capture_lists(captures: list[list[tuple]]) -> pa.Array:
+    """Lists of ``(start, end, text, role)`` as arrays of :data:`CAPTURE`; a role is made once and taken for its captures."""
+    flat = [c for found in captures for c in found]
+    roles = {id(c[3]): c[3] for c in flat}
+    place = {r: k for k, r in enumerate(roles)}
+    which = pa.array([place[id(c[3])] for c in flat], pa.int32())
+    made = [pa.array([c[0] for c in flat], pa.int32()), pa.array([c[1] for c in flat], pa.int32()), pa.array([c[2] for c in flat], pa.string())]
+    for name, kind in _ROLE_KIND:
+        values = [getattr(r, name) for r in roles.values()]
+        made.append(pa.array(values, kind).take(which))
+    offsets = pa.array([0, *accumulate(map(len, captures))], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(made, ["start", "end", "text", *(name for name, _ in _ROLE_KIND)]))
+
+
+#: Texts whose units and captures a worker holds as objects at once.
+SLICE_ROWS = 64
+
+
+def unit_captures(texts: DataFrame, program: RuleProgram, file_col: str, text_col: str, without: frozenset[str] = frozenset()) -> DataFrame:
+    """``file, line_no, cap_no, start, end, text`` of the captures of units, cut and searched in one pass over each text.
+
+    For programs whose captures :func:`.flags.stand_alone`: the same rows as of :func:`events` over :func:`..sources.text.units`,
+    but for captures with a key that is in ``without``. So no unit leaves its worker but as a capture.
+    """
+    config = program.config
+    names, first = frozenset(config.name_list), config.startline or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled, cut = _compile(program), re.compile(config.separate)
+        post_skip = re.compile(config.post_skip) if config.post_skip else None
+        for batch in slices(batches, SLICE_ROWS):
+            at, numbers, places, starts, ends, found = [], [], [], [], [], []
+            for row, text in enumerate(batch[text_col].to_pylist()):
+                for n, unit in enumerate(cut.split(text) if text is not None else ()):
+                    event = search_line(unit or "", compiled, post_skip, names, config.serial_search) if n >= first else None
+                    k = 0
+                    for start, end, part, role in event[1] if event else ():
+                        if part == "":
+                            continue
+                        if without.isdisjoint(role.keys):
+                            at.append(row)
+                            numbers.append(n)
+                            places.append(k)
+                            starts.append(start)
+                            ends.append(end)
+                            found.append(part)
+                        k += 1
+            made = [pa.array(x, pa.int32()) for x in (numbers, places, starts, ends)]
+            yield pa.RecordBatch.from_arrays([batch[file_col].take(pa.array(at, pa.int64())), *made, pa.array(found, pa.string())], [file_col, *_UNIT])
+
+    kind = texts.schema[file_col].dataType.simpleString()
+    return texts.select(file_col, text_col).mapInArrow(run, f"`{file_col}` {kind}, line_no int, cap_no int, start int, end int, text string")
+
+
+_UNIT = ["line_no", "cap_no", "start", "end", "text"]
+
+
 def _from_start(lines: DataFrame, config) -> DataFrame:
     return lines.where(F.col("line_no") >= config.startline) if config.startline and "line_no" in lines.columns else lines
 

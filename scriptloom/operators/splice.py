@@ -37,8 +37,8 @@ def rebuild_files(lines: DataFrame, file_col: str, line_no: str, line_col: str,
     sep = F.lit(newline) if isinstance(newline, str) else newline
     parts = F.array_sort(F.collect_list(F.struct(F.col(line_no).alias("n"), F.col(line_col).alias("t"))))
     joined = lines.groupBy(file_col).agg(parts.alias("parts"), F.first(sep).alias("sep"))
-    # array_join takes only a fixed separator
-    return joined.select(file_col, F.expr("aggregate(slice(parts, 2, greatest(size(parts) - 1, 0)), coalesce(parts[0].t, ''), (s, p) -> concat(s, sep, p.t))").alias("text"))
+    # joined at once: a fold of concat would copy the file for each of its lines
+    return joined.select(file_col, F.expr("array_join(transform(parts, p -> p.t), sep)").alias("text"))
 
 
 def write_shifted(df: DataFrame, columns: list[str], offset: int, values: dict[str, Column]) -> DataFrame:
@@ -92,6 +92,30 @@ def splice_texts(texts: DataFrame, spans: DataFrame, file_col: str, text_col: st
     return _changed(texts.join(grouped, file_col, "left").select(*texts.columns, "_spans"), texts, text_col, pa.string(), one)
 
 
+def splice_units(texts: DataFrame, spans: DataFrame, separator: str, between: str, file_col: str, text_col: str = "text") -> DataFrame:
+    """As :func:`splice_texts`, for units cut by a pattern (see :func:`..sources.text.units`; ``line_no`` is a unit's number), which
+    are joined by ``between`` in every text. Where a span comes twice, for texts that stand twice, it counts once."""
+    cut = re.compile(separator)
+
+    def one(t: str, found: list[dict]) -> str:
+        parts = [p or "" for p in cut.split(t)]
+        by_unit: dict[int, set] = {}
+        for x in found:
+            by_unit.setdefault(x["line_no"], set()).add((x["start"], x["end"], x["translated"]))
+        for n, new in by_unit.items():
+            out, at = [], 0
+            for start, end, translated in sorted(new):
+                if start >= at:
+                    out += [parts[n][at:start], translated]
+                    at = end
+            parts[n] = "".join([*out, parts[n][at:]])
+        return between.join(parts)
+
+    grouped = spans.groupBy(file_col).agg(F.collect_list(F.struct("line_no", "start", "end", "translated")).alias("_spans"))
+    joined = texts.join(grouped, file_col, "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(grouped.schema["_spans"].dataType)))
+    return _changed(joined.select(*texts.columns, "_spans"), texts, text_col, pa.string(), one)
+
+
 def splice_bytes(units: DataFrame, spans: DataFrame, keys: list[str], config: ExtractConfig, unit_col: str = "unit") -> DataFrame:
     """``units`` of bytes with spans (``keys, start, end, translated, prefix_at, prefix``; places in bytes) replaced.
 

@@ -32,9 +32,12 @@ def extract(texts: DataFrame, rule_text: str, config: ExtractConfig = ExtractCon
     texts = texts.select(file_col, text_col)
     lines = units(texts, config.separate, text_col) if config.separate else split_lines(texts, text_col)
     found = rules.events(lines, program)
-    if not config.structure.startswith("para"):
-        found = found.withColumn("captures", F.transform("captures", lambda c: c.withField("flags", F.array().cast("array<string>"))))
-    captured = flags.captures(found, config, [file_col])
+    if flags.stand_alone(program):
+        captured = flags.own_captures(found, [file_col])
+    else:
+        if not config.structure.startswith("para"):
+            found = found.withColumn("captures", F.transform("captures", lambda c: c.withField("flags", F.array().cast("array<string>"))))
+        captured = flags.captures(found, config, [file_col])
     made = items.from_captures(captured, [file_col], config.para_sep)
     if config.name_move_up:
         made = items.move_names_up(made, [file_col])
@@ -54,18 +57,30 @@ def item_translations(items_: DataFrame, translated: DataFrame, order: list[str]
 
 
 def import_translations(texts: DataFrame, rule_text: str, translations: DataFrame, config: ExtractConfig = ExtractConfig(), file_col: str = "file", text_col: str = "text") -> DataFrame:
-    """``file, text`` with ``translations(text, trans array)`` put in place; the dominant newline of each file ends its lines."""
-    found = extract(texts, rule_text, config, file_col, text_col)
-    config = RuleProgram.parse(rule_text, config).config
-    chosen = found.captures.where(~F.array_contains("keys", "ignore"))
-    if not config.import_names:
-        chosen = chosen.where(~F.array_contains("keys", "name"))
+    """``file, text`` with ``translations(text, trans array)`` put in place; the dominant newline of each file ends its lines.
+
+    Where a pattern separates units, only the spans that change move to their text, each text once and no unit. There a file is
+    its name and text, so that rows that share a name, or have none, are files of their own, and a null text stays null.
+    """
+    program = RuleProgram.parse(rule_text, config)
+    config = program.config
+    without = ["ignore"] if config.import_names else ["ignore", "name"]
+    texts = texts.select(file_col, text_col)
+    if config.separate:
+        texts = texts.withColumn(file_col, F.struct(F.col(file_col).alias("name"), F.xxhash64(text_col).alias("hash")))
+    if config.separate and flags.stand_alone(program):
+        chosen = rules.unit_captures(texts, program, file_col, text_col, frozenset(without))
+    else:
+        found = extract(texts, rule_text, config, file_col, text_col)
+        chosen = found.captures.where(~F.arrays_overlap("keys", F.array(*map(F.lit, without))))
     joined = dictionary.occurrence_join(chosen, translations, [file_col, "line_no", "cap_no"], allow_empty=config.allow_empty)
-    spliced = splice.splice(found.lines, joined.select(file_col, "line_no", "start", "end", "translated"), [file_col, "line_no"])
+    spans = joined.where(F.col("translated") != F.col("text")).select(file_col, "line_no", "start", "end", "translated")
     if config.separate:
         # separators that are units are there already; others are written as the option says, escapes read
         between = "" if separators_kept(config.separate) else config.separate.encode().decode("unicode_escape")
-        return splice.rebuild_files(spliced, file_col, "line_no", "line", between)
+        done = splice.splice_units(texts, spans, config.separate, between, file_col, text_col)
+        return done.select(F.col(file_col)["name"].alias(file_col), F.col(text_col).alias("text"))
+    spliced = splice.splice(found.lines, spans, [file_col, "line_no"])
     votes = with_newline(texts.select(file_col, text_col)).select(file_col, "newline")
     return splice.rebuild_files(spliced.join(votes, file_col), file_col, "line_no", "line", F.col("newline"))
 

@@ -154,3 +154,39 @@ def test_learned_names_moves_each_text_once(spark, tmp_path):
         scan.written = before
     assert [r.learned for r in got] == [None, None, None, "line", None, "line"]
     assert not any("line" in columns for columns in seen) and len(seen) == 2
+
+
+def test_separator_import_moves_changed_spans_alone(spark, tmp_path):
+    """Ids that repeat or are missing, null and empty texts as in SQL; units are neither sorted by file nor gathered to texts."""
+    texts = ["", ".", "a.b,c.", "no stops", None, "..\r\n,.\n", "a. b." * 300]
+    rows = [(n, t, "en", "web", 0) for n, t in enumerate(texts)] + [(1, "x.y", "en", "web", 0), (1, "x.y", "en", "web", 0), (None, ".z", "en", "web", 0)]
+    made(spark, tmp_path, "documents", rows, DOCUMENTS)
+    assert same_as_sql(spark, tmp_path, "separator_import", "documents") == len(rows)
+    plan = QUERIES["separator_import"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan and plan.count("Aggregate") == 1
+
+
+@pytest.mark.parametrize(("rule", "names"), [("([.,])", False), (r"(\d)\s*([,;])?", True), ("[|]", False)])
+def test_import_of_units_by_a_plain_loop(spark, rule, names):
+    """Values by occurrence, names and ignored captures left out, units before the start line as they were."""
+    import re
+
+    from scriptloom.plans.extract import import_translations
+
+    texts = ["ab.cd,ab", "ab1 ,cd2;ab", "ab|cd|ab|xx", "", "zz.ab"]
+    program = f"separate={rule}\nstartline=1\nimportNames={str(names).lower()}\n05_skip=^zz\n10_search=^(?P<name>cd)$\n20_search=^(?P<ignore>xx)$\n30_search=^(\\D+)$"
+    trans = spark.createDataFrame([("ab", ["one", "two"]), ("cd", ["name"]), ("xx", ["no"])], "text string, trans array<string>")
+    cut = [[p or "" for p in re.split(rule, t)] for t in texts]
+    left = sum(p == "ab" for parts in cut for p in parts[1:])
+    expected = []
+    for parts in cut:
+        done = parts[:1]
+        for p in parts[1:]:
+            if p == "ab":
+                done.append("two" if left == 1 else "one")
+                left -= 1
+            else:
+                done.append("name" if p == "cd" and names else p)
+        expected.append(("" if rule[0] == "(" else rule).join(done))
+    got = import_translations(spark.createDataFrame(list(enumerate(texts)), "file int, text string"), program, trans)
+    assert [r.text for r in got.orderBy("file").collect()] == expected
