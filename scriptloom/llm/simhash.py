@@ -18,14 +18,14 @@ Plan, all of it over whole texts and all rows:
 6. Connected components over those links.
 
 Where a candidate only becomes a link by a comparison of texts (``similar_documents``), no set may be formed from unproven
-pairs. There candidates are sought twice: first a few partners of each row, near ones, whose proven links join most of each group,
-then every pair whose two rows are still in different components. A pair is left out only if its rows are joined already, or if
-the sizes and parity bitmaps of its sets of shingles prove it too different.
-
-Blocks short enough to find pairs that differ in 15 % of their bits have a fixed number of values, so all rows in trees would cost
-the square of the corpus. There fingerprints meet only where one of their min-hash keys is the same: the keys of unrelated
-texts aren't, however many there are. Keys that more than ``GROUP_ROWS`` rows share go to the trees of steps 3 to 5 instead,
-which cut them into even tasks.
+pairs. There candidates are sought twice: first a few partners of each row, near by fingerprint and with a min-hash key in common,
+whose proven links join most of each group, then every pair whose two rows are still in different components.
+
+The first search is a sketch and only saves work. The second misses nothing: sets of similarity s have a shingle in common among
+the first ``n - ceil(s * n) + 1`` of each, in any order that is the same for all (prefix filter), so pairs meet by these
+shingles, and all that a pair is dropped for proves it too different: sizes, parity bitmaps, and the number of shingles that
+the prefixes have in common. A bounded sample puts common shingles last in the order; the order decides what it costs, never
+what is found.
 """
 
 from __future__ import annotations
@@ -55,11 +55,16 @@ TILES = 64
 COUNT_ROWS = 1 << 15
 #: Shingles that are hashed again at once for all min-hashes of a text.
 MIN_ROWS = 1 << 12
-#: Rows with one min-hash key that are compared with each other; those of a key with more are searched with trees.
+#: Rows with one min-hash key for which :func:`separate_with_key` is meant; :func:`similar_documents` has no such limit.
 GROUP_ROWS = 1 << 10
 #: Rows with one min-hash key that all look for their nearest; where more share it, a row looks at ``NEIGHBOURS`` before it.
 NEAREST_ROWS = 1 << 5
 NEIGHBOURS = 4
+#: Texts, about, whose shingles are counted for the order of prefixes, and common shingles that it puts last, at most.
+ORDER_ROWS = 1 << 13
+ORDER_SHINGLES = 1 << 16
+#: Rows with one shingle of their prefixes that a task compares with each other; more are dealt to tiles.
+PREFIX_ROWS = 1 << 13
 
 
 def words(text: str | None) -> list[bytes]:
@@ -125,6 +130,35 @@ def min_hash_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+def prefix_shingles(hashes: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first ``n - ceil(similarity * n) + 1`` of n distinct hashes, those of ``common`` (ascending) last, by their ``times``."""
+    if not len(hashes):
+        return hashes
+    late = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        late = np.where(common[at] == hashes, times[at], 0)
+    size = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
+    return hashes[np.lexsort((hashes, late))[:size]]
+
+
+def common_shingles(docs: DataFrame, search: Search, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about ``ORDER_ROWS`` texts have, ascending, and how many: the commonest ``ORDER_SHINGLES``."""
+    rows = docs.count()
+    chosen = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 30)) < int(min(1, ORDER_ROWS / max(1, rows)) * (1 << 30))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_py(), search.width, True).view(np.int64))], ["shingle"])
+
+    counted = _keyed(docs, id_col, text_col).where(chosen).select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    found = counted.where("n > 1").orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).toArrow()
+    common, times = found["shingle"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(common)
+    return common[order], times[order]
+
+
 def can_be_similar(n: np.ndarray, bitmaps: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
     """False only where sets of shingles can't be so similar (Sandes et al., 2020).
 
@@ -204,20 +238,23 @@ def _block(fps: np.ndarray, block: int, bits: int) -> np.ndarray:
     return (fps[:, word] >> np.uint64(shift)) & mask
 
 
-def fingerprints(docs: DataFrame, search: Search = EXACT_64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, search: Search = EXACT_64, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """``doc_id long, text_hash long, fp binary, digest binary`` for each row: the hash of the text as it is, the words of the
     fingerprint, big-endian, and 128 bits that stand for the shingles it was made from; with ``search.parity_bits`` also their
-    number and parity bitmap, ``n long, parity binary``, and with ``search.bands`` their min-hash keys, ``keys array<long>``.
+    number and parity bitmap, ``n long, parity binary``, with ``search.bands`` their min-hash keys, ``keys array<long>``, and
+    with a ``similarity`` those that a text so similar must share one of, ``prefix array<long>`` (see :func:`prefix_shingles`).
     Null text counts as empty."""
     bounded_batches(docs.sparkSession)
     more = ["n", "parity"] if search.parity_bits else []
     keyed = ["keys"] if search.bands else []
+    order = common_shingles(docs, search, id_col, text_col) if similarity is not None else None
+    first = ["prefix"] if order else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            rows, digests, sizes, bitmaps, keys = [], [], [], [], []
+            rows, digests, sizes, bitmaps, keys, prefixes = [], [], [], [], [], []
             for t in batch.column(2):
                 hashes = shingle_hashes(t.as_py(), search.width, search.distinct)
                 rows.append(fingerprint(hashes, search.n64))
@@ -227,13 +264,15 @@ def fingerprints(docs: DataFrame, search: Search = EXACT_64, id_col: str = "doc_
                     bitmaps.append(parity(hashes, search.parity_bits))
                 if keyed:
                     keys.append(min_hash_keys(hashes, search.bands, search.band_rows).view(np.int64))
+                if first:
+                    prefixes.append(prefix_shingles(hashes, similarity, *order).view(np.int64))
             if rows:
                 columns = [batch.column(0), batch.column(1), pa.array(_pack(np.array(rows)), pa.binary()), pa.array(digests, pa.binary())]
                 columns += [pa.array(sizes, pa.int64()), pa.array(_pack(np.array(bitmaps)), pa.binary())] if more else []
-                columns += [pa.array(keys, pa.list_(pa.int64()))] if keyed else []
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "digest", *more, *keyed])
+                columns += [pa.array(x, pa.list_(pa.int64())) for x, there in ((keys, keyed), (prefixes, first)) if there]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "digest", *more, *keyed, *first])
 
-    schema = "doc_id long, text_hash long, fp binary, digest binary" + ", n long, parity binary" * bool(more) + ", keys array<long>" * bool(keyed)
+    schema = "doc_id long, text_hash long, fp binary, digest binary" + ", n long, parity binary" * bool(more) + ", keys array<long>" * bool(keyed) + ", prefix array<long>" * bool(first)
     return _keyed(docs, id_col, text_col).mapInArrow(run, schema)
 
 
@@ -570,6 +609,32 @@ def separate_with_key(groups: DataFrame, reps: DataFrame, search: Search, simila
     return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
+def separate_with_prefix(reps: DataFrame, search: Search, similarity: float) -> DataFrame:
+    """``a long, b long`` with a > b: every pair of ``rep, n, parity, prefix, label`` whose labels differ and whose prefixes meet,
+    once, but for those that are proven less similar.
+
+    Shingles of one label are dropped before rows are copied for the rest. Of two sets, all that stands up to the end of the prefix
+    that ends first is in both prefixes, so what they have in common is at most what the prefixes have, and the rest of that set:
+    ``ceil(s * n) - 1`` shingles. Where ``PREFIX_ROWS`` rows and more share a shingle, pairs of tiles of them are tasks of their own.
+    """
+    tokens = reps.select("rep", "label", F.explode("prefix").alias("key"))
+    several = tokens.groupBy("key").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    tiles = F.ceil(F.col("rows") / PREFIX_ROWS).cast("int")
+    met = tokens.join(several.select("key", tiles.alias("tiles")).hint("merge"), "key").select("key", "rep", "tiles")
+    rows = reps.select("rep", "label", "n", _longs("parity", search.parity_bits // 64).alias("odd"))
+    rows = met.join(rows.hint("merge"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    x = rows.select("*", other.alias("with")).select("*", F.col("own").alias("i"), F.col("with").alias("j"))
+    y = rows.select("*", other.alias("with")).select("*", F.col("with").alias("i"), F.col("own").alias("j"))
+    on = (F.col("x.rep") > F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & _possible(search, similarity)
+    for c in ("key", "i", "j"):
+        on = (F.col(f"x.{c}") == F.col(f"y.{c}")) & on
+    pairs = x.alias("x").join(y.alias("y").hint("merge"), on)
+    counted = pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("m"), F.col("y.n").alias("n")).agg(F.count("*").alias("common"))
+    most = F.col("common") + F.ceil(F.greatest("m", "n") * similarity - 1e-6) - 1
+    return counted.where(most * (1 + similarity) >= (F.col("m") + F.col("n")) * similarity - 1e-6).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, search: Search = EXACT_64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: ``doc_id long, fingerprint string, component_id long``.
 
@@ -604,45 +669,37 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, search: Search =
     """``doc_id long, text_hash long, component_id long, kept boolean`` for each document with a near duplicate.
 
     A document is an id and a text; ``text_hash`` (XXH64 of the text, null as empty) tells apart texts that share an id.
-    Candidates share a min-hash key, or a block of a tree where too many rows share one, and have fingerprints within
-    ``search.max_bits``; a link holds only if the Jaccard similarity of the two sets of
-    ``search.width``-word shingles, computed over the whole texts, is at least ``similarity``. Every candidate pair is
-    compared unless its documents are in one component already: first each row with its nearest, or with a few neighbours where
-    many share a key, then all that are still apart. So the comparisons grow with the documents and with the pairs of near misses. ``component_id`` is the smallest id
+    A link holds only if the Jaccard similarity of the two sets of ``search.width``-word shingles, computed over the whole
+    texts, is at least ``similarity``, and every such pair is in one component. First each row is compared with its nearest by
+    fingerprint among those that share a min-hash key, or with a few neighbours where many do; then all pairs that are still apart
+    and whose prefixes meet (:func:`separate_with_prefix`), which no similar pair escapes. So the comparisons grow with the documents and with the pairs of near misses. ``component_id`` is the smallest id
     of the component; of each component the document with the smallest (id, hash) is ``kept``. Texts without words are
     similar to each other. Rows with a null id have no duplicates; rows that repeat id and text are one document. An empty
     table gives an empty result. Other columns, whatever their names, are ignored. Ids are numbers or numeric texts.
     """
     bounded_batches(docs.sparkSession)
-    fps = fingerprints(docs, search, id_col, text_col).where("doc_id is not null").dropDuplicates(["doc_id", "text_hash"])
+    fps = fingerprints(docs, search, id_col, text_col, similarity).where("doc_id is not null").dropDuplicates(["doc_id", "text_hash"])
     fps = materialise(fps.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
     # one row for equal sets of shingles only: equal fingerprints of different sets are candidates like any others
-    reps = materialise(fps.groupBy("fp", "digest", "n", "parity").agg(F.min("node").alias("rep"), *[F.first(c).alias(c) for c in fps.columns if c == "keys"]), "representatives")
+    reps = materialise(fps.groupBy("fp", "digest", "n", "parity").agg(F.min("node").alias("rep"), *[F.first(c).alias(c) for c in fps.columns if c in ("keys", "prefix")]), "representatives")
     equal = fps.join(reps, ["fp", "digest"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     names = fps.select("node", "doc_id", "text_hash")
     texts = _keyed(docs, id_col, text_col)
-    crowding = reps.select(F.lit(0).cast("long").alias("key"), "rep", F.lit(0).cast("long").alias("next"), F.lit(GROUP_ROWS + 1).cast("long").alias("rows"))  # without keys all rows go to trees
-    shared = materialise(shared_keys(reps) if search.bands else crowding, "shared")
-    groups = shared.where(F.col("rows") <= GROUP_ROWS)
-    crowd = materialise(shared.where(F.col("rows") > GROUP_ROWS).select("rep").distinct(), "crowd")
-    crowded = not crowd.isEmpty()
+    # without keys no row is proposed a partner here, and all pairs meet by prefixes
+    shared = materialise(shared_keys(reps if search.bands else reps.withColumn("keys", F.array().cast("array<long>"))), "shared")
     few = F.col("rows") <= NEAREST_ROWS
-    links = nearest_with_key(groups.where(few).select("key", "rep"), reps, search)
-    links = links.unionByName(neighbours_with_key(groups.where(~few).select("key", "rep", "next"), reps, search, similarity))
-    if crowded:
-        links = links.unionByName(candidate_links(reps.join(crowd.hint("merge"), "rep"), search, nearest=True))
+    links = nearest_with_key(shared.where(few).select("key", "rep"), reps, search)
+    links = links.unionByName(neighbours_with_key(shared.where(~few).select("key", "rep", "next"), reps, search, similarity))
     links = materialise(links.distinct(), "candidates")
     proven = proven_pairs(links, names, texts, similarity, search.width)
     joined = materialise(components(proven.unionByName(equal), "a", "b"), "joined")
     named = reps.join(joined.hint("merge"), reps.rep == joined.node, "left")
-    named = materialise(named.select("rep", "fp", "n", "parity", F.coalesce("component", "rep").alias("label")), "labelled")
-    apart = separate_with_key(groups.select("key", "rep"), named, search, similarity)
-    if crowded:
-        apart = apart.unionByName(separate_pairs(named.join(crowd.hint("merge"), "rep"), search, similarity).where("a <> b")).distinct()
+    named = materialise(named.select("rep", "n", "parity", "prefix", F.coalesce("component", "rep").alias("label")), "labelled")
+    apart = separate_with_prefix(named, search, similarity)
     apart = materialise(apart.join(links.hint("merge"), ["a", "b"], "left_anti"), "apart")
     more = proven_pairs(apart, names, texts, similarity, search.width)
     merged = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
-    for done in (reps, shared, crowd, links, joined, named, apart):
+    for done in (reps, shared, links, joined, named, apart):
         discard(done)
     merged = merged.join(names, "node")
     first = merged.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))

@@ -148,3 +148,29 @@ def test_neighbours_by_brute_force(spark, monkeypatch):
     near = sum(np.bitwise_count(fps[a, k] ^ fps[b, k]).astype(int) for k in range(5)) <= search.max_bits
     ok = near & s.can_be_similar(np.array([len(x) for x in sets]), odd, a, b, 0.8)
     assert got == set(zip(a[ok].tolist(), b[ok].tolist())) and 20 < len(got) < len(pairs)
+
+
+def test_no_similar_pair_is_lost(spark):
+    """Two texts at exactly 0.8 whose fingerprints are 85 bits apart, and one that shares nothing."""
+    words = [f"a12416x{k}" for k in range(9)]
+    x, y = (s.shingle_hashes(" ".join(w), 5, True) for w in (words, words[:8]))
+    assert s.jaccard(x, y) == 0.8 and np.bitwise_count(s.fingerprint(x, 5) ^ s.fingerprint(y, 5)).sum() > s.SIMILAR_320.max_bits
+    docs = [(5, " ".join(words)), (7, " ".join(words[:8])), (9, "quite another text")]
+    got = s.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5), (7, 5)]
+
+
+@pytest.mark.parametrize(("bands", "tile", "shingles"), [(0, 7, 1 << 16), (20, 1 << 13, 3)])
+def test_prefixes_find_all_that_brute_force_does(spark, monkeypatch, bands, tile, shingles):
+    """Whatever order the sample gives, however the rows of a shingle are dealt, with and without keys: no wrong component."""
+    monkeypatch.setattr(s, "PREFIX_ROWS", tile)
+    monkeypatch.setattr(s, "ORDER_SHINGLES", shingles)
+    rng, common = np.random.default_rng(11), " ".join(f"c{k}" for k in range(40))
+    docs = families(10, [1] * 30 + [4] * 15) + families(12, [30], edits=6) + families(13, [5] * 8, edits=1, length=14)
+    docs += [f"{common} {t}" for t in families(14, [1] * 20 + [3] * 10, edits=2, length=60)]
+    docs += [" ".join(f"k{n}w{k}" for k in range(m)) for n in range(20) for m in (8, 9)]
+    docs = [docs[i] for i in rng.permutation(len(docs))]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in s.similar_documents(df, search=replace(s.SIMILAR_320, bands=bands)).collect()}
+    expected = brute(docs)
+    assert {i: got.get(i, i) for i in range(len(docs))} == expected and len(set(expected.values())) < len(docs) - 40
